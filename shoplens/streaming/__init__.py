@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The original pipelines read finite files only — there is no stream source,
+watermark, time window or state to carry over. Every operator here is a
+batch DataFrame job; a user who lands new event files reruns the batch
+jobs (they are idempotent: ``write.mode('overwrite')``).
+"""
