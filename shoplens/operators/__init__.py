@@ -1,0 +1 @@
+"""Operators: each module is one family of the inventory."""
