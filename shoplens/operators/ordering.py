@@ -17,12 +17,12 @@ Deterministic (no sampled range bounds, no row ids), no collect.
 
 from __future__ import annotations
 
-import datetime as _dt
+
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_NULL_BUCKET = _dt.date(1, 1, 1)
+_NULL_BUCKET = "0001-01-01"
 
 
 def _cols(xs) -> list[Column]:
@@ -42,7 +42,7 @@ def positions(df: DataFrame, key: str, order: list, pos: str = "pos",
     """
     order_cols = _cols(order)
     if bucket is None:
-        bucket = F.coalesce(F.to_date(order_cols[0]), F.lit(_NULL_BUCKET))
+        bucket = F.coalesce(F.to_date(order_cols[0]), F.lit(_NULL_BUCKET).cast("date"))
     d = df.withColumn("_bkt", bucket)
     counts = d.groupBy(key, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
     wk = Window.partitionBy(key).orderBy("_bkt")
@@ -89,7 +89,9 @@ def collect_ordered(df: DataFrame, key: str, pos: str, fields: list[str],
         src = src.where(F.col(rev) < last_n)
     packed = src.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(F.col(pos).alias("_p"), *[F.col(f) for f in fields]))).alias("_seq"))
-    return packed.select(key, *[F.transform("_seq", lambda x, f=f: x[f]).alias(f) for f in fields])
+    def field_of(f: str):
+        return lambda x: x[f]
+    return packed.select(key, *[F.transform("_seq", field_of(f)).alias(f) for f in fields])
 
 
 def explode_arrays(df: DataFrame, key: str, fields: list[str], pos: str = "pos") -> DataFrame:
