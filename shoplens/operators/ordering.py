@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _NULL_BUCKET = "0001-01-01"
 
 
@@ -31,7 +33,7 @@ def _cols(xs) -> list[Column]:
 
 def positions(df: DataFrame, key: str, order: list, pos: str = "pos",
               rev: str | None = None, length: str | None = None,
-              bucket: Column | None = None) -> DataFrame:
+              bucket: Column | None = None, materialize: bool = True) -> DataFrame:
     """Add the 0-based position of each row inside ``key`` by ``order``.
 
     ``order`` must be a total order within a key for a deterministic result
@@ -39,27 +41,34 @@ def positions(df: DataFrame, key: str, order: list, pos: str = "pos",
     ``bucket`` must be monotone in ``order`` (default: the date of the first
     order column). Optional ``rev``: position from the end; ``length``: rows
     of the key.
+
+    The input is read once: rank and bucket size come from two windows over
+    the same ``(key, bucket)`` exchange (the count branch reuses it). With
+    ``materialize`` the result is checkpointed to the shared checkpoint
+    folder, so consumers that use the positions several times neither
+    recompute nor re-plan them.
     """
     order_cols = _cols(order)
     if bucket is None:
         bucket = F.coalesce(F.to_date(order_cols[0]), F.lit(_NULL_BUCKET).cast("date"))
-    d = df.withColumn("_bkt", bucket)
-    counts = d.groupBy(key, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+    wb = Window.partitionBy(key, "_bkt")
+    ranked = (df.withColumn("_bkt", bucket)
+              .withColumn("_rn", F.row_number().over(wb.orderBy(*order_cols)) - 1)
+              .withColumn("_cnt", F.count(F.lit(1)).over(wb)))
     wk = Window.partitionBy(key).orderBy("_bkt")
-    counts = counts.select(
+    counts = ranked.where(F.col("_rn") == 0).select(
         key, "_bkt",
         F.coalesce(F.sum("_cnt").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_cnt").over(Window.partitionBy(key)).alias("_len"),
     )
-    wb = Window.partitionBy(key, "_bkt").orderBy(*order_cols)
-    d = d.withColumn("_rn", F.row_number().over(wb) - 1)
-    out = d.join(counts, [key, "_bkt"], "inner")
+    out = ranked.join(counts, [key, "_bkt"], "inner")
     out = out.withColumn(pos, (F.col("_before") + F.col("_rn")).cast("long"))
     if rev:
         out = out.withColumn(rev, (F.col("_len") - 1 - F.col(pos)).cast("long"))
     if length:
         out = out.withColumn(length, F.col("_len").cast("long"))
-    return out.drop("_bkt", "_rn", "_before", "_len")
+    out = out.drop("_bkt", "_rn", "_cnt", "_before", "_len")
+    return cut_lineage(out) if materialize else out
 
 
 def window_positions(df: DataFrame, key: str, order: list, pos: str = "pos",
