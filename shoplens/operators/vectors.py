@@ -165,25 +165,56 @@ def scale_global_standard(df: DataFrame) -> DataFrame:
                       .alias("embedding"))
 
 
-def pca(df: DataFrame, k: int) -> DataFrame:
-    """V4: centre, then project on the top ``k`` principal components.
-
-    ``ml.feature.PCA`` does not centre on transform, so a mean-only
-    ``StandardScaler`` runs first. Signs are fixed so that each component's
-    largest absolute loading is positive (deterministic, comparable).
+def pca_fit(df: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """V4 fit: ``(mean[d], components[d, k])`` of the rows' covariance.
+
+    The covariance is two distributed JVM aggregates — ``Correlation`` (a
+    tree aggregate of the Gramian) and ``Summarizer`` (mean, variance) — so
+    only the d × d matrix reaches the driver, where numpy's symmetric eigen
+    solver takes it apart. Signs are fixed so that each component's largest
+    absolute loading is positive (deterministic, comparable up to sign).
     """
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    v = df.select("client_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("_v"))
-    scaler = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(v)
-    centred = scaler.transform(v)
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred)
-    pc = model.pc.toArray()                              # d × k, bounded by the width
-    signs = np.where(pc[np.abs(pc).argmax(axis=0), range(pc.shape[1])] < 0, -1.0, 1.0)
-    sign_arr = F.array(*[F.lit(float(s)) for s in signs])
-    proj = model.transform(centred).select("client_id", vector_to_array("_p").alias("_a"))
-    return proj.select("client_id", F.zip_with("_a", sign_arr, lambda a, s: a * s).alias("embedding"))
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Correlation, Summarizer
+
+    v = df.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("_v"))
+    stats = v.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")).first()["s"]
+    mean = stats["mean"].toArray()
+    var = stats["variance"].toArray()          # unbiased (n - 1), as the covariance below
+    corr = Correlation.corr(v, "_v", "pearson").first()[0].toArray()
+    sd = np.sqrt(np.clip(var, 0.0, None))
+    cov = np.nan_to_num(corr) * np.outer(sd, sd)
+    np.fill_diagonal(cov, var)
+    vals, vecs = np.linalg.eigh(cov)
+    order = np.argsort(vals)[::-1][:k]
+    comps = vecs[:, order]
+    signs = np.where(comps[np.abs(comps).argmax(axis=0), np.arange(comps.shape[1])] < 0, -1.0, 1.0)
+    return mean, comps * signs
+
+
+def project(df: DataFrame, mean: np.ndarray, comps: np.ndarray) -> DataFrame:
+    """V4 transform: ``(x - mean) @ components`` on Arrow batches (one matmul per batch)."""
+    bc = df.sparkSession.sparkContext.broadcast((mean.tolist(), comps.tolist()))
+    schema = T.StructType([T.StructField("client_id", T.LongType()),
+                           T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+    def apply(batches):
+        import pandas as pd
+        mu, w = (np.asarray(x, dtype="float64") for x in bc.value)
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            m = np.vstack([np.asarray(v, dtype="float64") for v in pdf["embedding"]])
+            yield pd.DataFrame({"client_id": pdf["client_id"].astype("int64"), "embedding": list((m - mu) @ w)})
+
+    return df.select(F.col("client_id").cast("long"), F.col("embedding").cast("array<double>")) \
+        .mapInPandas(apply, schema)
+
+
+def pca(df: DataFrame, k: int) -> DataFrame:
+    """V4: centre, then project on the top ``k`` principal components."""
+    mean, comps = pca_fit(df, k)
+    return project(df, mean, comps)
 
 
 # ---- merge ----------------------------------------------------------------------------
