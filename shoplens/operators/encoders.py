@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import last_n
+from ..session import cut_lineage
 from .ordering import collect_ordered
-from .vectors import pca
+from .vectors import top_components
 
 #: Fixed value: vocabulary bound of the token bags (the PCA covariance is V × V on the driver).
 MAX_BAG_TOKENS = 2000
@@ -41,44 +42,99 @@ def token_counts(long: DataFrame, fields) -> DataFrame:
     return toks.groupBy("client_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bag_vectors(counts: DataFrame, max_tokens: int = MAX_BAG_TOKENS) -> DataFrame:
-    """``(client_id, embedding)``: dense token-count vectors over the ``max_tokens``
-    most frequent tokens (ties by token); rarer tokens share the last slot.
+def bag_entries(counts: DataFrame, max_tokens: int = MAX_BAG_TOKENS) -> tuple[DataFrame, int]:
+    """Sparse token bags ``(client_id, _i, n)`` over the ``max_tokens`` most
+    frequent tokens (ties by token; rarer tokens share the last slot), and the width.
 
     The vocabulary is a distributed top-k (``orderBy.limit`` plans as
     TakeOrderedAndProject: each task keeps its best ``max_tokens``), so at most
-    ``max_tokens`` rows are ranked in one task and broadcast back.
+    ``max_tokens`` rows are ranked in one task and broadcast back. A client has
+    at most ``max_tokens`` entries, whatever its number of events. The entries
+    are read by every fitting pass, so they are materialised once in the
+    shared checkpoint folder.
     """
     freq = counts.groupBy("token").agg(F.sum("n").alias("_f"))
     top = freq.orderBy(F.col("_f").desc(), F.col("token").asc()).limit(max_tokens - 1)
     w = Window.orderBy(F.col("_f").desc(), F.col("token").asc())   # ≤ max_tokens rows
     vocab = F.broadcast(top.select("token", (F.row_number().over(w) - 1).cast("int").alias("_i")))
     slot = F.coalesce(F.col("_i"), F.lit(max_tokens - 1))
-    idx = (counts.join(vocab, "token", "left").groupBy("client_id", slot.alias("_i")).agg(F.sum("n").alias("n"))
-           .groupBy("client_id").agg(F.map_from_entries(F.collect_list(F.struct("_i", "n"))).alias("_m")))
-    width = freq.agg((F.least(F.count(F.lit(1)), F.lit(max_tokens)) - 1).cast("int").alias("_w"))
-    idx = idx.crossJoin(F.broadcast(width))
-    dense = F.transform(F.sequence(F.lit(0), F.col("_w")),
-                        lambda i: F.coalesce(F.element_at("_m", i), F.lit(0)).cast("double"))
-    return idx.select("client_id", dense.alias("embedding"))
+    entries = cut_lineage(counts.join(vocab, "token", "left").groupBy("client_id", slot.alias("_i"))
+                          .agg(F.sum("n").cast("double").alias("n")))
+    width = int(entries.agg(F.max("_i")).first()[0]) + 1
+    return entries, width
+
+
+def bag_vectors(counts: DataFrame, max_tokens: int = MAX_BAG_TOKENS) -> DataFrame:
+    """``(client_id, embedding)``: the dense view of :func:`bag_entries`."""
+    entries, width = bag_entries(counts, max_tokens)
+    m = entries.groupBy("client_id").agg(F.map_from_entries(F.collect_list(F.struct("_i", "n"))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
+                        lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)))
+    return m.select("client_id", dense.alias("embedding"))
+
+
+def sparse_pca_fit(entries: DataFrame, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """V4 fit on sparse rows: ``(mean[d], components[d, k])``.
+
+    Gram matrix ``G[i, j] = sum_c n_ci n_cj`` by a self-join of each client's
+    entries (at most ``d²`` pairs per client, so a hot client stays bounded;
+    only ``i <= j``), summed map-side per ``(i, j)``; at most ``d (d + 1) / 2``
+    cells reach the driver, with the ``d`` column sums and the row count.
+    Covariance ``(G - N mu muᵀ) / (N - 1)`` as the dense fit.
+    """
+    n_rows = entries.select("client_id").distinct().count()
+    a = entries.select("client_id", F.col("_i").alias("i"), F.col("n").alias("a"))
+    b = entries.select("client_id", F.col("_i").alias("j"), F.col("n").alias("b"))
+    gram = (a.join(b, "client_id").where(F.col("i") <= F.col("j"))
+            .groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))).toPandas()
+    sums = entries.groupBy("_i").agg(F.sum("n").alias("s")).toPandas()
+    g = np.zeros((width, width))
+    g[gram["i"].to_numpy(), gram["j"].to_numpy()] = gram["g"].to_numpy()
+    g = g + np.triu(g, 1).T
+    mean = np.zeros(width)
+    mean[sums["_i"].to_numpy()] = sums["s"].to_numpy() / n_rows
+    cov = (g - n_rows * np.outer(mean, mean)) / max(n_rows - 1, 1)
+    return mean, top_components(cov, k)
+
+
+def sparse_project(entries: DataFrame, mean: np.ndarray, comps: np.ndarray) -> DataFrame:
+    """V4 transform on sparse rows: ``x @ W - mu @ W`` per client, JVM-side.
+
+    Each entry joins its component row (a broadcast of d rows × k, bounded by
+    the vocabulary), is scaled by its count, and a client's rows are summed
+    elementwise (at most d arrays of k per client)."""
+    spark = entries.sparkSession
+    k = comps.shape[1]
+    rows = spark.createDataFrame([(i, comps[i].tolist()) for i in range(comps.shape[0])],
+                                 "_i int, _w array<double>")
+    offset = F.array(*[F.lit(float(-x)) for x in mean @ comps])
+    scaled = entries.join(F.broadcast(rows), "_i").select(
+        "client_id", F.transform("_w", lambda w: w * F.col("n")).alias("_v"))
+    summed = scaled.groupBy("client_id").agg(F.collect_list("_v").alias("_vs"))
+    emb = F.aggregate("_vs", offset, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
+    return summed.select("client_id", emb.alias("embedding")) if k else summed.select("client_id")
 
 
 def bag_pca(long: DataFrame, fields, k: int = 64, max_tokens: int = MAX_BAG_TOKENS) -> DataFrame:
     """K5: token bags of each client's events, centred PCA to ``k`` components."""
-    bags = bag_vectors(token_counts(long, fields), max_tokens)
-    return pca(bags, k)
+    entries, width = bag_entries(token_counts(long, fields), max_tokens)
+    mean, comps = sparse_pca_fit(entries, width, k)
+    return sparse_project(entries, mean, comps)
 
 
 def reconstruction_error(long: DataFrame, fields, k: int = 64, max_tokens: int = MAX_BAG_TOKENS) -> DataFrame:
     """G8 re-aimed: per client, squared distance between its centred bag and the
-    bag's PCA reconstruction (``||x - mu||^2 - ||proj||^2``; components are orthonormal)."""
-    bags = bag_vectors(token_counts(long, fields), max_tokens)
-    means = bags.select(F.posexplode("embedding").alias("_p", "_x")).groupBy("_p").agg(F.avg("_x").alias("_m")) \
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda s: s["_m"]).alias("_mu"))
-    centred = bags.crossJoin(F.broadcast(means)).select(
-        "client_id", F.aggregate(F.zip_with("embedding", "_mu", lambda x, m: (x - m) * (x - m)),
-                                 F.lit(0.0), lambda a, b: a + b).alias("_sq"))
-    proj = pca(bags, k).select("client_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("_pp"))
+    bag's PCA reconstruction (``||x - mu||^2 - ||proj||^2``; components are orthonormal).
+
+    ``||x - mu||^2 = sum_nz (x_i^2 - 2 x_i mu_i) + ||mu||^2`` over the client's entries only."""
+    entries, width = bag_entries(token_counts(long, fields), max_tokens)
+    mean, comps = sparse_pca_fit(entries, width, k)
+    mu = entries.sparkSession.createDataFrame([(i, float(m)) for i, m in enumerate(mean)], "_i int, _mu double")
+    centred = (entries.join(F.broadcast(mu), "_i")
+               .groupBy("client_id").agg(F.sum(F.col("n") * F.col("n") - 2 * F.col("n") * F.col("_mu")).alias("_s"))
+               .select("client_id", (F.col("_s") + F.lit(float(mean @ mean))).alias("_sq")))
+    proj = sparse_project(entries, mean, comps).select(
+        "client_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("_pp"))
     return centred.join(proj, "client_id").select(
         "client_id", F.greatest(F.col("_sq") - F.col("_pp"), F.lit(0.0)).alias("error"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import codes_to_array, last_n
 from ..sources.inputs import Inputs, relevant_only
 from .ordering import collect_ordered, positions
-from .vocab import apply_capped, dense_codes, min_count_items, min_events_clients
+from .vocab import apply_capped_many, dense_codes, min_count_items, min_events_clients
 
 #: Special tokens of the sequence views.
 PAD, START, END = 0, 1, 2
@@ -74,8 +74,7 @@ def full_events(inputs: Inputs, max_count: int = 5000, relevant: bool = True) ->
     data = data.select("client_id", "timestamp", "event_type",
                        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                          for c in ("category", "sku", "price", "url")])
-    data = apply_capped(data, "url", max_count)
-    data = apply_capped(data, "sku", max_count)
+    data = apply_capped_many(data, ["url", "sku"], max_count)
     mins = data.agg(F.min(F.to_date("timestamp")).alias("_d0"),
                     F.min(F.weekofyear("timestamp")).alias("_w0"),
                     F.min(F.month("timestamp")).alias("_m0"))

@@ -185,11 +185,17 @@ def pca_fit(df: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     sd = np.sqrt(np.clip(var, 0.0, None))
     cov = np.nan_to_num(corr) * np.outer(sd, sd)
     np.fill_diagonal(cov, var)
+    return mean, top_components(cov, k)
+
+
+def top_components(cov: np.ndarray, k: int) -> np.ndarray:
+    """``components[d, k]``: eigenvectors of the ``k`` largest eigenvalues of a
+    symmetric d × d matrix; each column's largest absolute loading is positive."""
     vals, vecs = np.linalg.eigh(cov)
     order = np.argsort(vals)[::-1][:k]
     comps = vecs[:, order]
     signs = np.where(comps[np.abs(comps).argmax(axis=0), np.arange(comps.shape[1])] < 0, -1.0, 1.0)
-    return mean, comps * signs
+    return comps * signs
 
 
 def project(df: DataFrame, mean: np.ndarray, comps: np.ndarray) -> DataFrame:

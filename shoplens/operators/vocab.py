@@ -45,15 +45,16 @@ def decode(df: DataFrame, mapping: DataFrame, col: str, code: str, code_col: str
     return df.join(m, df[c] == m["_code"], "left").drop("_code", c).withColumnRenamed("_value", c)
 
 
-def capped_codes(df: DataFrame, col: str, max_count: int) -> DataFrame:
+def capped_codes(df: DataFrame, col: str, max_count: int, counts: DataFrame | None = None) -> DataFrame:
     """``(value, code)`` for every distinct value of ``col``.
 
     Top ``max_count`` values by count (ties by value) keep a code, others
     become "other". 0 means absent and keeps code 0 if it is among the top;
     "other" is code 1 when anything falls out, and kept non-zero values get
     2, 3, ... in value order (1, 2, ... when nothing falls out).
+    ``counts`` (``(col, _n)``, e.g. from :func:`multi_value_counts`) saves the scan of ``df``.
     """
-    counts = value_counts(df, col, "_n")
+    counts = counts if counts is not None else value_counts(df, col, "_n")
     top = (counts.orderBy(F.col("_n").desc(), F.col(col).asc()).limit(max_count)
            .select(col, F.lit(True).alias("_kept")))
     allv = counts.select(col).join(F.broadcast(top), col, "left")   # top is bounded by max_count
@@ -69,12 +70,36 @@ def capped_codes(df: DataFrame, col: str, max_count: int) -> DataFrame:
     return out.select(col, code.cast("long").alias("code"))
 
 
-def apply_capped(df: DataFrame, col: str, max_count: int) -> DataFrame:
+def multi_value_counts(df: DataFrame, cols: list[str]) -> dict[str, DataFrame]:
+    """A11 for several columns in ONE scan: ``{col: (col, _n)}``, null values dropped.
+
+    Rows are exploded to ``(column index, value)`` and counted with one
+    partial + final aggregate; each column's table is a filter of it.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("long").alias("_v"))
+                                for i, c in enumerate(cols)]))
+    counts = (df.select(pairs.alias("_p")).select("_p._c", "_p._v").where(F.col("_v").isNotNull())
+              .groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    return {c: counts.where(F.col("_c") == i).select(F.col("_v").alias(c), "_n") for i, c in enumerate(cols)}
+
+
+def apply_capped(df: DataFrame, col: str, max_count: int, counts: DataFrame | None = None) -> DataFrame:
     """E3 applied: replace ``col`` by its capped code."""
-    m = capped_codes(df, col, max_count).withColumnRenamed(col, "_v")
+    m = capped_codes(df, col, max_count, counts).withColumnRenamed(col, "_v")
     return df.join(m, df[col].eqNullSafe(m["_v"]), "left").drop(col, "_v").withColumnRenamed("code", col)
 
 
+def apply_capped_many(df: DataFrame, cols: list[str], max_count: int) -> DataFrame:
+    """E3 on several columns: the vocabularies are fitted on ``df`` (one counting
+    scan for all of them), then applied with one join each — the input is
+    read twice in total, not twice per column."""
+    counts = multi_value_counts(df, cols)
+    out = df
+    for c in cols:
+        out = apply_capped(out, c, max_count, counts[c])
+    return out
+
+
 def min_count_items(df: DataFrame, item: str, min_count: int) -> DataFrame:
     """keep events whose item has at least ``min_count`` events."""
     keep = value_counts(df, item, "_n").where(F.col("_n") >= min_count).select(item)
