@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ordering import positions
 
@@ -32,12 +33,18 @@ def successors(long: DataFrame, item: str = "item", pos: str = "pos") -> DataFra
 
 
 def popularity(long: DataFrame, item: str = "item") -> DataFrame:
-    """``(item, count, pop_rank)``: events per item, ranked by count desc then item.
+    """``(item, count, pop_rank)``: events per item, ranked 1.. by count desc then item.
 
-    The ranking window has one row per distinct item (bounded by the catalogue)."""
+    A global rank without a single-task window over the catalogue: items are
+    ranked inside ``(count, item range)`` buckets (see :func:`ordering.positions`),
+    so a long tail of items with equal counts is spread over many tasks."""
     counts = long.groupBy(item).agg(F.count(F.lit(1)).alias("count"))
-    w = Window.orderBy(F.col("count").desc(), F.col(item).asc())
-    return counts.withColumn("pop_rank", F.row_number().over(w).cast("long"))
+    numeric = isinstance(counts.schema[item].dataType, T.IntegralType)
+    bucket = F.struct((-F.col("count")).alias("_c"),
+                      (F.shiftright(F.col(item).cast("long"), 16) if numeric else F.lit(0)).alias("_r"))
+    ranked = positions(counts.withColumn("_all", F.lit(0)), "_all", [F.col("count").desc(), F.col(item).asc()],
+                       pos="_p", bucket=bucket)
+    return ranked.select(item, "count", (F.col("_p") + 1).cast("long").alias("pop_rank"))
 
 
 def last_items(long: DataFrame, item: str = "item", pos: str = "pos") -> DataFrame:
