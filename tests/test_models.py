@@ -21,7 +21,7 @@ def _vectors(spark, sf_dir, name):
     return {r.client_id: np.asarray(r.embedding, dtype=float) for r in entries()[name].build(spark, sf_dir).collect()}
 
 
-@pytest.mark.parametrize("name,width", [("als_categories", 64), ("als_urls", 64), ("als_signed", 64),
+@pytest.mark.parametrize("name,width", [("als_categories", 64), ("als_urls", 64), ("als_signed", 80),
                                         ("enc_bag_pca", 64), ("enc_item2vec", 64), ("enc_text", 64)])
 def test_vector_tables(spark, sf_dir, name, width):
     v = _vectors(spark, sf_dir, name)
