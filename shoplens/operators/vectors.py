@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from ..sources.inputs import relevant_only
 
 #: Fixed values of the quantile transform: at most this many quantiles, as in
@@ -265,9 +266,21 @@ SCALERS = {
 }
 
 
+#: Steps that fit a model on the table before transforming it (each reads it again).
+FITTED = {"pca", "quantile", "global_standard"}
+
+
 def prepare(spec: TableSpec, drop_zeros: bool = True) -> DataFrame:
-    """V1 → V3 → V7 for one table."""
+    """V1 → V3 → V7 for one table.
+
+    A table that feeds a fitted step is read by the fit and again by the
+    transform; it is materialised once in the shared checkpoint folder so
+    its upstream job (e.g. the 37 client statistics) runs once.
+    """
     df = sanitize(spec.table, drop_zeros)
+    steps = {spec.processor[0] if spec.processor else None, spec.scaler}
+    if steps & FITTED:
+        df = cut_lineage(df)
     if spec.processor is not None:
         name, arg = spec.processor
         df = PROCESSORS[name](df, arg)
@@ -284,7 +297,9 @@ def merge_all(specs: list[TableSpec], relevant: DataFrame | None = None, drop_ze
     if relevant is not None:
         merged = complete(merged, relevant, fill=None)
     if impute == "mean":
-        return impute_mean(merged)
+        # the means are a fit over the merged table: materialise it once (the
+        # Python-side transforms above then run once, not per read)
+        return impute_mean(cut_lineage(merged))
     if impute == "constant":
         return impute_constant(merged, 0.0)
     raise ValueError(f"unknown imputer {impute!r}")
