@@ -137,22 +137,26 @@ def _mean_of_totals(pairs: DataFrame, key: str, out: str) -> DataFrame:
          / F.sum(F.when(F.col("_total").isNotNull(), F.col("_n")))).alias(out))
 
 
-def item_popularity(events: DataFrame, item: str = "sku", prefix: str = "buy") -> DataFrame:
-    """A4: mean popularity of the client's items, every event counting once."""
-    return _mean_of_totals(_pairs(events, item), item, f"average_pop_{prefix}")
+def item_popularity(events: DataFrame, item: str = "sku", prefix: str = "buy",
+                    pairs: DataFrame | None = None) -> DataFrame:
+    """A4: mean popularity of the client's items, every event counting once.
+    ``pairs``: the ``(client_id, item, _n)`` reduction of ``events`` when already built."""
+    pairs = pairs if pairs is not None else _pairs(events, item)
+    return _mean_of_totals(pairs, item, f"average_pop_{prefix}")
 
 
-def category_popularity(events: DataFrame, products: DataFrame, prefix: str = "buy") -> DataFrame:
+def category_popularity(events: DataFrame, products: DataFrame, prefix: str = "buy",
+                        pairs: DataFrame | None = None) -> DataFrame:
     """A5: as A4 on the category of a left join to products (unknown sku: skipped)."""
-    pairs = (_pairs(events, "sku")
+    pairs = ((pairs if pairs is not None else _pairs(events, "sku"))
              .join(products.select("sku", "category"), "sku", "left")
              .groupBy("client_id", "category").agg(F.sum("_n").alias("_n")))
     return _mean_of_totals(pairs, "category", f"category_popularity_{prefix}")
 
 
-def price(buys: DataFrame, products: DataFrame) -> DataFrame:
+def price(buys: DataFrame, products: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """A10: sum and mean price of bought items (left join: unknown sku adds nothing)."""
-    j = _pairs(buys, "sku").join(products.select("sku", "price"), "sku", "left")
+    j = (pairs if pairs is not None else _pairs(buys, "sku")).join(products.select("sku", "price"), "sku", "left")
     spent = F.col("_n") * F.col("price")
     return j.groupBy("client_id").agg(
         F.sum(spent).cast("long").alias("total_spent"),
@@ -215,16 +219,21 @@ def features_all(inputs: Inputs, submit: bool = True) -> DataFrame:
     """The full 37-column statistics table, one row per relevant client."""
     ev = relevant_events(inputs)
     products = inputs.product_properties
+    # every sku-keyed feature (popularity, category popularity, price, both
+    # conversions) reads the same (client, sku, n) reduction of its table: one
+    # scan and one exchange per table, reused by all of them
+    pairs = {p: _pairs(ev[p], "sku") for p in ACTION_PREFIXES}
     parts = [activity(ev[p], p) for p in ALL_PREFIXES]
     for p in ACTION_PREFIXES:
-        parts.append(category_popularity(ev[p], products, p))
-        parts.append(item_popularity(ev[p], "sku", p))
+        parts.append(category_popularity(ev[p], products, p, pairs=pairs[p]))
+        parts.append(item_popularity(ev[p], "sku", p, pairs=pairs[p]))
     parts.append(item_popularity(ev["visit"], "url", "visit"))
     parts.append(stability(ev["visit"]))
-    parts.append(price(ev["buy"], products))
-    parts.append(conversion(ev["add"], ev["buy"], "sku", "bought"))
-    parts.append(conversion(with_category(ev["add"], products),
-                            with_category(ev["buy"], products), "category", "bought_cat"))
+    parts.append(price(ev["buy"], products, pairs=pairs["buy"]))
+    # distinct (client, key) sets: the pair tables hold exactly those keys
+    parts.append(conversion(pairs["add"], pairs["buy"], "sku", "bought"))
+    parts.append(conversion(with_category(pairs["add"], products),
+                            with_category(pairs["buy"], products), "category", "bought_cat"))
     out = merge_features(inputs.relevant_clients, parts, feature_columns())
     return out if submit else drop_all_zero(out)
 
