@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder and
+    read it back: the lineage is cut, the data survives executor loss, and
+    the upstream runs once (an unpersisted RDD ``checkpoint()`` would run its
+    last stage twice and store serialized rows instead of columnar files).
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = base.rstrip("/") + "/tables/" + uuid.uuid4().hex
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
