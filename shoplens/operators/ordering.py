@@ -3,10 +3,10 @@
 ``row_number() OVER (PARTITION BY client ORDER BY ts)`` sends all events of
 one client to one task; if one client holds a third of the data, that task
 does a third of the work. ``positions`` splits each key into calendar
-buckets (by default the day of the first order column):
+buckets (by default the hour of the first order column):
 
 * rows are ranked inside ``(key, bucket)`` — a hot client is spread over as
-  many tasks as it has active days;
+  many tasks as it has active hours;
 * a small ``(key, bucket, count)`` table, pre-aggregated map-side, gives the
   number of the key's rows in earlier buckets (its window per key holds one
   row per bucket, bounded by the calendar span);
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-_NULL_BUCKET = "0001-01-01"
+_NULL_BUCKET = -(2 ** 62)
 
 
 def _cols(xs) -> list[Column]:
@@ -38,7 +38,7 @@ def positions(df: DataFrame, key: str, order: list, pos: str = "pos",
 
     ``order`` must be a total order within a key for a deterministic result
     (rows equal on every order column must be equal on every output column).
-    ``bucket`` must be monotone in ``order`` (default: the date of the first
+    ``bucket`` must be monotone in ``order`` (default: the hour of the first
     order column). Optional ``rev``: position from the end; ``length``: rows
     of the key.
 
@@ -50,7 +50,8 @@ def positions(df: DataFrame, key: str, order: list, pos: str = "pos",
     """
     order_cols = _cols(order)
     if bucket is None:
-        bucket = F.coalesce(F.to_date(order_cols[0]), F.lit(_NULL_BUCKET).cast("date"))
+        # hour of the first order column (monotone in it); nulls get the lowest bucket
+        bucket = F.coalesce(F.floor(F.unix_timestamp(order_cols[0]) / 3600).cast("long"), F.lit(_NULL_BUCKET))
     wb = Window.partitionBy(key, "_bkt")
     ranked = (df.withColumn("_bkt", bucket)
               .withColumn("_rn", F.row_number().over(wb.orderBy(*order_cols)) - 1)
