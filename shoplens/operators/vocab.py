@@ -45,6 +45,24 @@ def decode(df: DataFrame, mapping: DataFrame, col: str, code: str, code_col: str
     return df.join(m, df[c] == m["_code"], "left").drop("_code", c).withColumnRenamed("_value", c)
 
 
+def _kept_codes(df: DataFrame, col: str, max_count: int, counts: DataFrame | None = None) -> DataFrame:
+    """``(col, code)`` of the kept values only: at most ``max_count`` rows (a proven bound).
+
+    Top ``max_count`` values by count (ties by value); 0 keeps code 0; kept
+    non-zero values get 2, 3, ... in value order when some value falls out
+    (1 is "other"), 1, 2, ... when none does.
+    """
+    counts = counts if counts is not None else value_counts(df, col, "_n")
+    top = counts.orderBy(F.col("_n").desc(), F.col(col).asc()).limit(max_count).select(col)
+    has_other = counts.agg((F.count(F.lit(1)) > max_count).cast("int").alias("_o"))
+    w = Window.orderBy(col)  # over at most max_count rows
+    ranked = (top.where(F.col(col) != 0).select(col, F.row_number().over(w).alias("_rank"))
+              .crossJoin(F.broadcast(has_other))
+              .select(col, (F.col("_rank") + F.col("_o")).alias("code")))
+    zero = top.where(F.col(col) == 0).select(col, F.lit(0).alias("code"))
+    return ranked.unionByName(zero).select(col, F.col("code").cast("long").alias("code"))
+
+
 def capped_codes(df: DataFrame, col: str, max_count: int, counts: DataFrame | None = None) -> DataFrame:
     """``(value, code)`` for every distinct value of ``col``.
 
@@ -55,19 +73,9 @@ def capped_codes(df: DataFrame, col: str, max_count: int, counts: DataFrame | No
     ``counts`` (``(col, _n)``, e.g. from :func:`multi_value_counts`) saves the scan of ``df``.
     """
     counts = counts if counts is not None else value_counts(df, col, "_n")
-    top = (counts.orderBy(F.col("_n").desc(), F.col(col).asc()).limit(max_count)
-           .select(col, F.lit(True).alias("_kept")))
-    allv = counts.select(col).join(F.broadcast(top), col, "left")   # top is bounded by max_count
-    has_other = allv.agg(F.max(F.when(F.col("_kept").isNull(), 1).otherwise(0)).alias("_o"))
-    kept = top.where(F.col(col) != 0)
-    w = Window.orderBy(col)  # over at most max_count rows
-    kept = kept.select(col, F.row_number().over(w).alias("_rank"))
-    out = (allv.join(F.broadcast(kept), col, "left")
-           .crossJoin(F.broadcast(has_other)))
-    code = (F.when((F.col(col) == 0) & F.col("_kept").isNotNull(), F.lit(0))
-            .when(F.col("_rank").isNull(), F.lit(1))
-            .otherwise(F.col("_rank") + F.col("_o")))
-    return out.select(col, code.cast("long").alias("code"))
+    kept = _kept_codes(df, col, max_count, counts)
+    return (counts.select(col).join(F.broadcast(kept), col, "left")
+            .select(col, F.coalesce(F.col("code"), F.lit(1)).cast("long").alias("code")))
 
 
 def multi_value_counts(df: DataFrame, cols: list[str]) -> dict[str, DataFrame]:
@@ -84,9 +92,16 @@ def multi_value_counts(df: DataFrame, cols: list[str]) -> dict[str, DataFrame]:
 
 
 def apply_capped(df: DataFrame, col: str, max_count: int, counts: DataFrame | None = None) -> DataFrame:
-    """E3 applied: replace ``col`` by its capped code."""
-    m = capped_codes(df, col, max_count, counts).withColumnRenamed(col, "_v")
-    return df.join(m, df[col].eqNullSafe(m["_v"]), "left").drop(col, "_v").withColumnRenamed("code", col)
+    """E3 applied: replace ``col`` by its capped code (null stays null).
+
+    Only the kept values (≤ ``max_count`` rows) are broadcast; every other
+    value is "other" (1). The events are never shuffled by value, so a hot
+    item costs nothing extra.
+    """
+    kept = _kept_codes(df, col, max_count, counts).select(F.col(col).alias("_v"), F.col("code").alias("_code"))
+    out = df.join(F.broadcast(kept), df[col] == kept["_v"], "left")
+    code = F.when(F.col(col).isNull(), F.lit(None)).otherwise(F.coalesce(F.col("_code"), F.lit(1))).cast("long")
+    return out.withColumn(col, code).drop("_v", "_code")
 
 
 def apply_capped_many(df: DataFrame, cols: list[str], max_count: int) -> DataFrame:
