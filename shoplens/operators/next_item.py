@@ -9,7 +9,9 @@ transition counts:
   self-join on ``(client, pos + 1)`` — no per-client window, so a hot client
   is spread over the join's hash partitions;
 * a client's candidates are the successors of its last item, minus the
-  items it has seen (anti join), ranked by count, then item;
+  items it has seen (anti join), ranked by count, then item; it asks only for
+  the successor ranks it can need (k + its number of seen items), so a hot
+  item's fan-out is never paired with every client that ends on it;
 * fewer than ``k`` candidates are topped up with the globally most popular
   items that are neither seen nor chosen, picked exactly by walking the
   excluded popularity ranks (no client × item product).
@@ -64,12 +66,27 @@ def recommend(history: DataFrame, k: int = 10, filter_seen: bool = True, item: s
     last = last_items(history, item, pos)
     seen = history.select("client_id", F.col(item).alias("item_id")).distinct()
 
-    cand = (last.join(succ, last["last"] == succ["prev"], "inner")
-            .select("client_id", F.col("next").alias("item_id"), F.col("count").cast("double").alias("prediction")))
+    # Successors ranked per previous item (count desc, item asc). A client needs at
+    # most its top k + |seen| ranks (seen items are the only ones dropped), so it
+    # asks for exactly those rank numbers: an equi-join on (prev, rank) whose output
+    # is bounded by the client's history + k, never clients × fan-out of a hot item.
+    ranked_succ = succ.withColumn("_r", F.row_number().over(
+        Window.partitionBy("prev").orderBy(F.col("count").desc(), F.col("next").asc())))
+    if filter_seen:
+        n_seen = seen.groupBy("client_id").agg(F.count(F.lit(1)).alias("_s"))
+        want = last.join(n_seen, "client_id", "left").select(
+            "client_id", "last", (F.lit(k) + F.coalesce(F.col("_s"), F.lit(0))).alias("_want"))
+    else:
+        want = last.select("client_id", "last", F.lit(k).alias("_want"))
+    asks = want.select("client_id", F.col("last").alias("prev"),
+                       F.explode(F.sequence(F.lit(1), F.col("_want"))).alias("_r"))
+    cand = asks.join(ranked_succ, ["prev", "_r"], "inner").select(
+        "client_id", F.col("next").alias("item_id"), F.col("count").cast("double").alias("prediction"), "_r")
     if filter_seen:
         cand = cand.join(seen, ["client_id", "item_id"], "left_anti")
-    w = Window.partitionBy("client_id").orderBy(F.col("prediction").desc(), F.col("item_id").asc())
-    top = cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    w = Window.partitionBy("client_id").orderBy(F.col("_r").asc())
+    top = (cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+           .drop("_r"))
 
     # top-up: the j-th popular item that is neither seen nor chosen
     n_top = top.groupBy("client_id").agg(F.count(F.lit(1)).alias("_n"))
