@@ -73,27 +73,49 @@ def bag_vectors(counts: DataFrame, max_tokens: int = MAX_BAG_TOKENS) -> DataFram
     return m.select("client_id", dense.alias("embedding"))
 
 
-def sparse_pca_fit(entries: DataFrame, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def sparse_pca_fit(entries: DataFrame, width: int, k: int, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """V4 fit on sparse rows: ``(mean[d], components[d, k])``.
 
-    Gram matrix ``G[i, j] = sum_c n_ci n_cj`` by a self-join of each client's
-    entries (at most ``d²`` pairs per client, so a hot client stays bounded;
-    only ``i <= j``), summed map-side per ``(i, j)``; at most ``d (d + 1) / 2``
-    cells reach the driver, with the ``d`` column sums and the row count.
-    Covariance ``(G - N mu muᵀ) / (N - 1)`` as the dense fit.
+    Each task accumulates its clients' Gram matrix ``Xᵀ X``, column sums and
+    row count in numpy (dense batches of ``batch`` clients × d, one BLAS call
+    each) — no pair rows are emitted. The per-task partials (``d + 2`` arrays
+    of d) are summed elementwise per row index; only the d × d result reaches
+    the driver. Covariance ``(G - N mu muᵀ) / (N - 1)`` as the dense fit.
     """
-    n_rows = entries.select("client_id").distinct().count()
-    a = entries.select("client_id", F.col("_i").alias("i"), F.col("n").alias("a"))
-    b = entries.select("client_id", F.col("_i").alias("j"), F.col("n").alias("b"))
-    gram = (a.join(b, "client_id").where(F.col("i") <= F.col("j"))
-            .groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))).toPandas()
-    sums = entries.groupBy("_i").agg(F.sum("n").alias("s")).toPandas()
-    g = np.zeros((width, width))
-    g[gram["i"].to_numpy(), gram["j"].to_numpy()] = gram["g"].to_numpy()
-    g = g + np.triu(g, 1).T
-    mean = np.zeros(width)
-    mean[sums["_i"].to_numpy()] = sums["s"].to_numpy() / n_rows
-    cov = (g - n_rows * np.outer(mean, mean)) / max(n_rows - 1, 1)
+    d = width
+    rows = entries.groupBy("client_id").agg(F.collect_list("_i").alias("_is"), F.collect_list("n").alias("_ns"))
+    schema = T.StructType([T.StructField("_row", T.IntegerType()),
+                           T.StructField("_g", T.ArrayType(T.DoubleType()))])
+
+    def partial(batches):
+        import pandas as pd
+        g = np.zeros((d, d))
+        sums = np.zeros(d)
+        n = 0
+        for pdf in batches:
+            for lo in range(0, len(pdf), batch):
+                part = pdf.iloc[lo:lo + batch]
+                x = np.zeros((len(part), d))
+                r = np.repeat(np.arange(len(part)), [len(v) for v in part["_is"]])
+                if len(r):
+                    x[r, np.concatenate(part["_is"].to_numpy()).astype(int)] = \
+                        np.concatenate(part["_ns"].to_numpy()).astype(float)
+                g += x.T @ x
+                sums += x.sum(axis=0)
+                n += len(part)
+        if n:
+            out = [(i, g[i]) for i in range(d)] + [(-1, sums), (-2, np.full(d, float(n)))]
+            yield pd.DataFrame({"_row": [i for i, _ in out], "_g": [v for _, v in out]})
+
+    zero = F.array_repeat(F.lit(0.0), d)
+    total = (rows.mapInPandas(partial, schema).groupBy("_row")
+             .agg(F.aggregate(F.collect_list("_g"), zero, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+                  .alias("_g"))).collect()
+    by_row = {r["_row"]: np.asarray(r["_g"], dtype=float) for r in total}
+    n_rows = float(by_row[-2][0])
+    g = np.vstack([by_row[i] for i in range(d)])
+    mean = by_row[-1] / n_rows
+    cov = (g - n_rows * np.outer(mean, mean)) / max(n_rows - 1.0, 1.0)
     return mean, top_components(cov, k)
 
 
