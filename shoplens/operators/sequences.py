@@ -252,25 +252,42 @@ def pad_to_longest(df: DataFrame, fields, label_fields=()) -> DataFrame:
     return pad(df.crossJoin(F.broadcast(L)), fields, F.col("_L"), label_fields).drop("_L")
 
 
+def _slice_bounds(size: Column, key: str, min_len: int, max_len: int, seed: int) -> tuple[Column, Column]:
+    """1-based start and length of E5's seeded slice for a sequence of ``size`` items."""
+    want = F.lit(min_len) + F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(max_len - min_len + 1))
+    length = F.least(size, want)
+    start = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.greatest(size - length + 1, F.lit(1))) + 1
+    return start, length
+
+
 def random_slice(df: DataFrame, fields, min_len: int, max_len: int, seed: int = 42,
                  key: str = "client_id") -> DataFrame:
     """E5: a seeded random contiguous slice of length in ``[min_len, max_len]`` (capped by size)."""
     first = list(fields)[0]
-    size = F.size(first)
-    want = F.lit(min_len) + F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(max_len - min_len + 1))
-    length = F.least(size, want)
-    start = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.greatest(size - length + 1, F.lit(1))) + 1
+    start, length = _slice_bounds(F.size(first), key, min_len, max_len, seed)
     out = df.withColumn("_len", length).withColumn("_start", start)
     for f in fields:
         out = out.withColumn(f, F.slice(F.col(f), F.col("_start").cast("int"), F.col("_len").cast("int")))
     return out.drop("_len", "_start")
 
 
+def random_slice_long(long: DataFrame, min_len: int, max_len: int, seed: int = 42,
+                      key: str = "client_id", pos: str = "pos") -> DataFrame:
+    """E5 on the long form: only the rows of each client's slice (same slice as
+    :func:`random_slice` on the client's full arrays), so at most ``max_len``
+    rows per client are ever collected, however long its history."""
+    sizes = long.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    start, length = _slice_bounds(F.col("_size"), key, min_len, max_len, seed)
+    bounds = sizes.select(key, (start - 1).alias("_lo"), length.alias("_len"))
+    j = long.join(bounds, key)
+    return j.where((F.col(pos) >= F.col("_lo")) & (F.col(pos) < F.col("_lo") + F.col("_len"))).drop("_lo", "_len")
+
+
 def next_event_train_view(long: DataFrame, fields, min_length: int = 32, max_length: int = 64,
                           seed: int = 42) -> DataFrame:
     """Q8: random slice of ``min+1 .. max+1`` events, then inputs / labels shift."""
-    a = arrays(long, fields, last=None)
-    return shift(random_slice(a, fields, min_length + 1, max_length + 1, seed), fields)
+    sliced = random_slice_long(long, min_length + 1, max_length + 1, seed)
+    return shift(collect_ordered(sliced, "client_id", "pos", list(fields)), fields)
 
 
 def negatives(history: DataFrame, n_items: DataFrame, n: int = 10_000, seed: int = 42,

@@ -69,3 +69,15 @@ def test_apply_encoder_batches(spark):
     out = {r.client_id: r.embedding for r in en.apply_encoder(
         docs, lambda texts: np.array([[len(t), 1.0] for t in texts]), 2).collect()}
     assert out == {1: [4.0, 1.0], 2: [3.0, 1.0], 3: [0.0, 1.0]}
+
+
+def test_random_slice_long_equals_array_slice(spark):
+    from shoplens.operators import sequences as sq
+    rows = [(c, p, c * 100 + p) for c in range(1, 30) for p in range(c)]
+    long = spark.createDataFrame(rows, "client_id long, pos long, v long")
+    arr = sq.arrays(long, ["v"])
+    want = {r.client_id: r.v for r in sq.random_slice(arr, ["v"], 4, 9).collect()}
+    got = {}
+    for r in sq.random_slice_long(long, 4, 9).orderBy("client_id", "pos").collect():
+        got.setdefault(r.client_id, []).append(r.v)
+    assert got == want
