@@ -3,9 +3,9 @@
 Shapes chosen for scale:
 
 * every per-table feature that needs only the client's own events and two
-  table-wide constants is computed in ONE ``groupBy(client_id)``; the
-  constants come from a one-row aggregate joined as a broadcast (one row is
-  a proven size bound);
+  table-wide constants is computed from ONE reduction of the table to
+  ``(client, day)`` cells; the constants are a one-row aggregate of those
+  cells joined as a broadcast (one row is a proven size bound);
 * popularity never re-joins raw events: events are first reduced to
   ``(client, item, n)`` pairs (map-side combined), item totals are summed from
   the pairs, and the client mean is ``sum(n * total) / sum(n)``;
@@ -60,23 +60,28 @@ def table_constants(events: DataFrame) -> DataFrame:
 
 
 def activity(events: DataFrame, prefix: str) -> DataFrame:
-    """A1, A3, A8, A9 in one pass: count, mean gap, week/month change, days to start.
+    """A1, A3, A8, A9 in one scan: count, mean gap, week/month change, days to start.
 
     ``events``: ``(client_id, timestamp)``, already restricted to relevant clients
     (start date and anchor are taken over exactly these rows).
     """
-    ev = events.select("client_id", "timestamp").crossJoin(F.broadcast(table_constants(events)))
-    day = F.to_date("timestamp")
+    # one scan: events reduced to (client, day) cells (map-side combined); the
+    # table constants and every per-client feature are read from those cells
+    daily = events.groupBy("client_id", F.to_date("timestamp").alias("_day")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("timestamp").alias("_f"), F.max("timestamp").alias("_l"))
+    consts = daily.agg(F.min("_f").alias("_start"), F.max("_day").alias("_anchor"))
+    ev = daily.crossJoin(F.broadcast(consts))
+    day = F.col("_day")
     win = calendar_windows(F.col("_anchor"))
 
     def in_window(name: str) -> F.Column:
         lo, hi = win[name]
-        return F.count_if(day.between(lo, hi))
+        return F.sum(F.when(day.between(lo, hi), F.col("_c")).otherwise(0))
 
     g = ev.groupBy("client_id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("timestamp").alias("_first"),
-        F.max("timestamp").alias("_last"),
+        F.sum("_c").alias("_n"),
+        F.min("_f").alias("_first"),
+        F.max("_l").alias("_last"),
         F.min("_start").alias("_start"),
         in_window("last_week").alias("_lw"),
         in_window("prev_week").alias("_pw"),
