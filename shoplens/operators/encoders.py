@@ -162,14 +162,18 @@ def reconstruction_error(long: DataFrame, fields, k: int = 64, max_tokens: int =
 
 
 def _word2vec(sentences: DataFrame, col: str, k: int, seed: int, window: int, min_count: int,
-              partitions: int):
+              partitions: int | None):
+    """Word2Vec fitted over ``partitions`` tasks (default: the session's shuffle
+    partitions, so training grows with the cluster and is fixed per configuration)."""
     from pyspark.ml.feature import Word2Vec
+    if partitions is None:
+        partitions = max(1, int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return Word2Vec(vectorSize=k, minCount=min_count, seed=seed, windowSize=window,
                     inputCol=col, outputCol="_vec", numPartitions=partitions, maxIter=1).fit(sentences)
 
 
 def item2vec(long: DataFrame, item: str, k: int = 64, max_length: int = 256, last: int = 10,
-             seed: int = 42, partitions: int = 1) -> DataFrame:
+             seed: int = 42, partitions: int | None = None) -> DataFrame:
     """K6 re-aimed: Word2Vec over each client's newest ``max_length`` items; client
     vector = mean vector of its newest ``last`` items. Arrays are bounded."""
     from pyspark.ml.functions import vector_to_array
@@ -188,7 +192,7 @@ def tokens(text_col: str = "text") -> F.Column:
 
 
 def text(docs: DataFrame, k: int = 64, max_tokens: int | None = None, seed: int = 42,
-         key: str = "client_id", min_count: int = 1, partitions: int = 1) -> DataFrame:
+         key: str = "client_id", min_count: int = 1, partitions: int | None = None) -> DataFrame:
     """K9 re-aimed: Word2Vec fitted on the whole corpus; document vector = mean
     token vector of the whole text, or of its last ``max_tokens`` tokens."""
     from pyspark.ml.functions import vector_to_array
