@@ -75,3 +75,28 @@ def test_mrr_never_exceeds_hit_rate(spark, ranks):
     assert m.mrr_10 <= m.hit_rate_10 + 1e-12
     assert m.ndcg_10 <= m.hit_rate_10 + 1e-12
     assert abs(m.hit_rate_10 - sum(r is not None for r in ranks) / len(ranks)) < 1e-12
+
+
+vec_rows = st.lists(st.tuples(st.integers(0, 15), st.lists(st.floats(-3, 3, allow_nan=False), min_size=2, max_size=2)),
+                    min_size=1, max_size=12, unique_by=lambda t: t[0])
+
+
+@SETTINGS
+@given(a=vec_rows, b=vec_rows)
+def test_outer_merge_key_set_is_symmetric_and_partition_free(spark, a, b):
+    ta = spark.createDataFrame(a, "client_id long, embedding array<double>")
+    tb = spark.createDataFrame(b, "client_id long, embedding array<double>")
+    ab = {r.client_id: r.embedding for r in vx.outer_merge([ta, tb]).collect()}
+    ba = {r.client_id: r.embedding for r in vx.outer_merge([tb.repartition(3), ta.repartition(2)]).collect()}
+    assert set(ab) == set(ba) == {k for k, _ in a} | {k for k, _ in b}
+    for k in ab:
+        assert ab[k][:2] == ba[k][2:] and ab[k][2:] == ba[k][:2]
+
+
+@SETTINGS
+@given(rows=vec_rows)
+def test_l2_rows_have_unit_norm(spark, rows):
+    t = spark.createDataFrame(rows, "client_id long, embedding array<double>")
+    for r in vx.l2_normalize(t).collect():
+        n = float(np.linalg.norm(r.embedding))
+        assert n == 0.0 or abs(n - 1.0) < 1e-9
