@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, warc
+from . import bpe, quality_rules, simhash, warc
 from .ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,16 @@ SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id <> last THEN last END AS refers_to
 FROM g
 """
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every text, the base rule, and the verdict of the learned decision list."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "verdict")
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document: 3-word shingles, 3 bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
