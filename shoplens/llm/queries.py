@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, simhash, warc
+from . import bpe, quality_rules, simhash, substring_dedup, warc
 from .ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document: 3-word shingles, 3 bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with repeated passages removed: their spans in the original text and what is left."""
+    cleaned = substring_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", F.size("spans").cast("long").alias("n_spans"),
+                          F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)").alias("removed_chars"),
+                          F.expr("array_join(transform(spans, s -> concat(s.start, ':', s.end)), ',')").alias("spans"),
+                          "text")
