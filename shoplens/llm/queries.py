@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, simhash, substring_dedup, warc
+from . import bpe, quality_rules, secret_scan, simhash, substring_dedup, warc
 from .ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)").alias("removed_chars"),
                           F.expr("array_join(transform(spans, s -> concat(s.start, ':', s.end)), ',')").alias("spans"),
                           "text")
+
+
+def _of_kind(spans, kind: int):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the base spans, and all spans with the inferred formats."""
+    scanned = secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    counts = [_of_kind(spans, k).alias(f"n_{name}")
+              for k, name in enumerate(secret_scan.KINDS[:3])]
+    return scanned.select("doc_id", *counts, F.sha2(secret_scan.joined(spans, 3).cast("binary"), 256).alias("base_sha256"),
+                          secret_scan.joined(spans, 4).alias("spans"))
