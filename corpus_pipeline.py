@@ -1,16 +1,78 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but
+the last return the columns of ``docs``. A driver may write each result and
+read it again as the next stage's ``docs``; ``run`` does so itself, in the
+shared checkpoint folder.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from shoplens.llm import packing, quality_rules, secret_scan, simhash, substring_dedup
+from shoplens.llm.ship import ship
+from shoplens.session import cut_lineage
 
+#: No SQL: the rules and formats are learned and the fingerprints are hashes of shingles (tests compare with brute force).
 ORACLE_SQL = None
 
 
+def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns, with ``n_chars`` (if any) again the length of the text."""
+    return docs.select([F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")
+                        for c in columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and the learned decision list."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules.judge(docs, labels, payload=True).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (3-word shingles, 3 bits): the one of smallest id."""
+    ship(spark)
+    return simhash.keep_first(docs, shingle=3, distance=3)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that an earlier document (or place) has."""
+    ship(spark)
+    return _recounted(substring_dedup.remove(docs), docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the values of secrets replaced."""
+    ship(spark)
+    return _recounted(secret_scan.redact(docs), docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1,024 tokens with their sequence and place, and their ids (unsigned 32-bit, little-endian)."""
+    ship(spark)
+    rows = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+                                  end_id=2, with_ids=True)
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("secret scans", secrets),
+    ("best-fit packing", packed),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the ``documents`` of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for at, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, cut_lineage(docs) if at else docs, sf_dir)
     return docs

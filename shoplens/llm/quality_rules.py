@@ -237,10 +237,8 @@ def verdict(rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
           payload: bool = False) -> DataFrame:
     """Counts and verdict of every document; with ``payload`` all its columns, else only its key."""
-    named = docs if payload else docs.select(key, text)
-    stats = statistics(named, text)
-    if not payload:
-        stats = cut_lineage(stats.drop(text))
-    rules = learn(cut_lineage(stats.drop(text)) if payload else stats, labels, key)
+    stats = statistics(docs if payload else docs.select(key, text), text)
+    stats = cut_lineage(stats if payload else stats.drop(text))     # read by the learner and by the verdict
+    rules = learn(stats, labels, key)
     return stats.withColumn("base_failed", base_failed()).withColumn("verdict", verdict(rules)) \
         .withColumn("kept", F.col("verdict") == "keep")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, secret_scan, simhash, substring_dedup, warc
+from . import bpe, packing, quality_rules, secret_scan, simhash, substring_dedup, warc
 from .ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
               for k, name in enumerate(secret_scan.KINDS[:3])]
     return scanned.select("doc_id", *counts, F.sha2(secret_scan.joined(spans, 3).cast("binary"), 256).alias("base_sha256"),
                           secret_scan.joined(spans, 4).alias("spans"))
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, cut at 1,024 tokens and packed into sequences."""
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    rows = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
