@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_rules, secret_scan, simhash, substring_dedup, warc
+from . import bpe, nbsvm, packing, quality_rules, secret_scan, simhash, substring_dedup, warc
+from .common import fold
 from .ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +107,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     rows = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a model that never saw the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = nbsvm.learn(docs, table(spark, sf_dir, "labels"))
+    return nbsvm.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
+                                           (F.col("score") >= 0.3).cast("int").alias("predicted"))
