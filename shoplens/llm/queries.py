@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, nbsvm, packing, quality_rules, secret_scan, simhash, substring_dedup, warc
+from . import bpe, crf_langid, nbsvm, packing, quality_rules, secret_scan, simhash, substring_dedup, warc
 from .common import fold
 from .ship import ship
 
@@ -116,3 +116,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = nbsvm.learn(docs, table(spark, sf_dir, "labels"))
     return nbsvm.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
                                            (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a model that never saw the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = crf_langid.learn(docs.select("doc_id", "text", "lang"))
+    return crf_langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
