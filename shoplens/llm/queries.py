@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf_langid, nbsvm, packing, quality_rules, secret_scan, simhash, substring_dedup, warc
+from . import bpe, crf_langid, multi_index, nbsvm, packing, quality_rules, secret_scan, simhash, substring_dedup, warc
 from .common import fold
 from .ship import ship
 
@@ -125,3 +125,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = crf_langid.learn(docs.select("doc_id", "text", "lang"))
     return crf_langid.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.9 or more among all embeddings, and their components."""
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
