@@ -180,7 +180,7 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> DataFra
 
 def decoded_text(column: str = "decoded"):
     """Text of decoded bytes; bytes that are no whole character (ids cut out of their text) become U+FFFD."""
-    return F.decode(F.col(column), F.lit("UTF-8"))
+    return F.make_valid_utf8(F.col(column).cast("string"))
 
 
 def fingerprints(encoded: DataFrame, key: str) -> DataFrame:
