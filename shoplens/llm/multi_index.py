@@ -45,8 +45,11 @@ MOST_WORDS = 1024
 
 
 def unit(data: list[bytes], size: int) -> np.ndarray:
-    """Unit rows in double precision from packed float64 vectors."""
+    """Unit rows in double precision from packed float64 vectors (a single component gets a zero beside it, so that
+    there are two halves)."""
     x = np.frombuffer(b"".join(data), np.float64).reshape(-1, size)
+    if size == 1:
+        x = np.concatenate([x, np.zeros_like(x)], axis=1)
     x = x / np.abs(x).max(axis=1, keepdims=True)            # no overflow of squares
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -116,9 +119,8 @@ def fit(u: np.ndarray, total: int, least: float, recall: float, queries: int = 1
     pairs of the sample's first rows (each row counting alike) and of partners made at just the least cosine in
     random directions, which are harder to meet than the closer pairs that most are."""
     k = max(2, min(MOST_WORDS, math.ceil(math.sqrt(total / CELL))))
-    cut = max(1, u.shape[1] // 2)
-    right = u[:, cut:] if u.shape[1] > cut else np.zeros((len(u), 1))
-    grid = Grid(codebook(u[:, :cut], k), codebook(right, k))
+    cut = u.shape[1] // 2
+    grid = Grid(codebook(u[:, :cut], k), codebook(u[:, cut:], k))
     ask = u[:queries]
     q, x = np.nonzero(ask @ u.T >= least)
     q, x = q[q != x], x[q != x]
@@ -218,7 +220,7 @@ def links(reps: DataFrame, size: int, least: float, recall: float, sample: int)
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9,
-                    recall: float = 0.97, sample: int = 20_000) -> DataFrame:
+                    recall: float = 0.98, sample: int = 20_000) -> DataFrame:
     """One row per vector: its id, the number of other vectors linked, its component (smallest id) and whether it is
     the one to keep."""
     reps = cut_lineage(classes(vectors, key, vector))

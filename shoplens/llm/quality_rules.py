@@ -150,6 +150,8 @@ def _histogram(rows: DataFrame, edges: dict[str, list[int]]) -> dict[str, list[t
     cells = [F.struct(F.lit(k).alias("f"), bin_of(value[f], edges[f]).alias("b"))
              for k, f in enumerate(FEATURES) if edges[f]]
     counts = {f: [(0, 0)] * (len(edges[f]) + 1) for f in FEATURES}
+    if not cells:
+        return counts
     got = rows.select("low", F.explode(F.array(*cells)).alias("c")).groupBy("c.f", "c.b") \
         .agg(F.sum("low").alias("low"), F.sum(1 - F.col("low")).alias("high")).collect()
     for r in got:
