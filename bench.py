@@ -12,7 +12,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -34,10 +33,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = max(1, int(os.environ.get("BENCH_RUNS", "2")))
-    os.environ.setdefault("TMPDIR", tempfile.mkdtemp(prefix="shoplens-bench-"))
-
     from shoplens.plans.registry import entries
-    from shoplens.session import build_session
+    from shoplens.session import build_session, drop_tables
 
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus * 2)
     es = entries()
@@ -52,6 +49,7 @@ def main() -> None:
             build(spark, sf_dir).write.format("noop").mode("overwrite").save()
             samples.append(time.perf_counter() - t0)
         times[name] = round(statistics.median(samples), 3)
+        drop_tables(spark)
     sf = os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf, "cpus": cpus, "runs": runs,

@@ -5,4 +5,4 @@ collected to the driver except one-row constants and fitted model
 parameters of bounded size.
 """
 
-__all__ = ["session", "sources", "functions", "operators", "plans", "streaming"]
+__all__ = ["session", "sources", "functions", "operators", "plans"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: the accepted layout of a code vector, ``[`` ints separated by spaces ``]``.
-CODE_VECTOR_PATTERN = r"^\[( *[0-9]* *)*\]$"
+#: Fixed value: the accepted layout of a code vector: a bracket, digits and spaces, a bracket.
+CODE_VECTOR_PATTERN = r"^\[[0-9 ]*\]$"
 
 
 def _c(x) -> Column:

@@ -13,11 +13,11 @@ the number of clients.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,36 +95,69 @@ def impute_mean(df: DataFrame) -> DataFrame:
 
 # ---- fitted scalers -------------------------------------------------------------------
 
-def quantile_grid(df: DataFrame, n_quantiles: int = N_QUANTILES, relative_error: float = 1e-4) -> list[np.ndarray]:
+def quantile_grid(df: DataFrame, n_quantiles: int = N_QUANTILES, ranges: int = 256) -> list[np.ndarray]:
     """Per-position quantile grid (the fitted state of :func:`quantile_transform`).
 
-    With ``n <= n_quantiles`` rows the grid is the sorted column itself (exact,
-    collected per position: at most ``n_quantiles`` values each). Otherwise
-    ``n_quantiles`` evenly spaced percentiles from ``percentile_approx``
-    (mergeable sketches, no sort of the column). Size: width × n_quantiles.
+    ``m = min(n_quantiles, n)`` evenly spaced quantiles of each position, as
+    linearly interpolated exact order statistics. Equal values are counted
+    together first; the distinct values are ranked inside about ``ranges``
+    value ranges of each position (their edges only decide how evenly the
+    work is dealt), with the counts of the lower ranges added. A row with
+    global ranks ``[a, b]`` then yields the quantiles whose lower or upper
+    neighbour it is, by integer arithmetic. Collected: 2 x width x m rows.
     """
-    n = df.count()
-    longf = df.select(F.posexplode(_emb()).alias("_pos", "_x")).select(
-        "_pos", F.col("_x").cast("double").alias("_x"))
-    if n <= n_quantiles:
-        rows = longf.groupBy("_pos").agg(F.array_sort(F.collect_list("_x")).alias("_q")).collect()
-    else:
-        probs = np.linspace(0.0, 1.0, n_quantiles).tolist()
-        acc = int(round(1.0 / relative_error))
-        rows = longf.groupBy("_pos").agg(F.percentile_approx("_x", probs, acc).alias("_q")).collect()
-    grid = sorted(((r["_pos"], np.asarray(r["_q"], dtype="float64")) for r in rows), key=lambda t: t[0])
-    return [g for _, g in grid]
+    cells = df.select(F.posexplode(_emb()).alias("_pos", "_x")).select(
+        "_pos", (F.col("_x").cast("double") + F.lit(0.0)).alias("_x")).where(F.col("_x").isNotNull())
+    counted = cut_lineage(cells.groupBy("_pos", "_x").agg(F.count(F.lit(1)).alias("_n")))
+    probs = [i / ranges for i in range(1, ranges)]
+    cuts = counted.groupBy("_pos").agg(F.percentile_approx("_x", probs, 1000).alias("_cuts"),
+                                       F.sum("_n").alias("_rows"))
+    dealt = counted.join(F.broadcast(cuts), "_pos") \
+        .withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
+    sizes = dealt.groupBy("_pos", "_range").agg(F.sum("_n").alias("_size"))
+    lower = Window.partitionBy("_pos").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_pos", "_range", F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy("_pos", "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.withColumn("_through", F.sum("_n").over(inside)).join(first, ["_pos", "_range"]).select(
+        "_pos", "_x", "_rows", (F.col("_first") + F.col("_through") - F.col("_n")).alias("a"),
+        (F.col("_first") + F.col("_through") - 1).alias("b"),
+        (F.least(F.col("_rows"), F.lit(n_quantiles)) - 1).alias("s"), (F.col("_rows") - 1).alias("g"))
+    # quantile k lies at rank k * g / s: its lower neighbour has rank floor(k * g / s), the upper one ceil
+    low = F.expr("""if(g = 0, sequence(0L, 0L), if((a * s + g - 1) div g <= ((b + 1) * s + g - 1) div g - 1,
+                    sequence((a * s + g - 1) div g, least(s, ((b + 1) * s + g - 1) div g - 1)), cast(array() as array<long>)))""")
+    high = F.expr("""if(g = 0, sequence(0L, 0L), if(if(a = 0, 0L, (a - 1) * s div g + 1) <= b * s div g,
+                     sequence(if(a = 0, 0L, (a - 1) * s div g + 1), b * s div g), cast(array() as array<long>)))""")
+    picked = ranked.select("_pos", "_x", "_rows", F.explode(low).alias("k"), F.lit(0).alias("side")).unionByName(
+        ranked.select("_pos", "_x", "_rows", F.explode(high).alias("k"), F.lit(1).alias("side")))
+    found: dict[int, tuple[int, dict[tuple[int, int], float]]] = {}
+    for r in picked.collect():
+        found.setdefault(r["_pos"], (r["_rows"], {}))[1][r["side"], r["k"]] = r["_x"]
+    grid = []
+    for pos in sorted(found):
+        n, at = found[pos]
+        m = min(n_quantiles, n)
+        rank = [(k * (n - 1) / (m - 1) if m > 1 else 0.0) for k in range(m)]
+        part = np.array([t - (k * (n - 1) // (m - 1) if m > 1 else 0) for k, t in enumerate(rank)])
+        lo = np.array([at[0, k] for k in range(m)])
+        hi = np.array([at[1, k] for k in range(m)])
+        grid.append(lo + (hi - lo) * part)
+    return grid
 
 
 def _two_sided(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Map values to [0, 1] through quantiles ``q`` (ties → mid-rank; min → 0, max → 1)."""
-    refs = np.linspace(0.0, 1.0, len(q))
+    """Share of the grid below ``x``: the mean of the places of the last grid point not above it and of the first
+    not below it, each moved by linear interpolation; the smallest value → 0, the largest → 1."""
     if len(q) == 1:
         return np.zeros_like(x)
-    y = 0.5 * (np.interp(x, q, refs) - np.interp(-x, -q[::-1], -refs[::-1]))
+    last = np.searchsorted(q, x, side="right") - 1
+    next_ = np.searchsorted(q, x, side="left")
+    lo, hi = np.clip(last, 0, len(q) - 1), np.clip(next_, 0, len(q) - 1)
+    gap = q[hi] - q[lo]
+    between = last < next_                                  # x lies strictly between two points
+    share = np.where(between, lo + np.divide(x - q[lo], gap, out=np.zeros_like(x), where=gap > 0), (lo + hi) / 2)
+    y = share / (len(q) - 1)
     y = np.where(x + BOUNDS_THRESHOLD > q[-1], 1.0, y)
-    y = np.where(x - BOUNDS_THRESHOLD < q[0], 0.0, y)
-    return y
+    return np.where(x - BOUNDS_THRESHOLD < q[0], 0.0, y)
 
 
 def quantile_transform(df: DataFrame, grid: list[np.ndarray] | None = None) -> DataFrame:
@@ -175,6 +208,12 @@ def pca_fit(df: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     solver takes it apart. Signs are fixed so that each component's largest
     absolute loading is positive (deterministic, comparable up to sign).
     """
+    mean, cov = covariance(df)
+    return mean, top_components(cov, k)
+
+
+def covariance(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and unbiased covariance of the rows (d and d × d numbers reach the driver)."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Correlation, Summarizer
 
@@ -186,7 +225,14 @@ def pca_fit(df: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     sd = np.sqrt(np.clip(var, 0.0, None))
     cov = np.nan_to_num(corr) * np.outer(sd, sd)
     np.fill_diagonal(cov, var)
-    return mean, top_components(cov, k)
+    return mean, cov
+
+
+def covariance_rows(df: DataFrame) -> DataFrame:
+    """``(pos, other, value)``: the covariance as a table."""
+    _, cov = covariance(df)
+    rows = [(i, j, float(x)) for i, line in enumerate(cov) for j, x in enumerate(line)]
+    return df.sparkSession.createDataFrame(rows, "pos long, other long, value double")
 
 
 def top_components(cov: np.ndarray, k: int) -> np.ndarray:
@@ -226,24 +272,31 @@ def pca(df: DataFrame, k: int) -> DataFrame:
 
 # ---- merge ----------------------------------------------------------------------------
 
-def outer_merge(tables: list[DataFrame]) -> DataFrame:
+def outer_merge(tables: list[DataFrame], names: list[str] | None = None) -> DataFrame:
     """Full outer alignment of k tables, missing blocks as nulls.
 
     One union in long form + one ``groupBy(client_id)`` instead of k full
-    outer joins; each block's width comes from a one-row aggregate.
+    outer joins; each block's width comes from a one-row aggregate. A client
+    with two rows in one table, or a table of mixed widths, fails the job; a
+    table without rows contributes a block of width 0.
     """
+    names = names or [f"table {i}" for i in range(len(tables))]
     u = reduce(lambda a, b: a.unionByName(b), [
         t.select(F.col("client_id").cast("long"), F.lit(i).alias("_b"),
                  F.col("embedding").cast("array<double>").alias("embedding"))
         for i, t in enumerate(tables)])
-    widths = u.agg(*[F.max(F.when(F.col("_b") == i, F.size("embedding"))).alias(f"_w{i}")
-                     for i in range(len(tables))])
-    g = u.groupBy("client_id").agg(*[
-        F.first(F.when(F.col("_b") == i, F.col("embedding")), ignorenulls=True).alias(f"_e{i}")
-        for i in range(len(tables))])
-    g = g.crossJoin(F.broadcast(widths))
-    blocks = [F.coalesce(F.col(f"_e{i}"), F.array_repeat(F.lit(None).cast("double"), F.col(f"_w{i}")))
-              for i in range(len(tables))]
+    widths, blocks, rows = [], [], []
+    for i, name in enumerate(names):
+        size = F.when(F.col("_b") == i, F.size("embedding"))
+        widths.append(F.when(F.min(size) < F.max(size), F.raise_error(F.lit(f"mixed widths in {name}")).cast("int"))
+                      .otherwise(F.coalesce(F.max(size), F.lit(0))).alias(f"_w{i}"))
+        rows.append(F.count(size).alias(f"_n{i}"))
+        rows.append(F.first(F.when(F.col("_b") == i, F.col("embedding")), ignorenulls=True).alias(f"_e{i}"))
+        one = F.when(F.col(f"_n{i}") > 1, F.raise_error(F.concat(
+            F.lit(f"client with several rows in {name}: "), F.col("client_id").cast("string"))).cast("array<double>"))
+        blocks.append(one.otherwise(F.coalesce(
+            F.col(f"_e{i}"), F.array_repeat(F.lit(None).cast("double"), F.col(f"_w{i}")))))
+    g = u.groupBy("client_id").agg(*rows).crossJoin(F.broadcast(u.agg(*widths)))
     return g.select("client_id", F.concat(*blocks).alias("embedding"))
 
 
@@ -255,7 +308,6 @@ class TableSpec:
     table: DataFrame
     processor: tuple | None = None        # ("pca", k)
     scaler: str | None = None             # "normalizer" | "quantile" | "global_standard"
-    options: dict = field(default_factory=dict)
 
 
 PROCESSORS = {"pca": lambda df, k: pca(df, k)}
@@ -293,7 +345,7 @@ def merge_all(specs: list[TableSpec], relevant: DataFrame | None = None, drop_ze
               impute: str = "mean") -> DataFrame:
     """The merge pipeline: prepare each table, outer-merge, complete with the
     relevant clients (submit mode, missing → null), impute (mean or constant 0)."""
-    merged = outer_merge([prepare(s, drop_zeros) for s in specs])
+    merged = outer_merge([prepare(s, drop_zeros) for s in specs], [s.name for s in specs])
     if relevant is not None:
         merged = complete(merged, relevant, fill=None)
     if impute == "mean":

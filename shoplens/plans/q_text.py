@@ -53,11 +53,16 @@ _cells = [f"coalesce(CAST(CAST(cs[{i + 1}] AS BIGINT) AS VARCHAR), '')" for i in
 _names = [str(i) for i in range(_W)] + ["timestamp"]
 _wcols = [f"w{i}" for i in range(_W)] + ["wts"]
 SEARCHES_SQL = with_bindings(
-    ("s0", f"SELECT client_id, ts, query, {DIGITS.format(x='query')} AS cs, strftime(ts, '%Y-%m-%d %H:%M:%S') AS cts FROM r_search"),
-    ("s1", "SELECT client_id, ts, query, " + ", ".join(f"{c} AS c{i}" for i, c in enumerate(_cells)) + ", cts FROM s0"),
+    ("s0", f"SELECT client_id, ts, query, {DIGITS.format(x='query')} AS cs FROM r_search"),
+    ("s1", "SELECT client_id, ts, query, " + ", ".join(f"{c} AS c{i}" for i, c in enumerate(_cells)) + " FROM s0"),
     ("rk", """SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY ts, query) - 1 AS pos,
                   count(*) OVER (PARTITION BY client_id) AS n FROM s1"""),
-    ("k", "SELECT * FROM rk WHERE pos >= n - 90"),
+    ("k0", "SELECT * FROM rk WHERE pos >= n - 90"),
+    ("fine", """SELECT client_id, bool_or(epoch_us(ts) % 1000 <> 0) AS us, bool_or(epoch_us(ts) % 1000000 <> 0) AS ms,
+                bool_or(epoch_us(ts) % 86400000000 <> 0) AS sec FROM k0 GROUP BY client_id"""),
+    ("k", """SELECT k0.*, CASE WHEN us THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') WHEN ms THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%g')
+             WHEN sec THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%d') END AS cts
+             FROM k0 JOIN fine USING (client_id)"""),
     ("w", "SELECT client_id, " + ", ".join(
         [f"CAST(greatest(max(length(c{i})), {len(str(i))}) AS INTEGER) AS w{i}" for i in range(_W)]
         + ["CAST(greatest(max(length(cts)), 9) AS INTEGER) AS wts"])
@@ -76,7 +81,7 @@ def text_searches(spark, sf_dir):
 
 
 @register("parse_codes", with_bindings(body=f"""
-    SELECT sku, {_codes_text('name')} AS codes, regexp_full_match(name, '\\[( *[0-9]* *)*\\]') AS valid
+    SELECT sku, {_codes_text('name')} AS codes, regexp_full_match(name, '\\[[0-9 ]*\\]') AS valid
     FROM product_properties"""))
 def parse_codes(spark, sf_dir):
     """X1 + X3: product name codes as text, with the strict form check."""

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from ..operators import client_stats as cs
 from ..operators import vectors as vx
+from ..session import cut_lineage
 from ..sources.inputs import load_fixture
-from .registry import register
+from .q_stats import ALL_PARTS, merged_sql
+from .registry import register, round_doubles
 from .sqlkit import with_bindings
 
 
@@ -25,6 +27,45 @@ def blocks(spark, sf_dir):
     return a, b
 
 
+def whole(spark, sf_dir):
+    """All rows and positions of ``embeddings``; zero vectors where label = 9."""
+    e = spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet"))
+    zero = F.array_repeat(F.lit(0.0).cast("float"), F.size("embedding"))
+    return e.select(F.col("vec_id").cast("long").alias("client_id"),
+                    F.when(F.col("label") == 9, zero).otherwise(F.col("embedding")).alias("embedding"))
+
+
+WHOLE_CTES = [
+    ("whole", """SELECT vec_id AS client_id, CASE WHEN label = 9 THEN list_transform(embedding, lambda x: CAST(0 AS FLOAT))
+                 ELSE embedding END AS embedding FROM embeddings"""),
+    ("sw", "SELECT * FROM whole WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0"),
+    ("lw", """SELECT client_id, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS pos,
+                     CAST(unnest(embedding) AS DOUBLE) AS value FROM sw"""),
+]
+
+
+def quantile_ctes(cells: str) -> list[tuple[str, str]]:
+    """``q0`` → ``grid``: min(1000, n) interpolated order statistics per position of ``cells (client_id, pos, value)``;
+    ``mapped``: the place of every cell between the last grid point not above and the first not below it."""
+    return [
+        ("q0", f"SELECT pos, value, row_number() OVER (PARTITION BY pos ORDER BY value) - 1 AS r, "
+               f"count(*) OVER (PARTITION BY pos) AS n FROM {cells}"),
+        ("q1", "SELECT pos, n, least(n, 1000) AS m, unnest(range(least(n, 1000))) AS k FROM (SELECT DISTINCT pos, n FROM q0)"),
+        ("q2", """SELECT pos, k, m, CASE WHEN m = 1 THEN 0 ELSE k * (n - 1) // (m - 1) END AS lo,
+                         CASE WHEN m = 1 THEN 0 ELSE (k * (n - 1) + m - 2) // (m - 1) END AS hi,
+                         CASE WHEN m = 1 THEN 0.0 ELSE k * (n - 1) / (m - 1) - k * (n - 1) // (m - 1) END AS part FROM q1"""),
+        ("grid", """SELECT q2.pos, any_value(m) AS m, list(a.value + (b.value - a.value) * part ORDER BY k) AS q
+                    FROM q2 JOIN q0 a ON a.pos = q2.pos AND a.r = lo JOIN q0 b ON b.pos = q2.pos AND b.r = hi GROUP BY q2.pos"""),
+        ("mapped", f"""SELECT client_id, c.pos, value, m, q[1] AS mn, q[m] AS mx,
+                       len(list_filter(q, lambda v: v <= value)) AS le, len(list_filter(q, lambda v: v < value)) AS lt, q
+                       FROM {cells} c JOIN grid g ON c.pos = g.pos"""),
+    ]
+
+
+QUANTILE = """CASE WHEN m = 1 OR value - 1e-7 < mn THEN 0.0 WHEN value + 1e-7 > mx THEN 1.0
+              WHEN le = lt THEN (le - 1 + (value - q[le]) / (q[le + 1] - q[le])) / (m - 1)
+              ELSE (le - 1 + lt) / 2.0 / (m - 1) END"""
+
 BLOCK_CTES = [
     ("blk_a", """SELECT vec_id AS client_id, CASE WHEN label = 9 THEN list_transform(range(32), lambda i: CAST(0 AS FLOAT))
                  ELSE embedding[1:32] END AS embedding FROM embeddings WHERE label <> 0"""),
@@ -46,20 +87,18 @@ def _out(expr_sql: str) -> str:
     return f"SELECT client_id, pos, (round({expr_sql}, 6) + 0.0) AS value FROM "
 
 
-@register("vec_sanitize", with_bindings(*BLOCK_CTES, body=_out("value") + "la"))
+@register("vec_sanitize", with_bindings(*WHOLE_CTES, body=_out("value") + "lw"))
 def vec_sanitize(spark, sf_dir):
     """Zero vectors removed (long form)."""
-    a, _ = blocks(spark, sf_dir)
-    return vx.explode_vectors(vx.sanitize(a))
+    return vx.explode_vectors(vx.sanitize(whole(spark, sf_dir)))
 
 
-@register("vec_normalize", with_bindings(*BLOCK_CTES, body=_out(
+@register("vec_normalize", with_bindings(*WHOLE_CTES, body=_out(
     "CASE WHEN nrm = 0 THEN value ELSE value / nrm END")
-    + "(SELECT *, sqrt(sum(value * value) OVER (PARTITION BY client_id)) AS nrm FROM la)"))
+    + "(SELECT *, sqrt(sum(value * value) OVER (PARTITION BY client_id)) AS nrm FROM lw)"))
 def vec_normalize(spark, sf_dir):
     """V5: L2-normalized rows."""
-    a, _ = blocks(spark, sf_dir)
-    return vx.explode_vectors(vx.l2_normalize(vx.sanitize(a)))
+    return vx.explode_vectors(vx.l2_normalize(vx.sanitize(whole(spark, sf_dir))))
 
 
 @register("vec_outer_merge", with_bindings(*BLOCK_CTES, body=_out("value") + "merged"))
@@ -94,30 +133,54 @@ def vec_impute_constant(spark, sf_dir):
     return vx.explode_vectors(vx.impute_constant(vx.outer_merge([vx.sanitize(a), b])))
 
 
-@register("vec_quantile", with_bindings(*BLOCK_CTES, body=_out(
-    "CASE WHEN value - 1e-7 < mn THEN 0.0 WHEN value + 1e-7 > mx THEN 1.0 ELSE (2 * r0 + t - 1) / 2.0 / (n - 1) END") + """
-    (SELECT client_id, pos, value, rank() OVER (PARTITION BY pos ORDER BY value) - 1 AS r0,
-            count(*) OVER (PARTITION BY pos, value) AS t, count(*) OVER (PARTITION BY pos) AS n,
-            min(value) OVER (PARTITION BY pos) AS mn, max(value) OVER (PARTITION BY pos) AS mx FROM la)"""))
+@register("vec_quantile", with_bindings(*WHOLE_CTES, *quantile_ctes("lw"), body=_out(QUANTILE) + "mapped"))
 def vec_quantile(spark, sf_dir):
     """V6: per-position quantile in [0, 1] (ties → mid-rank)."""
-    a, _ = blocks(spark, sf_dir)
-    return vx.explode_vectors(vx.quantile_transform(vx.sanitize(a)))
+    return vx.explode_vectors(vx.quantile_transform(vx.sanitize(whole(spark, sf_dir))))
+
+
+_STAT_CELLS = "SELECT client_id, CAST(pos AS BIGINT) AS pos, value FROM (" + " UNION ALL ".join(
+    f"SELECT client_id, {i} AS pos, floor(CAST({c} AS DOUBLE) * 1000 + 0.0005) AS value FROM stats" for i, c in enumerate(cs.feature_columns())) + ")"
+
+
+@register("vec_quantile_stats", "WITH stats AS (" + merged_sql(ALL_PARTS, cs.feature_columns()) + "), cells AS ("
+          + _STAT_CELLS + "), " + ", ".join(f"{n} AS ({q})" for n, q in quantile_ctes("cells"))
+          + " " + _out(QUANTILE) + "mapped")
+def vec_quantile_stats(spark, sf_dir):
+    """V6 over the 37 client statistics in thousandths (many ties, more rows than quantiles)."""
+    stats = round_doubles(cs.features_all(load_fixture(spark, sf_dir), submit=True))
+    cells = F.array([F.floor(F.col(c).cast("double") * 1000 + 0.0005).cast("double") for c in cs.feature_columns()])
+    return vx.explode_vectors(vx.quantile_transform(cut_lineage(stats.select("client_id", cells.alias("embedding")))))
 
 
-@register("vec_scale_global", with_bindings(*BLOCK_CTES, body=_out("(value - mu) / sd") + """
-    (SELECT la.*, s.mu, s.sd FROM la, (SELECT avg(value) AS mu, stddev_pop(value) AS sd FROM la) s)"""))
+@register("vec_scale_global", with_bindings(*WHOLE_CTES, body=_out("(value - mu) / sd") + """
+    (SELECT lw.*, s.mu, s.sd FROM lw, (SELECT avg(value) AS mu, stddev_pop(value) AS sd FROM lw) s)"""))
 def vec_scale_global(spark, sf_dir):
     """V7 (global): one standard scaler fitted over all cells of the table."""
-    a, _ = blocks(spark, sf_dir)
-    return vx.explode_vectors(vx.scale_global_standard(vx.sanitize(a)))
+    return vx.explode_vectors(vx.scale_global_standard(vx.sanitize(whole(spark, sf_dir))))
+
+
+@register("vec_cov", with_bindings(*WHOLE_CTES, body="""
+    SELECT a.pos AS pos, b.pos AS other, (round(covar_samp(a.value, b.value), 6) + 0.0) AS value
+    FROM lw a JOIN lw b ON a.client_id = b.client_id GROUP BY a.pos, b.pos"""))
+def vec_cov(spark, sf_dir):
+    """V4 fit: the covariance whose eigenvectors the PCA takes."""
+    return vx.covariance_rows(vx.sanitize(whole(spark, sf_dir)))
+
+
+@register("vec_pca_norms", with_bindings(*WHOLE_CTES, body="""
+    SELECT client_id, (round(sqrt(sum((value - mu) * (value - mu))), 6) + 0.0) AS norm
+    FROM (SELECT *, avg(value) OVER (PARTITION BY pos) AS mu FROM lw) GROUP BY client_id"""))
+def vec_pca_norms(spark, sf_dir):
+    """V4 at full rank keeps every centred row's length."""
+    full = vx.pca(vx.sanitize(whole(spark, sf_dir)), 64)
+    return full.select("client_id", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
 
 
 @register("vec_pca")
 def vec_pca(spark, sf_dir):
-    """V4: centred PCA to 16 components (no SQL: eigen-decomposition; numpy-checked in tests)."""
-    a, _ = blocks(spark, sf_dir)
-    return vx.explode_vectors(vx.pca(vx.sanitize(a), 16))
+    """V4: centred PCA to 16 components (eigenvectors: numpy-checked in tests; covariance and row lengths have SQL)."""
+    return vx.explode_vectors(vx.pca(vx.sanitize(whole(spark, sf_dir)), 16))
 
 
 @register("vec_merge_all")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -40,8 +39,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a fresh scratch folder is created and registered.
+    ``spark.checkpoint.dir`` is read from the session. If it is unset, a
+    local session gets a scratch folder of its own; on a cluster a folder of
+    the driver's machine would not reach the executors, so that is an error.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -49,20 +49,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
-    path = tempfile.mkdtemp(prefix="shoplens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    check_scratch_allowed(sc.master)
+    path = tempfile.mkdtemp(prefix="shoplens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return path
 
 
+def check_scratch_allowed(master: str) -> None:
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def _tables_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder and
     read it back: the lineage is cut, the data survives executor loss, and
     the upstream runs once (an unpersisted RDD ``checkpoint()`` would run its
     last stage twice and store serialized rows instead of columnar files).
+    The tables belong to the application: :func:`drop_tables` removes them.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = base.rstrip("/") + "/tables/" + uuid.uuid4().hex
+    path = f"{_tables_dir(spark)}/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove the intermediate tables that this application has written, once its results are stored."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,6 +1,7 @@
 """Vector operators (V1-V9, J8-J9) against numpy brute force on small tables."""
 
 import numpy as np
+import pytest
 
 from shoplens.operators import vectors as vx
 
@@ -69,3 +70,25 @@ def test_global_standard(spark):
     cells = np.array([1, 2, 3, 4], dtype=float)
     z = (cells - cells.mean()) / cells.std()
     assert np.allclose(got[1] + got[2], z)
+
+
+def test_quantile_grid_is_exact_above_and_below_its_size(spark):
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1000), (2, 1000), (37, 1000), (300, 50), (2500, 1000)):
+        x = np.stack([rng.normal(size=n), rng.integers(0, 9, n).astype(float)], axis=1)
+        grid = vx.quantile_grid(_table(spark, list(enumerate(x.tolist()))), m)
+        want = np.quantile(x, np.linspace(0, 1, min(m, n)), axis=0).T
+        assert all(np.allclose(g, w, atol=1e-12) for g, w in zip(grid, want)), n
+
+
+def test_outer_merge_refuses_duplicates_and_mixed_widths(spark):
+    a, b = _table(spark, [(1, [1, 2]), (1, [3, 4])]), _table(spark, [(1, [5])])
+    with pytest.raises(Exception, match="several rows in left: 1"):
+        vx.outer_merge([a, b], ["left", "right"]).collect()
+    with pytest.raises(Exception, match="mixed widths in table 1"):
+        vx.outer_merge([b, _table(spark, [(1, [5]), (2, [5, 6])])]).collect()
+
+
+def test_outer_merge_with_an_empty_table(spark):
+    a, empty = _table(spark, [(1, [1, 2])]), _table(spark, [(2, [0, 0])])
+    assert _as_dict(vx.outer_merge([a, vx.sanitize(empty)])) == {1: [1.0, 2.0]}
