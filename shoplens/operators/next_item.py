@@ -21,9 +21,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .ordering import positions
+from ..functions.draws import draw
+from .ordering import global_ranks, positions
 
 
 def successors(long: DataFrame, item: str = "item", pos: str = "pos") -> DataFrame:
@@ -37,15 +37,10 @@ def successors(long: DataFrame, item: str = "item", pos: str = "pos") -> DataFra
 def popularity(long: DataFrame, item: str = "item") -> DataFrame:
     """``(item, count, pop_rank)``: events per item, ranked 1.. by count desc then item.
 
-    A global rank without a single-task window over the catalogue: items are
-    ranked inside ``(count, item range)`` buckets (see :func:`ordering.positions`),
-    so a long tail of items with equal counts is spread over many tasks."""
+    A global rank without a single-task window over the catalogue (see
+    :func:`ordering.global_ranks`); items of any type."""
     counts = long.groupBy(item).agg(F.count(F.lit(1)).alias("count"))
-    numeric = isinstance(counts.schema[item].dataType, T.IntegralType)
-    bucket = F.struct((-F.col("count")).alias("_c"),
-                      (F.shiftright(F.col(item).cast("long"), 16) if numeric else F.lit(0)).alias("_r"))
-    ranked = positions(counts.withColumn("_all", F.lit(0)), "_all", [F.col("count").desc(), F.col(item).asc()],
-                       pos="_p", bucket=bucket)
+    ranked = global_ranks(counts, [F.col("count").desc(), F.col(item).asc()], "_p")
     return ranked.select(item, "count", (F.col("_p") + 1).cast("long").alias("pop_rank"))
 
 
@@ -70,12 +65,17 @@ def recommend(history: DataFrame, k: int = 10, filter_seen: bool = True, item: s
     # most its top k + |seen| ranks (seen items are the only ones dropped), so it
     # asks for exactly those rank numbers: an equi-join on (prev, rank) whose output
     # is bounded by the client's history + k, never clients × fan-out of a hot item.
-    ranked_succ = succ.withColumn("_r", F.row_number().over(
-        Window.partitionBy("prev").orderBy(F.col("count").desc(), F.col("next").asc())))
+    # A page's successors are ranked in buckets of equal count, so a hot page is spread over its counts.
+    ranked_succ = positions(succ, "prev", [F.col("count").desc(), F.col("next").asc()], pos="_p",
+                            bucket=-F.col("count")).withColumn("_r", F.col("_p") + 1).drop("_p")
     if filter_seen:
         n_seen = seen.groupBy("client_id").agg(F.count(F.lit(1)).alias("_s"))
         want = last.join(n_seen, "client_id", "left").select(
             "client_id", "last", (F.lit(k) + F.coalesce(F.col("_s"), F.lit(0))).alias("_want"))
+        # no client asks for more ranks than its last item has successors
+        fan_out = succ.groupBy("prev").agg(F.count(F.lit(1)).alias("_f"))
+        want = want.join(fan_out, want["last"] == fan_out["prev"]).select(
+            "client_id", "last", F.least("_want", "_f").alias("_want"))
     else:
         want = last.select("client_id", "last", F.lit(k).alias("_want"))
     asks = want.select("client_id", F.col("last").alias("prev"),
@@ -147,5 +147,5 @@ def next_value(history: DataFrame, item: str, value: str, pos: str = "pos") -> D
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "client_id") -> DataFrame:
-    """T5: a reproducible random sample of ``n`` rows (order by a seeded hash; the limit is the feature)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """T5: a reproducible random sample of ``n`` rows (order by a seeded draw; the limit is the feature)."""
+    return df.orderBy(draw(key, seed), F.col(key)).limit(n)

@@ -72,15 +72,32 @@ def positions(df: DataFrame, key: str, order: list, pos: str = "pos",
     return cut_lineage(out) if materialize else out
 
 
-def window_positions(df: DataFrame, key: str, order: list, pos: str = "pos",
-                     rev: str | None = None) -> DataFrame:
-    """Plain window form of :func:`positions`, for inputs known to be unskewed."""
-    w = Window.partitionBy(key).orderBy(*_cols(order))
-    out = df.withColumn(pos, (F.row_number().over(w) - 1).cast("long"))
+def newest(df: DataFrame, key: str, order: list, n: int, pos: str = "pos", rev: str | None = None) -> DataFrame:
+    """The newest ``n`` rows of each key, with a position that rises with ``order`` (the newest row has -1) and, on
+    demand, ``rev`` from 0 for the newest.
+
+    ``row_number() <= n`` plans as a window group limit: each map task keeps its newest ``n`` rows per key before the
+    shuffle, so a hot key arrives bounded, and no table is written."""
+    w = Window.partitionBy(key).orderBy(*[c.desc() for c in _cols(order)])
+    out = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    out = out.withColumn(pos, (-F.col("_rn")).cast("long"))
     if rev:
-        wr = Window.partitionBy(key).orderBy(*[c.desc() for c in _cols(order)])
-        out = out.withColumn(rev, (F.row_number().over(wr) - 1).cast("long"))
-    return out
+        out = out.withColumn(rev, (F.col("_rn") - 1).cast("long"))
+    return out.drop("_rn")
+
+
+def global_ranks(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
+    """Add the 0-based rank of every row by ``order`` (a total order of any sortable types) without one window over
+    all rows: range partitions are sorted, numbered and written once, and a partition's first rank is the number of
+    rows in the partitions before it (a window over as many rows as there are partitions)."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(sorted_.withColumn("_part", F.spark_partition_id())
+                         .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return placed.join(F.broadcast(first), "_part").withColumn(rank, F.col("_first") + F.col("_at")) \
+        .drop("_part", "_at", "_first")
 
 
 def collect_ordered(df: DataFrame, key: str, pos: str, fields: list[str],

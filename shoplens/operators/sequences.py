@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import codes_to_array, last_n
 from ..sources.inputs import Inputs, relevant_only
-from .ordering import collect_ordered, positions
+from ..functions.draws import draw
+from .ordering import collect_ordered, newest, positions
 from .vocab import apply_capped_many, dense_codes, min_count_items, min_events_clients
 
 #: Special tokens of the sequence views.
@@ -34,9 +35,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 # ---- Q1: event/day sequences ------------------------------------------------------
 
-def event_day(inputs: Inputs, relevant: bool = True) -> DataFrame:
+def event_day(inputs: Inputs, relevant: bool = True, last: int | None = None) -> DataFrame:
     """Q1: ``(client_id, pos, event_type, day)``; event codes add..search = 1..5 (+2),
-    day = calendar days since the first date of all events (+3)."""
+    day = calendar days since the first date of all events (+3). With ``last``
+    only each client's newest events, by a window limit."""
     tagged = [inputs.add_to_cart, inputs.remove_from_cart, inputs.product_buy,
               inputs.page_visit, inputs.search_query]
     data = _union([t.select("client_id", "timestamp", F.lit(code).alias("event_type"))
@@ -48,7 +50,9 @@ def event_day(inputs: Inputs, relevant: bool = True) -> DataFrame:
         "client_id", "timestamp",
         (F.col("event_type") + 2).cast("long").alias("event_type"),
         (F.datediff(F.to_date("timestamp"), F.col("_d0")) + 3).cast("long").alias("day"))
-    return positions(data, "client_id", ["timestamp", "event_type"]).drop("timestamp")
+    order = ["timestamp", "event_type"]
+    return (positions(data, "client_id", order) if last is None else newest(data, "client_id", order, last)) \
+        .drop("timestamp")
 
 
 # ---- Q2/Q3: multi-feature sequences --------------------------------------------------
@@ -124,7 +128,7 @@ def sku_text(inputs: Inputs) -> DataFrame:
 CART_FIELDS = ("sku", "category", "price", "event")
 
 
-def cart(inputs: Inputs, drop_short: bool = True, relevant: bool = False) -> DataFrame:
+def cart(inputs: Inputs, drop_short: bool = True, relevant: bool = False, last: int | None = None) -> DataFrame:
     """Q5: ``(client_id, pos, sku, category, price, event)``; add 1, remove 2, buy 3.
 
     ``drop_short`` keeps clients with more than one event (counted before
@@ -136,12 +140,14 @@ def cart(inputs: Inputs, drop_short: bool = True, relevant: bool = False) -> Dat
         data = min_events_clients(data, 2)
     if relevant:
         data = relevant_only(data, inputs.relevant_clients)
-    return positions(data, "client_id", ["timestamp", "event", "sku"]).drop("timestamp")
+    order = ["timestamp", "event", "sku"]
+    return (positions(data, "client_id", order) if last is None else newest(data, "client_id", order, last)) \
+        .drop("timestamp")
 
 
 # ---- Q6: visit sequences -----------------------------------------------------------------
 
-def visits(inputs: Inputs, min_count: int | None = 10, relevant: bool = True) -> DataFrame:
+def visits(inputs: Inputs, min_count: int | None = 10, relevant: bool = True, last: int | None = None) -> DataFrame:
     """Q6: ``(client_id, url, url_code, time_idx, time_idx_reversed)``.
 
     url codes are dense from 1 in url order (0 stays free for padding)."""
@@ -152,8 +158,9 @@ def visits(inputs: Inputs, min_count: int | None = 10, relevant: bool = True) ->
         data = min_count_items(data, "url", min_count)
     codes = dense_codes(data, "url", start=1, code="url_code")
     data = data.join(codes, "url", "inner")
-    return (positions(data, "client_id", ["timestamp", "url"], pos="time_idx", rev="time_idx_reversed")
-            .drop("timestamp"))
+    order, names = ["timestamp", "url"], {"pos": "time_idx", "rev": "time_idx_reversed"}
+    return (positions(data, "client_id", order, **names) if last is None
+            else newest(data, "client_id", order, last, **names)).drop("timestamp")
 
 
 # ---- views (bounded arrays) ---------------------------------------------------------------
@@ -165,9 +172,7 @@ def arrays(long: DataFrame, fields, last: int | None = None, pos: str = "pos") -
     fields = list(fields)
     if last is None:
         return collect_ordered(long, "client_id", pos, fields)
-    n = long.groupBy("client_id").agg(F.max(pos).alias("_maxpos"))
-    src = long.join(n, "client_id").withColumn("_rev", F.col("_maxpos") - F.col(pos))
-    return collect_ordered(src, "client_id", pos, fields, last_n=last, rev="_rev")
+    return collect_ordered(newest(long, "client_id", [pos], last, pos="_p0"), "client_id", "_p0", fields)
 
 
 def with_special_tokens(df: DataFrame, fields, max_length: int = 128) -> DataFrame:
@@ -202,11 +207,13 @@ def causal_train_view(visit_long: DataFrame, max_length: int = 256) -> DataFrame
                     F.slice("item", 2, F.greatest(F.size("item") - 1, F.lit(0))).alias("labels"))
 
 
-def causal_predict_view(visit_long: DataFrame, max_length: int = 256, validation: bool = True) -> DataFrame:
+def causal_predict_view(visit_long: DataFrame, max_length: int = 256, validation: bool = True,
+                        full_history: bool = False) -> DataFrame:
     """Q11: ``input_ids`` (newest ``max_length`` before the target), ``target``.
 
-    The full history used to filter seen items stays in long form
-    (``visit_long``); it is not collected here."""
+    With ``full_history`` also ``history``, the sorted distinct items of the
+    client (for filtering seen ones); it grows with the client's history, so
+    the long form ``visit_long`` is to be preferred for hot clients."""
     v = visit_long
     if validation:
         target = v.where(F.col("time_idx_reversed") == 0).select("client_id", F.col("url_code").alias("target"))
@@ -214,17 +221,26 @@ def causal_predict_view(visit_long: DataFrame, max_length: int = 256, validation
     else:
         target, inputs = None, v
     a = arrays(inputs.withColumnRenamed("url_code", "input_ids"), ["input_ids"], last=max_length, pos="time_idx")
+    if full_history:
+        a = a.join(inputs.groupBy("client_id").agg(F.array_sort(F.collect_set("url_code")).alias("history")), "client_id")
     return a.join(target, "client_id", "inner") if target is not None else a
 
 
 def next_event_predict_view(long: DataFrame, fields, max_length: int = 64) -> DataFrame:
-    """Q9: the newest ``max_length`` events before the held-out last one, plus the labels."""
-    n = long.groupBy("client_id").agg(F.max("pos").alias("_last"))
-    j = long.join(n, "client_id")
-    labels = j.where(F.col("pos") == F.col("_last")).select(
-        "client_id", *[F.col(f).alias(f"{f}_true") for f in fields])
-    hist = j.where(F.col("pos") < F.col("_last")).drop("_last")
-    return arrays(hist, fields, last=max_length).join(labels, "client_id", "inner")
+    """Q9: the newest ``max_length`` events before the held-out last one, plus the labels (one ``groupBy``; clients
+    with a single event have nothing to predict from and drop out)."""
+    kept = newest(long, "client_id", ["pos"], max_length + 1, pos="_p0", rev="_rev")
+    row = F.struct(F.col("_p0"), *[F.col(f) for f in fields])
+    g = kept.groupBy("client_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_rev") > 0, row))).alias("_seq"),
+        *[F.max(F.when(F.col("_rev") == 0, F.struct(F.col(f)))).alias(f"_{f}") for f in fields])
+
+    def field_of(f: str):
+        return lambda x: x[f]
+
+    return g.where(F.size("_seq") > 0).select(
+        "client_id", *[F.transform("_seq", field_of(f)).alias(f) for f in fields],
+        *[F.col(f"_{f}")[f].alias(f"{f}_true") for f in fields])
 
 
 def holdout_last(long: DataFrame, rev: str = "time_idx_reversed") -> tuple[DataFrame, DataFrame]:
@@ -254,9 +270,9 @@ def pad_to_longest(df: DataFrame, fields, label_fields=()) -> DataFrame:
 
 def _slice_bounds(size: Column, key: str, min_len: int, max_len: int, seed: int) -> tuple[Column, Column]:
     """1-based start and length of E5's seeded slice for a sequence of ``size`` items."""
-    want = F.lit(min_len) + F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(max_len - min_len + 1))
+    want = F.lit(min_len) + draw(key, seed) % (max_len - min_len + 1)
     length = F.least(size, want)
-    start = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.greatest(size - length + 1, F.lit(1))) + 1
+    start = draw(key, seed + 1) % F.greatest(size - length + 1, F.lit(1)) + 1
     return start, length
 
 
@@ -294,22 +310,30 @@ def negatives(history: DataFrame, n_items: DataFrame, n: int = 10_000, seed: int
               item: str = "item") -> DataFrame:
     """``n`` items per client drawn with replacement from items NOT in its history.
 
-    Items are dense codes ``1..K`` (``n_items`` is a one-row ``K``).
-    Draw ``r`` uniformly in ``[0, K - |H|)`` and walk the sorted history:
-    every seen item ``<=`` the candidate pushes it one up, so the result is the
-    ``r``-th unseen item — exact, no rejection, no client × item product.
+    Items are dense codes ``1..K`` (``n_items`` is a one-row ``K``). The r-th
+    unseen item (from 0) is ``r + 1`` plus the number of seen items ``h_i``
+    (sorted, i from 0) with ``h_i - i - 1 <= r``: one binary search a draw on
+    Arrow batches — exact, no rejection, no client × item product. A client
+    without unseen items gets an empty array.
     """
     h = history.groupBy("client_id").agg(F.array_sort(F.collect_set(item)).alias("_h"))
-    h = h.crossJoin(F.broadcast(n_items.select(F.col(n_items.columns[0]).alias("_K"))))
-    free = F.col("_K") - F.size("_h")
-
-    def draw(j: Column) -> Column:
-        r = F.pmod(F.xxhash64(F.col("client_id"), j, F.lit(seed)), free)
-        return F.aggregate("_h", r + 1, lambda acc, s: F.when(s <= acc, acc + 1).otherwise(acc))
-
-    neg = F.when(free > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), draw)) \
-        .otherwise(F.array().cast("array<long>"))
-    return h.select("client_id", neg.alias("negatives"))
+    h = h.crossJoin(F.broadcast(n_items.select(F.col(n_items.columns[0]).cast("long").alias("_K"))))
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        for pdf in batches:
+            for at in range(0, len(pdf), 64):
+                part, drawn = pdf.iloc[at:at + 64], []
+                for client, seen, k in zip(part["client_id"], part["_h"], part["_K"]):
+                    seen = np.asarray(seen, dtype=np.int64)
+                    free = int(k) - len(seen)
+                    r = np.random.default_rng([seed, int(client) & (2 ** 64 - 1)]).integers(0, max(free, 1), n)
+                    below = np.searchsorted(seen - np.arange(len(seen)) - 1, r, side="right")
+                    drawn.append(r + 1 + below if free > 0 else r[:0])
+                yield pd.DataFrame({"client_id": part["client_id"].to_numpy(), "negatives": drawn})
+
+    return h.mapInPandas(run, "client_id long, negatives array<long>")
 
 
 def causal_train_with_negatives(visit_long: DataFrame, max_length: int = 256, n: int = 10_000,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import positions
+from ..functions.draws import draw
+from .ordering import global_ranks
 
 
 def value_counts(df: DataFrame, col: str, out: str = "count") -> DataFrame:
@@ -21,13 +22,11 @@ def top_values(df: DataFrame, col: str, n: int) -> DataFrame:
 def dense_codes(df: DataFrame, col: str, start: int = 0, code: str = "code") -> DataFrame:
     """``(value, code)`` with codes ``start, start+1, ...`` in ascending value order.
 
-    A global rank without a single-task window: distinct values are ranked
-    inside numeric buckets of 65,536 values, and bucket offsets come from a
-    per-bucket count table (see :func:`ordering.positions`).
+    Any type of value: the distinct values are sorted by ranges and numbered
+    from the sizes of the ranges before (see :func:`ordering.global_ranks`).
     """
-    vals = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_all", F.lit(0))
-    bucket = F.shiftright(F.col(col).cast("long"), 16)
-    ranked = positions(vals, "_all", [col], pos="_r", bucket=bucket)
+    values = df.select(col).where(F.col(col).isNotNull()).distinct()
+    ranked = global_ranks(values, [F.col(col).asc()], "_r")
     return ranked.select(col, (F.col("_r") + F.lit(start)).cast("long").alias(code))
 
 
@@ -133,20 +132,15 @@ def stage_report(df: DataFrame, distinct_cols: list[str]) -> DataFrame:
                   *[F.count_distinct(c).alias(f"distinct_{c}") for c in distinct_cols])
 
 
-def hash_bucket(key: Column | str, seed: int, buckets: int = 10_000) -> Column:
-    k = F.col(key) if isinstance(key, str) else key
-    return F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(buckets))
-
-
 def split_clients(df: DataFrame, test: float = 0.02, validation: float = 0.01,
                   seed: int = 42, key: str = "client_id") -> DataFrame:
     """``(client_id, part)`` with part in train / validation / test.
 
-    Hash buckets are stable under repartitioning and re-runs; test first,
+    Seeded draws are stable under repartitioning and re-runs; test first,
     then validation as a share of the rest, like the original split.
     """
     ids = df.select(key).distinct()
-    t = hash_bucket(key, seed) < int(round(test * 10_000))
-    v = hash_bucket(key, seed + 1) < int(round(validation * 10_000))
+    t = draw(key, seed) % 10_000 < int(round(test * 10_000))
+    v = draw(key, seed + 1) % 10_000 < int(round(validation * 10_000))
     part = F.when(t, "test").when(v, "validation").otherwise("train")
     return ids.select(key, part.alias("part"))

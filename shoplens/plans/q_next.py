@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw_sql
 from ..operators import next_item as nx
 from ..operators import rank_metrics as rm
 from ..operators import sequences as sq
@@ -134,7 +135,8 @@ def metrics_numeric(spark, sf_dir):
     return rm.numeric(nx.next_value(hist, "sku", "price"), labels, "client_id", "price")
 
 
-@register("sample_clients")
+@register("sample_clients", with_bindings(body=f"""
+    SELECT client_id FROM relevant_clients ORDER BY {draw_sql('client_id', 42)}, client_id LIMIT 10"""))
 def sample_clients(spark, sf_dir):
     """T5: a reproducible sample of 10 relevant clients (the limit is the feature)."""
     return nx.sample_rows(load_fixture(spark, sf_dir).relevant_clients, 10)

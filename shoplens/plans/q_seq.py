@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw_sql
 from ..operators import sequences as sq
 from ..operators.ordering import explode_arrays
 from ..sources.inputs import load_fixture
@@ -134,7 +135,7 @@ def seq_visits(spark, sf_dir):
     UNION ALL SELECT DISTINCT client_id, CAST(least(n, 126) + 1 AS BIGINT), CAST(2 AS BIGINT), CAST(2 AS BIGINT) FROM ed"""))
 def seq_encoder_view(spark, sf_dir):
     """Q7: last 126 events + start/end tokens (max_length 128), exploded."""
-    view = sq.encoder_view(sq.event_day(load_fixture(spark, sf_dir)), ["event_type", "day"], 128)
+    view = sq.encoder_view(sq.event_day(load_fixture(spark, sf_dir), last=126), ["event_type", "day"], 128)
     return explode_arrays(view, "client_id", ["event_type", "day"])
 
 
@@ -150,7 +151,7 @@ def seq_encoder_view(spark, sf_dir):
             FROM grid g LEFT JOIN ev ON g.client_id = ev.client_id AND g.pos = ev.pos"""))
 def seq_padded(spark, sf_dir):
     """Encoder view padded to the longest sequence with a mask."""
-    view = sq.encoder_view(sq.event_day(load_fixture(spark, sf_dir)), ["event_type", "day"], 128)
+    view = sq.encoder_view(sq.event_day(load_fixture(spark, sf_dir), last=126), ["event_type", "day"], 128)
     padded = sq.pad_to_longest(view, ["event_type", "day"])
     return explode_arrays(padded, "client_id", ["event_type", "day", "mask"])
 
@@ -164,7 +165,7 @@ def seq_padded(spark, sf_dir):
             FROM vk WHERE nxt IS NOT NULL"""))
 def seq_shift(spark, sf_dir):
     """Causal training view — inputs all but last, labels all but first, last 257 visits."""
-    view = sq.causal_train_view(sq.visits(load_fixture(spark, sf_dir), VISIT_MIN), 256)
+    view = sq.causal_train_view(sq.visits(load_fixture(spark, sf_dir), VISIT_MIN, last=257), 256)
     return explode_arrays(view, "client_id", ["input_ids", "labels"])
 
 
@@ -183,18 +184,50 @@ def last_event_holdout(spark, sf_dir):
     WHERE h.pos < h.n - 1 AND h.pos >= h.n - 1 - 64"""))
 def seq_predict_view(spark, sf_dir):
     """Q9: newest 64 cart events before the held-out last one, with its labels."""
-    long = sq.cart(load_fixture(spark, sf_dir))
     fields = ["category", "event", "price"]
-    view = sq.next_event_predict_view(long, fields, 64)
-    ex = explode_arrays(view, "client_id", fields)
-    return ex.join(view.select("client_id", *[f"{f}_true" for f in fields]), "client_id")
-
-
-@register("seq_random_slice")
+    view = sq.next_event_predict_view(sq.cart(load_fixture(spark, sf_dir), last=65), fields, 64)
+    rows = view.select("client_id", *[f"{f}_true" for f in fields], F.posexplode(F.arrays_zip(*fields)).alias("pos", "_z"))
+    return rows.select("client_id", F.col("pos").cast("long").alias("pos"), *[F.col("_z")[f].alias(f) for f in fields],
+                       *[f"{f}_true" for f in fields])
+
+
+@register("seq_causal_predict", with_bindings(*VISIT_CTES, body="""
+    SELECT v.client_id, t.url_code AS target, list(v.url_code ORDER BY v.time_idx) FILTER (v.time_idx_reversed <= 256) AS input_ids,
+           list_sort(list_distinct(list(v.url_code))) AS history
+    FROM vs v JOIN vs t ON v.client_id = t.client_id AND t.time_idx_reversed = 0
+    WHERE v.time_idx_reversed > 0 GROUP BY v.client_id, t.url_code"""))
+def seq_causal_predict(spark, sf_dir):
+    """Q11: newest 256 visits before the last one, the last one as target, and the items seen before."""
+    return sq.causal_predict_view(sq.visits(load_fixture(spark, sf_dir), VISIT_MIN), 256, full_history=True)
+
+
+@register("seq_padded_labels", with_bindings(*VISIT_CTES,
+    ("vk", """SELECT client_id, time_idx - min(time_idx) OVER (PARTITION BY client_id) AS pos, url_code,
+                lead(url_code) OVER (PARTITION BY client_id ORDER BY time_idx) AS nxt FROM vs WHERE time_idx_reversed <= 16"""),
+    ("ev", "SELECT * FROM vk WHERE nxt IS NOT NULL"),
+    ("grid", "SELECT client_id, CAST(unnest(range((SELECT max(pos) + 1 FROM ev))) AS BIGINT) AS pos FROM (SELECT DISTINCT client_id FROM vs)"),
+    body="""SELECT g.client_id, g.pos, CAST(coalesce(url_code, 0) AS BIGINT) AS input_ids, CAST(coalesce(nxt, -100) AS BIGINT) AS labels,
+                   CASE WHEN ev.pos IS NULL THEN 0 ELSE 1 END AS mask
+            FROM grid g LEFT JOIN ev ON g.client_id = ev.client_id AND g.pos = ev.pos"""))
+def seq_padded_labels(spark, sf_dir):
+    """The causal view of the last 17 visits, padded with 0, its labels with -100."""
+    view = sq.causal_train_view(sq.visits(load_fixture(spark, sf_dir), VISIT_MIN, last=17), 16)
+    padded = sq.pad_to_longest(view, ["input_ids", "labels"], label_fields=["labels"])
+    return explode_arrays(padded, "client_id", ["input_ids", "labels", "mask"])
+
+
+@register("seq_random_slice", with_bindings(*CART_SEQ_CTES,
+    ("len0", f"SELECT DISTINCT client_id, n, least(n, 33 + {draw_sql('client_id', 42)} % 33) AS len FROM cs"),
+    ("cut", f"SELECT *, {draw_sql('client_id', 43)} % greatest(n - len + 1, 1) AS lo FROM len0"),
+    ("sl", """SELECT cs.*, lo, len, lead(category) OVER w AS category_next, lead(event) OVER w AS event_next, lead(price) OVER w AS price_next
+              FROM cs JOIN cut USING (client_id) WHERE pos >= lo AND pos < lo + len WINDOW w AS (PARTITION BY client_id ORDER BY pos)"""),
+    body="""SELECT client_id, CAST(pos - lo AS BIGINT) AS pos, category, event, price, category_next AS labels_category,
+                   event_next AS labels_event, price_next AS labels_price FROM sl WHERE pos < lo + len - 1"""))
 def seq_random_slice(spark, sf_dir):
-    """Q8 / E5: next-event training view on a seeded random slice (no SQL: Spark's xxhash64)."""
-    long = sq.cart(load_fixture(spark, sf_dir))
-    return sq.next_event_train_view(long, ["category", "event", "price"], 32, 64)
+    """Q8 / E5: next-event training view on a seeded random slice."""
+    fields = ["category", "event", "price"]
+    view = sq.next_event_train_view(sq.cart(load_fixture(spark, sf_dir)), fields, 32, 64)
+    return explode_arrays(view, "client_id", [*fields, *[f"labels_{f}" for f in fields]])
 
 
 @register("seq_negatives")

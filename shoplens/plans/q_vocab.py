@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw_sql
 from ..functions.dates import epoch_micros
 from ..operators import vocab
 from ..operators.client_stats import relevant_events
@@ -145,9 +146,12 @@ def stage_report(spark, sf_dir):
     return vocab.stage_report(_cart_union(load_fixture(spark, sf_dir)), ["client_id", "sku", "category"])
 
 
-@register("client_split")
+@register("client_split", with_bindings(body=f"""
+    SELECT client_id, CASE WHEN {draw_sql('client_id', 42)} % 10000 < 200 THEN 'test'
+                           WHEN {draw_sql('client_id', 43)} % 10000 < 100 THEN 'validation' ELSE 'train' END AS part
+    FROM (SELECT DISTINCT client_id FROM relevant_clients)"""))
 def client_split(spark, sf_dir):
-    """Hash split of the relevant clients (no SQL: Spark's xxhash64)."""
+    """Seeded split of the relevant clients."""
     inputs = load_fixture(spark, sf_dir)
     return vocab.split_clients(inputs.relevant_clients)
 

@@ -28,3 +28,19 @@ def test_flagship_scans_are_pruned_and_filtered(spark, sf_dir):
         schema = s[s.index("ReadSchema"):]
         assert "l_comment" not in schema and "l_extendedprice" not in schema
         assert "PushedFilters: [" in s and "PushedFilters: []" not in s
+
+
+def test_last_n_views_limit_before_the_shuffle_and_write_nothing(spark, sf_dir):
+    from shoplens.operators import sequences as sq
+    from shoplens.sources.inputs import load_fixture
+    plan = sq.encoder_view(sq.event_day(load_fixture(spark, sf_dir), last=126), ["event_type", "day"], 128) \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "/tables/" not in plan
+    assert plan.index("WindowGroupLimit") < len(plan)
+
+
+def test_draws_are_the_same_number_in_both_engines(spark, duck):
+    from shoplens.functions.draws import draw, draw_sql
+    got = [r[0] for r in spark.range(50).select(draw("id", 7)).collect()]
+    want = [r[0] for r in duck.execute(f"SELECT {draw_sql('id', 7)} FROM (SELECT unnest(range(50)) AS id)").fetchall()]
+    assert sorted(got) == sorted(want) and len(set(got)) == 50

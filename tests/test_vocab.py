@@ -48,3 +48,21 @@ def test_split_is_deterministic_and_sized(spark):
     c = Counter(a.values())
     assert 300 < c["test"] < 500          # 2 %
     assert 120 < c["validation"] < 280    # 1 % of the rest
+
+
+def test_dense_codes_of_hashed_numbers_and_text(spark):
+    from pyspark.sql import functions as F
+    numbers = spark.range(3000).select(F.xxhash64("id").alias("v"))
+    got = {r.v: r.code for r in V.dense_codes(numbers.union(numbers), "v", start=5).collect()}
+    assert got == {v: i + 5 for i, v in enumerate(sorted(got))} and len(got) == 3000
+    words = spark.createDataFrame([("b",), ("a",), (None,), ("ä",), ("b",), ("10",), ("9",)], "v string")
+    assert {r.v: r.code for r in V.dense_codes(words, "v").collect()} == {"10": 0, "9": 1, "a": 2, "b": 3, "ä": 4}
+
+
+def test_global_ranks_window_is_over_partitions_only(spark):
+    from pyspark.sql import functions as F
+    from shoplens.operators.ordering import global_ranks
+    ranked = global_ranks(spark.range(1000).select(F.xxhash64("id").alias("v")), [F.col("v")])
+    rows = ranked.orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(1000))
+    assert [r["v"] for r in rows] == sorted(r["v"] for r in rows)
