@@ -7,11 +7,12 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of text that one output batch of a Python stage covers at most (a longer text makes a batch of its own).
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 #: Word separators of every operator here: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]"
@@ -26,6 +27,22 @@ def others(df: DataFrame, names: Sequence[str]) -> list[Column]:
     return [df[f"`{c}`"] for c in df.columns if c.lower() not in taken]
 
 
+def text_input(df: DataFrame, text: str, new: Sequence[str], keep_text: bool) -> tuple[DataFrame, list[str], str]:
+    """What a Python stage reads of ``df``: its columns but ``new``; the names of those that it passes on; and the name
+    that the text column has there. A text that is not kept does not travel back to Spark."""
+    if keep_text:
+        src = df.select(*others(df, new))
+        return src, src.columns, next(c for c in src.columns if c.lower() == text.lower())
+    rest = df.select(*others(df, [*new, text, "__text"]))
+    return df.select(*others(df, [*new, text, "__text"]), df[f"`{text}`"].cast("string").alias("__text")), \
+        rest.columns, "__text"
+
+
+def with_fields(df: DataFrame, names: Sequence[str], new: dict[str, T.DataType]) -> T.StructType:
+    """Schema of the columns ``names`` of ``df`` and the new ones."""
+    return T.StructType([df.schema[c] for c in names] + [T.StructField(c, t) for c, t in new.items()])
+
+
 def slices(pdf: pd.DataFrame, column: str, limit: int = SLICE_CHARS) -> Iterator[pd.DataFrame]:
     """Cut a batch into runs of rows of about ``limit`` characters, so that what a Python worker holds stays bounded."""
     sizes = pdf[column].map(lambda x: len(x) if x is not None else 0).to_numpy(dtype="int64")
@@ -61,6 +78,19 @@ def fold_of(value: object, modulus: int) -> int:
     return zlib.crc32(str(value).encode()) % modulus
 
 
+def hashed_sample(rows: DataFrame, group: str, key: str, limit: int) -> DataFrame:
+    """Of each group the ``limit`` rows of smallest hash of ``key``, with ``place`` (from 1) in that order.
+
+    Groups are few (classes); rows far above the place that the ``limit``-th is expected at are left out in their own
+    task, so what meets in a group's window is bounded whatever the input."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("__n"))
+    share = F.shiftrightunsigned(F.xxhash64(key), 11) / float(1 << 53)
+    near = rows.withColumn("__share", share).join(F.broadcast(sizes), group) \
+        .where(F.col("__share") * F.col("__n") < 2 * limit + 64)
+    order = Window.partitionBy(group).orderBy("__share", key)
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("__share", "__n")
+
+
 def words_of(text: Column) -> Column:
     """Native word array (null text: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

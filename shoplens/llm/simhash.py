@@ -33,11 +33,13 @@ from pyspark.sql import types as T
 
 from shoplens.session import cut_lineage
 
-from .common import byte_blocks, others, slices
+from .common import byte_blocks, slices, text_input, with_fields
 from .components import components, forest
 
 #: Fingerprints compared with each other under one key; a larger key is dealt out in pairs of blocks of half this size.
 MEET = 8192
+#: Blocks of a crowded key at most (their numbers have 12 bits); beyond 2 ** 24 fingerprints under a key blocks grow.
+MOST_BLOCKS = 4096
 SEED = 42
 
 
@@ -63,61 +65,64 @@ def fingerprint(data: bytes, shingle: int = 3) -> bytes:
     return np.packbits(2 * counts > n).tobytes()
 
 
-def tag(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
+def tag(docs: DataFrame, text: str = "text", shingle: int = 3, keep_text: bool = True) -> DataFrame:
     """Add ``fp`` (long, the fingerprint's bits); texts are read whole, in batches of bounded size."""
-    kept = others(docs, ["fp", "__data"])
-    names = [c for c in docs.columns if c.lower() not in ("fp", "__data")]
-    src = docs.select(*kept, docs[f"`{text}`"].cast("string").cast("binary").alias("__data"))
-    out = T.StructType([f for f in docs.schema.fields if f.name in names] + [T.StructField("fp", T.LongType())])
+    src, names, column = text_input(docs, text, ["fp"], keep_text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for pdf in slices(batch, "__data"):
+            for pdf in slices(batch, column):
                 made = pdf[names].copy()
-                made["fp"] = np.array([int.from_bytes(fingerprint(x or b"", shingle), "big", signed=True)
-                                       for x in pdf["__data"]], dtype=np.int64)
+                made["fp"] = np.array([int.from_bytes(fingerprint((x or "").encode(), shingle), "big", signed=True)
+                                       for x in pdf[column]], dtype=np.int64)
                 yield made
 
-    return src.mapInPandas(run, out)
+    return src.mapInPandas(run, with_fields(docs, names, {"fp": T.LongType()}))
 
 
-def _variants(classes: DataFrame) -> DataFrame:
-    """``(half, struck, value, fp)``: 33 keys per half; ``struck`` 32 is the whole half."""
-    halves = classes.select("fp", F.posexplode(F.array(
+def _halves(classes: DataFrame) -> DataFrame:
+    return classes.select("fp", F.posexplode(F.array(
         F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("half", "whole"))
-    struck = F.explode(F.sequence(F.lit(0), F.lit(32))).alias("struck")
-    cleared = F.expr("whole & ~shiftleft(1L, struck)")
-    return halves.select("fp", "half", "whole", struck).select(
-        "fp", "half", "struck", F.when(F.col("struck") < 32, cleared).otherwise(F.col("whole")).alias("value"))
 
 
 def _crowded(classes: DataFrame, meet: int) -> DataFrame:
-    """Keys that more than ``meet`` fingerprints share, with their block number: a variant's crowd is the sum of two
-    halves' crowds, so one of them has over half of ``meet``, and those halves are few."""
-    halves = classes.select(F.posexplode(F.array(
-        F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("half", "whole"))
-    sizes = halves.groupBy("half", "whole").agg(F.count("*").alias("n"))
+    """``(half, whole, blocks)``: the halves that have a variant which more than ``meet`` fingerprints share, with the
+    number of blocks per variant. A variant's crowd is the sum of two halves' crowds, so one of the two has over half
+    of ``meet``, and such halves are few."""
+    sizes = _halves(classes).groupBy("half", "whole").agg(F.count("*").alias("n"))
     large = cut_lineage(sizes.where(F.col("n") > meet // 2))
+    if large.isEmpty():
+        return large.select("half", "whole", F.lit(None).cast("map<int,long>").alias("blocks"))
     struck = F.explode(F.sequence(F.lit(0), F.lit(32))).alias("struck")
     keys = large.select("half", "whole", struck).select(
         "half", "struck", F.expr("if(struck < 32, whole & ~shiftleft(1L, struck), whole)").alias("value")).distinct()
     other = F.expr("if(struck < 32, value | shiftleft(1L, struck), null)")
     members = keys.select("*", F.explode(F.array("value", other)).alias("whole")).where("whole is not null")
-    return members.join(sizes, ["half", "whole"]).groupBy("half", "struck", "value").agg(F.sum("n").alias("n")) \
-        .where(F.col("n") > meet).select("half", "struck", "value",
-                                         F.ceil(2 * F.col("n") / meet).cast("long").alias("blocks"))
-
-
-def _dealt(variants: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Rows of crowded keys once for each pair of blocks that theirs takes part in."""
-    joined = variants.join(crowded, ["half", "struck", "value"], "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    plain = joined.where("blocks is null").select("half", "struck", "value", F.lit(0).cast("long").alias("a"),
-                                                  F.lit(0).cast("long").alias("b"), "fp")
-    paired = joined.where("blocks is not null").withColumn("own", own) \
-        .withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)"))).where("blocks = 1 or with <> own") \
-        .select("half", "struck", "value", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "fp")
-    return plain.unionByName(paired)
+    crowds = members.join(sizes, ["half", "whole"]).groupBy("half", "struck", "value").agg(F.sum("n").alias("n")) \
+        .where(F.col("n") > meet)
+    blocks = F.least(F.ceil(2 * F.col("n") / meet), F.lit(MOST_BLOCKS)).cast("long")
+    return members.join(crowds, ["half", "struck", "value"]).groupBy("half", "whole").agg(
+        F.map_from_entries(F.collect_list(F.struct("struck", blocks.alias("blocks")))).alias("blocks"))
+
+
+def _keyed(classes: DataFrame, meet: int) -> DataFrame:
+    """``(key, fp)``: 33 keys per half (``struck`` 32 is the whole half); under a crowded key a row stands once for
+    each pair of blocks that its own takes part in. A key holds half and ``struck`` (7 bits), the value (32 bits) and
+    the two blocks (12 bits each)."""
+    crowded = cut_lineage(_crowded(classes, meet))
+    rows = _halves(classes)
+    if crowded.isEmpty():
+        rows = rows.withColumn("blocks", F.lit(None).cast("map<int,long>"))
+    else:
+        rows = rows.join(crowded, ["half", "whole"], "left")
+    dealt = F.expr("""if(coalesce(blocks[struck], 1) = 1, array(0L),
+                      transform(filter(sequence(0L, blocks[struck] - 1), w -> w <> own),
+                                w -> least(w, own) * 4096 + greatest(w, own)))""")
+    return rows.withColumn("struck", F.explode(F.sequence(F.lit(0), F.lit(32)))) \
+        .withColumn("value", F.expr("if(struck < 32, whole & ~shiftleft(1L, struck), whole)")) \
+        .withColumn("own", F.expr("pmod(xxhash64(fp), blocks[struck])")) \
+        .withColumn("pair", F.explode(dealt)) \
+        .select(F.expr("shiftleft(shiftleft(cast(half * 33 + struck as bigint), 32) + value, 24) + pair").alias("key"), "fp")
 
 
 def _compare(x: np.ndarray, struck: int, half: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,20 +144,14 @@ def _compare(x: np.ndarray, struck: int, half: int, distance: int) -> tuple[np.n
 
 def _link_sorted(distance: int):
     """Links of rows that come ordered by key, batch after batch."""
-    keys = ["half", "struck", "value", "a", "b"]
 
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = [pdf[c].to_numpy() for c in keys]
-        x = pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64)
+    def links(key: np.ndarray, x: np.ndarray) -> pd.DataFrame:
         new = np.ones(len(x), dtype=bool)
-        for c in k[:1]:
-            new[1:] = c[1:] != c[:-1]
-        for c in k[1:]:
-            new[1:] |= c[1:] != c[:-1]
+        new[1:] = key[1:] != key[:-1]
         run = np.cumsum(new) - 1
         size = np.bincount(run)
         first = np.flatnonzero(new)
-        struck, half = k[1], k[0]
+        half, struck = np.divmod(key >> 56, 33)
         us, vs = [], []
         few = size[run] <= 64                               # small runs: compare neighbours at distance 1, 2, ...
         at = np.flatnonzero(few & (size[run] > 1))
@@ -177,21 +176,16 @@ def _link_sorted(distance: int):
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            pdf = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = pdf[keys].to_numpy()
-            same = (last == last[-1]).all(axis=1)
-            cut = len(pdf) if same.all() else len(pdf) - int(np.argmin(same[::-1]))
-            if same.all():
-                held = pdf
-                continue
-            held = pdf.iloc[cut:].reset_index(drop=True)
-            yield links(pdf.iloc[:cut].reset_index(drop=True))
-        if held is not None and len(held):
-            yield links(held)
+        key, x = np.zeros(0, np.int64), np.zeros(0, np.uint64)      # of the last key so far, which may go on
+        for pdf in batches:
+            key = np.concatenate([key, pdf["key"].to_numpy(np.int64)])
+            x = np.concatenate([x, pdf["fp"].to_numpy(np.int64).view(np.uint64)])
+            cut = np.searchsorted(key, key[-1]) if len(key) else 0
+            if cut:
+                yield links(key[:cut], x[:cut])
+                key, x = key[cut:], x[cut:]
+        if len(key):
+            yield links(key, x)
 
     return run
 
@@ -200,9 +194,7 @@ def link(classes: DataFrame, distance: int = 3, meet: int = MEET) -> DataFrame:
     """Links ``(u, v)`` that connect exactly what pairs of distinct fingerprints at ``distance`` or fewer bits do."""
     if distance > 3:
         raise ValueError("two halves with one struck bit find at most 3 differing bits")
-    keys = ["half", "struck", "value", "a", "b"]
-    dealt = _dealt(_variants(classes), _crowded(classes, meet))
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "fp") \
+    return _keyed(classes, meet).repartition("key").sortWithinPartitions("key") \
         .mapInPandas(_link_sorted(distance), "u long, v long")
 
 
@@ -224,7 +216,7 @@ def cluster(tagged: DataFrame, key: str = "doc_id", distance: int = 3) -> DataFr
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
                     distance: int = 3) -> DataFrame:
     """One row per document: key, fingerprint (hex) and component."""
-    tagged = cut_lineage(tag(docs.select(key, text), text, shingle).drop(text))
+    tagged = cut_lineage(tag(docs.select(key, text), text, shingle, keep_text=False))
     return tagged.join(cluster(tagged, key, distance), "fp").select(
         key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
