@@ -2,17 +2,17 @@
 
 The original trains GPU networks (a recurrent autoencoder, next-event
 transformers, a language model). The same input/output contract —
-``(client_id, embedding)`` with a fixed width — is served here by models
-Spark fits on the cluster:
+``(client_id, embedding)`` with a fixed width — is served here by linear
+models that Spark fits on the cluster, without any vocabulary:
 
 * ``bag_pca``: a client's bag of ``field=value`` tokens (the sum of its
-  events' field embeddings, K12, in one-hot space), reduced by a centred PCA
-  — the linear autoencoder;
-* ``item2vec``: ``ml.feature.Word2Vec`` over item sequences, client vector =
-  mean vector of its newest items;
-* ``text``: ``Word2Vec`` over whitespace tokens of the whole texts, text
-  vector = mean token vector (optionally only the last ``max_tokens``,
-  the original's left truncation);
+  events' field embeddings, K12), every token hashed with a sign into a fixed
+  number of slots, reduced by a centred PCA — the linear autoencoder;
+* ``token_vectors`` / ``item2vec``: an item's vector sums seeded ±1 vectors of
+  the items around it in the clients' sequences; a client's vector is the
+  mean over its newest items;
+* ``text``: the bag model over the last ``max_tokens`` words of each text
+  (the original's left truncation);
 * ``apply_encoder``: any user batch encoder (numpy in, numpy out) through
   ``mapInPandas`` with Arrow batches.
 """
@@ -22,184 +22,130 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import last_n
+from ..functions.draws import draw
 from ..session import cut_lineage
-from .ordering import collect_ordered
-from .vectors import top_components
+from .ordering import newest
+from .vectors import covariance, project, top_components
 
-#: Fixed value: vocabulary bound of the token bags (the PCA covariance is V × V on the driver).
-MAX_BAG_TOKENS = 2000
+#: Slots of the hashed bags (the PCA's covariance is SLOTS x SLOTS on the driver).
+SLOTS = 256
 
 
 def token_counts(long: DataFrame, fields) -> DataFrame:
-    """``(client_id, token, n)`` — every event contributes one ``field=value`` token per field."""
+    """``(client_id, token, n)`` — every event contributes one ``field=value`` token per field (null: none)."""
     toks = long.select("client_id", F.explode(F.array(*[
         F.concat(F.lit(f"{f}="), F.col(f).cast("string")) for f in fields])).alias("token"))
-    return toks.groupBy("client_id", "token").agg(F.count(F.lit(1)).alias("n"))
-
-
-def bag_entries(counts: DataFrame, max_tokens: int = MAX_BAG_TOKENS) -> tuple[DataFrame, int]:
-    """Sparse token bags ``(client_id, _i, n)`` over the ``max_tokens`` most
-    frequent tokens (ties by token; rarer tokens share the last slot), and the width.
-
-    The vocabulary is a distributed top-k (``orderBy.limit`` plans as
-    TakeOrderedAndProject: each task keeps its best ``max_tokens``), so at most
-    ``max_tokens`` rows are ranked in one task and broadcast back. A client has
-    at most ``max_tokens`` entries, whatever its number of events. The entries
-    are read by every fitting pass, so they are materialised once in the
-    shared checkpoint folder.
-    """
-    freq = counts.groupBy("token").agg(F.sum("n").alias("_f"))
-    top = freq.orderBy(F.col("_f").desc(), F.col("token").asc()).limit(max_tokens - 1)
-    w = Window.orderBy(F.col("_f").desc(), F.col("token").asc())   # ≤ max_tokens rows
-    vocab = F.broadcast(top.select("token", (F.row_number().over(w) - 1).cast("int").alias("_i")))
-    slot = F.coalesce(F.col("_i"), F.lit(max_tokens - 1))
-    entries = cut_lineage(counts.join(vocab, "token", "left").groupBy("client_id", slot.alias("_i"))
-                          .agg(F.sum("n").cast("double").alias("n")))
-    width = int(entries.agg(F.max("_i")).first()[0]) + 1
-    return entries, width
-
-
-def bag_vectors(counts: DataFrame, max_tokens: int = MAX_BAG_TOKENS) -> DataFrame:
-    """``(client_id, embedding)``: the dense view of :func:`bag_entries`."""
-    entries, width = bag_entries(counts, max_tokens)
-    m = entries.groupBy("client_id").agg(F.map_from_entries(F.collect_list(F.struct("_i", "n"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
+    return toks.where(F.col("token").isNotNull()).groupBy("client_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bag_entries(counts: DataFrame, slots: int = SLOTS, seed: int = 42) -> DataFrame:
+    """``(client_id, slot, value)``: all tokens hashed into ``slots`` signed sums; nothing is left out or merged into
+    a rest. A client has at most ``slots`` entries, whatever its number of events."""
+    sign = F.when(draw("token", seed + 1) % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
+    return counts.groupBy("client_id", (draw("token", seed) % slots).alias("slot")).agg(F.sum(sign * F.col("n")).cast("double").alias("value"))
+
+
+def bag_vectors(entries: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``(client_id, embedding)``: the entries as dense arrays of ``slots`` numbers."""
+    rows = entries.groupBy("client_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")),
                         lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)))
-    return m.select("client_id", dense.alias("embedding"))
+    return rows.select("client_id", dense.alias("embedding"))
 
 
-def sparse_pca_fit(entries: DataFrame, width: int, k: int, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """V4 fit on sparse rows: ``(mean[d], components[d, k])``.
+def _fitted_bags(counts: DataFrame, k: int, slots: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The bags, written once as they are read by the fit and the transform, with mean and components."""
+    bags = cut_lineage(bag_vectors(bag_entries(counts, slots), slots))
+    mean, cov = covariance(bags)
+    return bags, mean, top_components(cov, k)
 
-    Each task accumulates its clients' Gram matrix ``Xᵀ X``, column sums and
-    row count in numpy (dense batches of ``batch`` clients × d, one BLAS call
-    each) — no pair rows are emitted. The per-task partials (``d + 2`` arrays
-    of d) are summed elementwise per row index; only the d × d result reaches
-    the driver. Covariance ``(G - N mu muᵀ) / (N - 1)`` as the dense fit.
-    """
-    d = width
-    rows = entries.groupBy("client_id").agg(F.collect_list("_i").alias("_is"), F.collect_list("n").alias("_ns"))
-    schema = T.StructType([T.StructField("_row", T.IntegerType()),
-                           T.StructField("_g", T.ArrayType(T.DoubleType()))])
 
-    def partial(batches):
-        import pandas as pd
-        g = np.zeros((d, d))
-        sums = np.zeros(d)
-        n = 0
-        for pdf in batches:
-            for lo in range(0, len(pdf), batch):
-                part = pdf.iloc[lo:lo + batch]
-                x = np.zeros((len(part), d))
-                r = np.repeat(np.arange(len(part)), [len(v) for v in part["_is"]])
-                if len(r):
-                    x[r, np.concatenate(part["_is"].to_numpy()).astype(int)] = \
-                        np.concatenate(part["_ns"].to_numpy()).astype(float)
-                g += x.T @ x
-                sums += x.sum(axis=0)
-                n += len(part)
-        if n:
-            out = [(i, g[i]) for i in range(d)] + [(-1, sums), (-2, np.full(d, float(n)))]
-            yield pd.DataFrame({"_row": [i for i, _ in out], "_g": [v for _, v in out]})
-
-    zero = F.array_repeat(F.lit(0.0), d)
-    total = (rows.mapInPandas(partial, schema).groupBy("_row")
-             .agg(F.aggregate(F.collect_list("_g"), zero, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-                  .alias("_g"))).collect()
-    by_row = {r["_row"]: np.asarray(r["_g"], dtype=float) for r in total}
-    n_rows = float(by_row[-2][0])
-    g = np.vstack([by_row[i] for i in range(d)])
-    mean = by_row[-1] / n_rows
-    cov = (g - n_rows * np.outer(mean, mean)) / max(n_rows - 1.0, 1.0)
-    return mean, top_components(cov, k)
-
-
-def sparse_project(entries: DataFrame, mean: np.ndarray, comps: np.ndarray) -> DataFrame:
-    """V4 transform on sparse rows: ``x @ W - mu @ W`` per client, JVM-side.
-
-    Each entry joins its component row (a broadcast of d rows × k, bounded by
-    the vocabulary), is scaled by its count, and a client's rows are summed
-    elementwise (at most d arrays of k per client)."""
-    spark = entries.sparkSession
-    k = comps.shape[1]
-    rows = spark.createDataFrame([(i, comps[i].tolist()) for i in range(comps.shape[0])],
-                                 "_i int, _w array<double>")
-    offset = F.array(*[F.lit(float(-x)) for x in mean @ comps])
-    scaled = entries.join(F.broadcast(rows), "_i").select(
-        "client_id", F.transform("_w", lambda w: w * F.col("n")).alias("_v"))
-    summed = scaled.groupBy("client_id").agg(F.collect_list("_v").alias("_vs"))
-    emb = F.aggregate("_vs", offset, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
-    return summed.select("client_id", emb.alias("embedding")) if k else summed.select("client_id")
-
-
-def bag_pca(long: DataFrame, fields, k: int = 64, max_tokens: int = MAX_BAG_TOKENS) -> DataFrame:
-    """K5: token bags of each client's events, centred PCA to ``k`` components."""
-    entries, width = bag_entries(token_counts(long, fields), max_tokens)
-    mean, comps = sparse_pca_fit(entries, width, k)
-    return sparse_project(entries, mean, comps)
-
-
-def reconstruction_error(long: DataFrame, fields, k: int = 64, max_tokens: int = MAX_BAG_TOKENS) -> DataFrame:
-    """G8 re-aimed: per client, squared distance between its centred bag and the
-    bag's PCA reconstruction (``||x - mu||^2 - ||proj||^2``; components are orthonormal).
-
-    ``||x - mu||^2 = sum_nz (x_i^2 - 2 x_i mu_i) + ||mu||^2`` over the client's entries only."""
-    entries, width = bag_entries(token_counts(long, fields), max_tokens)
-    mean, comps = sparse_pca_fit(entries, width, k)
-    mu = entries.sparkSession.createDataFrame([(i, float(m)) for i, m in enumerate(mean)], "_i int, _mu double")
-    centred = (entries.join(F.broadcast(mu), "_i")
-               .groupBy("client_id").agg(F.sum(F.col("n") * F.col("n") - 2 * F.col("n") * F.col("_mu")).alias("_s"))
-               .select("client_id", (F.col("_s") + F.lit(float(mean @ mean))).alias("_sq")))
-    proj = sparse_project(entries, mean, comps).select(
+def bag_pca(long: DataFrame, fields, k: int = 64, slots: int = SLOTS) -> DataFrame:
+    """K5: hashed token bags of each client's events, centred PCA to ``k`` components."""
+    return project(*_fitted_bags(token_counts(long, fields), k, slots))
+
+
+def reconstruction_error(long: DataFrame, fields, k: int = 64, slots: int = SLOTS) -> DataFrame:
+    """G8 re-aimed: per client, squared distance between its centred bag and the bag's PCA reconstruction
+    (``||x - mu||^2 - ||proj||^2``; components are orthonormal)."""
+    bags, mean, comps = _fitted_bags(token_counts(long, fields), k, slots)
+    mu = F.lit(mean.tolist())
+    length = bags.select("client_id", F.aggregate(F.zip_with("embedding", mu, lambda x, m: (x - m) * (x - m)),
+                                                  F.lit(0.0), lambda a, x: a + x).alias("_sq"))
+    inside = project(bags, mean, comps).select(
         "client_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("_pp"))
-    return centred.join(proj, "client_id").select(
+    return length.join(inside, "client_id").select(
         "client_id", F.greatest(F.col("_sq") - F.col("_pp"), F.lit(0.0)).alias("error"))
 
 
-def _word2vec(sentences: DataFrame, col: str, k: int, seed: int, window: int, min_count: int,
-              partitions: int | None):
-    """Word2Vec fitted over ``partitions`` tasks (default: the session's shuffle
-    partitions, so training grows with the cluster and is fixed per configuration)."""
-    from pyspark.ml.feature import Word2Vec
-    if partitions is None:
-        partitions = max(1, int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return Word2Vec(vectorSize=k, minCount=min_count, seed=seed, windowSize=window,
-                    inputCol=col, outputCol="_vec", numPartitions=partitions, maxIter=1).fit(sentences)
-
-
-def item2vec(long: DataFrame, item: str, k: int = 64, max_length: int = 256, last: int = 10,
-             seed: int = 42, partitions: int | None = None) -> DataFrame:
-    """K6 re-aimed: Word2Vec over each client's newest ``max_length`` items; client
-    vector = mean vector of its newest ``last`` items. Arrays are bounded."""
-    from pyspark.ml.functions import vector_to_array
-    seqs = collect_ordered(
-        long.join(long.groupBy("client_id").agg(F.max("pos").alias("_m")), "client_id")
-            .withColumn("_rev", F.col("_m") - F.col("pos")).withColumn("_tok", F.col(item).cast("string")),
-        "client_id", "pos", ["_tok"], last_n=max_length, rev="_rev")
-    model = _word2vec(seqs, "_tok", k, seed, 5, 1, partitions)
-    recent = seqs.select("client_id", last_n(F.col("_tok"), last).alias("_tok"))
-    return model.transform(recent).select("client_id", vector_to_array("_vec", "float32").alias("embedding"))
-
-
-def tokens(text_col: str = "text") -> F.Column:
+def sign_of(token: Column, dim: Column, seed: int = 42) -> Column:
+    """Seeded ±1 of a token in a dimension."""
+    d = draw(F.concat_ws("/", token.cast("string"), dim.cast("string")), seed)
+    return F.when(d % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
+
+
+def neighbour_counts(long: DataFrame, item: str, window: int = 5) -> DataFrame:
+    """``(token, near, n)``: how often two items stand at most ``window`` places apart in a client's sequence.
+
+    Each event goes to the places that it is near to, and the pairs are counted with partial aggregation."""
+    here = long.select("client_id", F.col("pos").alias("_p"), F.col(item).alias("token"))
+    steps = F.array(*[F.lit(d) for d in range(-window, window + 1) if d])
+    near = long.select("client_id", "pos", F.col(item).alias("near"), F.explode(steps).alias("_d")) \
+        .select("client_id", (F.col("pos") + F.col("_d")).alias("_p"), "near")
+    return here.join(near, ["client_id", "_p"]).groupBy("token", "near").agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_vectors(long: DataFrame, item: str, k: int = 64, window: int = 5, seed: int = 42) -> DataFrame:
+    """``(token, dim, value)``: unit vectors, the count-weighted sum of the neighbours' seeded ±1 vectors."""
+    pairs = neighbour_counts(long, item, window)
+    signs = pairs.select("near").distinct().select("near", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("dim")) \
+        .withColumn("sign", sign_of(F.col("near"), F.col("dim"), seed))
+    sums = cut_lineage(pairs.join(signs, "near").groupBy("token", "dim").agg(F.sum(F.col("n") * F.col("sign")).alias("_s")))
+    norm = sums.groupBy("token").agg(F.sqrt(F.sum(F.col("_s").cast("double") * F.col("_s"))).alias("_l"))
+    return sums.join(norm, "token").select(
+        "token", "dim", F.when(F.col("_l") > 0, F.col("_s") / F.col("_l")).otherwise(F.lit(0.0)).alias("value"))
+
+
+def item2vec(long: DataFrame, item: str, k: int = 64, max_length: int = 256, window: int = 5,
+             seed: int = 42) -> DataFrame:
+    """K6 re-aimed: a client's vector is the mean vector of its newest ``max_length`` items (zeros where they have no
+    neighbours)."""
+    recent = cut_lineage(newest(long, "client_id", ["pos"], max_length, pos="_p0").drop("pos")
+                         .withColumnRenamed("_p0", "pos"))
+    vectors = token_vectors(recent, item, k, window, seed).groupBy("token").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("_v"))
+    held = recent.groupBy("client_id", F.col(item).alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    cells = held.join(vectors, "token", "left").select("client_id", "n", F.posexplode_outer("_v").alias("dim", "_x"))
+    sums = cells.groupBy("client_id", "dim").agg(F.sum(F.col("n") * F.col("_x")).alias("_s"))
+    total = held.groupBy("client_id").agg(F.sum("n").alias("_n"))
+    rows = sums.where("dim is not null").groupBy("client_id").agg(
+        F.array_sort(F.collect_list(F.struct("dim", "_s"))).alias("_r"))
+    zeros = F.array_repeat(F.lit(0.0), k)
+    return total.join(rows, "client_id", "left").select("client_id", F.coalesce(
+        F.transform("_r", lambda x: x["_s"] / F.col("_n")), zeros).alias("embedding"))
+
+
+def tokens(text_col: str = "text") -> Column:
     """Lower-cased whitespace tokens of the whole text."""
     return F.split(F.lower(F.trim(F.col(text_col))), r"\s+")
 
 
-def text(docs: DataFrame, k: int = 64, max_tokens: int | None = None, seed: int = 42,
-         key: str = "client_id", min_count: int = 1, partitions: int | None = None) -> DataFrame:
-    """K9 re-aimed: Word2Vec fitted on the whole corpus; document vector = mean
-    token vector of the whole text, or of its last ``max_tokens`` tokens."""
-    from pyspark.ml.functions import vector_to_array
-    toks = docs.select(F.col(key).alias("client_id"), tokens().alias("_tok"))
-    model = _word2vec(toks, "_tok", k, seed, 5, min_count, partitions)
-    use = toks if max_tokens is None else toks.select("client_id", last_n(F.col("_tok"), max_tokens).alias("_tok"))
-    return model.transform(use).select("client_id", vector_to_array("_vec", "float32").alias("embedding"))
+def text_counts(docs: DataFrame, max_tokens: int | None = None, key: str = "client_id") -> DataFrame:
+    """``(client_id, token, n)`` of the texts, of their last ``max_tokens`` words if given."""
+    words = tokens() if max_tokens is None else last_n(tokens(), max_tokens)
+    return docs.select(F.col(key).alias("client_id"), F.explode(words).alias("token")) \
+        .groupBy("client_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def text(docs: DataFrame, k: int = 64, max_tokens: int | None = None, key: str = "client_id",
+         slots: int = SLOTS) -> DataFrame:
+    """K9 re-aimed: hashed word bags of the texts (left-truncated if asked), centred PCA to ``k`` components."""
+    return project(*_fitted_bags(text_counts(docs, max_tokens, key), k, slots))
 
 
 def apply_encoder(docs: DataFrame, fn: Callable[[list[str]], np.ndarray], width: int,

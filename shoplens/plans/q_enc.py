@@ -1,50 +1,118 @@
-"""Encoder queries: fitted models, so no SQL oracle (rows-only check)."""
+"""Encoder queries: hashed bags and token vectors have SQL, eigenvectors are checked in tests."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw_sql
+from ..operators import client_text as ct
 from ..operators import encoders as en
 from ..operators import sequences as sq
+from ..operators import vectors as vx
 from ..sources.inputs import load_fixture
-from .q_seq import VISIT_MIN
+from .q_seq import EVENT_DAY_CTES, VISIT_CTES, VISIT_MIN
 from .registry import register
+from .sqlkit import with_bindings
 
 BAG_FIELDS = ["event_type", "category", "price", "sku", "url"]
+WEEK_FIELDS = ["week", *BAG_FIELDS]
+#: Words of a client text that the text encoder reads (the last ones: left truncation).
+TEXT_TOKENS = 512
+
+BAG_CTES = [
+    *EVENT_DAY_CTES,
+    ("tok", """SELECT client_id, 'event_type=' || event_type AS token FROM ed
+               UNION ALL SELECT client_id, 'day=' || day FROM ed"""),
+    ("bag", f"""SELECT client_id, {draw_sql('token', 42)} % {en.SLOTS} AS slot,
+                CAST(sum(CASE WHEN {draw_sql('token', 43)} % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) AS value
+                FROM tok GROUP BY 1, 2"""),
+]
+
+
+def _event_day_counts(spark, sf_dir):
+    return en.token_counts(sq.event_day(load_fixture(spark, sf_dir)), ["event_type", "day"])
+
+
+@register("enc_bag_entries", with_bindings(*BAG_CTES, body="SELECT * FROM bag"))
+def enc_bag_entries(spark, sf_dir):
+    """Hashed signed token sums of the event/day sequences."""
+    return en.bag_entries(_event_day_counts(spark, sf_dir))
+
+
+@register("enc_bag_cov", with_bindings(*BAG_CTES,
+    ("n", "SELECT count(DISTINCT client_id) AS n FROM bag"),
+    ("s", f"SELECT g.slot, coalesce(sum(value), 0) AS s FROM (SELECT unnest(range({en.SLOTS})) AS slot) g LEFT JOIN bag ON bag.slot = g.slot GROUP BY g.slot"),
+    ("c", "SELECT a.slot AS x, b.slot AS y, sum(a.value * b.value) AS c FROM bag a JOIN bag b ON a.client_id = b.client_id GROUP BY 1, 2"),
+    body="""SELECT CAST(p.slot AS BIGINT) AS pos, CAST(q.slot AS BIGINT) AS other,
+                   (round((coalesce(c, 0) - p.s * q.s / n) / (n - 1), 6) + 0.0) AS value
+            FROM s p CROSS JOIN s q CROSS JOIN n LEFT JOIN c ON c.x = p.slot AND c.y = q.slot"""))
+def enc_bag_cov(spark, sf_dir):
+    """K5 fit: covariance of the hashed bags."""
+    return vx.covariance_rows(en.bag_vectors(en.bag_entries(_event_day_counts(spark, sf_dir))))
+
+
+@register("enc_token_vectors", with_bindings(*VISIT_CTES,
+    ("ev", "SELECT client_id, time_idx AS p, url_code AS token FROM vs WHERE time_idx_reversed < 256"),
+    ("pairs", """SELECT a.token, b.token AS near, count(*) AS n FROM ev a JOIN ev b
+                 ON a.client_id = b.client_id AND a.p <> b.p AND abs(a.p - b.p) <= 5 GROUP BY 1, 2"""),
+    ("signs", "SELECT near, dim, CASE WHEN " + draw_sql("(near || '/' || dim)", 42) + """ % 2 = 0 THEN 1 ELSE -1 END AS sign
+              FROM (SELECT DISTINCT near FROM pairs), (SELECT unnest(range(64)) AS dim)"""),
+    ("sums", "SELECT token, dim, sum(n * sign) AS s FROM pairs JOIN signs USING (near) GROUP BY 1, 2"),
+    body="""SELECT token, CAST(dim AS INT) AS dim, (round(coalesce(s / nullif(sqrt(sum(CAST(s AS DOUBLE) * s) OVER (PARTITION BY token)), 0), 0), 6) + 0.0)
+            AS value FROM sums"""))
+def enc_token_vectors(spark, sf_dir):
+    """K6 fit: item vectors from the items around them in the newest 256 visits."""
+    return en.token_vectors(_visits(spark, sf_dir), "item", 64)
+
+
+def _visits(spark, sf_dir):
+    return sq.visits(load_fixture(spark, sf_dir), VISIT_MIN, last=256).select(
+        "client_id", F.col("time_idx").alias("pos"), F.col("url_code").alias("item"))
 
 
 @register("enc_bag_pca")
 def enc_bag_pca(spark, sf_dir):
-    """K5 + K12: bags of field=value tokens of the multi-feature sequences, centred PCA to 64."""
-    long = sq.full(load_fixture(spark, sf_dir), BAG_FIELDS)
-    return en.bag_pca(long, BAG_FIELDS, 64)
+    """K5 + K12: hashed bags of field=value tokens of the multi-feature sequences, centred PCA to 64."""
+    return en.bag_pca(sq.full(load_fixture(spark, sf_dir), BAG_FIELDS), BAG_FIELDS, 64)
+
+
+@register("enc_event_day")
+def enc_event_day(spark, sf_dir):
+    """K5 on the event/day sequences."""
+    return en.bag_pca(sq.event_day(load_fixture(spark, sf_dir)), ["event_type", "day"], 64)
+
+
+@register("enc_sku_text")
+def enc_sku_text(spark, sf_dir):
+    """K5 on the sku text sequences."""
+    return en.bag_pca(sq.sku_text(load_fixture(spark, sf_dir)), ["text"], 64)
+
+
+@register("enc_week")
+def enc_week(spark, sf_dir):
+    """K5 on the multi-feature sequences with the week."""
+    return en.bag_pca(sq.full(load_fixture(spark, sf_dir), WEEK_FIELDS), WEEK_FIELDS, 64)
 
 
 @register("enc_recon_error")
 def enc_recon_error(spark, sf_dir):
     """G8 re-aimed: per-client reconstruction error of the bag PCA."""
-    long = sq.full(load_fixture(spark, sf_dir), BAG_FIELDS)
-    return en.reconstruction_error(long, BAG_FIELDS, 64)
+    return en.reconstruction_error(sq.full(load_fixture(spark, sf_dir), BAG_FIELDS), BAG_FIELDS, 64)
 
 
 @register("enc_item2vec")
 def enc_item2vec(spark, sf_dir):
-    """K6 re-aimed: Word2Vec over visit sequences, client vector = mean of its last 10 urls."""
-    v = sq.visits(load_fixture(spark, sf_dir), VISIT_MIN).select(
-        "client_id", F.col("time_idx").alias("pos"), F.col("url_code").alias("item"))
-    return en.item2vec(v, "item", 64)
+    """K6 re-aimed: client vector = mean item vector over its newest 256 visits."""
+    return en.item2vec(_visits(spark, sf_dir), "item", 64)
 
 
 @register("enc_text")
 def enc_text(spark, sf_dir):
-    """K9 re-aimed: Word2Vec text vectors of whole documents and whole conversations."""
-    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet")).select(
-        F.col("doc_id").alias("client_id"), "text")
-    conv = spark.read.parquet(os.path.join(sf_dir, "conversations.parquet"))
-    conv_text = (conv.groupBy("conv_id")
-                 .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))),
-                                               lambda t: F.concat_ws(": ", t["role"], t["text"])), "\n").alias("text"))
-                 .select((-F.col("conv_id") - 1).alias("client_id"), "text"))
-    return en.text(docs.unionByName(conv_text), 64)
+    """K9 re-aimed: vectors of the clients' interaction texts (L1), left-truncated."""
+    return en.text(ct.interactions(load_fixture(spark, sf_dir), 64), 64, TEXT_TOKENS)
+
+
+@register("enc_text_searches")
+def enc_text_searches(spark, sf_dir):
+    """K9 re-aimed: vectors of the clients' search texts (L2), left-truncated."""
+    return en.text(ct.searches(load_fixture(spark, sf_dir), 90), 64, TEXT_TOKENS)

@@ -1,36 +1,62 @@
-"""Sparse token-bag PCA (K5) against numpy on a dense copy of the same bags."""
+"""Hashed token bags, their PCA and the token vectors against numpy and hand-made cases."""
 
 import numpy as np
 
 from shoplens.operators import encoders as en
 
 
-def _entries(spark, x):
-    rows = [(c, int(i), float(v)) for c in range(x.shape[0]) for i, v in enumerate(x[c]) if v]
-    return spark.createDataFrame(rows, "client_id long, _i int, n double")
+def _long(spark, rows):
+    return spark.createDataFrame(rows, "client_id long, pos long, a string, b long")
 
 
-def test_sparse_pca_matches_dense(spark):
+def test_no_token_is_left_out(spark):
+    rows = [(c, p, f"v{c}-{p}", p) for c in range(5) for p in range(40)] + [(9, 0, None, None)]
+    counts = en.token_counts(_long(spark, rows), ["a", "b"])
+    entries = en.bag_entries(counts, 16)
+    for slots in (16, 4096):
+        total = en.bag_entries(counts, slots).selectExpr("client_id", "value").collect()
+        assert {r.client_id for r in total} == set(range(5))
+    assert entries.groupBy("client_id").count().agg({"count": "max"}).first()[0] <= 16
+    wide = en.bag_entries(counts, 1 << 40).groupBy("client_id").agg({"value": "count"}).collect()
+    assert all(r[1] == 80 for r in wide)
+
+
+def test_projection_matches_numpy(spark):
     rng = np.random.default_rng(5)
-    x = rng.poisson(0.4, size=(120, 9)).astype(float)
-    x[:, 0] += 1                                  # every client has an entry
-    entries = _entries(spark, x)
-    mean, comps = en.sparse_pca_fit(entries, 9, 4)
-    assert np.allclose(mean, x.mean(axis=0))
+    rows = [(c, p, f"t{rng.integers(0, 30)}", int(rng.integers(0, 7))) for c in range(60) for p in range(rng.integers(1, 30))]
+    long = _long(spark, rows)
+    bags = {r.client_id: r.embedding for r in en.bag_vectors(en.bag_entries(en.token_counts(long, ["a", "b"]), 16), 16).collect()}
+    x = np.array([bags[c] for c in range(60)])
+    got = {r.client_id: r.embedding for r in en.bag_pca(long, ["a", "b"], 4, 16).collect()}
+    y = np.array([got[c] for c in range(60)])
     c = x - x.mean(axis=0)
-    _, _, vt = np.linalg.svd(c, full_matrices=False)
+    _, s, vt = np.linalg.svd(c, full_matrices=False)
     for k in range(4):
-        assert np.isclose(abs(comps[:, k] @ vt[k]), 1.0, atol=1e-8)
-    got = {r.client_id: r.embedding for r in en.sparse_project(entries, mean, comps).collect()}
-    y = np.array([got[i] for i in range(len(x))])
-    assert np.allclose(y, c @ comps, atol=1e-9)
-
-
-def test_bag_entries_vocabulary_bound(spark):
-    counts = spark.createDataFrame([(1, "a", 5), (1, "b", 1), (2, "c", 2), (2, "d", 1), (3, "a", 1)],
-                                   "client_id long, token string, n long")
-    entries, width = en.bag_entries(counts, max_tokens=3)
-    got = sorted((r.client_id, r._i, r.n) for r in entries.collect())
-    # ranks: a (6) -> 0, c (2) -> 1, b and d share the last slot 2
-    assert width == 3
-    assert got == [(1, 0, 5.0), (1, 2, 1.0), (2, 1, 2.0), (2, 2, 1.0), (3, 0, 1.0)]
+        assert np.allclose(np.abs(y[:, k]), np.abs(c @ vt[k]), atol=1e-6)
+    errors = {r.client_id: r.error for r in en.reconstruction_error(long, ["a", "b"], 4, 16).collect()}
+    want = (c ** 2).sum(axis=1) - ((c @ vt[:4].T) ** 2).sum(axis=1)
+    assert np.allclose([errors[i] for i in range(60)], want, atol=1e-6)
+
+
+def test_items_in_the_same_surroundings_get_close_vectors(spark):
+    rows = [(c, p, x, 0) for c in range(40) for p, x in enumerate(
+        ["l1", "X" if c % 2 else "Y", "r1", "l2", "Z", "r2"])]
+    vectors = {}
+    for r in en.token_vectors(_long(spark, rows), "a", 64, window=1).collect():
+        vectors.setdefault(r.token, np.zeros(64))[r.dim] = r.value
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-9 for v in vectors.values())
+    assert vectors["X"] @ vectors["Y"] > 0.99 and abs(vectors["X"] @ vectors["Z"]) < 0.7
+    clients = {r.client_id: np.array(r.embedding) for r in en.item2vec(_long(spark, rows), "a", 64, window=1).collect()}
+    want = np.mean([vectors[x] for x in ("l1", "Y", "r1", "l2", "Z", "r2")], axis=0)
+    assert np.allclose(clients[0], want)
+
+
+def test_left_truncation(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "c d")], "client_id long, text string")
+    got = {(r.client_id, r.token): r.n for r in en.text_counts(docs, 2).collect()}
+    assert got == {(1, "c"): 1, (1, "d"): 1, (2, "c"): 1, (2, "d"): 1}
+
+
+def test_client_without_neighbours_gets_zeros(spark):
+    got = en.item2vec(_long(spark, [(1, 0, "only", 0)]), "a", 8).first()
+    assert got.embedding == [0.0] * 8

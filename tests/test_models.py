@@ -21,13 +21,15 @@ def _vectors(spark, sf_dir, name):
     return {r.client_id: np.asarray(r.embedding, dtype=float) for r in entries()[name].build(spark, sf_dir).collect()}
 
 
-@pytest.mark.parametrize("name,width", [("als_categories", 64), ("als_urls", 64), ("als_signed", 80),
-                                        ("enc_bag_pca", 64), ("enc_item2vec", 64), ("enc_text", 64)])
+@pytest.mark.parametrize("name,width", [("als_categories", 64), ("als_urls", 64), ("als_signed", 64),
+                                        ("enc_bag_pca", 64), ("enc_item2vec", 64), ("enc_text", 64),
+                                        ("enc_text_searches", 64), ("enc_event_day", 64), ("enc_sku_text", 64)])
 def test_vector_tables(spark, sf_dir, name, width):
     v = _vectors(spark, sf_dir, name)
     widths = {len(x) for x in v.values()}
     assert len(widths) == 1 and widths.pop() <= width
     assert all(np.isfinite(x).all() for x in v.values())
+    assert len({tuple(np.round(x, 6)) for x in v.values()}) > 0.5 * len(v) or len(v) < 20       # no constant vector
 
 
 def test_als_is_repeatable(spark, sf_dir):
