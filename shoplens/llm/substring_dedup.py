@@ -5,7 +5,7 @@ pasted into the middle of one. A text is cut after each line, each sentence
 and each word that its own letters mark (about one in 16), so that equal
 passages are cut alike whatever surrounds them; from every cut the shortest
 run of pieces with at least ``min_words`` words makes a window. Units are
-normalised (lower case, single spaces) and hashed; shorter lines make no unit
+normalised (A-Z in lower case, single spaces) and hashed; shorter lines make no unit
 of their own, so boilerplate of a few words and clean documents stay as they are.
 
 Digests are reduced to their earliest occurrence (smallest id, then place)
@@ -31,6 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoplens.session import cut_lineage
+
 from .common import others, slices
 
 #: Words without any cut before one is made all the same.
@@ -39,27 +41,24 @@ LONGEST_PIECE = 32
 CUT_ONE_IN = 16
 
 
-def _word_places(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and end code point of each word."""
-    word = np.concatenate([[False], (points != 32) & ((points < 9) | (points > 13)), [False]])
-    change = np.flatnonzero(word[1:] != word[:-1])
-    return change[::2], change[1::2]
-
-
 def units(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digest, first and end code point of the units of a text."""
     none = np.zeros(0, dtype=np.int64)
-    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
-    starts, ends = _word_places(points)
+    data = text.encode()
+    low = np.frombuffer(data.lower(), np.uint8)             # bytes.lower: A-Z alone, so places stay
+    word = np.zeros(len(low) + 2, dtype=bool)
+    word[1:-1] = (low != 32) & ((low < 9) | (low > 13))
+    change = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = change[::2], change[1::2]
     n = len(starts)
     if n < min_words:
         return none, none, none
-    low = points + 32 * ((points >= 65) & (points <= 90))
-    last = low[ends - 1]
-    marked = (low[starts] * 40503 + last * 30011 + low[(starts + ends) // 2] * 9973 + (ends - starts) * 131) >> 3
-    lines = np.concatenate([[0], np.cumsum(points == 10)])
-    new_line = np.ones(n, dtype=bool)                     # a line ends after the word
-    new_line[:-1] = lines[starts[1:]] > lines[ends[:-1]]
+    first, last, middle = (low[at].astype(np.int64) for at in (starts, ends - 1, (starts + ends) // 2))
+    marked = (first * 40503 + last * 30011 + middle * 9973 + (ends - starts) * 131) >> 3
+    breaks = np.flatnonzero(low == 10)
+    line = np.searchsorted(breaks, starts)
+    new_line = np.ones(n, dtype=bool)                       # a line ends after the word
+    new_line[:-1] = line[1:] > line[:-1]
     cut = new_line | (last == 46) | (last == 33) | (last == 63) | (marked % CUT_ONE_IN == 0)
     at = np.arange(n)
     before = np.concatenate([[-1], np.maximum.accumulate(np.where(cut, at, -1))[:-1]])
@@ -68,23 +67,25 @@ def units(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     piece_starts = np.concatenate([[0], piece_ends[:-1] + 1])
     until = np.searchsorted(piece_ends, piece_starts + min_words - 1)
     whole = until < len(piece_ends)
-    first, final = piece_starts[whole], piece_ends[until[whole]]
     line_ends = np.flatnonzero(new_line)
     line_starts = np.concatenate([[0], line_ends[:-1] + 1])
     long = line_ends - line_starts + 1 >= min_words
-    spans = np.unique(np.stack([np.concatenate([first, line_starts[long]]),
-                                np.concatenate([final, line_ends[long]])], axis=1), axis=0)
-    words = [w.lower().encode() for w in np_words(text, starts, ends)]
-    joined = b" ".join(words)
-    stops = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    opens = np.concatenate([[0], stops[:-1] + 1])
+    spans = np.unique(np.concatenate([piece_starts[whole] * n + piece_ends[until[whole]],
+                                      line_starts[long] * n + line_ends[long]]))
+    opens, closes = np.divmod(spans, n)
+    # words joined by single spaces, and where each is in there
+    kept = word[1:-1].copy()
+    kept[ends[:-1]] = True
+    joined = np.where(word[1:-1], low, 32)[kept].tobytes()
+    width = ends - starts + 1
+    stops = np.cumsum(width) - 1
     digests = [xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in
-               zip(opens[spans[:, 0]].tolist(), stops[spans[:, 1]].tolist())]
-    return np.array(digests, dtype=np.uint64).view(np.int64), starts[spans[:, 0]], ends[spans[:, 1]]
-
-
-def np_words(text: str, starts: np.ndarray, ends: np.ndarray) -> list[str]:
-    return [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+               zip((stops[opens] - width[opens] + 1).tolist(), stops[closes].tolist())]
+    begin, end = starts[opens], ends[closes]
+    if len(data) != len(text):                              # places in bytes to places in code points
+        points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
+        begin, end = points[begin], points[end]
+    return np.array(digests, dtype=np.uint64).view(np.int64), begin, end
 
 
 def _ident(key: str, text: str) -> dict[str, Column]:
@@ -118,9 +119,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
     """``(__id, __mark, spans)``: the merged spans to remove, per document that has any."""
     found = occurrences(docs, key, text, min_words)
     # copies of one row (same id and text) count once
-    first = found.groupBy("digest").agg(
+    first = cut_lineage(found.groupBy("digest").agg(
         F.min(F.struct("__id", "__mark", "start", "end")).alias("first"),
-        F.max(F.struct("__id", "__mark", "start", "end")).alias("last")).where("first <> last").drop("last")
+        F.max(F.struct("__id", "__mark", "start", "end")).alias("last")).where("first <> last").drop("last"))
     f = F.col("first")
     own = (F.col("__id") == f["__id"]) & (F.col("__mark") == f["__mark"])
     later = found.join(first, "digest").where(~own | (F.col("start") > f["start"]))
