@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def ranking(recs: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
     """Hit rate @1 and @k, MRR@k, NDCG@k with one target per user.
@@ -38,8 +40,8 @@ def spearman(df: DataFrame, a: str, b: str) -> float:
 
 def numeric(preds: DataFrame, labels: DataFrame, key: str = "client_id", col: str = "value") -> DataFrame:
     """Spearman, MAE, RMSE and R² of ``prediction`` against ``{col}_true``."""
-    j = preds.join(labels, key, "inner").select(F.col("prediction").cast("double").alias("p"),
-                                                F.col(f"{col}_true").cast("double").alias("t"))
+    j = cut_lineage(preds.join(labels, key, "inner").select(         # read by the ranks, the mean and the errors
+        F.col("prediction").cast("double").alias("p"), F.col(f"{col}_true").cast("double").alias("t")))
     rho = spearman(j, "t", "p")
     mean_t = j.agg(F.avg("t").alias("_mt"))
     x = j.crossJoin(F.broadcast(mean_t))

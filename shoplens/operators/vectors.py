@@ -342,10 +342,12 @@ def prepare(spec: TableSpec, drop_zeros: bool = True) -> DataFrame:
 
 
 def merge_all(specs: list[TableSpec], relevant: DataFrame | None = None, drop_zeros: bool = True,
-              impute: str = "mean") -> DataFrame:
+              impute: str = "mean", drop_zeros_of: set[str] | None = None) -> DataFrame:
     """The merge pipeline: prepare each table, outer-merge, complete with the
-    relevant clients (submit mode, missing → null), impute (mean or constant 0)."""
-    merged = outer_merge([prepare(s, drop_zeros) for s in specs], [s.name for s in specs])
+    relevant clients (submit mode, missing → null), impute (mean or constant 0). ``drop_zeros_of`` names the tables
+    whose zero vectors mean "missing" (default: all of them, or none without ``drop_zeros``)."""
+    merged = outer_merge([prepare(s, drop_zeros and (drop_zeros_of is None or s.name in drop_zeros_of)) for s in specs],
+                         [s.name for s in specs])
     if relevant is not None:
         merged = complete(merged, relevant, fill=None)
     if impute == "mean":

@@ -140,3 +140,67 @@ def metrics_numeric(spark, sf_dir):
 def sample_clients(spark, sf_dir):
     """T5: a reproducible sample of 10 relevant clients (the limit is the feature)."""
     return nx.sample_rows(load_fixture(spark, sf_dir).relevant_clients, 10)
+
+
+def _field_history(spark, sf_dir, field):
+    """Cart events of each client before its last one, with one field as the item, and the last one's value."""
+    v = sq.cart(load_fixture(spark, sf_dir)).where(F.col(field).isNotNull())
+    n = v.groupBy("client_id").agg(F.max("pos").alias("_last"))
+    j = v.join(n, "client_id")
+    hist = j.where(F.col("pos") < F.col("_last")).select("client_id", "pos", F.col(field).alias("item"))
+    labels = j.where(F.col("pos") == F.col("_last")).select(
+        F.col("client_id").alias("user_id"), F.col(field).alias("item_id"))
+    return hist, labels
+
+
+def _field_ctes(field: str) -> list[tuple[str, str]]:
+    return CART_SEQ_CTES + [
+        ("fl", f"""SELECT client_id, pos, CAST({field} AS BIGINT) AS item, max(pos) OVER (PARTITION BY client_id) AS last_pos
+                   FROM cs WHERE {field} IS NOT NULL"""),
+        ("hist", "SELECT client_id, pos, item FROM fl WHERE pos < last_pos"),
+        ("labels", "SELECT client_id AS user_id, item AS item_id FROM fl WHERE pos = last_pos"),
+        ("succ", """SELECT a.item AS prev, b.item AS next, count(*) AS count FROM hist a
+                    JOIN hist b ON a.client_id = b.client_id AND b.pos = a.pos + 1 GROUP BY a.item, b.item"""),
+        *[c for c in HIST_CTES if c[0] in ("pop", "lastv", "seen")], *_recs_ctes(False)]
+
+
+_RECS = f"SELECT user_id, item_id, {r6('prediction')} AS prediction, rank FROM recs"
+
+
+def _field_recs(spark, sf_dir, field):
+    hist, labels = _field_history(spark, sf_dir, field)
+    return nx.recommend(hist.withColumn("item", F.col("item").cast("long")), K, filter_seen=False), labels
+
+
+@register("next_category_topk", with_bindings(*_field_ctes("category"), body=_RECS))
+def next_category_topk(spark, sf_dir):
+    """K7 on the cart: top-10 next categories per client."""
+    return _field_recs(spark, sf_dir, "category")[0]
+
+
+@register("next_event_topk", with_bindings(*_field_ctes("event"), body=_RECS))
+def next_event_topk(spark, sf_dir):
+    """K7 on the cart: next event kinds per client, best first; one row per client and back."""
+    return nx.rows_to_recs(nx.recs_to_rows(_field_recs(spark, sf_dir, "event")[0]))
+
+
+_METRICS = f"""SELECT CAST(count(*) AS BIGINT) AS users,
+           {r6("avg(CASE WHEN r.rank = 1 THEN 1.0 ELSE 0.0 END)")} AS hit_rate_1,
+           {r6("avg(CASE WHEN r.rank IS NOT NULL THEN 1.0 ELSE 0.0 END)")} AS hit_rate_10,
+           {r6("avg(coalesce(1.0 / r.rank, 0.0))")} AS mrr_10,
+           {r6("avg(coalesce(1.0 / log2(r.rank + 1), 0.0))")} AS ndcg_10
+    FROM labels l LEFT JOIN recs r ON l.user_id = r.user_id AND l.item_id = r.item_id AND r.rank <= 10
+    WHERE l.user_id IN (SELECT user_id FROM recs)"""
+
+
+@register("metrics_next_sku", "SELECT 'category' AS field, * FROM (" + with_bindings(*_field_ctes("category"), body=_METRICS)
+          + ") UNION ALL SELECT 'event' AS field, * FROM (" + with_bindings(*_field_ctes("event"), body=_METRICS) + ")")
+def metrics_next_sku(spark, sf_dir):
+    """Hit rates, MRR and NDCG of the next category and the next event, one row per field."""
+    out = None
+    for field in ("category", "event"):
+        recs, labels = _field_recs(spark, sf_dir, field)
+        row = rm.ranking(recs, labels.withColumn("item_id", F.col("item_id").cast("long")), K) \
+            .select(F.lit(field).alias("field"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -148,9 +148,14 @@ _STAT_CELLS = "SELECT client_id, CAST(pos AS BIGINT) AS pos, value FROM (" + " U
           + " " + _out(QUANTILE) + "mapped")
 def vec_quantile_stats(spark, sf_dir):
     """V6 over the 37 client statistics in thousandths (many ties, more rows than quantiles)."""
+    return vx.explode_vectors(vx.quantile_transform(whole_statistics(spark, sf_dir)))
+
+
+def whole_statistics(spark, sf_dir):
+    """The 37 statistics in whole thousandths, written once (the transform reads them twice)."""
     stats = round_doubles(cs.features_all(load_fixture(spark, sf_dir), submit=True))
     cells = F.array([F.floor(F.col(c).cast("double") * 1000 + 0.0005).cast("double") for c in cs.feature_columns()])
-    return vx.explode_vectors(vx.quantile_transform(cut_lineage(stats.select("client_id", cells.alias("embedding")))))
+    return cut_lineage(stats.select("client_id", cells.alias("embedding")))
 
 
 @register("vec_scale_global", with_bindings(*WHOLE_CTES, body=_out("(value - mu) / sd") + """
@@ -196,3 +201,29 @@ def vec_merge_all(spark, sf_dir):
         vx.TableSpec("block_b", b, processor=("pca", 16), scaler="normalizer"),
     ]
     return vx.merge_all(specs, relevant=inputs.relevant_clients, impute="mean")
+
+
+_MERGED_STATS = "WITH stats AS (" + merged_sql(ALL_PARTS, cs.feature_columns()) + "), cells AS (" + _STAT_CELLS + "), " \
+    + ", ".join(f"{n} AS ({q})" for n, q in quantile_ctes("cells")) \
+    + f" SELECT client_id, pos, {QUANTILE} AS value FROM mapped"
+
+
+@register("vec_merge_sql", with_bindings(*BLOCK_CTES,
+    ("sq", _MERGED_STATS),
+    ("na", "SELECT client_id, pos, CASE WHEN n = 0 THEN value ELSE value / n END AS value FROM (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY client_id)) AS n FROM la)"),
+    ("nb", "SELECT client_id, pos, CASE WHEN n = 0 THEN value ELSE value / n END AS value FROM (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY client_id)) AS n FROM lb)"),
+    ("grid3", f"SELECT client_id, CAST(unnest(range({len(cs.feature_columns())} + 64)) AS BIGINT) AS pos FROM relevant_clients"),
+    ("m3", f"""SELECT g.client_id, g.pos, coalesce(sq.value, na.value, nb.value) AS value FROM grid3 g
+               LEFT JOIN sq ON sq.client_id = g.client_id AND sq.pos = g.pos
+               LEFT JOIN na ON na.client_id = g.client_id AND na.pos + {len(cs.feature_columns())} = g.pos
+               LEFT JOIN nb ON nb.client_id = g.client_id AND nb.pos + {len(cs.feature_columns()) + 32} = g.pos"""),
+    body=_out("coalesce(value, avg(value) OVER (PARTITION BY pos))") + "m3"))
+def vec_merge_sql(spark, sf_dir):
+    """The merge pipeline without PCA, end to end: statistics in thousandths (quantile), both blocks (L2), outer merge,
+    completion with the relevant clients, mean imputation."""
+    inputs = load_fixture(spark, sf_dir)
+    a, b = blocks(spark, sf_dir)
+    specs = [vx.TableSpec("stat_features", whole_statistics(spark, sf_dir), scaler="quantile"),
+             vx.TableSpec("block_a", a, scaler="normalizer"), vx.TableSpec("block_b", b, scaler="normalizer")]
+    merged = vx.merge_all(specs, relevant=inputs.relevant_clients, impute="mean", drop_zeros_of={"block_a"})
+    return vx.explode_vectors(merged)
