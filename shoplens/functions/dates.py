@@ -67,11 +67,6 @@ def day_index(ts, first_date, offset: int = 3) -> Column:
     return (F.datediff(F.to_date(_c(ts)), _c(first_date)) + offset).cast("long")
 
 
-def iso_week(ts) -> Column:
-    """ISO week number (2024-12-30 is week 1)."""
-    return F.weekofyear(_c(ts))
-
-
 def epoch_micros(ts) -> Column:
     """Microseconds since 1970-01-01 00:00 of a naive timestamp (comparable output)."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")

@@ -32,16 +32,15 @@ def dense_codes(df: DataFrame, col: str, start: int = 0, code: str = "code") ->
 
 def encode(df: DataFrame, mapping: DataFrame, col: str, code: str, new_col: str | None = None) -> DataFrame:
     """Replace ``col`` by its code (inner: values without a code are dropped)."""
-    m = mapping.select(F.col(col).alias("_v"), F.col(code).alias(new_col or col))
-    out = df.join(m, df[col] == m["_v"], "inner").drop("_v")
-    return out.drop(col) if (new_col or col) != col else out
+    m = mapping.select(F.col(col).alias("_v"), F.col(code).alias("_code"))
+    return df.join(m, df[col] == m["_v"], "inner").drop("_v", col).withColumnRenamed("_code", new_col or col)
 
 
 def decode(df: DataFrame, mapping: DataFrame, col: str, code: str, code_col: str | None = None) -> DataFrame:
-    """Map codes back to values."""
+    """Map the codes of ``code_col`` back to values, in a column named ``col``."""
     c = code_col or code
     m = mapping.select(F.col(col).alias("_value"), F.col(code).alias("_code"))
-    return df.join(m, df[c] == m["_code"], "left").drop("_code", c).withColumnRenamed("_value", c)
+    return df.join(m, df[c] == m["_code"], "left").drop("_code", c).withColumnRenamed("_value", col)
 
 
 def _kept_codes(df: DataFrame, col: str, max_count: int, counts: DataFrame | None = None) -> DataFrame:
