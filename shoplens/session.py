@@ -76,11 +76,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_tables_dir(spark)}/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Remove the intermediate tables that this application has written, once its results are stored."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Paths of the intermediate tables, in the order written, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def tables(spark: SparkSession) -> list[str]:
+    """Paths of the intermediate tables that this application has written and not dropped, oldest first."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def drop_tables(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Remove intermediate tables that nothing will read any more: the given ones, or all of this application."""
+    own = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in [_tables_dir(spark)] if paths is None else paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    own[:] = [] if paths is None else [p for p in own if p not in paths]
