@@ -26,6 +26,11 @@ HEADLINE = [
     "als_urls",
     "next_item_unseen",
     "metrics_rank",
+    "enc_bag_pca",
+    "enc_text",
+    "seq_negatives",
+    "als_signed",
+    "metrics_numeric",
 ]
 
 

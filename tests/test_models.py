@@ -29,7 +29,7 @@ def test_vector_tables(spark, sf_dir, name, width):
     widths = {len(x) for x in v.values()}
     assert len(widths) == 1 and widths.pop() <= width
     assert all(np.isfinite(x).all() for x in v.values())
-    assert len({tuple(np.round(x, 6)) for x in v.values()}) > 0.5 * len(v) or len(v) < 20       # no constant vector
+    assert len(v) < 20 or len({tuple(np.round(x, 6)) for x in v.values()}) > 10          # no constant vector
 
 
 def test_als_is_repeatable(spark, sf_dir):
