@@ -29,11 +29,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, fold, others, slices
+from .common import WORD, fold, hashed_sample, slices, text_input, with_fields
 
 #: Words of a chain at most.
 CHAIN = 64
@@ -45,7 +46,7 @@ PRIME, ODD = 1_000_003, 0x9E3779B97F4A7C15
 MEMO = 300_000
 
 _WORDS = re.compile(WORD)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -142,7 +143,7 @@ class Model:
         if new:
             known = [bare(w) for w in new]
             self.rows = np.concatenate([self.rows, energies(known, self.lexicons, self.weight)])
-            self.letters = np.concatenate([self.letters, np.fromiter(map(bool, known), bool, len(known))])
+            self.letters = np.concatenate([self.letters, np.fromiter((any(map(str.isalpha, w)) for w in known), bool, len(known))])
             self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
@@ -226,8 +227,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
           held_out: int = 2, per_language: int = 250, per_document: int = 6, lexicon: int = 2000) -> Model:
     """Fit on labelled rows outside the held-out fold; see the module for the sample's bounds."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & (fold(key, folds) != held_out))
-    place = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(key), key))
-    chosen = labelled.select(key, lang).withColumn("place", place).where(F.col("place") <= per_language)
+    chosen = F.broadcast(hashed_sample(labelled.select(key, lang), lang, key, per_language))    # few rows a language
     texts = labelled.select(key, F.col(f"`{text}`").cast("string").alias("body")) \
         .join(chosen.select(key, F.col(lang).alias("lang"), "place"), key)
 
@@ -253,25 +253,23 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return train(spliced(data), languages, lexicons)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", words: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", words: bool = False,
+            keep_text: bool = True) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to every row, and on demand ``word_langs``, the language of each word."""
     made = {"lang_pred": T.StringType(), "score": T.DoubleType()}
     if words:
         made["word_langs"] = T.ArrayType(T.StringType())
-    names = [c for c in docs.columns if c.lower() not in (*made, "__text")]
-    src = docs.select(*others(docs, [*made, "__text"]), docs[f"`{text}`"].cast("string").alias("__text"))
-    out = T.StructType([f for f in docs.schema.fields if f.name in names]
-                       + [T.StructField(c, t) for c, t in made.items()])
+    src, names, column = text_input(docs, text, list(made), keep_text)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)            # WIDTH x languages numbers and the lexicons
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         learned = shared.value
         for batch in batches:
-            for pdf in slices(batch, "__text", 2_000_000):
+            for pdf in slices(batch, column):
                 result = pdf[names].copy()
                 rows, owner = [], []
-                for i, x in enumerate(pdf["__text"]):
+                for i, x in enumerate(pdf[column]):
                     own = chains(x) if x and learned.languages and _LETTER.search(x) else []
                     rows += own
                     owner += [i] * len(own)
@@ -294,4 +292,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", words: bool = Fal
                     result["word_langs"] = labels
                 yield result
 
-    return src.mapInPandas(run, out)
+    return src.mapInPandas(run, with_fields(docs, names, made))

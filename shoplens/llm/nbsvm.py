@@ -25,11 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_blocks, fold, others, slices
+from .common import byte_blocks, fold, hashed_sample, slices, text_input, with_fields
 
 #: Places that features are hashed to.
 WIDTH = 1 << 16
@@ -156,8 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     graded = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(key, folds) != held_out)) \
         .groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in graded.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(key), key))
-    chosen = graded.withColumn("place", place).where(F.col("place") <= per_class)       # 2 x per_class rows at most
+    chosen = hashed_sample(graded, "label", key, per_class)                             # 2 x per_class rows at most
     texts = docs.select(key, F.col(f"`{text}`").cast("string").cast("binary").alias("data")) \
         .join(F.broadcast(chosen), key).select("label", "place", "data")
 
@@ -172,18 +171,15 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit([bytes(r["bits"]) for r in got], [r["label"] for r in got], (counts.get(0, 0), counts.get(1, 0)))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add ``score`` (probability of label 1) to every row, from its whole text."""
-    names = [c for c in docs.columns if c.lower() not in ("score", "__data")]
-    src = docs.select(*others(docs, ["score", "__data"]),
-                      docs[f"`{text}`"].cast("string").cast("binary").alias("__data"))
-    out = T.StructType([f for f in docs.schema.fields if f.name in names] + [T.StructField("score", T.DoubleType())])
+    src, names, column = text_input(docs, text, ["score"], keep_text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for pdf in slices(batch, "__data"):
+            for pdf in slices(batch, column):
                 made = pdf[names].copy()
-                made["score"] = [model.score(indicators(x or b"")) for x in pdf["__data"]]
+                made["score"] = [model.score(indicators((x or "").encode())) for x in pdf[column]]
                 yield made
 
-    return src.mapInPandas(run, out)
+    return src.mapInPandas(run, with_fields(docs, names, {"score": T.DoubleType()}))

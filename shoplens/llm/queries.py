@@ -35,7 +35,8 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by a rank file and decoded again: token counts and digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.fingerprints(bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True).drop("text"), "doc_id")
+    return bpe.fingerprints(bpe.encode(
+        docs, ranks, public_tokenizers.PATTERN, decoded=True, keep_text=False), "doc_id")
 
 
 @query
@@ -114,7 +115,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by a model that never saw the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = nbsvm.learn(docs, table(spark, sf_dir, "labels"))
-    return nbsvm.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
+    return nbsvm.score(docs, model, keep_text=False).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
                                            (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -123,7 +124,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by a model that never saw the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     model = crf_langid.learn(docs.select("doc_id", "text", "lang"))
-    return crf_langid.predict(docs.select("doc_id", "text"), model).select(
+    return crf_langid.predict(docs.select("doc_id", "text"), model, keep_text=False).select(
         "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 

@@ -30,13 +30,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoplens.session import cut_lineage
 
-from .common import others, slices
+from .common import hashed_sample, others, slices, text_input, with_fields
 
 #: Kinds in the order of results, their patterns and least lengths.
 KINDS = ["assign", "access", "hex", "format"]
@@ -200,42 +200,54 @@ def infer(values: list[str], refuse: float = 0.05) -> Automaton | None:
     return made
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
+_ITEM = [T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()),
+         T.StructField("end", T.IntegerType()), T.StructField("at", T.IntegerType()),
+         T.StructField("value", T.StringType())]
+
+
+def find(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add ``found`` (base spans and candidates) to every row, from its whole text."""
-    kept = others(docs, ["found", "__text"])
-    names = [c for c in docs.columns if c.lower() not in ("found", "__text")]
-    item = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()),
-                                     T.StructField("end", T.IntegerType()), T.StructField("at", T.IntegerType()),
-                                     T.StructField("value", T.StringType())]))
-    out = T.StructType([f for f in docs.schema.fields if f.name in names] + [T.StructField("found", item)])
-    fields = [f.name for f in item.elementType.fields]
+    src, names, column = text_input(docs, text, ["found"], keep_text)
+    fields = [f.name for f in _ITEM]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for pdf in slices(batch, "__text"):
+            for pdf in slices(batch, column):
                 made = pdf[names].copy()
-                made["found"] = [[dict(zip(fields, s)) for s in scan(x or "")] for x in pdf["__text"]]
+                made["found"] = [[dict(zip(fields, s)) for s in scan(x or "")] for x in pdf[column]]
                 yield made
 
-    return docs.select(*kept, docs[f"`{text}`"].cast("string").alias("__text")).mapInPandas(run, out)
+    return src.mapInPandas(run, with_fields(docs, names, {"found": T.ArrayType(T.StructType(_ITEM))}))
 
 
 def automata(found: DataFrame, sample: int = 2000) -> list[Automaton]:
     """One automaton per kind that has enough credentials; ``sample`` bounds what is learned from, per kind."""
     values = found.select(F.explode(F.filter("found", lambda s: s["kind"] < 3)).alias("s")) \
         .select("s.kind", "s.value").where(F.length("value") <= 256).distinct()
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
-    rows = values.withColumn("place", place).where(F.col("place") <= sample).orderBy("kind", "place").collect()
+    rows = hashed_sample(values, "kind", "value", sample).orderBy("kind", "place").collect()
     made = [infer([r["value"] for r in rows if r["kind"] == k]) for k in range(3)]
     return [m for m in made if m is not None]
 
 
-def decide(found: DataFrame, models: list[Automaton]) -> DataFrame:
-    """Keep base spans and the candidates that the automata accept; add each span's ``score``."""
-    item = T.ArrayType(T.StructType([*found.schema["found"].dataType.elementType.fields,
-                                     T.StructField("score", T.DoubleType())]))
+def clean(body: str | None, spans: list[dict]) -> str | None:
+    """The text with the values of the spans replaced (values that overlap are replaced as one)."""
+    if body is None or not spans:
+        return body
+    pieces, at = [], 0
+    for a, b in sorted((s["at"], s["end"]) for s in spans):
+        if b <= at:
+            continue
+        if a >= at:
+            pieces += [body[at:a], REPLACEMENT]
+        at = b
+    return "".join(pieces) + body[at:]
+
+
+def decide(found: DataFrame, models: list[Automaton], redact_text: str | None = None) -> DataFrame:
+    """Keep base spans and the candidates that the automata accept as ``spans``, with each span's ``score``; replace
+    their values in the column ``redact_text`` if one is named."""
     names = [c for c in found.columns if c != "found"]
-    out = T.StructType([f for f in found.schema.fields if f.name != "found"] + [T.StructField("spans", item)])
+    item = T.ArrayType(T.StructType([*_ITEM, T.StructField("score", T.DoubleType())]))
 
     def judged(spans) -> list[dict]:
         kept = []
@@ -251,47 +263,27 @@ def decide(found: DataFrame, models: list[Automaton]) -> DataFrame:
         for pdf in batches:
             made = pdf[names].copy()
             made["spans"] = [judged(x) for x in pdf["found"]]
+            if redact_text is not None:
+                made[redact_text] = [clean(x, s) for x, s in zip(pdf[redact_text], made["spans"])]
             yield made
 
-    return found.mapInPandas(run, out)
+    return found.mapInPandas(run, with_fields(found, names, {"spans": item}))
 
 
 def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 2000) -> DataFrame:
     """``(key, spans)`` per row; spans are structs of kind number, start, end, start of the value, value and score."""
-    found = cut_lineage(find(docs.select(key, text), text).drop(text))
+    found = cut_lineage(find(docs.select(key, text), text, keep_text=False))
     return decide(found, automata(found, sample))
 
 
-def joined(spans, kinds: int):
-    """``kind:start:end`` of the spans below a kind number, comma-joined."""
-    names = F.lit(KINDS)
-    some = F.filter(spans, lambda s: s["kind"] < kinds)
-    return F.array_join(F.transform(some, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
-
-
 def redact(docs: DataFrame, text: str = "text", sample: int = 2000) -> DataFrame:
     """All rows and columns of ``docs`` with the values of all secrets replaced in the text, and ``spans``."""
     found = cut_lineage(find(docs.select(*others(docs, ["found", "spans"])), text))
-    models = automata(found.select("found"), sample)
-    judged = decide(found, models)
-    names = [c for c in judged.columns]
-
-    def clean(body: str | None, spans) -> str | None:
-        if body is None or not len(spans):
-            return body
-        pieces, at = [], 0
-        for a, b in sorted((s["at"], s["end"]) for s in spans):
-            if b <= at:
-                continue
-            if a >= at:
-                pieces += [body[at:a], REPLACEMENT]
-            at = b
-        return "".join(pieces) + body[at:]
+    return decide(found, automata(found.select("found"), sample), text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = pdf[names].copy()
-            made[text] = [clean(x, s) for x, s in zip(pdf[text], pdf["spans"])]
-            yield made
 
-    return judged.mapInPandas(run, judged.schema)
+def joined(spans, kinds: int):
+    """``kind:start:end`` of the spans below a kind number, comma-joined."""
+    names = F.lit(KINDS)
+    some = F.filter(spans, lambda s: s["kind"] < kinds)
+    return F.array_join(F.transform(some, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")

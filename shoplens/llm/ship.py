@@ -1,4 +1,5 @@
-"""Send this package to the executors, which import the operators' Python code by name."""
+"""Session set-up of this subpackage: the package goes to the executors, which import the operators' Python code by
+name, and Arrow batches get a bound in bytes, since texts can be long."""
 
 from __future__ import annotations
 
@@ -13,9 +14,15 @@ import shoplens
 _SENT: set[str] = set()
 
 
+#: Bytes of an Arrow batch that a Python worker gets (a longer row makes a batch of its own).
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Add the package to the session's Python files, once per application (the driver serves them to executors)."""
+    """Bound the batches, and add the package to the session's Python files, once per application (the driver serves
+    them to the executors)."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if sc.applicationId in _SENT:
         return
     root = os.path.dirname(os.path.abspath(shoplens.__file__))
