@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shoplens.llm import packing, quality_rules, secret_scan, simhash, substring_dedup
 from shoplens.llm.ship import ship
-from shoplens.session import cut_lineage
+from shoplens.session import cut_lineage, drop_tables, tables
 
 #: No SQL: the rules and formats are learned and the fingerprints are hashes of shingles (tests compare with brute force).
 ORACLE_SQL = None
@@ -61,18 +61,47 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Intermediate tables of the stage that ran last, by application.
+_LEFT: dict[str, list[str]] = {}
+
+
+def _tidy(stage: Stage) -> Stage:
+    """The stage, which first drops the intermediate tables of the stage before it, unless ``docs`` still reads them
+    (its result has been written by then)."""
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        left = _LEFT.pop(app, [])
+        if left:
+            files = docs.inputFiles()
+            drop_tables(spark, [t for t in left if not any(t.split("/")[-1] in f for f in files)])
+        before = set(tables(spark))
+        result = stage(spark, docs, sf_dir)
+        _LEFT[app] = [t for t in tables(spark) if t not in before]
+        return result
+
+    run_stage.__name__, run_stage.__doc__ = stage.__name__, stage.__doc__
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality rules", quality),
-    ("SimHash near-dedup", near_duplicates),
-    ("substring dedup", repeated_passages),
-    ("secret scans", secrets),
-    ("best-fit packing", packed),
+    ("quality rules", _tidy(quality)),
+    ("SimHash near-dedup", _tidy(near_duplicates)),
+    ("substring dedup", _tidy(repeated_passages)),
+    ("secret scans", _tidy(secrets)),
+    ("best-fit packing", _tidy(packed)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the ``documents`` of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the ``documents`` of ``sf_dir``; each stage's result is written once, and dropped when the next
+    one's is."""
+    docs, table = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, cut_lineage(docs) if at else docs, sf_dir)
+        docs = stage(spark, docs, sf_dir)
+        if at + 1 < len(STAGES):
+            before, docs = table, cut_lineage(docs)
+            table = tables(spark)[-1]
+            if before is not None:
+                drop_tables(spark, [before])
     return docs
