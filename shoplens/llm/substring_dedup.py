@@ -1,91 +1,151 @@
-"""Removal of passages that repeat, by hashing lines and content-defined units.
-
-Whole lines are units, as are windows inside lines, because a passage is often
-pasted into the middle of one. A text is cut after each line, each sentence
-and each word that its own letters mark (about one in 16), so that equal
-passages are cut alike whatever surrounds them; from every cut the shortest
-run of pieces with at least ``min_words`` words makes a window. Units are
-normalised (A-Z in lower case, single spaces) and hashed; shorter lines make no unit
-of their own, so boilerplate of a few words and clean documents stay as they are.
-
-Digests are reduced to their earliest occurrence (smallest id, then place)
-with partial aggregation, so a passage in a third of all documents leaves each
-task as one row. Only digests with a second occurrence are joined back, and
-every later occurrence is removed; a later occurrence that overlaps the
-earliest in its own document loses only what lies behind it. Spans are code
-points of the original text, merged per document.
-
-Rows: a null text has no units and stays null; a null id ranks first. Rows that
+"""Removal of passages that repeat, by hashing every window of ``min_words`` words.
+
+A window is a run of ``min_words`` words anywhere in a text, across lines too;
+words are normalised (A-Z in lower case, any white space between them). A
+window that an earlier document (smaller id) or place has is removed, so every
+repeated run of ``min_words`` words or more goes from its first word to its
+last, whatever surrounds it; shorter repeats stay. A later window that overlaps
+the earliest one in its own document loses only what lies behind it.
+
+Windows do not travel one by one. Each has an anchor: the 8-word run of least
+hash in it, which depends on its own words alone. Neighbouring windows with the
+anchor in one place make a group (nine or ten on average, at most 18), which is
+one row. Anchors are counted first with partial aggregation, and groups whose anchor
+occurs once are never made, since equal windows have equal anchors. Equal groups
+are reduced to their earliest occurrence, and later ones are removed whole.
+What is left to compare are the windows of the earliest groups whose anchor has
+several different groups: the ends of passages, and short common phrases.
+
+Rows: a null text has no windows and stays null; a null id ranks first. Rows that
 repeat id and text are one document and lose the same spans; rows that share an
 id only are different documents. Empty tables give empty results. Output
-columns replace input columns of the same name.
+columns replace input columns of the same name. Spans are code points of the
+original text, merged per document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.session import cut_lineage
+from shoplens.session import cut_lineage, drop_tables, tables
 
 from .common import others, slices
 
-#: Words without any cut before one is made all the same.
-LONGEST_PIECE = 32
-#: One word in this many ends a piece.
-CUT_ONE_IN = 16
+#: Words of an anchor (fewer if windows have under 24 words).
+ANCHOR_WORDS = 8
+#: Bytes whose words are hashed at once (a longer word is taken whole).
+BLOCK = 1 << 20
+#: Odd bases of the polynomial hashes over the bytes of a word and over words, modulo 2**64.
+BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD95
 
 
-def units(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, first and end code point of the units of a text."""
-    none = np.zeros(0, dtype=np.int64)
-    data = text.encode()
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (the finalizer of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: A random number for each byte.
+BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+@lru_cache(maxsize=8)
+def _some_powers(base: int, size: int) -> np.ndarray:
+    factors = np.full(size, base, dtype=np.uint64)
+    factors[0] = 1
+    return np.multiply.accumulate(factors)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The powers 0 to n - 1 of a base or, more of them, kept for the next call unless they are many."""
+    size = max(1 << 16, 1 << (n - 1).bit_length())
+    return (_some_powers if size <= 2 * BLOCK else _some_powers.__wrapped__)(base, size)[:n]
+
+
+def _inverse(base: int) -> int:
+    return pow(base, -1, 1 << 64)
+
+
+def _word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, from sums over its bytes."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
+        base, top = int(starts[i]), int(ends[j - 1])
+        sums = np.zeros(top - base + 1, dtype=np.uint64)
+        np.cumsum(BYTES[low[base:top]] * _powers(BYTE_BASE, top - base), out=sums[1:])
+        at = starts[i:j] - base
+        out[i:j] = (sums[ends[i:j] - base] - sums[at]) * _powers(_inverse(BYTE_BASE), top - base)[at]
+        i = j
+    return _mix(out + (ends - starts).astype(np.uint64))
+
+
+class Windows(NamedTuple):
+    """The windows of some texts, in order, and their groups."""
+    digest: np.ndarray      #: of each window
+    start: np.ndarray       #: its first code point
+    end: np.ndarray         #: the code point behind it
+    head: np.ndarray        #: first window of each group, and the number of windows
+    doc: np.ndarray         #: text of each group
+    anchor: np.ndarray      #: hash of the anchor of each group
+    whole: np.ndarray       #: hash of all words of each group
+
+
+def windows(texts: Sequence[str], min_words: int) -> Windows:
+    """All windows of the texts."""
+    coded = [t.encode() for t in texts]
+    data = b"\n".join(coded)
+    origin = np.cumsum([0] + [len(x) + 1 for x in coded[:-1]])
     low = np.frombuffer(data.lower(), np.uint8)             # bytes.lower: A-Z alone, so places stay
     word = np.zeros(len(low) + 2, dtype=bool)
     word[1:-1] = (low != 32) & ((low < 9) | (low > 13))
     change = np.flatnonzero(word[1:] != word[:-1])
     starts, ends = change[::2], change[1::2]
-    n = len(starts)
-    if n < min_words:
-        return none, none, none
-    first, last, middle = (low[at].astype(np.int64) for at in (starts, ends - 1, (starts + ends) // 2))
-    marked = (first * 40503 + last * 30011 + middle * 9973 + (ends - starts) * 131) >> 3
-    breaks = np.flatnonzero(low == 10)
-    line = np.searchsorted(breaks, starts)
-    new_line = np.ones(n, dtype=bool)                       # a line ends after the word
-    new_line[:-1] = line[1:] > line[:-1]
-    cut = new_line | (last == 46) | (last == 33) | (last == 63) | (marked % CUT_ONE_IN == 0)
-    at = np.arange(n)
-    before = np.concatenate([[-1], np.maximum.accumulate(np.where(cut, at, -1))[:-1]])
-    cut |= (at - before) % LONGEST_PIECE == 0
-    piece_ends = np.flatnonzero(cut)
-    piece_starts = np.concatenate([[0], piece_ends[:-1] + 1])
-    until = np.searchsorted(piece_ends, piece_starts + min_words - 1)
-    whole = until < len(piece_ends)
-    line_ends = np.flatnonzero(new_line)
-    line_starts = np.concatenate([[0], line_ends[:-1] + 1])
-    long = line_ends - line_starts + 1 >= min_words
-    spans = np.unique(np.concatenate([piece_starts[whole] * n + piece_ends[until[whole]],
-                                      line_starts[long] * n + line_ends[long]]))
-    opens, closes = np.divmod(spans, n)
-    # words joined by single spaces, and where each is in there
-    kept = word[1:-1].copy()
-    kept[ends[:-1]] = True
-    joined = np.where(word[1:-1], low, 32)[kept].tobytes()
-    width = ends - starts + 1
-    stops = np.cumsum(width) - 1
-    digests = [xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in
-               zip((stops[opens] - width[opens] + 1).tolist(), stops[closes].tolist())]
-    begin, end = starts[opens], ends[closes]
-    if len(data) != len(text):                              # places in bytes to places in code points
+    n, k = len(starts), max(1, min(ANCHOR_WORDS, min_words // 3))
+    doc = np.searchsorted(origin, starts, "right") - 1
+    at = np.flatnonzero(doc[:max(0, n - min_words + 1)] == doc[min_words - 1:])
+    if not len(at):
+        none = np.zeros(0, dtype=np.int64)
+        return Windows(none, none, none, np.zeros(1, dtype=np.int64), none, none, none)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_word_hashes(low, starts, ends) * _powers(WORD_BASE, n), out=sums[1:])
+    back = _powers(_inverse(WORD_BASE), n)
+    short = _mix((sums[k:] - sums[:-k]) * back[:n - k + 1])
+    # least anchor of each window, the leftmost of equal ones, by doubling
+    least, place, size, span = short, np.arange(len(short)), 1, min_words - k + 1
+    while size < span:
+        step = min(size, span - size)
+        right = least[step:] < least[:-step]
+        least = np.where(right, least[step:], least[:-step])
+        place = np.where(right, place[step:], place[:-step])
+        size += step
+    place = place[at]
+    head = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(at)]])
+    opens, closes = at[head[:-1]], at[head[1:] - 1] + min_words
+    digest = _mix((sums[at + min_words] - sums[at]) * back[at])
+    whole = _mix((sums[closes] - sums[opens]) * back[opens] + (closes - opens).astype(np.uint64))
+    begin, end, zero = starts[at], ends[at + min_words - 1], origin
+    if not data.isascii():                                  # places in bytes to places in code points
         points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
-        begin, end = points[begin], points[end]
-    return np.array(digests, dtype=np.uint64).view(np.int64), begin, end
+        begin, end, zero = points[begin], points[end], points[origin]
+    own = zero[doc[at]]
+    return Windows(digest.view(np.int64), begin - own, end - own, head, doc[opens],
+                   short[place[head[:-1]]].view(np.int64), whole.view(np.int64))
+
+
+def units(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest, first and end code point of the windows of a text."""
+    return windows([text], min_words)[:3]
 
 
 def _ident(key: str, text: str) -> dict[str, Column]:
@@ -94,41 +154,121 @@ def _ident(key: str, text: str) -> dict[str, Column]:
             "__mark": F.hash(F.col(f"`{text}`").cast("string"))}
 
 
-def occurrences(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """``(__id, __mark, digest, start, end)``, one row per unit."""
-    ident = _ident(key, text)
-    src = docs.select(*[c.alias(n) for n, c in ident.items()], F.col(f"`{text}`").cast("string").alias("__text")) \
+def _source(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
+    """``(__id, __mark, __text)`` of the documents that can have a window."""
+    return docs.select(*[c.alias(n) for n, c in _ident(key, text).items()],
+                       F.col(f"`{text}`").cast("string").alias("__text")) \
         .where(F.length("__text") >= 2 * min_words - 1)
 
+
+def _anchors(src: DataFrame, min_words: int, names: list[str]) -> DataFrame:
+    """The anchor of each group, after the columns ``names`` of its document."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for pdf in slices(batch, "__text"):
-                made = [units(x, min_words) for x in pdf["__text"]]
-                n = [len(d) for d, _, _ in made]
-                yield pd.DataFrame({
-                    "__id": np.repeat(pdf["__id"].to_numpy(np.int64), n),
-                    "__mark": np.repeat(pdf["__mark"].to_numpy(np.int32), n),
-                    "digest": np.concatenate([d for d, _, _ in made]),
-                    "start": np.concatenate([s for _, s, _ in made]).astype(np.int32),
-                    "end": np.concatenate([e for _, _, e in made]).astype(np.int32)})
+                w = windows(pdf["__text"].tolist(), min_words)
+                yield pd.DataFrame({c: pdf[c].to_numpy()[w.doc] for c in names} | {"anchor": w.anchor})
 
-    return src.mapInPandas(run, "__id long, __mark int, digest long, start int, end int")
+    types = dict(src.dtypes)
+    return src.select(*names, "__text").mapInPandas(run, ", ".join([*(f"{c} {types[c]}" for c in names), "anchor long"]))
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 25) -> DataFrame:
-    """``(__id, __mark, spans)``: the merged spans to remove, per document that has any."""
-    found = occurrences(docs, key, text, min_words)
-    # copies of one row (same id and text) count once
-    first = cut_lineage(found.groupBy("digest").agg(
-        F.min(F.struct("__id", "__mark", "start", "end")).alias("first"),
-        F.max(F.struct("__id", "__mark", "start", "end")).alias("last")).where("first <> last").drop("last"))
+def _groups(src: DataFrame, min_words: int) -> DataFrame:
+    """The groups whose anchor is among the ``anchors`` of their document: ``(__id, __mark, anchor, whole, start,
+    first_end, end, digests, places)``; the last two hold the windows' digests, and their starts and ends counted from
+    the group's start."""
+    def packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        until = np.concatenate([[0], np.cumsum(sizes * values.nbytes // max(1, len(values)))]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [
+            None, pa.py_buffer(until), pa.py_buffer(np.ascontiguousarray(values))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pdf in slices(batch.to_pandas(), "__text"):
+                w = windows(pdf["__text"].tolist(), min_words)
+                at = np.flatnonzero(np.isin(w.anchor, np.concatenate(pdf["anchors"].tolist())))
+                sizes, first, last = np.diff(w.head)[at], w.head[at], w.head[at + 1] - 1
+                own = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+                base = np.repeat(w.start[first], sizes)
+                places = np.stack([w.start[own] - base, w.end[own] - base], axis=1)
+                places = places.astype("<u2" if places.max(initial=0) < 1 << 16 else "<u4")
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(pdf["__id"].to_numpy(np.int64)[w.doc[at]]),
+                    pa.array(pdf["__mark"].to_numpy(np.int32)[w.doc[at]]),
+                    pa.array(w.anchor[at]), pa.array(w.whole[at]), pa.array(w.start[first].astype(np.int32)),
+                    pa.array(w.end[first].astype(np.int32)), pa.array(w.end[last].astype(np.int32)),
+                    packed(w.digest[own], sizes), packed(places, sizes)],
+                    ["__id", "__mark", "anchor", "whole", "start", "first_end", "end", "digests", "places"])
+
+    return src.mapInArrow(run, "__id long, __mark int, anchor long, whole long, start int, first_end int, end int, "
+                               "digests binary, places binary")
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per window of the groups."""
+    for batch in batches:
+        digests, places = batch.column("digests").to_pylist(), batch.column("places").to_pylist()
+        n = [len(d) // 8 for d in digests]
+        at = np.concatenate([np.frombuffer(p, "<u2" if len(p) == 4 * m else "<u4").astype(np.int32)
+                             for p, m in zip(places, n)] or [np.zeros(0, np.int32)]).reshape(-1, 2)
+        at = at + np.repeat(batch.column("start").to_numpy(), n)[:, None].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.frombuffer(b"".join(digests), np.int64)),
+            pa.array(np.repeat(batch.column("__id").to_numpy(), n)),
+            pa.array(np.repeat(batch.column("__mark").to_numpy(), n)),
+            pa.array(np.ascontiguousarray(at[:, 0])), pa.array(np.ascontiguousarray(at[:, 1]))],
+            ["digest", "__id", "__mark", "start", "end"])
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """``cut_lineage``; the shuffle files of what is written go when it is, not at some later collection."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.set(name, before)
+
+
+def _later(found: DataFrame, first: DataFrame, names: list[str], first_end: str) -> DataFrame:
+    """``(__id, __mark, start, end)`` of what is found after its first occurrence, behind that one's (first) window."""
     f = F.col("first")
     own = (F.col("__id") == f["__id"]) & (F.col("__mark") == f["__mark"])
-    later = found.join(first, "digest").where(~own | (F.col("start") > f["start"]))
-    kept = later.select("__id", "__mark", F.when(own, F.greatest("start", f["end"])).otherwise(F.col("start"))
+    later = found.join(first, names).where(~own | (F.col("start") > f["start"]))
+    return later.select("__id", "__mark", F.when(own, F.greatest("start", f[first_end])).otherwise(F.col("start"))
                         .alias("start"), "end").where("start < end")
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 25) -> DataFrame:
+    """``(__id, __mark, spans)``: the merged spans to remove, per document that has any."""
+    spark = docs.sparkSession
+    before = set(tables(spark))
+    src = _source(docs, key, text, min_words)
+    shared = _stored(_anchors(src, min_words, []).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+                         .select("anchor"))
+    ident = ["__id", "__mark"]
+    of_doc = _anchors(src, min_words, ident).join(shared, "anchor", "left_semi") \
+        .groupBy(*ident).agg(F.collect_set("anchor").alias("anchors"))
+    groups = _stored(_groups(src.join(of_doc, ident), min_words))
+    place = ["__id", "__mark", "start"]
+    first = _stored(groups.groupBy("anchor", "whole").agg(
+        F.min(F.struct(*place, "first_end", "digests", "places")).alias("first"), F.max(F.struct(*place)).alias("last")))
+    # copies of one row (same id and text) count once
+    again = first.where(F.struct(*[F.col("first")[c] for c in place]) != F.col("last")) \
+        .select("anchor", "whole", F.struct(*[F.col("first")[c].alias(c) for c in [*place, "first_end"]]).alias("first"))
+    whole = _later(groups.drop("digests", "places"), again, ["anchor", "whole"], "first_end")
+    several = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    found = _stored(first.join(several, "anchor", "left_semi").select("first.*").drop("first_end").mapInArrow(
+        _opened, "digest long, __id long, __mark int, start int, end int"))
+    earliest = found.groupBy("digest").agg(F.min(F.struct(*place, "end")).alias("first"), F.max(F.struct(*place, "end"))
+                                           .alias("last")).where("first <> last").drop("last")
+    parts = _later(found, earliest, ["digest"], "end")
     spans = F.array_sort(F.collect_set(F.struct("start", "end")))
-    return kept.groupBy("__id", "__mark").agg(spans.alias("spans")).withColumn("spans", _merged(F.col("spans")))
+    done = _stored(whole.union(parts).groupBy("__id", "__mark").agg(spans.alias("spans"))
+                   .withColumn("spans", _merged(F.col("spans"))))
+    drop_tables(spark, [t for t in tables(spark)[:-1] if t not in before])
+    return done
 
 
 def _merged(spans: Column) -> Column:

@@ -1,5 +1,7 @@
 """Removed passages against a brute-force version of the same units, and planted passages."""
 
+import random
+
 import numpy as np
 
 from shoplens.llm import substring_dedup as sd
@@ -98,3 +100,25 @@ def test_repeat_inside_a_document_overlapping_itself(llm_spark):
     rows = [(1, "word " * 400, "en", "a", 1)]
     got = sd.remove(llm_spark.createDataFrame(rows, DOC_SCHEMA)).first()
     assert 0 < len(got["text"].split()) < 100               # the first occurrence stays whole
+
+
+def test_every_passage_of_51_words_shares_a_unit():
+    marked = prose(43, 400).split()
+    for words in (marked, [w.strip(".") for w in marked]):
+        for i in range(len(words) - 50):
+            passage = " ".join(words[i:i + 51])
+            a, b = (set(sd.units(f"{prose(50 + 2 * i + j, 30 + j)} x{j} {passage} y{j} {prose(j, 9)}", 25)[0].tolist())
+                    for j in range(2))
+            assert a & b
+
+
+def test_every_window_that_occurred_before_goes(llm_spark):
+    rng = random.Random(5)
+    pool = [prose(900 + i, 12 + 5 * i).split() for i in range(9)] + [["la"] * 40, ["ti", "to", "ta"] * 14]
+    texts = [" ".join(w for _ in range(12) for p in [rng.choice(pool)]
+                      for w in p[rng.randrange(len(p) // 2):rng.randrange(len(p) // 2, len(p) + 1)]) for _ in range(60)]
+    docs = llm_spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOC_SCHEMA)
+    want = brute(docs.collect(), 25)
+    got = sd.remove(docs.repartition(4)).collect()
+    assert {(r["doc_id"], tuple(tuple(s) for s in r["spans"])) for r in got} == \
+        {(i, tuple(tuple(s) for s in want.get((i, t), []))) for i, t in enumerate(texts)}
