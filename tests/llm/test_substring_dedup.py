@@ -112,6 +112,19 @@ def test_every_passage_of_51_words_shares_a_unit():
             assert a & b
 
 
+def test_passages_at_every_offset_go_whole(llm_spark):
+    marked = prose(41, 51).replace("\n", " ")
+    bare = " ".join(w.strip(".") for w in prose(42, 51).split())
+    rows = [(0, prose(600, 90) + " " + marked + " " + prose(601, 80), "en", "a", 1),
+            (1, prose(602, 33) + " " + bare + " " + prose(603, 70), "en", "a", 1)]
+    rows += [(10 + i, prose(700 + i, 70 + i) + f" x{i} " + (marked, bare)[i % 2] + f" y{i} " + prose(800 + i, 60), "en", "a", 1) for i in range(40)]
+    got = {r["doc_id"]: r for r in sd.remove(llm_spark.createDataFrame(rows, DOC_SCHEMA)).collect()}
+    for i, text, *_ in rows:
+        passage = (marked, bare)[i % 2]
+        want = [(text.index(passage), text.index(passage) + len(passage))] if i >= 10 else []
+        assert [tuple(s) for s in got[i]["spans"]] == want
+
+
 def test_every_window_that_occurred_before_goes(llm_spark):
     rng = random.Random(5)
     pool = [prose(900 + i, 12 + 5 * i).split() for i in range(9)] + [["la"] * 40, ["ti", "to", "ta"] * 14]
