@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf_langid, multi_index, nbsvm, packing, quality_rules, secret_scan, simhash, substring_dedup, warc
+from . import (bpe, collocations, crf_langid, license_scan, multi_index, nbsvm, packing, quality_rules, secret_scan,
+               simhash, spelling, substring_dedup, warc)
 from .common import fold
 from .ship import ship
 
@@ -132,3 +133,60 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at cosine 0.9 or more among all embeddings, and their components."""
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of 2 to 4 words of each language."""
+    return collocations.top_phrases(table(spark, sf_dir, "documents").select("lang", "text"), least=30, first=2000)
+
+
+SQL["op11_collocations"] = r"""
+WITH piece AS (
+       SELECT lang, row_number() OVER () AS piece, words FROM (
+         SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda w: w <> '') AS words FROM (
+           SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents))
+       WHERE len(words) > 0),
+     gram AS (
+       SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (
+         SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM piece, (SELECT unnest(range(1, 5)) AS k))
+       GROUP BY ALL),
+     total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM gram WHERE k = 1 GROUP BY lang),
+     often AS (SELECT * FROM gram WHERE f >= 30),
+     cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM often WHERE k > 1),
+     cut AS (
+       SELECT c.lang, c.phrase, c.a, j, x.f AS l, y.f AS r,
+              (CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS score
+       FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c
+       JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:j], ' ')
+       JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[j + 1:], ' ')),
+     weakest AS (SELECT lang, phrase, a, arg_min(struct_pack(l := l, r := r, score := score), (score, j)) AS m
+                 FROM cut GROUP BY lang, phrase, a),
+     inside AS (
+       SELECT lang, array_to_string(words[i:i + s - 1], ' ') AS phrase, max(a) AS most FROM (
+         SELECT *, unnest(range(1, k - s + 2)) AS i FROM cand, (SELECT unnest([2, 3]) AS s) WHERE s < k)
+       GROUP BY ALL),
+     ranked AS (
+       SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY m.score DESC, a DESC, encode(w.phrase)) AS rank,
+              w.phrase, a, m.l AS l, m.r AS r, n, CAST(m.score AS BIGINT) AS score
+       FROM weakest w JOIN total t ON t.lang = w.lang
+       LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase
+       WHERE most IS NULL OR CAST(100 AS HUGEINT) * most < CAST(80 AS HUGEINT) * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the vocabulary with its more frequent form one edit away, and the last form of that chain."""
+    docs = table(spark, sf_dir, "documents")
+    words = spelling.vocabulary(docs, least_length=5, least_count=3, strike=97)
+    return spelling.variants(words, ratio=2)
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and covered licence texts of every document."""
+    return license_scan.summary(license_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                                  keep_text=False))
