@@ -81,7 +81,8 @@ def vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text", least_l
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def handed() -> pd.DataFrame:
-            made = pd.DataFrame({"word": [w.decode("latin-1") for w in held], "n": np.array(list(held.values()), np.int64)})
+            words = pd.Series([w.decode("latin-1") for w in held], dtype=object)
+            made = pd.DataFrame({"word": words, "n": np.array(list(held.values()), np.int64)})
             held.clear()
             return made
 
@@ -203,8 +204,9 @@ def _best(pdf: pd.DataFrame) -> pd.DataFrame:
     u, v = u[order], v[order]
     first = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else u
     near = np.diff(np.append(first, len(u)))
-    return pd.DataFrame({"word": [words[i] for i in u[first]], "n_near": near.astype(np.int64),
-                         "best_n": counts[v[first]], "best": [words[i] for i in v[first]]})
+    names = np.array(words, dtype=object)
+    return pd.DataFrame({"word": names[u[first]], "n_near": near.astype(np.int64), "best_n": counts[v[first]],
+                         "best": names[v[first]]})
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
