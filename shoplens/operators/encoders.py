@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from ..functions.arrays import last_n
 from ..functions.draws import draw
 from ..session import cut_lineage
+from .event_state import dense
 from .ordering import newest
 from .vectors import covariance, project, top_components
 
@@ -52,10 +53,7 @@ def bag_entries(counts: DataFrame, slots: int = SLOTS, seed: int = 42) -> DataFr
 
 def bag_vectors(entries: DataFrame, slots: int = SLOTS) -> DataFrame:
     """``(client_id, embedding)``: the entries as dense arrays of ``slots`` numbers."""
-    rows = entries.groupBy("client_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")),
-                        lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)))
-    return rows.select("client_id", dense.alias("embedding"))
+    return dense(entries, slots)
 
 
 def _fitted_bags(counts: DataFrame, k: int, slots: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
@@ -100,15 +98,29 @@ def neighbour_counts(long: DataFrame, item: str, window: int = 5) -> DataFrame:
     return here.join(near, ["client_id", "_p"]).groupBy("token", "near").agg(F.count(F.lit(1)).alias("n"))
 
 
-def token_vectors(long: DataFrame, item: str, k: int = 64, window: int = 5, seed: int = 42) -> DataFrame:
-    """``(token, dim, value)``: unit vectors, the count-weighted sum of the neighbours' seeded ±1 vectors."""
+def _summed(rows: DataFrame, key: str, vector: Column) -> DataFrame:
+    """``(key, _s)``: elementwise sums of arrays of one width, by partial aggregation."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return rows.select(key, array_to_vector(vector).alias("_v")).groupBy(key).agg(
+        vector_to_array(Summarizer.sum(F.col("_v"))).alias("_s"))
+
+
+def item_vectors(long: DataFrame, item: str, k: int = 64, window: int = 5, seed: int = 42) -> DataFrame:
+    """``(token, vector)``: unit vectors, the count-weighted sum of the neighbours' seeded ±1 vectors (zeros if they
+    cancel out). A pair of items is one row with an array of ``k`` signs."""
     pairs = neighbour_counts(long, item, window)
-    signs = pairs.select("near").distinct().select("near", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("dim")) \
-        .withColumn("sign", sign_of(F.col("near"), F.col("dim"), seed))
-    sums = cut_lineage(pairs.join(signs, "near").groupBy("token", "dim").agg(F.sum(F.col("n") * F.col("sign")).alias("_s")))
-    norm = sums.groupBy("token").agg(F.sqrt(F.sum(F.col("_s").cast("double") * F.col("_s"))).alias("_l"))
-    return sums.join(norm, "token").select(
-        "token", "dim", F.when(F.col("_l") > 0, F.col("_s") / F.col("_l")).otherwise(F.lit(0.0)).alias("value"))
+    signs = pairs.select("near").distinct().select("near", F.array(*[
+        sign_of(F.col("near"), F.lit(d), seed).cast("double") for d in range(k)]).alias("_signs"))
+    sums = _summed(pairs.join(signs, "near"), "token", F.transform("_signs", lambda s: s * F.col("n")))
+    length = sums.select("token", "_s", F.sqrt(F.aggregate("_s", F.lit(0.0), lambda a, x: a + x * x)).alias("_l"))
+    return length.select("token", F.transform("_s", lambda x: F.when(F.col("_l") > 0, x / F.col("_l")).otherwise(0.0)).alias("vector"))
+
+
+def token_vectors(long: DataFrame, item: str, k: int = 64, window: int = 5, seed: int = 42) -> DataFrame:
+    """``(token, dim, value)``: :func:`item_vectors` in long form."""
+    return item_vectors(long, item, k, window, seed).select("token", F.posexplode("vector").alias("dim", "value"))
 
 
 def item2vec(long: DataFrame, item: str, k: int = 64, max_length: int = 256, window: int = 5,
@@ -117,17 +129,12 @@ def item2vec(long: DataFrame, item: str, k: int = 64, max_length: int = 256, win
     neighbours)."""
     recent = cut_lineage(newest(long, "client_id", ["pos"], max_length, pos="_p0").drop("pos")
                          .withColumnRenamed("_p0", "pos"))
-    vectors = token_vectors(recent, item, k, window, seed).groupBy("token").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("_v"))
     held = recent.groupBy("client_id", F.col(item).alias("token")).agg(F.count(F.lit(1)).alias("n"))
-    cells = held.join(vectors, "token", "left").select("client_id", "n", F.posexplode_outer("_v").alias("dim", "_x"))
-    sums = cells.groupBy("client_id", "dim").agg(F.sum(F.col("n") * F.col("_x")).alias("_s"))
-    total = held.groupBy("client_id").agg(F.sum("n").alias("_n"))
-    rows = sums.where("dim is not null").groupBy("client_id").agg(
-        F.array_sort(F.collect_list(F.struct("dim", "_s"))).alias("_r"))
     zeros = F.array_repeat(F.lit(0.0), k)
-    return total.join(rows, "client_id", "left").select("client_id", F.coalesce(
-        F.transform("_r", lambda x: x["_s"] / F.col("_n")), zeros).alias("embedding"))
+    rows = held.join(item_vectors(recent, item, k, window, seed), "token", "left")
+    sums = _summed(rows, "client_id", F.transform(F.coalesce("vector", zeros), lambda x: x * F.col("n")))
+    total = held.groupBy("client_id").agg(F.sum("n").alias("_n"))
+    return total.join(sums, "client_id").select("client_id", F.transform("_s", lambda x: x / F.col("_n")).alias("embedding"))
 
 
 def tokens(text_col: str = "text") -> Column:
@@ -142,15 +149,35 @@ def text_counts(docs: DataFrame, max_tokens: int | None = None, key: str = "clie
         .groupBy("client_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
+def text_entries(docs: DataFrame, max_tokens: int | None = None, key: str = "client_id", slots: int = SLOTS) -> DataFrame:
+    """K9: hashed word bags of the texts (left-truncated if asked), before the projection."""
+    return bag_entries(text_counts(docs, max_tokens, key), slots)
+
+
 def text(docs: DataFrame, k: int = 64, max_tokens: int | None = None, key: str = "client_id",
          slots: int = SLOTS) -> DataFrame:
     """K9 re-aimed: hashed word bags of the texts (left-truncated if asked), centred PCA to ``k`` components."""
     return project(*_fitted_bags(text_counts(docs, max_tokens, key), k, slots))
 
 
+def batches_of(lengths: list[int], budget: int) -> list[tuple[int, int]]:
+    """Stretches of neighbouring rows whose padded size (rows times longest) is at most ``budget``; a longer row stands
+    alone."""
+    out, start, longest = [], 0, 0
+    for i, n in enumerate(lengths):
+        longest = max(longest, n, 1)
+        if i > start and longest * (i + 1 - start) > budget:
+            out.append((start, i))
+            start, longest = i, max(n, 1)
+    return out + ([(start, len(lengths))] if start < len(lengths) else [])
+
+
 def apply_encoder(docs: DataFrame, fn: Callable[[list[str]], np.ndarray], width: int,
-                  key: str = "client_id", text_col: str = "text") -> DataFrame:
-    """H4: run a user batch encoder (list of texts → ``n × width`` array) on Arrow batches."""
+                  key: str = "client_id", text_col: str = "text", budget: int | None = None) -> DataFrame:
+    """H4: run a user batch encoder (list of texts → ``n × width`` array) on Arrow batches.
+
+    With ``budget`` the rows of a partition are sorted by their number of words, longest first, and handed on in batches
+    of at most that many words, counted with padding to the longest; a longer text is a batch of its own."""
     schema = T.StructType([T.StructField("client_id", T.LongType()),
                            T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
@@ -159,9 +186,14 @@ def apply_encoder(docs: DataFrame, fn: Callable[[list[str]], np.ndarray], width:
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            emb = np.asarray(fn(pdf[text_col].fillna("").tolist()), dtype="float32")
-            if emb.shape != (len(pdf), width):
-                raise ValueError(f"encoder returned shape {emb.shape}, expected {(len(pdf), width)}")
-            yield pd.DataFrame({"client_id": pdf[key].astype("int64"), "embedding": list(emb)})
-
-    return docs.select(F.col(key).cast("long").alias("client_id"), F.col(text_col)).mapInPandas(run, schema)
+            texts = pdf["_t"].fillna("").tolist()
+            parts = [(0, len(texts))] if budget is None else batches_of(pdf["_n"].tolist(), budget)
+            for start, stop in parts:
+                emb = np.asarray(fn(texts[start:stop]), dtype="float32")
+                if emb.shape != (stop - start, width):
+                    raise ValueError(f"encoder returned shape {emb.shape}, expected {(stop - start, width)}")
+                yield pd.DataFrame({"client_id": pdf["_k"].iloc[start:stop].astype("int64"), "embedding": list(emb)})
+
+    rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text_col).alias("_t"),
+                       F.greatest(F.size(F.filter(tokens(text_col), lambda w: w != "")), F.lit(0)).alias("_n"))
+    return (rows if budget is None else rows.sortWithinPartitions(F.col("_n").desc())).mapInPandas(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
-from .ordering import global_ranks, positions
+from .ordering import global_ranks, group_ranks, positions
 
 
 def successors(long: DataFrame, item: str = "item", pos: str = "pos") -> DataFrame:
@@ -65,9 +65,9 @@ def recommend(history: DataFrame, k: int = 10, filter_seen: bool = True, item: s
     # most its top k + |seen| ranks (seen items are the only ones dropped), so it
     # asks for exactly those rank numbers: an equi-join on (prev, rank) whose output
     # is bounded by the client's history + k, never clients × fan-out of a hot item.
-    # A page's successors are ranked in buckets of equal count, so a hot page is spread over its counts.
-    ranked_succ = positions(succ, "prev", [F.col("count").desc(), F.col("next").asc()], pos="_p",
-                            bucket=-F.col("count")).withColumn("_r", F.col("_p") + 1).drop("_p")
+    # All successors are ranked in one sort by ranges, so a hot page, however long its tail of equal counts, is spread.
+    ranked_succ = group_ranks(succ, "prev", [F.col("count").desc(), F.col("next").asc()], "_p") \
+        .withColumn("_r", F.col("_p") + 1).drop("_p")
     if filter_seen:
         n_seen = seen.groupBy("client_id").agg(F.count(F.lit(1)).alias("_s"))
         want = last.join(n_seen, "client_id", "left").select(

@@ -31,6 +31,11 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def hour_bucket(time: Column) -> Column:
+    """The hour of a timestamp as a number that rises with it; nulls get the lowest."""
+    return F.coalesce(F.floor(F.unix_timestamp(time) / 3600).cast("long"), F.lit(_NULL_BUCKET))
+
+
 def positions(df: DataFrame, key: str, order: list, pos: str = "pos",
               rev: str | None = None, length: str | None = None,
               bucket: Column | None = None, materialize: bool = True) -> DataFrame:
@@ -50,8 +55,7 @@ def positions(df: DataFrame, key: str, order: list, pos: str = "pos",
     """
     order_cols = _cols(order)
     if bucket is None:
-        # hour of the first order column (monotone in it); nulls get the lowest bucket
-        bucket = F.coalesce(F.floor(F.unix_timestamp(order_cols[0]) / 3600).cast("long"), F.lit(_NULL_BUCKET))
+        bucket = hour_bucket(order_cols[0])
     wb = Window.partitionBy(key, "_bkt")
     ranked = (df.withColumn("_bkt", bucket)
               .withColumn("_rn", F.row_number().over(wb.orderBy(*order_cols)) - 1)
@@ -100,6 +104,14 @@ def global_ranks(df: DataFrame, order: list[Column], rank: str = "rank") -> Data
         .drop("_part", "_at", "_first")
 
 
+def group_ranks(df: DataFrame, key: str, order: list[Column], rank: str = "rank") -> DataFrame:
+    """Add the 0-based rank of every row inside ``key`` by ``order`` (a total order), however large the group: one sort
+    by ranges over all rows, then a row's global rank minus the smallest of its group. No task holds a whole group."""
+    ranked = global_ranks(df, [F.col(key).asc(), *order], "_rank")
+    first = ranked.groupBy(key).agg(F.min("_rank").alias("_low"))
+    return ranked.join(first, key).withColumn(rank, F.col("_rank") - F.col("_low")).drop("_rank", "_low")
+
+
 def collect_ordered(df: DataFrame, key: str, pos: str, fields: list[str],
                     last_n: int | None = None, rev: str | None = None) -> DataFrame:
     """One row per key with one array per field, ordered by ``pos``.

@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import codes_to_array, last_n
 from ..sources.inputs import Inputs, relevant_only
 from ..functions.draws import draw
+from ..session import cut_lineage
 from .ordering import collect_ordered, newest, positions
 from .vocab import apply_capped_many, dense_codes, min_count_items, min_events_clients
 
@@ -128,8 +129,12 @@ def sku_text(inputs: Inputs) -> DataFrame:
 CART_FIELDS = ("sku", "category", "price", "event")
 
 
-def cart(inputs: Inputs, drop_short: bool = True, relevant: bool = False, last: int | None = None) -> DataFrame:
-    """Q5: ``(client_id, pos, sku, category, price, event)``; add 1, remove 2, buy 3.
+#: A total order of a client's cart events.
+CART_ORDER = ["timestamp", "event", "sku"]
+
+
+def cart_events(inputs: Inputs, drop_short: bool = True, relevant: bool = False) -> DataFrame:
+    """``(client_id, timestamp, sku, category, price, event)``; add 1, remove 2, buy 3.
 
     ``drop_short`` keeps clients with more than one event (counted before
     the relevant filter, as in the original)."""
@@ -138,10 +143,13 @@ def cart(inputs: Inputs, drop_short: bool = True, relevant: bool = False, last:
                    for n, code in (("product_buy", 3), ("add_to_cart", 1), ("remove_from_cart", 2))])
     if drop_short:
         data = min_events_clients(data, 2)
-    if relevant:
-        data = relevant_only(data, inputs.relevant_clients)
-    order = ["timestamp", "event", "sku"]
-    return (positions(data, "client_id", order) if last is None else newest(data, "client_id", order, last)) \
+    return relevant_only(data, inputs.relevant_clients) if relevant else data
+
+
+def cart(inputs: Inputs, drop_short: bool = True, relevant: bool = False, last: int | None = None) -> DataFrame:
+    """Q5: ``(client_id, pos, sku, category, price, event)`` of :func:`cart_events`."""
+    data = cart_events(inputs, drop_short, relevant)
+    return (positions(data, "client_id", CART_ORDER) if last is None else newest(data, "client_id", CART_ORDER, last)) \
         .drop("timestamp")
 
 
@@ -306,34 +314,88 @@ def next_event_train_view(long: DataFrame, fields, min_length: int = 32, max_len
     return shift(collect_ordered(sliced, "client_id", "pos", list(fields)), fields)
 
 
-def negatives(history: DataFrame, n_items: DataFrame, n: int = 10_000, seed: int = 42,
-              item: str = "item") -> DataFrame:
-    """``n`` items per client drawn with replacement from items NOT in its history.
-
-    Items are dense codes ``1..K`` (``n_items`` is a one-row ``K``). The r-th
-    unseen item (from 0) is ``r + 1`` plus the number of seen items ``h_i``
-    (sorted, i from 0) with ``h_i - i - 1 <= r``: one binary search a draw on
-    Arrow batches — exact, no rejection, no client × item product. A client
-    without unseen items gets an empty array.
-    """
-    h = history.groupBy("client_id").agg(F.array_sort(F.collect_set(item)).alias("_h"))
-    h = h.crossJoin(F.broadcast(n_items.select(F.col(n_items.columns[0]).cast("long").alias("_K"))))
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-        for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                part, drawn = pdf.iloc[at:at + 64], []
-                for client, seen, k in zip(part["client_id"], part["_h"], part["_K"]):
-                    seen = np.asarray(seen, dtype=np.int64)
-                    free = int(k) - len(seen)
-                    r = np.random.default_rng([seed, int(client) & (2 ** 64 - 1)]).integers(0, max(free, 1), n)
-                    below = np.searchsorted(seen - np.arange(len(seen)) - 1, r, side="right")
-                    drawn.append(r + 1 + below if free > 0 else r[:0])
-                yield pd.DataFrame({"client_id": part["client_id"].to_numpy(), "negatives": drawn})
-
-    return h.mapInPandas(run, "client_id long, negatives array<long>")
+#: Modulus of the negative draws (a prime); gaps that a client's array holds at most (a power of two, less 1).
+DRAW_PRIME = 2_147_483_647
+GAPS = 511
+
+
+def draw_coefficients(key: str, seed: int) -> list[Column]:
+    """Coefficients of a key's polynomial: its value at ``j`` modulo the prime is the key's ``j``-th draw."""
+    return [(draw(key, seed + i) % DRAW_PRIME).alias(f"_c{i}") for i in range(3)]
+
+
+def gaps(history: DataFrame, item: str = "item") -> DataFrame:
+    """``(client_id, at, below)``: from the ``at``-th unseen item (from 0) on, ``below`` seen items lie below it.
+
+    The seen items ``h_i`` (sorted, i from 0) of a client lie below its r-th unseen item if ``h_i - i - 1 <= r``. Ranks
+    come from code buckets, so a long history is spread; runs of neighbouring codes are one row."""
+    seen = history.select("client_id", F.col(item).cast("long").alias("_h")).distinct()
+    ranked = positions(seen, "client_id", ["_h"], pos="_i", bucket=F.shiftright("_h", 12))
+    return ranked.groupBy("client_id", (F.col("_h") - F.col("_i") - 1).alias("at")).agg(F.max(F.col("_i") + 1).alias("below"))
+
+
+def negatives(history: DataFrame, n_items: DataFrame, n: int = 10_000, seed: int = 42, item: str = "item",
+              limit: int = GAPS) -> DataFrame:
+    """``(client_id, negatives)``: ``n`` items per client drawn with replacement from items NOT in its history.
+
+    Items are dense codes ``1..K`` (``n_items`` is a one-row ``K``). Draw ``j`` is the client's seeded polynomial at
+    ``j``, modulo the number of unseen items: the r-th unseen item, which is ``r + 1`` plus the seen items below it
+    (:func:`gaps`), exact, without rejection and without a client x item product. Clients of at most ``limit`` gaps look
+    them up in an array, by halving; the draws of others are joined to their gaps in buckets of 1,024 unseen items. A
+    client without unseen items gets an empty array."""
+    if n < 0 or n > 1 << 20:
+        raise ValueError("between 0 and 1,048,576 negatives per client")
+    steps = [1 << i for i in reversed(range(limit.bit_length()))] or [1]
+    total = n_items.select(F.col(n_items.columns[0]).cast("long").alias("_K"))
+    found = cut_lineage(gaps(history, item))
+    sizes = found.groupBy("client_id").agg(F.count(F.lit(1)).alias("_g"), F.max("below").alias("_seen"))
+    clients = cut_lineage(sizes.crossJoin(F.broadcast(total)).select(
+        "client_id", "_g", (F.col("_K") - F.col("_seen")).alias("_free"), *draw_coefficients("client_id", seed)))
+    none = F.array().cast("array<bigint>")
+
+    def drawn(j: Column) -> Column:
+        wide = F.pmod(F.pmod(F.col("_c2") * j + F.col("_c1"), F.lit(DRAW_PRIME)) * j + F.col("_c0"), F.lit(DRAW_PRIME))
+        return F.pmod(wide, F.greatest(F.col("_free"), F.lit(1)))
+
+    places = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")) if n else none
+
+    # few gaps: sorted arrays of bounded length
+    light = clients.where(F.col("_g") <= limit)
+    arrays = found.join(light.select("client_id"), "client_id", "left_semi").groupBy("client_id").agg(
+        F.array_sort(F.collect_list(F.struct("at", "below"))).alias("_s"))
+    held = light.join(arrays, "client_id").select("client_id", "_free", "_c0", "_c1", "_c2",
+                                                  F.transform("_s", lambda x: x["at"]).alias("_at"),
+                                                  F.transform("_s", lambda x: x["below"]).alias("_below"))
+
+    def item_of(r: Column) -> Column:
+        def wider(at: Column, step: Column) -> Column:
+            return F.when(F.coalesce(F.get("_at", at + step - 1) <= r, F.lit(False)), at + step).otherwise(at)
+        count = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), wider)
+        return r + 1 + F.coalesce(F.get("_below", count - 1), F.lit(0))
+
+    small = held.select("client_id", F.when(F.col("_free") > 0, F.transform(
+        F.transform(places, drawn), item_of)).otherwise(none).alias("negatives"))
+
+    # many gaps: draws meet the gaps of their bucket
+    heavy = clients.where(F.col("_g") > limit)
+    if heavy.isEmpty():
+        return small
+    asked = heavy.where("_free > 0").select("client_id", "_free", "_c0", "_c1", "_c2", F.explode(places).alias("_j")) \
+        .select("client_id", "_j", drawn(F.col("_j")).alias("at"))
+    both = asked.withColumn("below", F.lit(None).cast("long")).unionByName(
+        found.join(heavy.select("client_id"), "client_id", "left_semi").withColumn("_j", F.lit(None).cast("long"))) \
+        .withColumn("_b", F.shiftright("at", 10))
+    last = both.groupBy("client_id", "_b").agg(F.max("below").alias("_m"))
+    before = Window.partitionBy("client_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("client_id", "_b", F.coalesce(F.max("_m").over(before), F.lit(0)).alias("_carried"))
+    inside = Window.partitionBy("client_id", "_b").orderBy("at", F.col("_j").asc_nulls_first()) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_in", F.max("below").over(inside)).where("_j is not null").join(carried, ["client_id", "_b"])
+    large = met.groupBy("client_id").agg(F.array_sort(F.collect_list(F.struct(
+        "_j", (F.col("at") + 1 + F.greatest(F.coalesce("_in", F.lit(0)), "_carried")).alias("item")))).alias("_s")).select(
+        "client_id", F.transform("_s", lambda x: x["item"]).alias("negatives"))
+    full = heavy.where("_free <= 0").select("client_id", none.alias("negatives"))
+    return small.unionByName(large).unionByName(full)
 
 
 def causal_train_with_negatives(visit_long: DataFrame, max_length: int = 256, n: int = 10_000,

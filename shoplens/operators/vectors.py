@@ -140,6 +140,8 @@ def quantile_grid(df: DataFrame, n_quantiles: int = N_QUANTILES, ranges: int = 2
         part = np.array([t - (k * (n - 1) // (m - 1) if m > 1 else 0) for k, t in enumerate(rank)])
         lo = np.array([at[0, k] for k in range(m)])
         hi = np.array([at[1, k] for k in range(m)])
+        if not np.isfinite(lo).all() or not np.isfinite(hi).all():
+            raise ValueError(f"quantiles of position {pos}: values must be finite")
         grid.append(lo + (hi - lo) * part)
     return grid
 

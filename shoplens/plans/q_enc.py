@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw_sql
 from ..operators import client_text as ct
+from ..operators import decoding as de
 from ..operators import encoders as en
+from ..operators import event_state as es
 from ..operators import sequences as sq
 from ..operators import vectors as vx
 from ..sources.inputs import load_fixture
-from .q_seq import EVENT_DAY_CTES, VISIT_CTES, VISIT_MIN
+from .q_seq import CART_SEQ_CTES, EVENT_DAY_CTES, VISIT_CTES, VISIT_MIN
 from .registry import register
+from .q_text import INTERACTIONS_SQL
 from .sqlkit import with_bindings
 
 BAG_FIELDS = ["event_type", "category", "price", "sku", "url"]
@@ -116,3 +119,60 @@ def enc_text(spark, sf_dir):
 def enc_text_searches(spark, sf_dir):
     """K9 re-aimed: vectors of the clients' search texts (L2), left-truncated."""
     return en.text(ct.searches(load_fixture(spark, sf_dir), 90), 64, TEXT_TOKENS)
+
+
+CART_STATE_CTES = [
+    *CART_SEQ_CTES,
+    ("ctok", " UNION ALL ".join(f"SELECT client_id, n - 1 - pos AS age, '{f}=' || {f} AS token FROM cs" for f in sq.CART_FIELDS)),
+    ("cstate", f"""SELECT client_id, {draw_sql('token', 42)} % {es.CART_WIDTH} AS slot, sum(power(0.9, age)
+                   * CASE WHEN {draw_sql('token', 43)} % 2 = 0 THEN 1.0 ELSE -1.0 END) AS value FROM ctok GROUP BY 1, 2"""),
+]
+
+
+@register("enc_cart_state", with_bindings(*CART_STATE_CTES, body="SELECT client_id, slot, (round(value, 6) + 0.0) AS value FROM cstate"))
+def enc_cart_state(spark, sf_dir):
+    """K6 on the cart: decayed signed states of 128 slots over sku, category, price and event, order included."""
+    return cart_state(load_fixture(spark, sf_dir))
+
+
+def cart_state(inputs):
+    return es.decayed_state(sq.cart_events(inputs), sq.CART_FIELDS, sq.CART_ORDER)
+
+
+DECODED_FIELDS = ["event", "category", "sku"]
+DECODED_STEPS = 5
+
+
+def _decoding_ctes(f: str) -> list[tuple[str, str]]:
+    return [
+        (f"best_{f}", f"""SELECT prev, next FROM (SELECT a.{f} AS prev, b.{f} AS next, row_number() OVER (
+                            PARTITION BY a.{f} ORDER BY count(*) DESC, b.{f}) AS r
+                          FROM cs a JOIN cs b ON a.client_id = b.client_id AND b.pos = a.pos + 1
+                          WHERE b.pos < b.n - {DECODED_STEPS} GROUP BY 1, 2) WHERE r = 1"""),
+        (f"path_{f}", f"""WITH RECURSIVE p AS (
+                            SELECT client_id, 0 AS step, {f} AS v FROM cs WHERE pos = n - {DECODED_STEPS + 1}
+                            UNION ALL SELECT client_id, step + 1, b.next FROM p LEFT JOIN best_{f} b ON p.v = b.prev
+                            WHERE step < {DECODED_STEPS})
+                          SELECT client_id, step, v FROM p"""),
+    ]
+
+
+@register("decode_greedy", with_bindings(*CART_SEQ_CTES, *[c for f in DECODED_FIELDS for c in _decoding_ctes(f)],
+    body=f"""SELECT t.client_id, CAST(pe.step AS BIGINT) AS step, {', '.join(f"path_{f}.v AS {f}, t.{f} AS {f}_true" for f in DECODED_FIELDS)}
+             FROM path_event pe JOIN cs t ON t.client_id = pe.client_id AND t.pos = t.n - {DECODED_STEPS + 1} + pe.step
+             {' '.join(f"JOIN path_{f} ON path_{f}.client_id = pe.client_id AND path_{f}.step = pe.step" for f in DECODED_FIELDS)}
+             WHERE pe.step > 0"""))
+def decode_greedy(spark, sf_dir):
+    """The last five cart events decoded from the one before them, beside the true ones."""
+    return de.decode_greedy(sq.cart(load_fixture(spark, sf_dir)), DECODED_FIELDS, DECODED_STEPS)
+
+
+@register("enc_text_entries", f"""
+    WITH tx AS ({INTERACTIONS_SQL}),
+    words AS (SELECT client_id, string_split_regex(lower(trim(text)), '\\s+') AS w FROM tx),
+    tok AS (SELECT client_id, unnest(w[greatest(len(w) - {TEXT_TOKENS - 1}, 1):]) AS token FROM words)
+    SELECT client_id, {draw_sql('token', 42)} % {en.SLOTS} AS slot,
+           CAST(sum(CASE WHEN {draw_sql('token', 43)} % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) AS value FROM tok GROUP BY 1, 2""")
+def enc_text_entries(spark, sf_dir):
+    """K9: hashed word bags of the last 512 words of the clients' interaction texts."""
+    return en.text_entries(ct.interactions(load_fixture(spark, sf_dir), 64), TEXT_TOKENS)

@@ -230,7 +230,34 @@ def seq_random_slice(spark, sf_dir):
     return explode_arrays(view, "client_id", [*fields, *[f"labels_{f}" for f in fields]])
 
 
-@register("seq_negatives")
+#: Draw j of a client: its polynomial at j modulo the prime, modulo the number of unseen items.
+NEGATIVE_CTES = [
+    ("vw", "SELECT DISTINCT client_id, url_code AS h FROM vs WHERE time_idx_reversed <= 256"),
+    ("hs", "SELECT client_id, h, row_number() OVER (PARTITION BY client_id ORDER BY h) - 1 AS i FROM vw"),
+    ("gp", "SELECT client_id, h - i - 1 AS at, max(i + 1) AS below FROM hs GROUP BY 1, 2"),
+    ("cl", f"""SELECT client_id, (SELECT max(url_code) FROM vs) - max(below) AS free, {draw_sql('client_id', 42)} % 2147483647 AS c0,
+                 {draw_sql('client_id', 43)} % 2147483647 AS c1, {draw_sql('client_id', 44)} % 2147483647 AS c2 FROM gp GROUP BY client_id"""),
+    ("dr", """SELECT client_id, j, (((c2 * j + c1) % 2147483647) * j + c0) % 2147483647 % free AS r
+              FROM cl, (SELECT unnest(range(10000)) AS j) WHERE free > 0"""),
+    ("ng", """SELECT d.client_id, d.j, d.r + 1 + coalesce(g.below, 0) AS item
+              FROM dr d ASOF LEFT JOIN gp g ON d.client_id = g.client_id AND d.r >= g.at"""),
+]
+
+
+@register("seq_negatives", with_bindings(*VISIT_CTES, *NEGATIVE_CTES, body="""
+    SELECT v.client_id, v.n_inputs, coalesce(n, 0) AS n_negatives, coalesce(item_sum, 0) AS item_sum,
+           coalesce(order_sum, 0) AS order_sum, seen_drawn FROM
+      (SELECT client_id, least(count(*), 257) - 1 AS n_inputs FROM vs GROUP BY 1) v
+    LEFT JOIN (SELECT client_id, count(*) AS n, CAST(sum(item) AS BIGINT) AS item_sum,
+                      CAST(sum(item * (j + 1)) AS BIGINT) AS order_sum FROM ng GROUP BY 1) USING (client_id)
+    CROSS JOIN (SELECT CAST(0 AS BIGINT) AS seen_drawn)"""))
 def seq_negatives(spark, sf_dir):
-    """Causal training view with 10,000 negatives per client (no SQL: seeded hash)."""
-    return sq.causal_train_with_negatives(sq.visits(load_fixture(spark, sf_dir), VISIT_MIN), 256, 10_000)
+    """Causal training view with 10,000 negatives per client; their count, sums (by place as well) and how many
+    of them the client has seen."""
+    view = sq.causal_train_with_negatives(sq.visits(load_fixture(spark, sf_dir), VISIT_MIN), 256, 10_000)
+    seen = F.array_distinct(F.concat("input_ids", "labels"))
+    return view.select("client_id", F.size("input_ids").cast("long").alias("n_inputs"),
+                       F.size("negatives").cast("long").alias("n_negatives"),
+                       F.expr("aggregate(negatives, 0L, (a, x) -> a + x)").alias("item_sum"),
+                       F.expr("aggregate(transform(negatives, (x, i) -> x * (i + 1)), 0L, (a, x) -> a + x)").alias("order_sum"),
+                       F.size(F.array_intersect("negatives", seen)).cast("long").alias("seen_drawn"))

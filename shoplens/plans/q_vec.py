@@ -6,10 +6,23 @@ import os
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw, draw_sql
+from ..functions.halves import to_half
 from ..operators import client_stats as cs
+from ..operators import client_text as ct
+from ..operators import encoders as en
+from ..operators import event_state as es
+from ..operators import factors
+from ..operators import interactions as ia
+from ..operators import merge_run
+from ..operators import sequences as sq
+from ..operators import transformers as tf
 from ..operators import vectors as vx
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_dir
 from ..sources.inputs import load_fixture
+from ..sources.sinks import write_embedding_table
+from .q_enc import BAG_FIELDS, CART_STATE_CTES, TEXT_TOKENS, WEEK_FIELDS, cart_state
+from .q_seq import VISIT_MIN
 from .q_stats import ALL_PARTS, merged_sql
 from .registry import register, round_doubles
 from .sqlkit import with_bindings
@@ -44,12 +57,13 @@ WHOLE_CTES = [
 ]
 
 
-def quantile_ctes(cells: str) -> list[tuple[str, str]]:
-    """``q0`` → ``grid``: min(1000, n) interpolated order statistics per position of ``cells (client_id, pos, value)``;
-    ``mapped``: the place of every cell between the last grid point not above and the first not below it."""
+def quantile_ctes(cells: str, fit: str | None = None) -> list[tuple[str, str]]:
+    """``q0`` → ``grid``: min(1000, n) interpolated order statistics per position of ``fit`` (default: of the cells);
+    ``mapped``: the place of every cell of ``cells (client_id, pos, value)`` between the last grid point not above and
+    the first not below it."""
     return [
         ("q0", f"SELECT pos, value, row_number() OVER (PARTITION BY pos ORDER BY value) - 1 AS r, "
-               f"count(*) OVER (PARTITION BY pos) AS n FROM {cells}"),
+               f"count(*) OVER (PARTITION BY pos) AS n FROM {fit or cells}"),
         ("q1", "SELECT pos, n, least(n, 1000) AS m, unnest(range(least(n, 1000))) AS k FROM (SELECT DISTINCT pos, n FROM q0)"),
         ("q2", """SELECT pos, k, m, CASE WHEN m = 1 THEN 0 ELSE k * (n - 1) // (m - 1) END AS lo,
                          CASE WHEN m = 1 THEN 0 ELSE (k * (n - 1) + m - 2) // (m - 1) END AS hi,
@@ -227,3 +241,171 @@ def vec_merge_sql(spark, sf_dir):
              vx.TableSpec("block_a", a, scaler="normalizer"), vx.TableSpec("block_b", b, scaler="normalizer")]
     merged = vx.merge_all(specs, relevant=inputs.relevant_clients, impute="mean", drop_zeros_of={"block_a"})
     return vx.explode_vectors(merged)
+
+
+# ---- half precision, saved steps, runs from a configuration -------------------------------
+
+def half_sql(x: str) -> str:
+    """``x`` rounded to half precision: nearest, ties to even."""
+    near = f"floor(log2(abs({x})))"
+    exact = f"({near} + CASE WHEN power(2.0, {near} + 1) <= abs({x}) THEN 1 WHEN power(2.0, {near}) > abs({x}) THEN -1 ELSE 0 END)"
+    unit = f"power(2.0, greatest({exact}, -14) - 10)"
+    size = f"round_even(abs({x}) / {unit}, 0) * {unit}"
+    return f"CASE WHEN {x} IS NULL OR {x} = 0 THEN {x} WHEN {size} > 65504 THEN sign({x}) * 'inf'::DOUBLE ELSE sign({x}) * {size} END"
+
+
+@register("vec_half", with_bindings(*WHOLE_CTES,
+    ("wide", "SELECT client_id, pos, value * power(2.0, pos % 64 - 36) AS x FROM lw"),
+    ("h", f"SELECT client_id, pos, {half_sql('x')} AS h FROM wide"),
+    body="""SELECT client_id, pos, CASE WHEN NOT isinf(h) THEN CAST(h * 16777216 AS BIGINT) END AS units, isinf(h) AS overflow FROM h"""))
+def vec_half(spark, sf_dir):
+    """Every number of the vectors, spread over the range of halves and beyond, as a half: in units of 2^-24."""
+    cells = vx.explode_vectors(vx.sanitize(whole(spark, sf_dir)))
+    x = F.col("value") * F.pow(F.lit(2.0), (F.col("pos") % 64 - 36).cast("double"))
+    h = cells.select("client_id", "pos", to_half(x).alias("h"))
+    over = F.abs("h") == float("inf")
+    return h.select("client_id", "pos", F.when(~over, (F.col("h") * 16777216).cast("long")).alias("units"), over.alias("overflow"))
+
+
+SAVED_STEPS = [{"name": "StandardScaler"}, {"name": "MinMaxScaler"}, {"name": "QuantileTransformer"}, {"name": "Normalizer"}]
+
+
+@register("vec_saved_steps", with_bindings(*WHOLE_CTES,
+    ("known", f"SELECT * FROM lw WHERE {draw_sql('client_id', 9)} % 2 = 0"),
+    ("other", f"SELECT * FROM lw WHERE {draw_sql('client_id', 9)} % 2 = 1"),
+    ("cols", "SELECT pos, avg(value) AS mu, stddev_pop(value) AS sd, min(value) AS lo, max(value) AS hi FROM known GROUP BY pos"),
+    *quantile_ctes("other", "known"),
+    body=f"""SELECT 'StandardScaler' AS step, client_id, pos, (round((value - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) + 0.0) AS value FROM other JOIN cols USING (pos)
+      UNION ALL SELECT 'MinMaxScaler', client_id, pos, (round((value - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 6) + 0.0) FROM other JOIN cols USING (pos)
+      UNION ALL SELECT 'QuantileTransformer', client_id, pos, (round({QUANTILE}, 6) + 0.0) FROM mapped
+      UNION ALL SELECT 'Normalizer', client_id, pos, (round(value / sqrt(sum(value * value) OVER (PARTITION BY client_id)), 6) + 0.0) FROM other"""))
+def vec_saved_steps(spark, sf_dir):
+    """V3 / H1: steps fitted on one half of the vectors, saved, read back and applied to the other half."""
+    table = cut_lineage(vx.sanitize(whole(spark, sf_dir)))
+    half = draw("client_id", 9) % 2
+    known, other = table.where(half == 0), table.where(half == 1)
+    out = None
+    for step in SAVED_STEPS:
+        path = tf.fit(known, step).save(spark, scratch_dir(spark, "step"))
+        made = vx.explode_vectors(tf.load(spark, path).transform(other)).select(F.lit(step["name"]).alias("step"), "*")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def _normalized(name: str, components: int | None = None) -> dict:
+    processor = {"processor": {"_target_": "sklearn.decomposition.PCA", "n_components": components}} if components else {}
+    return {"name": name, **processor, "scaler": {"_target_": "sklearn.preprocessing.Normalizer"}}
+
+
+#: The twelve tables of the original's best run, in its order, with their steps.
+BEST_RUN = {
+    "save_name": "best_solution", "submit": True, "drop_zeros": True,
+    "embeddings_list": [
+        _normalized("als_64_buy_add_categories"),
+        _normalized("als_64_visits_relevant"),
+        _normalized("next_sku_128_4_4"),
+        _normalized("next_url_192_6_4"),
+        {"name": "stat_features", "scaler": {"_target_": "sklearn.preprocessing.QuantileTransformer", "output_distribution": "uniform"}},
+        _normalized("gru_ae_day_event"),
+        _normalized("gru_ae_sku_text", 64),
+        _normalized("smollm2_all_interactions", 128),
+        _normalized("search_llm", 64),
+        _normalized("gru_ae_event_cat_price_sku_url", 64),
+        _normalized("gru_ae_week_event_cat_price_sku_url", 64),
+        _normalized("lightfm"),
+    ],
+    "imputer": {"_target_": "sklearn.impute.SimpleImputer", "strategy": "mean"},
+}
+
+
+def _tables(spark, sf_dir) -> dict:
+    """Builders of the twelve tables, by name. Tables that the run reduces come as hashed bags, the others final."""
+    inputs = load_fixture(spark, sf_dir)
+    signed = ia.signed(inputs)
+
+    def bags(counts):
+        return en.bag_vectors(en.bag_entries(counts))
+
+    return {
+        "als_64_buy_add_categories": lambda: factors.als(ia.buy_add(inputs, "category"), "category"),
+        "als_64_visits_relevant": lambda: factors.als(ia.visits(inputs), "url"),
+        "next_sku_128_4_4": lambda: es.dense(cart_state(inputs), es.CART_WIDTH),
+        "next_url_192_6_4": lambda: en.item2vec(sq.visits(inputs, VISIT_MIN, last=256).select(
+            "client_id", F.col("time_idx").alias("pos"), F.col("url_code").alias("item")), "item", 192),
+        "stat_features": lambda: cs.as_embedding(cs.features_all(inputs)),
+        "gru_ae_day_event": lambda: en.bag_pca(sq.event_day(inputs), ["event_type", "day"], 64),
+        "gru_ae_sku_text": lambda: bags(en.token_counts(sq.sku_text(inputs), ["text"])),
+        "smollm2_all_interactions": lambda: bags(en.text_counts(ct.interactions(inputs, 64), TEXT_TOKENS)),
+        "search_llm": lambda: bags(en.text_counts(ct.searches(inputs, 90), TEXT_TOKENS)),
+        "gru_ae_event_cat_price_sku_url": lambda: bags(en.token_counts(sq.full(inputs, BAG_FIELDS), BAG_FIELDS)),
+        "gru_ae_week_event_cat_price_sku_url": lambda: bags(en.token_counts(sq.full(inputs, WEEK_FIELDS), WEEK_FIELDS)),
+        "lightfm": lambda: factors.als_signed(signed, ia.search_codes(inputs), ia.item_codes_long(inputs.product_properties, signed)),
+    }
+
+
+#: Tables with sums beyond the range of halves: kept as floats.
+SINGLE = {"stat_features"}
+
+
+def _run_over(spark, config: dict, tables: dict, relevant):
+    base = scratch_dir(spark, "run")
+    path = merge_run.save_run(spark, base, config)
+    for table in config["embeddings_list"]:
+        name = table["name"]
+        write_embedding_table(tables[name](), merge_run.tables_dir(base, config), name, half=name not in SINGLE)
+    return merge_run.run(spark, path, base, relevant)
+
+
+@register("vec_merge_run")
+def vec_merge_run(spark, sf_dir):
+    """The run over all twelve tables, each written in half precision (statistics as floats), read
+    back by name, checked, processed and scaled as the saved configuration says, merged, completed and imputed."""
+    return _run_over(spark, BEST_RUN, _tables(spark, sf_dir), load_fixture(spark, sf_dir).relevant_clients)
+
+
+SQL_RUN = {
+    "save_name": "tables_with_sql", "submit": True, "drop_zeros": True,
+    "embeddings_list": [
+        {"name": "stat_features", "scaler": {"name": "QuantileTransformer"}},
+        {"name": "next_sku_128_4_4", "scaler": {"name": "Normalizer"}},
+        {"name": "search_mean", "scaler": {"name": "StandardScaler"}},
+    ],
+    "imputer": {"name": "SimpleImputer", "strategy": "mean"},
+}
+_STATS = len(cs.feature_columns())
+
+
+@register("vec_merge_config", with_bindings(*CART_STATE_CTES,
+    ("sq", "WITH stats AS (" + merged_sql(ALL_PARTS, cs.feature_columns()) + "), raw AS (" + _STAT_CELLS + "), "
+           + "single AS (SELECT client_id, pos, CAST(CAST(value AS REAL) AS DOUBLE) AS value FROM raw), "
+           + "cells AS (SELECT * FROM single WHERE client_id IN (SELECT client_id FROM single WHERE value <> 0)), "
+           + ", ".join(f"{n} AS ({q})" for n, q in quantile_ctes("cells"))
+           + f" SELECT client_id, pos, {QUANTILE} AS value FROM mapped"),
+    ("cl0", "SELECT DISTINCT client_id FROM cstate"),
+    ("ch", f"SELECT client_id, slot AS pos, {half_sql('value')} AS value FROM cstate"),
+    ("cn", """SELECT client_id, pos, value / sqrt(sum(value * value) OVER (PARTITION BY client_id)) AS value FROM ch"""),
+    ("sm0", """SELECT client_id, pos, avg(v) AS m FROM (
+                 SELECT client_id, CAST(generate_subscripts(c, 1) - 1 AS BIGINT) AS pos, CAST(unnest(c) AS DOUBLE) AS v FROM (
+                   SELECT client_id, list_transform(regexp_extract_all(query, '(\\d+)', 1), lambda x: CAST(x AS BIGINT)) AS c FROM r_search))
+               GROUP BY client_id, pos"""),
+    ("sh", f"SELECT client_id, pos, {half_sql('m')} AS value FROM sm0"),
+    ("sn", """SELECT client_id, pos, (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END AS value
+              FROM sh WINDOW w AS (PARTITION BY pos)"""),
+    ("grid", f"SELECT client_id, CAST(unnest(range({_STATS} + {es.CART_WIDTH} + 16)) AS BIGINT) AS pos FROM relevant_clients"),
+    ("m", f"""SELECT g.client_id, g.pos, CASE WHEN g.pos < {_STATS} THEN sq.value WHEN g.pos >= {_STATS + es.CART_WIDTH} THEN sn.value
+                     WHEN c.client_id IS NOT NULL THEN coalesce(cn.value, 0) END AS value
+              FROM grid g LEFT JOIN sq ON sq.client_id = g.client_id AND sq.pos = g.pos
+              LEFT JOIN cl0 c ON c.client_id = g.client_id
+              LEFT JOIN cn ON cn.client_id = g.client_id AND cn.pos + {_STATS} = g.pos
+              LEFT JOIN sn ON sn.client_id = g.client_id AND sn.pos + {_STATS + es.CART_WIDTH} = g.pos"""),
+    ("im", "SELECT client_id, pos, coalesce(value, avg(value) OVER (PARTITION BY pos)) AS value FROM m"),
+    body=_out(half_sql("value")) + "im"))
+def vec_merge_config(spark, sf_dir):
+    """V8 end to end from a saved configuration: statistics in thousandths (quantiles, kept as floats), cart states
+    (length 1) and mean search vectors (standardized), both kept as halves, merged, completed, imputed with means and kept
+    as halves."""
+    inputs = load_fixture(spark, sf_dir)
+    tables = {"stat_features": lambda: whole_statistics(spark, sf_dir),
+              "next_sku_128_4_4": lambda: es.dense(cart_state(inputs), es.CART_WIDTH),
+              "search_mean": lambda: ia.search_mean(inputs)}
+    return vx.explode_vectors(_run_over(spark, SQL_RUN, tables, inputs.relevant_clients))

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
@@ -44,6 +46,7 @@ def register(name: str, sql: str | None = None):
 
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)
             return round_doubles(fn(spark, sf_dir))
 
         build.__name__ = fn.__name__

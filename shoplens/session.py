@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +63,35 @@ def check_scratch_allowed(master: str) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+#: Applications that the package has been sent to.
+_SENT: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Add this package to the session's Python files, once per application: executors import functions of it by name,
+    and the driver serves the archive to them."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SENT:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="shoplens-"), "shoplens_package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.join("shoplens", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _SENT.add(sc.applicationId)
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder name among this application's intermediate tables; :func:`drop_tables` removes what is written there."""
+    path = f"{_tables_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def _tables_dir(spark: SparkSession) -> str:
     """The folder of this application's intermediate tables."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"

@@ -39,21 +39,81 @@ def test_als_is_repeatable(spark, sf_dir):
     assert all(np.allclose(a[k], b[k], atol=1e-4) for k in a)
 
 
-def test_negatives_are_unseen(spark, sf_dir):
-    from pyspark.sql import functions as F
+def _plain_negatives(spark, histories, K, n, seed):
+    """The draws of every client by its polynomial, looked up in the sorted list of its unseen items."""
+    from shoplens.operators import sequences as sq
+    rows = spark.createDataFrame([(c,) for c in histories], "client_id long").select("client_id", *sq.draw_coefficients("client_id", seed))
+    out = {}
+    for c, c0, c1, c2 in rows.collect():
+        free = [i for i in range(1, K + 1) if i not in histories[c]]
+        out[c] = [free[((c2 * j + c1) % sq.DRAW_PRIME * j + c0) % sq.DRAW_PRIME % len(free)] for j in range(n)] if free else []
+    return out
+
+
+@pytest.mark.parametrize("limit", [511, 3, 0])
+def test_negatives_are_the_drawn_unseen_items(spark, limit):
+    import random
 
     from shoplens.operators import sequences as sq
+    rng = random.Random(limit)
+    K = 3000
+    histories = {c: set(rng.sample(range(1, K + 1), rng.choice([1, 2, 5, 60]))) for c in range(12)}
+    histories |= {50: set(range(1, K + 1)), 51: set(range(1, K)), 52: set(range(1, 1500)), 53: set(range(2, K + 1, 2))}
+    rows = [(c, i) for c, s in histories.items() for i in s] + [(0, next(iter(histories[0])))]      # a repeated event
+    df = spark.createDataFrame(rows, "client_id long, item long")
+    total = spark.createDataFrame([(K,)], "K long")
+    got = {r["client_id"]: r["negatives"] for r in sq.negatives(df, total, n=200, limit=limit).collect()}
+    assert got == _plain_negatives(spark, histories, K, 200, 42)
+    assert all(not set(v) & histories[c] for c, v in got.items())
+    assert sq.negatives(df, total, n=0, limit=limit).first()["negatives"] == []
+
+
+def test_als_factors_solve_the_weighted_least_squares(spark, sf_dir):
+    from shoplens.operators import factors
+    from shoplens.operators import interactions as ia
     from shoplens.sources.inputs import load_fixture
-    v = sq.visits(load_fixture(spark, sf_dir), 10)
-    hist = v.select("client_id", F.col("url_code").alias("item"))
-    k = v.agg(F.max("url_code").alias("K"))
-    K = k.first()[0]
-    seen = {}
-    for r in hist.collect():
-        seen.setdefault(r.client_id, set()).add(r.item)
-    for r in sq.negatives(hist, k, n=50).collect():
-        assert len(r.negatives) == (50 if len(seen[r.client_id]) < K else 0)
-        assert all(1 <= x <= K and x not in seen[r.client_id] for x in r.negatives)
+    cells = ia.signed(load_fixture(spark, sf_dir))                   # weights of both signs
+    users, items = factors.fit_als(cells, "sku", "action", rank=8, max_iter=3)
+    implied = {r.client_id: np.array(r.embedding) for r in factors.half_step(cells, items, "sku", "action").collect()}
+    held = {r.client_id: np.array(r.embedding) for r in users.collect()}
+    assert implied.keys() <= held.keys() and len(implied) > 50
+    for c, x in implied.items():
+        assert np.abs(x - held[c]).max() <= 1e-3 * max(1.0, np.abs(x).max())
+
+
+def test_half_step_is_the_plain_solution(spark):
+    from shoplens.operators import factors
+    rng = np.random.default_rng(4)
+    y = rng.normal(size=(6, 3))
+    cells = [(1, 0, 2.0), (1, 3, 1.0), (2, 1, -1.5), (2, 2, 0.5), (3, 5, 4.0), (4, 0, 0.0)]
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "sku long, embedding array<double>")
+    got = {r.client_id: np.array(r.embedding) for r in factors.half_step(
+        spark.createDataFrame(cells, "client_id long, sku long, weight double"), items, "sku", reg=0.1, alpha=2.0).collect()}
+    for u in (1, 2, 3):
+        a, b = y.T @ y, np.zeros(3)
+        for c, i, w in cells:
+            if c == u:
+                a += 2 * abs(w) * np.outer(y[i], y[i]) + (0.1 * np.eye(3) if w > 0 else 0)
+                b += (1 + 2 * abs(w)) * y[i] * (w > 0)
+        assert np.allclose(got[u], np.linalg.solve(a, b))
+    assert 4 not in got                                                  # no cell of weight other than 0
+
+
+def test_side_codes_change_the_signed_factors(spark, sf_dir):
+    from shoplens.operators import factors
+    from shoplens.operators import interactions as ia
+    from shoplens.sources.inputs import load_fixture
+    inputs = load_fixture(spark, sf_dir)
+    s = ia.signed(inputs)
+    search, names = ia.search_codes(inputs), ia.item_codes_long(inputs.product_properties, s)
+
+    def vectors(a, b):
+        return {r.client_id: np.array(r.embedding) for r in factors.als_signed(s, a, b, rank=4).collect()}
+
+    whole, no_search, no_names = vectors(search, names), vectors(search.limit(0), names), vectors(search, names.limit(0))
+    assert whole.keys() == no_search.keys() == no_names.keys()
+    for other in (no_search, no_names):
+        assert np.mean([np.abs(whole[c] - other[c]).max() > 1e-3 for c in whole]) > 0.5
 
 
 def test_random_slice_lengths(spark):
@@ -73,6 +133,26 @@ def test_apply_encoder_batches(spark):
     assert out == {1: [4.0, 1.0], 2: [3.0, 1.0], 3: [0.0, 1.0]}
 
 
+def test_batches_stay_within_the_budget(spark):
+    from shoplens.operators import encoders as en
+    assert en.batches_of([5, 5, 3, 1], 10) == [(0, 2), (2, 4)] and en.batches_of([99, 1, 0], 10) == [(0, 1), (1, 3)]
+    assert en.batches_of([], 10) == []
+    texts = [(i, "w " * (i * 37 % 101)) for i in range(300)] + [(300, "w " * 5000), (301, None)]
+    docs = spark.createDataFrame(texts, "client_id long, text string").repartition(4)
+    sizes = spark.sparkContext.accumulator(0)
+
+    def encode(batch):
+        words = [len(t.split()) for t in batch]
+        assert len(batch) == 1 or max(*words, 1) * len(words) <= 400, words
+        assert words == sorted(words, reverse=True)
+        sizes.add(1)
+        return np.array([[n, len(batch)] for n in words], dtype=float)
+
+    got = {r.client_id: r.embedding for r in en.apply_encoder(docs, encode, 2, budget=400).collect()}
+    assert {c: int(v[0]) for c, v in got.items()} == {i: len((t or "").split()) for i, t in texts}
+    assert sizes.value > 30
+
+
 def test_random_slice_long_equals_array_slice(spark):
     from shoplens.operators import sequences as sq
     rows = [(c, p, c * 100 + p) for c in range(1, 30) for p in range(c)]

@@ -44,3 +44,24 @@ def test_draws_are_the_same_number_in_both_engines(spark, duck):
     got = [r[0] for r in spark.range(50).select(draw("id", 7)).collect()]
     want = [r[0] for r in duck.execute(f"SELECT {draw_sql('id', 7)} FROM (SELECT unnest(range(50)) AS id)").fetchall()]
     assert sorted(got) == sorted(want) and len(set(got)) == 50
+
+
+def test_a_long_tail_of_equal_counts_is_ranked_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from shoplens.operators.ordering import group_ranks
+    n = 1_000_000
+    succ = spark.range(n).select(F.lit(7).alias("prev"), F.col("id").alias("next"), F.lit(1).alias("count")).unionByName(
+        spark.createDataFrame([(8, 5, 3), (8, 4, 3), (8, 9, 4)], "prev int, next long, count int"))
+    ranked = group_ranks(succ, "prev", [F.col("count").desc(), F.col("next").asc()])
+    assert [tuple(r) for r in ranked.where("prev = 8").orderBy("rank").select("next", "rank").collect()] == [(9, 0), (4, 1), (5, 2)]
+    own = ranked.where("prev = 7")
+    assert own.agg(F.count("*"), F.max(F.abs(F.col("rank") - F.col("next")))).first()[:] == (n, 0)
+    assert "windowspecdefinition(prev" not in _plan(ranked)         # the one window counts the ranges, not the rows
+    parts = succ.repartitionByRange(F.col("prev"), F.col("count").desc(), F.col("next")).groupBy(F.spark_partition_id()).count()
+    assert parts.agg(F.max("count")).first()[0] < n / 2            # the group lies in several ranges
+
+
+def test_search_tables_take_widths_once_per_client(spark, sf_dir):
+    plan = _plan(entries()["text_searches"].build(spark, sf_dir))
+    assert "array_max" not in plan and "max(" in plan

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoplens import session
-from shoplens.operators.client_text import printed_timestamps
+from shoplens.operators.client_text import stamp_length
 
 
 @pytest.mark.parametrize("stamps, printed", [
@@ -15,8 +15,10 @@ from shoplens.operators.client_text import printed_timestamps
     (["2024-01-01 10:00:00", "2024-01-02 00:00:00"], ["2024-01-01 10:00:00", "2024-01-02 00:00:00"]),
     (["2024-01-01 00:00:00", "2024-01-02 00:00:00"], ["2024-01-01", "2024-01-02"])])
 def test_precision_of_the_finest_row(spark, stamps, printed):
-    rows = F.array(*[F.struct(F.lit(s).cast("timestamp_ntz").alias("timestamp")) for s in stamps])
-    assert spark.range(1).select(printed_timestamps(rows).alias("x")).first()["x"] == printed
+    rows = spark.createDataFrame([(s,) for s in stamps], "s string").select(F.col("s").cast("timestamp_ntz").alias("t"))
+    finest = F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    got = rows.crossJoin(rows.agg(stamp_length(F.col("t")).alias("n"))).select(F.substring(finest, F.lit(1), F.col("n")).alias("x"))
+    assert sorted(r["x"] for r in got.collect()) == printed
 
 
 def test_scratch_folder_is_for_local_masters_only():
