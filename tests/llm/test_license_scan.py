@@ -45,7 +45,7 @@ def test_statistics_are_longest_runs():
     known = {tuple(w[i:j]) for _, t in [("", "a b"), ("", "c a b"), *templates] for w in [t.split()]
              for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
     run = [rng.choice("abc") for _ in range(400)]
-    for i, (state, length) in enumerate(m.statistics([m.ids[c] for c in run])):
+    for i, (state, length) in enumerate(m.statistics([m.ids[c.encode()] for c in run])):
         assert length == max(n for n in range(i + 2) if n == 0 or tuple(run[i + 1 - n:i + 1]) in known)
         here = {(t, e) for t, (_, text) in enumerate(templates, 2) for w in [text.split()]
                 for e in range(length, len(w) + 1) if w[e - length:e] == run[i + 1 - length:i + 1]}
