@@ -336,28 +336,26 @@ def gaps(history: DataFrame, item: str = "item") -> DataFrame:
 
 def negatives(history: DataFrame, n_items: DataFrame, n: int = 10_000, seed: int = 42, item: str = "item",
               limit: int = GAPS) -> DataFrame:
-    """``(client_id, negatives)``: ``n`` items per client drawn with replacement from items NOT in its history.
+    """``(client_id, place, item)``: ``n`` items per client drawn with replacement from items NOT in its history.
 
     Items are dense codes ``1..K`` (``n_items`` is a one-row ``K``). Draw ``j`` is the client's seeded polynomial at
     ``j``, modulo the number of unseen items: the r-th unseen item, which is ``r + 1`` plus the seen items below it
     (:func:`gaps`), exact, without rejection and without a client x item product. Clients of at most ``limit`` gaps look
-    them up in an array, by halving; the draws of others are joined to their gaps in buckets of 1,024 unseen items. A
-    client without unseen items gets an empty array."""
-    if n < 0 or n > 1 << 20:
-        raise ValueError("between 0 and 1,048,576 negatives per client")
+    them up in an array, by halving, in generated code and where the client's row lies: their draws are not shuffled.
+    The draws of others are joined to their gaps in buckets of 1,024 unseen items. A client without unseen items has no
+    rows."""
     steps = [1 << i for i in reversed(range(limit.bit_length()))] or [1]
     total = n_items.select(F.col(n_items.columns[0]).cast("long").alias("_K"))
     found = cut_lineage(gaps(history, item))
     sizes = found.groupBy("client_id").agg(F.count(F.lit(1)).alias("_g"), F.max("below").alias("_seen"))
     clients = cut_lineage(sizes.crossJoin(F.broadcast(total)).select(
-        "client_id", "_g", (F.col("_K") - F.col("_seen")).alias("_free"), *draw_coefficients("client_id", seed)))
-    none = F.array().cast("array<bigint>")
+        "client_id", "_g", (F.col("_K") - F.col("_seen")).alias("_free"), *draw_coefficients("client_id", seed))
+        .where("_free > 0"))
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("place")
 
-    def drawn(j: Column) -> Column:
-        wide = F.pmod(F.pmod(F.col("_c2") * j + F.col("_c1"), F.lit(DRAW_PRIME)) * j + F.col("_c0"), F.lit(DRAW_PRIME))
-        return F.pmod(wide, F.greatest(F.col("_free"), F.lit(1)))
-
-    places = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")) if n else none
+    def drawn(rows: DataFrame) -> DataFrame:
+        j, prime = F.col("place"), F.lit(DRAW_PRIME).cast("long")
+        return rows.withColumn("_r", ((F.col("_c2") * j + F.col("_c1")) % prime * j + F.col("_c0")) % prime % F.col("_free"))
 
     # few gaps: sorted arrays of bounded length
     light = clients.where(F.col("_g") <= limit)
@@ -366,43 +364,35 @@ def negatives(history: DataFrame, n_items: DataFrame, n: int = 10_000, seed: int
     held = light.join(arrays, "client_id").select("client_id", "_free", "_c0", "_c1", "_c2",
                                                   F.transform("_s", lambda x: x["at"]).alias("_at"),
                                                   F.transform("_s", lambda x: x["below"]).alias("_below"))
-
-    def item_of(r: Column) -> Column:
-        def wider(at: Column, step: Column) -> Column:
-            return F.when(F.coalesce(F.get("_at", at + step - 1) <= r, F.lit(False)), at + step).otherwise(at)
-        count = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), wider)
-        return r + 1 + F.coalesce(F.get("_below", count - 1), F.lit(0))
-
-    small = held.select("client_id", F.when(F.col("_free") > 0, F.transform(
-        F.transform(places, drawn), item_of)).otherwise(none).alias("negatives"))
+    rows = drawn(held.select("*", places)).withColumn("_p", F.lit(0))
+    for step in steps:                                      # _p gaps begin at or below the draw
+        further = F.coalesce(F.get("_at", F.col("_p") + (step - 1)) <= F.col("_r"), F.lit(False))
+        rows = rows.withColumn("_p", F.when(further, F.col("_p") + step).otherwise(F.col("_p")))
+    below = F.coalesce(F.get("_below", F.col("_p") - 1), F.lit(0))
+    small = rows.select("client_id", "place", (F.col("_r") + 1 + below).alias("item"))
 
     # many gaps: draws meet the gaps of their bucket
     heavy = clients.where(F.col("_g") > limit)
     if heavy.isEmpty():
         return small
-    asked = heavy.where("_free > 0").select("client_id", "_free", "_c0", "_c1", "_c2", F.explode(places).alias("_j")) \
-        .select("client_id", "_j", drawn(F.col("_j")).alias("at"))
+    asked = drawn(heavy.select("*", places)).select("client_id", "place", F.col("_r").alias("at"))
     both = asked.withColumn("below", F.lit(None).cast("long")).unionByName(
-        found.join(heavy.select("client_id"), "client_id", "left_semi").withColumn("_j", F.lit(None).cast("long"))) \
+        found.join(heavy.select("client_id"), "client_id", "left_semi").withColumn("place", F.lit(None).cast("long"))) \
         .withColumn("_b", F.shiftright("at", 10))
     last = both.groupBy("client_id", "_b").agg(F.max("below").alias("_m"))
     before = Window.partitionBy("client_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select("client_id", "_b", F.coalesce(F.max("_m").over(before), F.lit(0)).alias("_carried"))
-    inside = Window.partitionBy("client_id", "_b").orderBy("at", F.col("_j").asc_nulls_first()) \
+    inside = Window.partitionBy("client_id", "_b").orderBy("at", F.col("place").asc_nulls_first()) \
         .rowsBetween(Window.unboundedPreceding, 0)
-    met = both.withColumn("_in", F.max("below").over(inside)).where("_j is not null").join(carried, ["client_id", "_b"])
-    large = met.groupBy("client_id").agg(F.array_sort(F.collect_list(F.struct(
-        "_j", (F.col("at") + 1 + F.greatest(F.coalesce("_in", F.lit(0)), "_carried")).alias("item")))).alias("_s")).select(
-        "client_id", F.transform("_s", lambda x: x["item"]).alias("negatives"))
-    full = heavy.where("_free <= 0").select("client_id", none.alias("negatives"))
-    return small.unionByName(large).unionByName(full)
+    met = both.withColumn("_in", F.max("below").over(inside)).where("place is not null").join(carried, ["client_id", "_b"])
+    large = met.select("client_id", "place", (F.col("at") + 1 + F.greatest(F.coalesce("_in", F.lit(0)), "_carried")).alias("item"))
+    return small.unionByName(large)
 
 
 def causal_train_with_negatives(visit_long: DataFrame, max_length: int = 256, n: int = 10_000,
-                                seed: int = 42) -> DataFrame:
-    """Q10: training view with negatives drawn against the truncated sequence."""
-    view = causal_train_view(visit_long, max_length)
+                                seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Q10: the training view, and ``(client_id, place, item)`` negatives drawn against the truncated sequences."""
     window = visit_long.where(F.col("time_idx_reversed") <= max_length).select(
         "client_id", F.col("url_code").alias("item"))
     k = visit_long.agg(F.max("url_code").alias("K"))
-    return view.join(negatives(window, k, n, seed), "client_id", "inner")
+    return causal_train_view(visit_long, max_length), negatives(window, k, n, seed)

@@ -245,19 +245,15 @@ NEGATIVE_CTES = [
 
 
 @register("seq_negatives", with_bindings(*VISIT_CTES, *NEGATIVE_CTES, body="""
-    SELECT v.client_id, v.n_inputs, coalesce(n, 0) AS n_negatives, coalesce(item_sum, 0) AS item_sum,
-           coalesce(order_sum, 0) AS order_sum, seen_drawn FROM
+    SELECT v.client_id, v.n_inputs, coalesce(n, 0) AS n_negatives, item_sum, place_sum FROM
       (SELECT client_id, least(count(*), 257) - 1 AS n_inputs FROM vs GROUP BY 1) v
     LEFT JOIN (SELECT client_id, count(*) AS n, CAST(sum(item) AS BIGINT) AS item_sum,
-                      CAST(sum(item * (j + 1)) AS BIGINT) AS order_sum FROM ng GROUP BY 1) USING (client_id)
-    CROSS JOIN (SELECT CAST(0 AS BIGINT) AS seen_drawn)"""))
+                      CAST(sum(item * (j + 1)) AS BIGINT) AS place_sum FROM ng GROUP BY 1) USING (client_id)"""))
 def seq_negatives(spark, sf_dir):
-    """Causal training view with 10,000 negatives per client; their count, sums (by place as well) and how many
-    of them the client has seen."""
-    view = sq.causal_train_with_negatives(sq.visits(load_fixture(spark, sf_dir), VISIT_MIN), 256, 10_000)
-    seen = F.array_distinct(F.concat("input_ids", "labels"))
-    return view.select("client_id", F.size("input_ids").cast("long").alias("n_inputs"),
-                       F.size("negatives").cast("long").alias("n_negatives"),
-                       F.expr("aggregate(negatives, 0L, (a, x) -> a + x)").alias("item_sum"),
-                       F.expr("aggregate(transform(negatives, (x, i) -> x * (i + 1)), 0L, (a, x) -> a + x)").alias("order_sum"),
-                       F.size(F.array_intersect("negatives", seen)).cast("long").alias("seen_drawn"))
+    """Causal training view with 10,000 negatives per client: their count, and sums with and without their
+    places."""
+    view, drawn = sq.causal_train_with_negatives(sq.visits(load_fixture(spark, sf_dir), VISIT_MIN), 256, 10_000)
+    sums = drawn.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"), F.sum("item").alias("item_sum"),
+                                          F.sum(F.col("item") * (F.col("place") + 1)).alias("place_sum"))
+    return view.select("client_id", F.size("input_ids").cast("long").alias("n_inputs")).join(sums, "client_id", "left") \
+        .select("client_id", "n_inputs", F.coalesce("n", F.lit(0)).alias("n_negatives"), "item_sum", "place_sum")
