@@ -78,8 +78,10 @@ class Memo(dict):
 class Codec:
     """One vocabulary in one Python worker."""
 
-    def __init__(self, model: models.BPE, table: list[bytes], pattern: str):
+    def __init__(self, model: models.BPE, table: list[bytes], pattern: str, added: dict[str, int] | None = None):
         self.model, self.table = model, table
+        self.added = added or {}
+        self.marks = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if added else None
         self.find = regex.compile(pattern).findall
         self.spans = regex.compile(pattern).finditer
         self.latin = latin_finder(pattern)
@@ -105,7 +107,13 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.memo.__getitem__, self.words(text)))
+        if self.marks is None or not any(mark in text for mark in self.added):
+            return b"".join(map(self.memo.__getitem__, self.words(text)))
+        out, at = [], 0
+        for m in self.marks.finditer(text):                 # what stands between added tokens is encoded on its own
+            out += [*map(self.memo.__getitem__, self.words(text[at:m.start()])), struct.pack("<I", self.added[m.group()])]
+            at = m.end()
+        return b"".join([*out, *map(self.memo.__getitem__, self.words(text[at:]))])
 
     def offsets(self, text: str) -> tuple[list[int], list[int]]:
         """First and end code point of each token; a token that holds part of a character covers the whole of it."""
@@ -148,15 +156,23 @@ def rank_codec(path: str, pattern: str) -> Codec:
 
 @lru_cache(maxsize=4)
 def json_codec(path: str, pattern: str) -> Codec:
-    """Codec of a byte-level BPE saved by the ``tokenizers`` library; strings of special tokens are ordinary text."""
+    """Codec of a byte-level BPE saved by the ``tokenizers`` library; its added tokens are one id each wherever their
+    string stands, as the library has it."""
     whole = Tokenizer.from_file(path)
     code = {c: b for b, c in enumerate(byte_alphabet())}
+    added = {}
+    for i, token in whole.get_added_tokens_decoder().items():
+        if token.single_word or token.lstrip or token.rstrip:
+            raise ValueError(f"added token {token.content!r} takes in its surroundings, which is not supported")
+        added[token.content] = i
     vocab = whole.get_vocab(with_added_tokens=False)
-    table = [b""] * (max(vocab.values()) + 1)
+    table = [b""] * (max([*vocab.values(), *added.values()]) + 1)
     for token, i in vocab.items():
         if all(c in code for c in token):
             table[i] = bytes(code[c] for c in token)
-    return Codec(whole.model, table, pattern)
+    for token, i in added.items():
+        table[i] = token.encode()
+    return Codec(whole.model, table, pattern, added)
 
 
 def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", decoded: bool = False,

@@ -50,9 +50,9 @@ def test_memo_limit_does_not_change_ids(monkeypatch, reference):
 def test_json_vocabulary_equals_the_library():
     from tokenizers import Tokenizer
     whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     codec = json_codec(P.path("byte_bpe_50k.json"), P.PATTERN)
-    for text in ("", "hello  world\n\n x", "ñandú 中文😀", "<|endoftext|> a", " " * 40):
+    for text in ("", "hello  world\n\n x", "ñandú 中文😀", "<|endoftext|> a", " " * 40,
+                 "a <|endoftext|> b", "<|endoftext|><|endoftext|>ñ 中<|endoftext|", "x<|endoftext|>\n\n y  <|endoftext|>"):
         ids = codec.encode(text)
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
         assert codec.decode(ids) == text.encode()

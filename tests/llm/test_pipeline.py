@@ -5,6 +5,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -65,6 +66,36 @@ def test_each_stage_on_its_own_input(llm_spark, folder, tmp_path):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_stages_keep_every_column(llm_spark, folder, tmp_path):
+    """Extra columns named like everything that the operators write keep their values and types."""
+    names = ["fp", "__row", "found", "spans", "score", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+             "base_failed", "kept", "verdict", "ids", "piece", "start", "length", "sequence_id", "offset", "component_id",
+             "__id", "__mark", "__text", "Spans2", "end", "digest", "anchor", "a.b"]
+    docs = llm_spark.read.parquet(f"{folder}/documents.parquet")
+    for i, n in enumerate(names):
+        value = F.array(F.col("doc_id")) if i % 3 == 0 else F.concat_ws("/", "doc_id", F.lit(n)) if i % 3 == 1 else F.col("doc_id") * 1.5
+        docs = docs.withColumn(n, value)
+    docs.write.parquet(f"{tmp_path}/in")
+    docs = llm_spark.read.parquet(f"{tmp_path}/in")
+    schema, kept = docs.schema, [f"`{c}`" for c in docs.columns if c not in ("text", "n_chars")]
+    key = lambda r: tuple(map(str, r))
+    for at, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(llm_spark, docs, folder).write.parquet(f"{tmp_path}/{at}")
+        after = llm_spark.read.parquet(f"{tmp_path}/{at}")
+        if at < 4:
+            assert [(f.name, f.dataType) for f in after.schema] == [(f.name, f.dataType) for f in schema]
+            assert {key(r) for r in after.select(kept).collect()} <= {key(r) for r in docs.select(kept).collect()}
+            assert after.count() > 20
+        else:
+            assert after.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"]
+        docs = after
+
+
+def test_stages_keep_an_empty_table(llm_spark, folder, no_docs):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(llm_spark, no_docs, folder).count() == 0
+
+
 def test_run_equals_the_stages(llm_spark, folder):
     rows = corpus_pipeline.run(llm_spark, folder).collect()
     assert rows and sum(r["length"] for r in rows) > 1000
@@ -74,7 +105,7 @@ def test_run_equals_the_stages(llm_spark, folder):
 def test_registration():
     names = set(entry.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert set(entry.oracle_sql()) <= names
 
