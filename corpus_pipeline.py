@@ -1,9 +1,16 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but
-the last return the columns of ``docs``. A driver may write each result and
+the last return the columns of ``docs``, whatever their names: the operators
+see ids and texts, the other columns stand aside under names that no operator
+uses, and come back as they were. A driver may write each result and
 read it again as the next stage's ``docs``; ``run`` does so itself, in the
 shared checkpoint folder.
+
+Null texts count as empty (and stay null), null ids take part; repeated rows
+are near duplicates of each other; texts are processed whole, however long;
+among equals the smallest id stays. An empty table stays empty through every
+stage. ``n_chars``, where there is such a column, follows the text.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplens.llm import packing, quality_rules, secret_scan, simhash, substring_dedup
@@ -22,34 +29,48 @@ from shoplens.session import cut_lineage, drop_tables, tables
 ORACLE_SQL = None
 
 
-def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns, with ``n_chars`` (if any) again the length of the text."""
-    return docs.select([F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")
-                        for c in columns])
+#: The columns that operators read, by the names they have in every table.
+READ = ("doc_id", "text")
+
+
+def _set_aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns but those that operators read under names that none of them writes."""
+    return docs.select([F.col(f"`{c}`").alias(c if c in READ else f"__kept_{i}") for i, c in enumerate(docs.columns)])
+
+
+def _brought_back(rows: DataFrame, docs: DataFrame, recount: bool = False) -> DataFrame:
+    """The columns of ``docs`` from the rows that an operator kept, with ``n_chars`` (if any) again the length of the
+    text on demand."""
+    def column(i: int, c: str) -> Column:
+        if recount and c == "n_chars":
+            return F.length("text").cast(docs.schema[c].dataType)
+        return F.col(c if c in READ else f"__kept_{i}")
+
+    return rows.select([column(i, c).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the learned decision list."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules.judge(docs, labels, payload=True).where("kept").select(*docs.columns)
+    return _brought_back(quality_rules.judge(_set_aside(docs), labels, payload=True).where("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (3-word shingles, 3 bits): the one of smallest id."""
     ship(spark)
-    return simhash.keep_first(docs, shingle=3, distance=3)
+    return _brought_back(simhash.keep_first(_set_aside(docs), shingle=3, distance=3), docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier document (or place) has."""
     ship(spark)
-    return _recounted(substring_dedup.remove(docs), docs.columns)
+    return _brought_back(substring_dedup.remove(_set_aside(docs)), docs, recount=True)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the values of secrets replaced."""
     ship(spark)
-    return _recounted(secret_scan.redact(docs), docs.columns)
+    return _brought_back(secret_scan.redact(_set_aside(docs)), docs, recount=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
