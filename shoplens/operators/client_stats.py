@@ -28,6 +28,7 @@ from ..functions.dates import (
     year_month,
     year_week_sunday,
 )
+from ..session import cut_lineage
 from ..sources.inputs import Inputs, relevant_only
 
 #: The event-table prefixes and the output column order of the
@@ -150,22 +151,38 @@ def item_popularity(events: DataFrame, item: str = "sku", prefix: str = "buy",
     return _mean_of_totals(pairs, item, f"average_pop_{prefix}")
 
 
+def category_cells(pairs: dict[str, DataFrame], products: DataFrame) -> dict[str, DataFrame]:
+    """``(client_id, category, _n, _spent, _priced)`` per event table: events, their price sum and how many have a price.
+
+    All tables meet the products in one left join (unknown sku: null category and price) and are reduced in one
+    aggregate, which is written once: at most clients x categories rows per table."""
+    tagged = [p.select(F.lit(name).alias("_p"), "client_id", "sku", "_n") for name, p in pairs.items()]
+    joined = reduce(lambda a, b: a.unionByName(b), tagged).join(products.select("sku", "category", "price"), "sku", "left")
+    cells = cut_lineage(joined.groupBy("_p", "client_id", "category").agg(
+        F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("price")).alias("_spent"),
+        F.sum(F.when(F.col("price").isNotNull(), F.col("_n"))).alias("_priced")))
+    return {name: cells.where(F.col("_p") == name).drop("_p") for name in pairs}
+
+
 def category_popularity(events: DataFrame, products: DataFrame, prefix: str = "buy",
-                        pairs: DataFrame | None = None) -> DataFrame:
-    """A5: as A4 on the category of a left join to products (unknown sku: skipped)."""
-    pairs = ((pairs if pairs is not None else _pairs(events, "sku"))
-             .join(products.select("sku", "category"), "sku", "left")
-             .groupBy("client_id", "category").agg(F.sum("_n").alias("_n")))
-    return _mean_of_totals(pairs, "category", f"category_popularity_{prefix}")
+                        cells: DataFrame | None = None) -> DataFrame:
+    """A5: as A4 on the category of a left join to products (unknown sku: skipped).
+    ``cells``: the table's :func:`category_cells` when already built."""
+    cells = cells if cells is not None else _pairs(events, "sku") \
+        .join(products.select("sku", "category"), "sku", "left") \
+        .groupBy("client_id", "category").agg(F.sum("_n").alias("_n"))
+    return _mean_of_totals(cells.select("client_id", "category", "_n"), "category", f"category_popularity_{prefix}")
 
 
-def price(buys: DataFrame, products: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def price(buys: DataFrame, products: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """A10: sum and mean price of bought items (left join: unknown sku adds nothing)."""
-    j = (pairs if pairs is not None else _pairs(buys, "sku")).join(products.select("sku", "price"), "sku", "left")
-    spent = F.col("_n") * F.col("price")
-    return j.groupBy("client_id").agg(
-        F.sum(spent).cast("long").alias("total_spent"),
-        (F.sum(spent) / F.sum(F.when(F.col("price").isNotNull(), F.col("_n")))).alias("average_spent"),
+    if cells is None:
+        cells = _pairs(buys, "sku").join(products.select("sku", "price"), "sku", "left").select(
+            "client_id", (F.col("_n") * F.col("price")).alias("_spent"),
+            F.when(F.col("price").isNotNull(), F.col("_n")).alias("_priced"))
+    return cells.groupBy("client_id").agg(
+        F.sum("_spent").cast("long").alias("total_spent"),
+        (F.sum("_spent") / F.sum("_priced")).alias("average_spent"),
     )
 
 
@@ -226,19 +243,20 @@ def features_all(inputs: Inputs, submit: bool = True) -> DataFrame:
     products = inputs.product_properties
     # every sku-keyed feature (popularity, category popularity, price, both
     # conversions) reads the same (client, sku, n) reduction of its table: one
-    # scan and one exchange per table, reused by all of them
+    # scan and one exchange per table, reused by all of them; what needs the
+    # products reads one reduction by category behind a single join
     pairs = {p: _pairs(ev[p], "sku") for p in ACTION_PREFIXES}
+    cells = category_cells(pairs, products)
     parts = [activity(ev[p], p) for p in ALL_PREFIXES]
     for p in ACTION_PREFIXES:
-        parts.append(category_popularity(ev[p], products, p, pairs=pairs[p]))
+        parts.append(category_popularity(ev[p], products, p, cells=cells[p]))
         parts.append(item_popularity(ev[p], "sku", p, pairs=pairs[p]))
     parts.append(item_popularity(ev["visit"], "url", "visit"))
     parts.append(stability(ev["visit"]))
-    parts.append(price(ev["buy"], products, pairs=pairs["buy"]))
+    parts.append(price(ev["buy"], products, cells=cells["buy"]))
     # distinct (client, key) sets: the pair tables hold exactly those keys
     parts.append(conversion(pairs["add"], pairs["buy"], "sku", "bought"))
-    parts.append(conversion(with_category(pairs["add"], products),
-                            with_category(pairs["buy"], products), "category", "bought_cat"))
+    parts.append(conversion(cells["add"], cells["buy"], "category", "bought_cat"))
     out = merge_features(inputs.relevant_clients, parts, feature_columns())
     return out if submit else drop_all_zero(out)
 

@@ -8,6 +8,8 @@ models that Spark fits on the cluster, without any vocabulary:
 * ``bag_pca``: a client's bag of ``field=value`` tokens (the sum of its
   events' field embeddings, K12), every token hashed with a sign into a fixed
   number of slots, reduced by a centred PCA — the linear autoencoder;
+* ``state_pca``: the same over decayed states, in which the order of the events
+  counts;
 * ``token_vectors`` / ``item2vec``: an item's vector sums seeded ±1 vectors of
   the items around it in the clients' sequences; a client's vector is the
   mean over its newest items;
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 from ..functions.arrays import last_n
 from ..functions.draws import draw
 from ..session import cut_lineage
-from .event_state import dense
+from .event_state import decayed_state, dense
 from .ordering import newest
 from .vectors import covariance, project, top_components
 
@@ -68,6 +70,13 @@ def bag_pca(long: DataFrame, fields, k: int = 64, slots: int = SLOTS) -> DataFra
     return project(*_fitted_bags(token_counts(long, fields), k, slots))
 
 
+def state_pca(events: DataFrame, fields, order: list, k: int = 64, slots: int = SLOTS) -> DataFrame:
+    """K5 with order: decayed states of each client's events (:func:`event_state.decayed_state`), centred PCA to ``k``."""
+    states = cut_lineage(dense(decayed_state(events, fields, order, slots=slots), slots))
+    mean, cov = covariance(states)
+    return project(states, mean, top_components(cov, k))
+
+
 def reconstruction_error(long: DataFrame, fields, k: int = 64, slots: int = SLOTS) -> DataFrame:
     """G8 re-aimed: per client, squared distance between its centred bag and the bag's PCA reconstruction
     (``||x - mu||^2 - ||proj||^2``; components are orthonormal)."""

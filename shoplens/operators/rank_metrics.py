@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import position_of
 from ..session import cut_lineage
 
 
@@ -28,6 +29,22 @@ def ranking(recs: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def ranking_rows(rows: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
+    """G1-G4 on one row per user (K10): ``rows`` is ``(user_id, items)``, best first; the target's place in the array is
+    its rank (R5), so recommendations are not exploded and only labels are joined."""
+    j = labels.select("user_id", F.col("item_id").alias("_t")).join(rows.select("user_id", "items"), "user_id", "inner")
+    place = position_of("items", "_t")
+    r = j.select(F.when((place > 0) & (place <= k), place).alias("_r"))
+    rank = F.col("_r")
+    return r.agg(
+        F.count(F.lit(1)).alias("users"),
+        F.avg(F.when(rank == 1, 1.0).otherwise(0.0)).alias("hit_rate_1"),
+        F.avg(F.when(rank.isNotNull(), 1.0).otherwise(0.0)).alias(f"hit_rate_{k}"),
+        F.avg(F.coalesce(1.0 / rank, F.lit(0.0))).alias(f"mrr_{k}"),
+        F.avg(F.coalesce(1.0 / F.log2(rank + 1), F.lit(0.0))).alias(f"ndcg_{k}"),
+    )
+
+
 def spearman(df: DataFrame, a: str, b: str) -> float:
     """Spearman correlation (ranks computed distributed by ``ml.stat.Correlation``)."""
     from pyspark.ml.feature import VectorAssembler

@@ -36,10 +36,12 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 # ---- Q1: event/day sequences ------------------------------------------------------
 
-def event_day(inputs: Inputs, relevant: bool = True, last: int | None = None) -> DataFrame:
-    """Q1: ``(client_id, pos, event_type, day)``; event codes add..search = 1..5 (+2),
-    day = calendar days since the first date of all events (+3). With ``last``
-    only each client's newest events, by a window limit."""
+EVENT_DAY_ORDER = ["timestamp", "event_type"]
+
+
+def event_days(inputs: Inputs, relevant: bool = True) -> DataFrame:
+    """``(client_id, timestamp, event_type, day)``; event codes add..search = 1..5 (+2), day = calendar days since the
+    first date of all events (+3)."""
     tagged = [inputs.add_to_cart, inputs.remove_from_cart, inputs.product_buy,
               inputs.page_visit, inputs.search_query]
     data = _union([t.select("client_id", "timestamp", F.lit(code).alias("event_type"))
@@ -47,13 +49,18 @@ def event_day(inputs: Inputs, relevant: bool = True, last: int | None = None) ->
     if relevant:
         data = relevant_only(data, inputs.relevant_clients)
     first = data.agg(F.min(F.to_date("timestamp")).alias("_d0"))
-    data = data.crossJoin(F.broadcast(first)).select(
+    return data.crossJoin(F.broadcast(first)).select(
         "client_id", "timestamp",
         (F.col("event_type") + 2).cast("long").alias("event_type"),
         (F.datediff(F.to_date("timestamp"), F.col("_d0")) + 3).cast("long").alias("day"))
-    order = ["timestamp", "event_type"]
-    return (positions(data, "client_id", order) if last is None else newest(data, "client_id", order, last)) \
-        .drop("timestamp")
+
+
+def event_day(inputs: Inputs, relevant: bool = True, last: int | None = None) -> DataFrame:
+    """Q1: ``(client_id, pos, event_type, day)`` of :func:`event_days`. With ``last`` only each client's newest events, by
+    a window limit."""
+    data = event_days(inputs, relevant)
+    return (positions(data, "client_id", EVENT_DAY_ORDER) if last is None
+            else newest(data, "client_id", EVENT_DAY_ORDER, last)).drop("timestamp")
 
 
 # ---- Q2/Q3: multi-feature sequences --------------------------------------------------
@@ -234,10 +241,10 @@ def causal_predict_view(visit_long: DataFrame, max_length: int = 256, validation
     return a.join(target, "client_id", "inner") if target is not None else a
 
 
-def next_event_predict_view(long: DataFrame, fields, max_length: int = 64) -> DataFrame:
-    """Q9: the newest ``max_length`` events before the held-out last one, plus the labels (one ``groupBy``; clients
-    with a single event have nothing to predict from and drop out)."""
-    kept = newest(long, "client_id", ["pos"], max_length + 1, pos="_p0", rev="_rev")
+def next_event_predict_view(events: DataFrame, order: list, fields, max_length: int = 64) -> DataFrame:
+    """Q9: the newest ``max_length`` events before the held-out last one, plus the labels (one window limit and one
+    ``groupBy`` on the same partitioning; clients with a single event have nothing to predict from and drop out)."""
+    kept = newest(events, "client_id", order, max_length + 1, pos="_p0", rev="_rev")
     row = F.struct(F.col("_p0"), *[F.col(f) for f in fields])
     g = kept.groupBy("client_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("_rev") > 0, row))).alias("_seq"),

@@ -85,6 +85,25 @@ def enc_event_day(spark, sf_dir):
     return en.bag_pca(sq.event_day(load_fixture(spark, sf_dir)), ["event_type", "day"], 64)
 
 
+EVENT_FIELDS = ["event_type", "day"]
+
+
+@register("enc_event_state", with_bindings(*EVENT_DAY_CTES,
+    ("et", "SELECT client_id, n - 1 - pos AS age, 'event_type=' || event_type AS token FROM ed "
+           "UNION ALL SELECT client_id, n - 1 - pos, 'day=' || day FROM ed"),
+    body=f"""SELECT client_id, {draw_sql('token', 42)} % {en.SLOTS} AS slot, (round(sum(power(0.9, age)
+             * CASE WHEN {draw_sql('token', 43)} % 2 = 0 THEN 1.0 ELSE -1.0 END), 6) + 0.0) AS value FROM et GROUP BY 1, 2"""))
+def enc_event_state(spark, sf_dir):
+    """K5 with order: decayed states of the event/day sequences."""
+    return es.decayed_state(sq.event_days(load_fixture(spark, sf_dir)), EVENT_FIELDS, sq.EVENT_DAY_ORDER, slots=en.SLOTS)
+
+
+@register("enc_event_state_pca")
+def enc_event_state_pca(spark, sf_dir):
+    """K5 with order: the states of enc_event_state, centred PCA to 64."""
+    return en.state_pca(sq.event_days(load_fixture(spark, sf_dir)), EVENT_FIELDS, sq.EVENT_DAY_ORDER, 64)
+
+
 @register("enc_sku_text")
 def enc_sku_text(spark, sf_dir):
     """K5 on the sku text sequences."""
@@ -167,6 +186,27 @@ def decode_greedy(spark, sf_dir):
     return de.decode_greedy(sq.cart(load_fixture(spark, sf_dir)), DECODED_FIELDS, DECODED_STEPS)
 
 
+#: Words of a padded batch that the user's encoder gets.
+BATCH_WORDS = 4096
+
+
+@register("enc_batches", f"""
+    WITH tx AS ({INTERACTIONS_SQL})
+    SELECT client_id, CAST(length(text) AS DOUBLE) AS chars, CAST(len(list_filter(string_split_regex(text, '\\s+'),
+           lambda w: w <> '')) AS DOUBLE) AS words, TRUE AS within FROM tx""")
+def enc_batches(spark, sf_dir):
+    """H4: a user's batch encoder over the clients' interaction texts, in batches of bounded padded size (here it measures
+    each text, and whether its batch kept within the bound)."""
+    def measure(texts):
+        words = [len(t.split()) for t in texts]
+        within = len(texts) == 1 or max(1, *words) * len(words) <= BATCH_WORDS
+        return [[len(t), n, within] for t, n in zip(texts, words)]
+
+    out = en.apply_encoder(ct.interactions(load_fixture(spark, sf_dir), 64), measure, 3, budget=BATCH_WORDS)
+    at = F.col("embedding")
+    return out.select("client_id", at[0].cast("double").alias("chars"), at[1].cast("double").alias("words"), (at[2] == 1).alias("within"))
+
+
 @register("enc_text_entries", f"""
     WITH tx AS ({INTERACTIONS_SQL}),
     words AS (SELECT client_id, string_split_regex(lower(trim(text)), '\\s+') AS w FROM tx),

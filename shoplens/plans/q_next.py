@@ -204,3 +204,10 @@ def metrics_next_sku(spark, sf_dir):
             .select(F.lit(field).alias("field"), "*")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@register("metrics_rows", with_bindings(*_field_ctes("category"), body=_METRICS))
+def metrics_rows(spark, sf_dir):
+    """G1-G4 on one row per client: the next category's place in the array of recommended ones."""
+    recs, labels = _field_recs(spark, sf_dir, "category")
+    return rm.ranking_rows(nx.recs_to_rows(recs), labels.withColumn("item_id", F.col("item_id").cast("long")), K)

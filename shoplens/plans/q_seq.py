@@ -185,7 +185,7 @@ def last_event_holdout(spark, sf_dir):
 def seq_predict_view(spark, sf_dir):
     """Q9: newest 64 cart events before the held-out last one, with its labels."""
     fields = ["category", "event", "price"]
-    view = sq.next_event_predict_view(sq.cart(load_fixture(spark, sf_dir), last=65), fields, 64)
+    view = sq.next_event_predict_view(sq.cart_events(load_fixture(spark, sf_dir)), sq.CART_ORDER, fields, 64)
     rows = view.select("client_id", *[f"{f}_true" for f in fields], F.posexplode(F.arrays_zip(*fields)).alias("pos", "_z"))
     return rows.select("client_id", F.col("pos").cast("long").alias("pos"), *[F.col("_z")[f].alias(f) for f in fields],
                        *[f"{f}_true" for f in fields])

@@ -21,7 +21,7 @@ from ..operators import vectors as vx
 from ..session import cut_lineage, scratch_dir
 from ..sources.inputs import load_fixture
 from ..sources.sinks import write_embedding_table
-from .q_enc import BAG_FIELDS, CART_STATE_CTES, TEXT_TOKENS, WEEK_FIELDS, cart_state
+from .q_enc import BAG_FIELDS, CART_STATE_CTES, EVENT_FIELDS, TEXT_TOKENS, WEEK_FIELDS, cart_state
 from .q_seq import VISIT_MIN
 from .q_stats import ALL_PARTS, merged_sql
 from .registry import register, round_doubles
@@ -333,7 +333,7 @@ def _tables(spark, sf_dir) -> dict:
         "next_url_192_6_4": lambda: en.item2vec(sq.visits(inputs, VISIT_MIN, last=256).select(
             "client_id", F.col("time_idx").alias("pos"), F.col("url_code").alias("item")), "item", 192),
         "stat_features": lambda: cs.as_embedding(cs.features_all(inputs)),
-        "gru_ae_day_event": lambda: en.bag_pca(sq.event_day(inputs), ["event_type", "day"], 64),
+        "gru_ae_day_event": lambda: en.state_pca(sq.event_days(inputs), EVENT_FIELDS, sq.EVENT_DAY_ORDER, 64),
         "gru_ae_sku_text": lambda: bags(en.token_counts(sq.sku_text(inputs), ["text"])),
         "smollm2_all_interactions": lambda: bags(en.text_counts(ct.interactions(inputs, 64), TEXT_TOKENS)),
         "search_llm": lambda: bags(en.text_counts(ct.searches(inputs, 90), TEXT_TOKENS)),
