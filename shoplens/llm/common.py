@@ -94,3 +94,20 @@ def hashed_sample(rows: DataFrame, group: str, key: str, limit: int) -> DataFram
 def words_of(text: Column) -> Column:
     """Native word array (null text: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+
+
+def met(rows: DataFrame, once: DataFrame, on: Sequence[str], spread: Sequence[str], n: str = "n", parts: int = 1000,
+        salts: int = 64) -> DataFrame:
+    """Inner join of ``rows`` with ``once``, which has one row per key and says in ``n`` how many rows the key has.
+
+    Keys with a ``parts``-th of all rows or more, of which there are at most ``parts``, come by broadcast; their rows
+    are then spread by ``spread`` over the shuffle that all rows take, so no task gets a common key whole."""
+    total = once.agg(F.sum(n)).first()[0] or 0
+    more = F.struct(*[F.col(c) for c in once.columns if c not in (*on, n)], F.lit(True).alias("__met"))
+    heavy = F.col(n) * parts >= total
+    known = rows.join(F.broadcast(once.where(heavy).select(*on, more.alias("__heavy"))), list(on), "left")
+    known = known.withColumn("__salt", F.when(F.col("__heavy").isNull(), F.lit(0)).otherwise(
+        F.pmod(F.xxhash64(*spread), F.lit(salts - 1)).cast("int") + 1))
+    light = once.where(~heavy).select(*on, more.alias("__light"), F.lit(0).alias("__salt"))
+    return known.join(light, [*on, "__salt"], "left").withColumn("__found", F.coalesce("__heavy", "__light")) \
+        .where("__found is not null").select(*rows.columns, "__found.*").drop("__met")

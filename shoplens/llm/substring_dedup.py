@@ -1,13 +1,17 @@
-"""Removal of passages that repeat, by hashing every window of ``min_words`` words.
-
-A window is a run of ``min_words`` words anywhere in a text, across lines too;
-words are normalised (A-Z in lower case, any white space between them). A
-window that an earlier document (smaller id) or place has is removed, so every
-repeated run of ``min_words`` words or more goes from its first word to its
-last, whatever surrounds it; shorter repeats stay. A later window that overlaps
-the earliest one in its own document loses only what lies behind it.
-
-Windows do not travel one by one. Each has an anchor: the 8-word run of least
+"""Removal of repeated lines, paragraphs and passages by hashing normalised units.
+
+Units are lines and paragraphs (runs of lines without a blank one) of
+``line_words`` words or more, and every window of ``min_words`` words anywhere
+in a text, across lines too, because passages are pasted anywhere. All are
+normalised (A-Z in lower case, any white space between words) and their digests
+grouped over all documents. A unit that an earlier document (smaller id) or
+place has is removed: whole lines and paragraphs, and every repeated run of
+``min_words`` words from its first word to its last, whatever surrounds it.
+Shorter repeats stay. A later unit that overlaps the earliest one in its own
+document loses only what lies behind it.
+
+Lines and paragraphs are rows of a 128-bit digest and a place. Windows do not
+travel one by one. Each has an anchor: the 8-word run of least
 hash in it, which depends on its own words alone. Neighbouring windows with the
 anchor in one place make a group (nine or ten on average, at most 18), which is
 one row. Anchors are counted first with partial aggregation, and groups whose anchor
@@ -15,8 +19,11 @@ occurs once are never made, since equal windows have equal anchors. Equal groups
 are reduced to their earliest occurrence, and later ones are removed whole.
 What is left to compare are the windows of the earliest groups whose anchor has
 several different groups: the ends of passages, and short common phrases.
+Digests and anchors are counted before rows meet them, so that rows of a very
+common one are spread over tasks (:func:`common.met`).
 
-Rows: a null text has no windows and stays null; a null id ranks first. Rows that
+Rows: a null text has no units and stays null; a null id ranks first; ids that
+are no integers rank as text. Rows that
 repeat id and text are one document and lose the same spans; rows that share an
 id only are different documents. Empty tables give empty results. Output
 columns replace input columns of the same name. Spans are code points of the
@@ -27,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -34,15 +42,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoplens.session import cut_lineage, drop_tables, tables
 
-from .common import others, slices
+from .common import met, others, slices
 
 #: Words of an anchor (fewer if windows have under 24 words).
 ANCHOR_WORDS = 8
 #: Bytes whose words are hashed at once (a longer word is taken whole).
 BLOCK = 1 << 20
+WHITE = " \t\n\x0b\x0c\r"
+NO_LINES = pd.DataFrame({c: pd.Series([], dtype=object) for c in ("digest", "__id", "__mark", "start", "end")})
 #: Odd bases of the polynomial hashes over the bytes of a word and over words, modulo 2**64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD95
 
@@ -148,17 +159,56 @@ def units(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return windows([text], min_words)[:3]
 
 
-def _ident(key: str, text: str) -> dict[str, Column]:
-    """What stands for a document: its id and a hash of its text."""
-    return {"__id": F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))),
-            "__mark": F.hash(F.col(f"`{text}`").cast("string"))}
+def lines(text: str, line_words: int) -> Iterator[tuple[bytes, int, int]]:
+    """Digest, first and end code point of the lines and paragraphs of at least ``line_words`` words."""
+    def unit(body: str, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+        if len(body) >= 2 * line_words - 1:
+            words = body.encode().lower().split()           # bytes.lower: A-Z alone; bytes.split: space and \x09-\x0D
+            if len(words) >= line_words:
+                yield blake2b(b" ".join(words), digest_size=16).digest(), start, end
+
+    held: list[tuple[str, int, int]] = []                   # the lines of the paragraph so far
+    at = 0
+    for line in text.split("\n"):
+        body = line.strip(WHITE)
+        start = at + line.index(body) if body else at
+        if body:
+            held.append((body, start, start + len(body)))
+            yield from unit(*held[-1])
+        if not body or at + len(line) == len(text):
+            if len(held) > 1:
+                yield from unit(" ".join(b for b, _, _ in held), held[0][1], held[-1][2])
+            held = []
+        at += len(line) + 1
+
+
+def _ident(docs: DataFrame, key: str, text: str) -> dict[str, Column]:
+    """What stands for a document: its id, in order, and a hash of its text."""
+    own = F.col(f"`{key}`")
+    number = isinstance(docs.schema[key].dataType, T.IntegralType)
+    return {"__id": F.coalesce(own.cast("long"), F.lit(-(1 << 63))) if number else F.coalesce(own.cast("string"), F.lit("")),
+            "__mark": F.xxhash64(F.col(f"`{text}`").cast("string"))}
+
+
+def _source(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """``(__id, __mark, __text)`` of the documents that can have a unit of ``least`` words."""
+    return docs.select(*[c.alias(n) for n, c in _ident(docs, key, text).items()],
+                       F.col(f"`{text}`").cast("string").alias("__text")) \
+        .where(F.length("__text") >= 2 * least - 1)
 
 
-def _source(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """``(__id, __mark, __text)`` of the documents that can have a window."""
-    return docs.select(*[c.alias(n) for n, c in _ident(key, text).items()],
-                       F.col(f"`{text}`").cast("string").alias("__text")) \
-        .where(F.length("__text") >= 2 * min_words - 1)
+def _lines(src: DataFrame, line_words: int) -> DataFrame:
+    """``(digest, __id, __mark, start, end)`` of all lines and paragraphs that are units."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for pdf in slices(batch, "__text"):
+                rows = [(digest, i, start, end) for i, x in enumerate(pdf["__text"]) for digest, start, end in lines(x, line_words)]
+                at = [r[1] for r in rows]
+                yield pd.DataFrame({"digest": [r[0] for r in rows], "__id": pdf["__id"].to_numpy()[at],
+                                    "__mark": pdf["__mark"].to_numpy()[at], "start": [r[2] for r in rows],
+                                    "end": [r[3] for r in rows]}) if rows else NO_LINES
+
+    return src.mapInPandas(run, f"digest binary, __id {dict(src.dtypes)['__id']}, __mark long, start int, end int")
 
 
 def _anchors(src: DataFrame, min_words: int, names: list[str]) -> DataFrame:
@@ -192,16 +242,16 @@ def _groups(src: DataFrame, min_words: int) -> DataFrame:
                 base = np.repeat(w.start[first], sizes)
                 places = np.stack([w.start[own] - base, w.end[own] - base], axis=1)
                 places = places.astype("<u2" if places.max(initial=0) < 1 << 16 else "<u4")
+                row = pa.array(pdf.index.to_numpy()[w.doc[at]].astype(np.int64))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(pdf["__id"].to_numpy(np.int64)[w.doc[at]]),
-                    pa.array(pdf["__mark"].to_numpy(np.int32)[w.doc[at]]),
+                    batch.column("__id").take(row), batch.column("__mark").take(row),
                     pa.array(w.anchor[at]), pa.array(w.whole[at]), pa.array(w.start[first].astype(np.int32)),
                     pa.array(w.end[first].astype(np.int32)), pa.array(w.end[last].astype(np.int32)),
                     packed(w.digest[own], sizes), packed(places, sizes)],
                     ["__id", "__mark", "anchor", "whole", "start", "first_end", "end", "digests", "places"])
 
-    return src.mapInArrow(run, "__id long, __mark int, anchor long, whole long, start int, first_end int, end int, "
-                               "digests binary, places binary")
+    return src.mapInArrow(run, f"__id {dict(src.dtypes)['__id']}, __mark long, anchor long, whole long, start int, "
+                               "first_end int, end int, digests binary, places binary")
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +262,10 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.concatenate([np.frombuffer(p, "<u2" if len(p) == 4 * m else "<u4").astype(np.int32)
                              for p, m in zip(places, n)] or [np.zeros(0, np.int32)]).reshape(-1, 2)
         at = at + np.repeat(batch.column("start").to_numpy(), n)[:, None].astype(np.int32)
+        row = pa.array(np.repeat(np.arange(len(n)), n))
         yield pa.RecordBatch.from_arrays([
             pa.array(np.frombuffer(b"".join(digests), np.int64)),
-            pa.array(np.repeat(batch.column("__id").to_numpy(), n)),
-            pa.array(np.repeat(batch.column("__mark").to_numpy(), n)),
+            batch.column("__id").take(row), batch.column("__mark").take(row),
             pa.array(np.ascontiguousarray(at[:, 0])), pa.array(np.ascontiguousarray(at[:, 1]))],
             ["digest", "__id", "__mark", "start", "end"])
 
@@ -232,40 +282,53 @@ def _stored(df: DataFrame) -> DataFrame:
 
 
 def _later(found: DataFrame, first: DataFrame, names: list[str], first_end: str) -> DataFrame:
-    """``(__id, __mark, start, end)`` of what is found after its first occurrence, behind that one's (first) window."""
+    """``(__id, __mark, start, end)`` of what is found after its first occurrence, behind that one's (first) window;
+    ``first`` counts in ``n`` what is found under each name."""
     f = F.col("first")
     own = (F.col("__id") == f["__id"]) & (F.col("__mark") == f["__mark"])
-    later = found.join(first, names).where(~own | (F.col("start") > f["start"]))
+    later = met(found, first, names, PLACE).where(~own | (F.col("start") > f["start"]))
     return later.select("__id", "__mark", F.when(own, F.greatest("start", f[first_end])).otherwise(F.col("start"))
                         .alias("start"), "end").where("start < end")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 25) -> DataFrame:
+PLACE = ["__id", "__mark", "start"]
+
+
+def _first_of(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Of each name that occurs in several places, its earliest place as ``first`` and their number ``n``."""
+    place = F.struct(*PLACE, "end")
+    return _stored(rows.groupBy(*names).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+                   .where("first <> last").drop("last"))
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 25,
+            line_words: int = 14) -> DataFrame:
     """``(__id, __mark, spans)``: the merged spans to remove, per document that has any."""
     spark = docs.sparkSession
     before = set(tables(spark))
-    src = _source(docs, key, text, min_words)
-    shared = _stored(_anchors(src, min_words, []).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-                         .select("anchor"))
     ident = ["__id", "__mark"]
-    of_doc = _anchors(src, min_words, ident).join(shared, "anchor", "left_semi") \
+    # lines and paragraphs
+    units = _stored(_lines(_source(docs, key, text, line_words), line_words))
+    whole_lines = _later(units, _first_of(units, ["digest"]), ["digest"], "end")
+    # windows
+    src = _source(docs, key, text, min_words)
+    shared = _stored(_anchors(src, min_words, []).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    of_doc = met(_anchors(src, min_words, ident), shared, ["anchor"], ident) \
         .groupBy(*ident).agg(F.collect_set("anchor").alias("anchors"))
     groups = _stored(_groups(src.join(of_doc, ident), min_words))
-    place = ["__id", "__mark", "start"]
     first = _stored(groups.groupBy("anchor", "whole").agg(
-        F.min(F.struct(*place, "first_end", "digests", "places")).alias("first"), F.max(F.struct(*place)).alias("last")))
+        F.min(F.struct(*PLACE, "first_end", "digests", "places")).alias("first"), F.max(F.struct(*PLACE)).alias("last"),
+        F.count("*").alias("n")))
     # copies of one row (same id and text) count once
-    again = first.where(F.struct(*[F.col("first")[c] for c in place]) != F.col("last")) \
-        .select("anchor", "whole", F.struct(*[F.col("first")[c].alias(c) for c in [*place, "first_end"]]).alias("first"))
+    again = first.where(F.struct(*[F.col("first")[c] for c in PLACE]) != F.col("last")) \
+        .select("anchor", "whole", F.struct(*[F.col("first")[c].alias(c) for c in [*PLACE, "first_end"]]).alias("first"), "n")
     whole = _later(groups.drop("digests", "places"), again, ["anchor", "whole"], "first_end")
-    several = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    found = _stored(first.join(several, "anchor", "left_semi").select("first.*").drop("first_end").mapInArrow(
-        _opened, "digest long, __id long, __mark int, start int, end int"))
-    earliest = found.groupBy("digest").agg(F.min(F.struct(*place, "end")).alias("first"), F.max(F.struct(*place, "end"))
-                                           .alias("last")).where("first <> last").drop("last")
-    parts = _later(found, earliest, ["digest"], "end")
+    several = _stored(first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    found = _stored(met(first.drop("n"), several, ["anchor"], ["whole"]).select("first.*").drop("first_end").mapInArrow(
+        _opened, f"digest long, __id {dict(src.dtypes)['__id']}, __mark long, start int, end int"))
+    parts = _later(found, _first_of(found, ["digest"]), ["digest"], "end")
     spans = F.array_sort(F.collect_set(F.struct("start", "end")))
-    done = _stored(whole.union(parts).groupBy("__id", "__mark").agg(spans.alias("spans"))
+    done = _stored(whole_lines.union(whole).union(parts).groupBy("__id", "__mark").agg(spans.alias("spans"))
                    .withColumn("spans", _merged(F.col("spans"))))
     drop_tables(spark, [t for t in tables(spark)[:-1] if t not in before])
     return done
@@ -284,11 +347,12 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(spans, empty, add)
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 25) -> DataFrame:
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 25,
+           line_words: int = 14) -> DataFrame:
     """All rows and columns of ``docs`` with repeats cut out of the text, and ``spans`` (array of start and end in the
     original text; empty where nothing was removed)."""
-    ident = _ident(key, text)
-    found = repeats(docs, key, text, min_words)
+    ident = _ident(docs, key, text)
+    found = repeats(docs, key, text, min_words, line_words)
     joined = docs.select(*others(docs, ["spans"]), *[c.alias(n) for n, c in ident.items()]) \
         .join(found, ["__id", "__mark"], "left")
     body, spans = F.col(f"`{text}`"), F.col("spans")

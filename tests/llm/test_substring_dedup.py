@@ -1,23 +1,47 @@
 """Removed passages against a brute-force version of the same units, and planted passages."""
 
 import random
+import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shoplens.llm import substring_dedup as sd
 from .conftest import DOC_SCHEMA, prose
 
 
-def brute(docs, min_words):
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_lines(text, line_words):
+    """First and end code point of lines and paragraphs of several lines, by their words' places."""
+    out, paragraph, at = [], [], 0
+    for line in [*text.split("\n"), ""]:
+        words = [(at + m.start(), at + m.end()) for m in WORDS.finditer(line)]
+        if len(words) >= line_words:
+            out.append((words[0][0], words[-1][1]))
+        if words:
+            paragraph.append(words)
+        else:
+            whole = [w for ws in paragraph for w in ws]
+            if len(paragraph) > 1 and len(whole) >= line_words:
+                out.append((whole[0][0], whole[-1][1]))
+            paragraph = []
+        at += len(line) + 1
+    return out
+
+
+def brute(docs, min_words, line_words=14):
     """Spans to remove per (id, text), by comparing the units' words themselves."""
     occurrences, first = [], {}
     for d in {(d["doc_id"], d["text"]) for d in docs if d["text"]}:
         rank = -(1 << 63) if d[0] is None else d[0]
         _, starts, ends = sd.units(d[1], min_words)
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            words = " ".join(d[1][a:b].lower().split())
-            assert len(words.split()) >= min_words
-            occurrences.append((rank, d, a, b, words))
+        for kind, places in (("window", list(zip(starts.tolist(), ends.tolist()))), ("line", plain_lines(d[1], line_words))):
+            for a, b in places:
+                words = d[1][a:b].encode().lower().split()
+                assert len(words) >= (min_words if kind == "window" else line_words)
+                occurrences.append((rank, d, a, b, (kind, b" ".join(words))))
     for o in occurrences:
         if o[4] not in first or (o[0], o[2]) < (first[o[4]][0], first[o[4]][2]):
             first[o[4]] = o
@@ -135,3 +159,35 @@ def test_every_window_that_occurred_before_goes(llm_spark):
     got = sd.remove(docs.repartition(4)).collect()
     assert {(r["doc_id"], tuple(tuple(s) for s in r["spans"])) for r in got} == \
         {(i, tuple(tuple(s) for s in want.get((i, t), []))) for i, t in enumerate(texts)}
+
+
+def test_equal_lines_and_paragraphs_go(llm_spark):
+    line = " ".join(f"word{i}" for i in range(16))
+    wrapped = "\n".join(" ".join(f"part{i}{j}" for j in range(5)) for i in range(3))
+    short = " ".join(f"few{i}" for i in range(13))
+    rows = [(i, f"{prose(30 + i, 40)}\n{'  ' if i else ''}{line.upper() if i == 2 else line}\n\nnew{i}\n\n{wrapped}\n\nold{i}\n\n{short}\n{prose(60 + i, 30)}",
+             "en", "a", 1) for i in range(4)]
+    docs = llm_spark.createDataFrame(rows, DOC_SCHEMA)
+    got = {r["doc_id"]: r for r in sd.remove(docs).collect()}
+    assert got[0]["spans"] == []
+    for i in range(1, 4):
+        text = got[i]["text"]
+        assert "word3" not in text.lower() and "part12" not in text and short in text
+        assert [tuple(s) for s in got[i]["spans"]] == [tuple(s) for s in brute(docs.collect(), 25)[i, rows[i][1]]]
+    kept = {r["doc_id"]: r["text"] for r in sd.remove(docs, line_words=17).collect()}
+    assert all(line in kept[i].lower() for i in range(4))
+
+
+def test_lines_are_found_in_any_white_space():
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "b ", "\n", "\n\n", "\t", " ", "\x0b", "\r\n", "ñ", "😀", "\x85", "\x1c"]) for _ in range(rng.randrange(0, 60)))
+        assert sorted((a, b) for _, a, b in sd.lines(text, 3)) == sorted(plain_lines(text, 3)), repr(text)
+
+
+def test_ids_of_other_types_and_common_units(llm_spark):
+    line = " ".join(f"all{i}" for i in range(20))
+    rows = [(f"id{i:04d}", f"{prose(i, 20)}\n{line}") for i in range(300)] + [(None, line)]
+    docs = llm_spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    left = {r["doc_id"] for r in sd.remove(docs).where(F.col("text").contains("all3")).collect()}
+    assert left == {None}                                   # a null id ranks first
