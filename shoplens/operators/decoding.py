@@ -18,6 +18,9 @@ from ..session import cut_lineage
 from .next_item import successors
 from .ordering import newest
 
+#: Distinct first values whose paths are broadcast; more are joined by a shuffle.
+FEW_STARTS = 100_000
+
 
 def best_successors(long: DataFrame, field: str, pos: str = "pos") -> DataFrame:
     """``(prev, next)``: the most frequent next value of every value that has one (ties: the smallest)."""
@@ -57,7 +60,9 @@ def decode_greedy(long: DataFrame, fields, steps: int = 5, pos: str = "pos") ->
     known, tail = cut_lineage(known), cut_lineage(tail)
     decoded = tail.where("step = 0").select("client_id", *fields)
     for f in fields:
-        paths = greedy_paths(decoded.select(f), best_successors(known, f, pos), steps)
+        paths = cut_lineage(greedy_paths(decoded.select(f), best_successors(known, f, pos), steps))
+        if paths.count() <= FEW_STARTS:                     # few values: a join by value would have as few tasks
+            paths = F.broadcast(paths)
         decoded = decoded.join(paths.withColumnsRenamed({"start": f, "path": f"_{f}"}), f, "left").drop(f)
     rows = decoded.select("client_id", F.posexplode(F.arrays_zip(*[f"_{f}" for f in fields])).alias("_i", "_z")).select(
         "client_id", (F.col("_i") + 1).cast("long").alias("step"), *[F.col(f"_z._{f}").alias(f) for f in fields])

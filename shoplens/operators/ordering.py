@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 _NULL_BUCKET = -(2 ** 62)
+#: Groups whose first ranks are broadcast.
+FEW_GROUPS = 100_000
 
 
 def _cols(xs) -> list[Column]:
@@ -108,7 +110,9 @@ def group_ranks(df: DataFrame, key: str, order: list[Column], rank: str = "rank"
     """Add the 0-based rank of every row inside ``key`` by ``order`` (a total order), however large the group: one sort
     by ranges over all rows, then a row's global rank minus the smallest of its group. No task holds a whole group."""
     ranked = global_ranks(df, [F.col(key).asc(), *order], "_rank")
-    first = ranked.groupBy(key).agg(F.min("_rank").alias("_low"))
+    first = cut_lineage(ranked.groupBy(key).agg(F.min("_rank").alias("_low")))
+    if first.count() <= FEW_GROUPS:                         # else a shuffled join, whose skewed side may be split
+        first = F.broadcast(first)
     return ranked.join(first, key).withColumn(rank, F.col("_rank") - F.col("_low")).drop("_rank", "_low")
 
 

@@ -130,8 +130,8 @@ def quantile_grid(df: DataFrame, n_quantiles: int = N_QUANTILES, ranges: int = 2
     picked = ranked.select("_pos", "_x", "_rows", F.explode(low).alias("k"), F.lit(0).alias("side")).unionByName(
         ranked.select("_pos", "_x", "_rows", F.explode(high).alias("k"), F.lit(1).alias("side")))
     found: dict[int, tuple[int, dict[tuple[int, int], float]]] = {}
-    for r in picked.collect():
-        found.setdefault(r["_pos"], (r["_rows"], {}))[1][r["side"], r["k"]] = r["_x"]
+    for pos, x, rows, k, side in picked.toPandas().itertuples(index=False, name=None):
+        found.setdefault(pos, (rows, {}))[1][side, k] = x
     grid = []
     for pos in sorted(found):
         n, at = found[pos]
