@@ -1,24 +1,31 @@
 """Secret scan: fixed patterns, and formats inferred from the credentials that they find.
 
-One pass reads every whole text and notes the spans of the base patterns and
-the other long tokens that mix in digits or inner capitals (candidates). The
-values found by the patterns are labelled credentials: of each kind a bounded
-sample (the ``sample`` distinct values of smallest hash) makes a prefix tree,
-whose states are merged while their end and symbol frequencies are
-statistically compatible (Hoeffding bound). That gives one probabilistic
-automaton a kind. All candidates of all texts are then scored by their mean
-log-likelihood a symbol; one that some automaton finds as likely as all but
-the least likely of the credentials held back from it is a secret too.
-
-The tables between the passes hold spans and tokens, not texts, so scoring
-reads little; automata have at most as many states as the sample has
-prefixes. Nothing is grouped by document, and hot values collapse in the
-map-side ``distinct``.
-
-Rows: a null text counts as empty. Repeated rows count each in the result and
-once in the sample. Empty tables, or tables without credentials, give no
-automata and no added spans. Output columns replace input columns of the
-same name.
+Two passes read every whole text. The first notes the values that the base
+patterns find (labelled credentials) and the other long runs of token
+characters; of each kind a bounded sample (the ``sample`` distinct values of
+smallest hash) is kept. The credentials of a kind make a prefix tree, whose
+states are merged while their end and symbol frequencies are statistically
+compatible (Hoeffding bound); states seen fewer than ``FEW`` times merge only
+with states of their own depth, so that lengths and places survive where there
+is little evidence. That gives one probabilistic automaton a kind, smoothed, so
+that every run has a likelihood.
+
+The second pass scores all candidates: every run of token characters of
+``LEAST_RUN`` or more, and what stands of it beside a base span. One whose mean
+log-likelihood a symbol reaches that of all but the least likely credentials
+held back from the automaton is a secret too, if it is likelier by ``MARGIN`` a
+symbol than under the pairs of symbols that the corpus' other runs have. An
+automaton that cannot tell half of its own kind from those runs is dropped.
+
+What passes a task are samples: of each batch the values of smallest hash.
+Automata have at most as many states as the sample has prefixes. Nothing is
+grouped by document and no candidate is stored.
+
+Rows: a null text counts as empty; values and texts of any length are read
+whole. Repeated rows count each in the result and once in the sample; equal
+hashes go by value. Empty tables, or tables without credentials, give no
+automata and no added spans. Output columns replace input columns of the same
+name.
 """
 
 from __future__ import annotations
@@ -26,10 +33,12 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,8 +57,10 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 #: Runs that can hold an access key, a hex string or a candidate.
-LONG_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
+LEAST_RUN = 12
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST_RUN)
+#: Visits below which a state merges only with states of its own depth.
+FEW = 30
 REPLACEMENT = "[SECRET]"
 
 Span = tuple[int, int, int, int, str]       # kind, start, end, start of the value, value
@@ -63,21 +74,37 @@ def scan(text: str) -> list[Span]:
         for m in ASSIGN.finditer(text):
             if len(m.group(2)) >= LEAST["assign"]:
                 found.append((0, m.start(), m.end(), m.start(2), m.group(2)))
-    for run in LONG_RUN.finditer(text):
+    for run in RUN.finditer(text):
         token, at = run.group(), run.start()
+        if len(token) < min(LEAST["access"], LEAST["hex"]):
+            continue
         inside = [(1, m) for m in ACCESS.finditer(token)] if "AKIA" in token else []
         inside += [(2, m) for m in HEX.finditer(token)]
         for kind, m in inside:
             if m.end() - m.start() >= LEAST[KINDS[kind]]:
                 found.append((kind, at + m.start(), at + m.end(), at + m.start(), m.group()))
-        if MIXED.search(token):
-            bare = token.strip(".-")
-            if len(bare) >= 16:
-                start = at + token.index(bare)
-                found.append((3, start, start + len(bare), start, bare))
-    base = [s for s in found if s[0] < 3]
-    free = [s for s in found if s[0] == 3 and not any(b[1] < s[2] and s[1] < b[2] for b in base)]
-    return sorted(base + free, key=lambda s: (s[1], s[0]))
+    base = sorted(found, key=lambda s: (s[1], s[0]))
+    near = 0                                                # base spans before it end before the run
+    for run in RUN.finditer(text):
+        at, end = run.span()
+        while near < len(base) and base[near][2] <= at:
+            near += 1
+        for span in base[near:]:
+            if span[1] >= end:
+                break
+            found += _candidate(text, at, min(span[1], end))
+            at = max(at, span[2])
+        found += _candidate(text, at, end)
+    return sorted(found, key=lambda s: (s[1], s[0]))
+
+
+def _candidate(text: str, start: int, end: int) -> list[Span]:
+    """A stretch of token characters as a candidate, without points and dashes at its ends, if it is long enough."""
+    while start < end and text[start] in ".-":
+        start += 1
+    while start < end and text[end - 1] in ".-":
+        end -= 1
+    return [(3, start, end, start, text[start:end])] if end - start >= LEAST_RUN else []
 
 
 def symbols(value: str) -> str:
@@ -86,6 +113,12 @@ def symbols(value: str) -> str:
                    for c in value)
 
 
+#: By how much (mean log-likelihood of a symbol) a credential must be likelier than an ordinary run.
+MARGIN = 0.3
+#: What each of the symbols (four classes and six signs) and the end gets of the visit that smooths a state.
+SHARE = 1 / 11
+
+
 @dataclass
 class Automaton:
     """Deterministic probabilistic automaton: per state the visits, ends, and per symbol (next state, count)."""
@@ -96,17 +129,34 @@ class Automaton:
     least: float = -math.inf
 
     def score(self, word: str) -> float:
-        """Mean log-likelihood of a symbol and the end; minus infinity for a word outside the language."""
+        """Mean log-likelihood of a symbol and the end. One visit of each state is spread evenly over all symbols and the
+        end; a symbol that a state has never seen goes where its likeliest one does."""
         state, total = 0, 0.0
         for c in word:
-            arc = self.arcs[state].get(c)
-            if arc is None:
-                return -math.inf
-            total += math.log(arc[1] / self.visits[state])
-            state = arc[0]
-        if not self.ends[state]:
-            return -math.inf
-        return (total + math.log(self.ends[state] / self.visits[state])) / (len(word) + 1)
+            arcs, unit = self.arcs[state], self.visits[state] + 1
+            arc = arcs.get(c)
+            total += math.log(((arc[1] if arc else 0) + SHARE) / unit)
+            if arc is None and arcs:
+                arc = max(arcs.values(), key=lambda x: x[1])
+            state = arc[0] if arc else state
+        return (total + math.log((self.ends[state] + SHARE) / (self.visits[state] + 1))) / (len(word) + 1)
+
+
+class Ordinary:
+    """How likely a run is among the corpus' other runs: frequencies of its pairs of neighbouring symbols."""
+
+    def __init__(self, runs: list[str]):
+        self.pairs: Counter = Counter()
+        self.firsts: Counter = Counter()
+        for word in map(symbols, runs):
+            for pair in zip("^" + word, word + "$"):
+                self.pairs[pair] += 1
+                self.firsts[pair[0]] += 1
+
+    def score(self, word: str) -> float:
+        """Mean log-likelihood of a symbol and the end, smoothed like an automaton's."""
+        return sum(math.log((self.pairs[p] + SHARE) / (self.firsts[p[0]] + 1)) for p in zip("^" + word, word + "$")) \
+            / (len(word) + 1)
 
 
 def prefix_tree(words: list[str]) -> Automaton:
@@ -130,7 +180,7 @@ def prefix_tree(words: list[str]) -> Automaton:
 
 def merge_states(tree: Automaton, alpha: float = 0.05) -> Automaton:
     """Merge compatible states, shallow ones first: each frontier state joins the compatible settled state of nearest
-    depth (so that fixed lengths survive where counts are low), or settles itself."""
+    depth (of its own, if it has few visits), or settles itself."""
     bound = math.sqrt(0.5 * math.log(2 / alpha))
     visits, ends, arcs = tree.visits, tree.ends, tree.arcs
 
@@ -171,7 +221,7 @@ def merge_states(tree: Automaton, alpha: float = 0.05) -> Automaton:
         if state in depth:
             continue
         joins = next((s for s in sorted(depth, key=lambda s: (abs(depth[s] - level), depth[s], s))
-                      if compatible(s, state)), None)
+                      if (depth[s] == level or visits[state] >= FEW) and compatible(s, state)), None)
         if joins is None:
             depth[state] = level
             grown = state
@@ -188,15 +238,20 @@ def merge_states(tree: Automaton, alpha: float = 0.05) -> Automaton:
                      [{c: (number[to], n) for c, (to, n) in arcs[s].items()} for s in settled])
 
 
-def infer(values: list[str], refuse: float = 0.05) -> Automaton | None:
-    """Automaton of the credentials at even places, with the score that all but ``refuse`` of the rest reach."""
+def infer(values: list[str], refuse: float = 0.05, ordinary: Ordinary | None = None) -> Automaton | None:
+    """Automaton of the credentials at even places, with the score that all but ``refuse`` of the rest reach; None if
+    there are too few, or if over half of the rest are no likelier than as ordinary runs."""
     words = [symbols(v) for v in values]
     learn, held = words[::2], words[1::2]
     if len(learn) < 20:
         return None
     made = merge_states(prefix_tree(learn))
     scores = sorted(made.score(w) for w in held)
-    made.least = max(scores[int(refuse * len(scores))], -50.0)
+    made.least = scores[int(refuse * len(scores))]
+    if ordinary is not None:
+        told = sum(made.score(w) >= ordinary.score(w) + MARGIN for w in held)
+        if 2 * told < len(held):
+            return None
     return made
 
 
@@ -205,28 +260,34 @@ _ITEM = [T.StructField("kind", T.IntegerType()), T.StructField("start", T.Intege
          T.StructField("value", T.StringType())]
 
 
-def find(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """Add ``found`` (base spans and candidates) to every row, from its whole text."""
-    src, names, column = text_input(docs, text, ["found"], keep_text)
-    fields = [f.name for f in _ITEM]
-
+def labelled(docs: DataFrame, text: str = "text", sample: int = 2000) -> DataFrame:
+    """``(kind, value)``: of each batch of texts and each kind the ``sample`` distinct values of smallest hash (kind 3:
+    runs that no base pattern has found)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for pdf in slices(batch, column):
-                made = pdf[names].copy()
-                made["found"] = [[dict(zip(fields, s)) for s in scan(x or "")] for x in pdf[column]]
-                yield made
+            for pdf in slices(batch, text):
+                kinds: dict[int, set[str]] = {}
+                for x in pdf[text]:
+                    for span in scan(x or ""):
+                        kinds.setdefault(span[0], set()).add(span[4])
+                rows = [(kind, v) for kind, values in kinds.items() for v in heapq.nsmallest(
+                    sample, values, key=lambda v: (xxhash.xxh64_intdigest(v.encode(), 42), v))]
+                yield pd.DataFrame(rows, columns=["kind", "value"])
+
+    return docs.select(F.col(f"`{text}`").cast("string").alias(text)).mapInPandas(run, "kind int, value string").distinct()
 
-    return src.mapInPandas(run, with_fields(docs, names, {"found": T.ArrayType(T.StructType(_ITEM))}))
 
+Models = tuple[list[Automaton], Ordinary]
 
-def automata(found: DataFrame, sample: int = 2000) -> list[Automaton]:
-    """One automaton per kind that has enough credentials; ``sample`` bounds what is learned from, per kind."""
-    values = found.select(F.explode(F.filter("found", lambda s: s["kind"] < 3)).alias("s")) \
-        .select("s.kind", "s.value").where(F.length("value") <= 256).distinct()
-    rows = hashed_sample(values, "kind", "value", sample).orderBy("kind", "place").collect()
-    made = [infer([r["value"] for r in rows if r["kind"] == k]) for k in range(3)]
-    return [m for m in made if m is not None]
+
+def automata(docs: DataFrame, text: str = "text", sample: int = 2000) -> Models:
+    """One automaton per kind that has enough credentials, and the model of ordinary runs; ``sample`` bounds what is
+    learned from, per kind."""
+    rows = hashed_sample(cut_lineage(labelled(docs, text, sample)), "kind", "value", sample).orderBy("kind", "place").collect()
+    values = {k: [r["value"] for r in rows if r["kind"] == k] for k in range(4)}
+    ordinary = Ordinary(values[3])
+    made = [infer(values[k], ordinary=ordinary) for k in range(3)]
+    return [m for m in made if m is not None], ordinary
 
 
 def clean(body: str | None, spans: list[dict]) -> str | None:
@@ -243,43 +304,49 @@ def clean(body: str | None, spans: list[dict]) -> str | None:
     return "".join(pieces) + body[at:]
 
 
-def decide(found: DataFrame, models: list[Automaton], redact_text: str | None = None) -> DataFrame:
-    """Keep base spans and the candidates that the automata accept as ``spans``, with each span's ``score``; replace
-    their values in the column ``redact_text`` if one is named."""
-    names = [c for c in found.columns if c != "found"]
+def find(docs: DataFrame, models: Models, text: str = "text", keep_text: bool = True,
+         redacted: bool = False) -> DataFrame:
+    """Add ``spans`` to every row, from its whole text: base spans and the candidates that the automata accept, with each
+    span's ``score``; on demand the values of all of them are replaced in the text."""
+    src, names, column = text_input(docs, text, ["spans"], keep_text)
     item = T.ArrayType(T.StructType([*_ITEM, T.StructField("score", T.DoubleType())]))
+    fields = [f.name for f in item.elementType.fields]
+
+    formats, ordinary = models
 
-    def judged(spans) -> list[dict]:
+    def judged(body: str) -> list[dict]:
         kept = []
-        for s in spans:
-            word = symbols(s["value"])
-            scores = [(m.score(word), m.least) for m in models]
-            if s["kind"] < 3 or any(score >= least for score, least in scores):
-                best = max((score for score, _ in scores), default=-math.inf)
-                kept.append(dict(s) | {"score": best if best > -math.inf else None})
+        for s in scan(body):
+            if s[0] == 3 and not formats:
+                continue
+            word = symbols(s[4])
+            scores = [(m.score(word), m.least) for m in formats]
+            usual = ordinary.score(word) + MARGIN if s[0] == 3 else 0.0
+            if s[0] < 3 or any(score >= least and score >= usual for score, least in scores):
+                kept.append(dict(zip(fields, (*s, max((score for score, _ in scores), default=None)))))
         return kept
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = pdf[names].copy()
-            made["spans"] = [judged(x) for x in pdf["found"]]
-            if redact_text is not None:
-                made[redact_text] = [clean(x, s) for x, s in zip(pdf[redact_text], made["spans"])]
-            yield made
+        for batch in batches:
+            for pdf in slices(batch, column):
+                made = pdf[names].copy()
+                made["spans"] = [judged(x or "") for x in pdf[column]]
+                if redacted:
+                    made[column] = [clean(x, s) for x, s in zip(pdf[column], made["spans"])]
+                yield made
 
-    return found.mapInPandas(run, with_fields(found, names, {"spans": item}))
+    return src.mapInPandas(run, with_fields(docs, names, {"spans": item}))
 
 
 def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 2000) -> DataFrame:
     """``(key, spans)`` per row; spans are structs of kind number, start, end, start of the value, value and score."""
-    found = cut_lineage(find(docs.select(key, text), text, keep_text=False))
-    return decide(found, automata(found, sample))
+    return find(docs.select(key, text), automata(docs, text, sample), text, keep_text=False)
 
 
 def redact(docs: DataFrame, text: str = "text", sample: int = 2000) -> DataFrame:
-    """All rows and columns of ``docs`` with the values of all secrets replaced in the text, and ``spans``."""
-    found = cut_lineage(find(docs.select(*others(docs, ["found", "spans"])), text))
-    return decide(found, automata(found.select("found"), sample), text)
+    """All rows and columns of ``docs`` with the values of all secrets replaced in the text, and ``spans``. The texts are
+    read twice, so ``docs`` should be a stored table."""
+    return find(docs.select(*others(docs, ["spans"])), automata(docs, text, sample), text, redacted=True)
 
 
 def joined(spans, kinds: int):

@@ -3,35 +3,15 @@ name, and Arrow batches get a bound in bytes, since texts can be long."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import SparkSession
 
-import shoplens
-
-_SENT: set[str] = set()
-
+from shoplens.session import ship_package
 
 #: Bytes of an Arrow batch that a Python worker gets (a longer row makes a batch of its own).
 BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Bound the batches, and add the package to the session's Python files, once per application (the driver serves
-    them to the executors)."""
-    sc = spark.sparkContext
+    """Bound the batches, and send the package, once per application."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    if sc.applicationId in _SENT:
-        return
-    root = os.path.dirname(os.path.abspath(shoplens.__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="shoplens-"), "shoplens_package.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(root):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.join("shoplens", os.path.relpath(full, root)))
-    sc.addPyFile(path)
-    _SENT.add(sc.applicationId)
+    ship_package(spark)

@@ -30,8 +30,11 @@ def test_base_spans():
 
 
 def test_candidates_leave_base_spans_and_words_alone():
-    spans = ss.scan("keitlichenlichkeitbe. aG93IGFyZSB5b3UgZG9pbmc1 password=b7db7aa4a5fcc78305")
-    assert [s[4] for s in spans if s[0] == 3] == ["aG93IGFyZSB5b3UgZG9pbmc1"]
+    spans = ss.scan("short keitlichenbe. aG93IGFyZSB5b3UgZG9pbmc1 password=b7db7aa4a5fcc78305 ...--abc")
+    assert [s[4] for s in spans if s[0] == 3] == ["keitlichenbe", "aG93IGFyZSB5b3UgZG9pbmc1"]
+    hexes = "0123456789abcdef" * 2
+    beside = [(s[1], s[4]) for s in ss.scan(f"-left.Part_ofit{hexes}.rightPartOfIt. Zx9Kq2Lm5Pw8 {'A' * 30}") if s[0] == 3]
+    assert beside == [(1, "left.Part_ofit"), (48, "rightPartOfIt"), (63, "Zx9Kq2Lm5Pw8"), (76, "A" * 30)]
 
 
 def test_automaton_learns_a_format():
@@ -54,6 +57,54 @@ def test_merging_keeps_counts():
         assert made.visits[state] == made.ends[state] + sum(n for _, n in arcs.values())
 
 
+def mixed(rng, n):
+    """Credentials of two formats: 14 characters upper, lower and digit in turn; or 5-4-4 digits and capitals."""
+    def one():
+        if rng.random() < 0.5:
+            return "".join(rng.choice(("ABCDEFGH", "ghijklmn", "0123456789")[i % 3]) for i in range(14))
+        return "-".join("".join(rng.choice("ABCXYZ0123456789") for _ in range(k)) for k in (5, 4, 4))
+    return [one() for _ in range(n)]
+
+
+ORDINARY = ["internationalization2024", "getElementByIdAndClassName", "keitlichenlichkeit", "2024-01-02T10.11.12",
+            "www.example.org/index.html", "aaaaaaaaaaaaaaaa", "ABCDEFGHIJKLMNOPQRST", "one-two-three-four", "snake_case_name_of_it"]
+
+
+def test_few_values_keep_their_lengths_and_places():
+    rng = random.Random(11)
+    usual = ss.Ordinary(ORDINARY * 30)
+    made = ss.infer(mixed(rng, 120), ordinary=usual)
+    assert made is not None and len(made.visits) >= 14
+    new = [made.score(ss.symbols(v)) >= made.least for v in mixed(rng, 300)]
+    assert sum(new) > 0.8 * len(new)
+    assert not [v for v in ORDINARY if made.score(ss.symbols(v)) >= made.least]
+    assert usual.score(ss.symbols(ORDINARY[2])) > usual.score(ss.symbols("Ab3Cd4Ef5Gh6Ij"))
+
+
+def test_an_automaton_that_cannot_tell_is_dropped():
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(12, 20))) for _ in range(900)]
+    assert ss.infer(words[:300], ordinary=ss.Ordinary(words[300:])) is None
+    assert ss.infer(words[:300]) is not None
+
+
+def test_every_run_has_a_likelihood():
+    made = ss.infer(mixed(random.Random(1), 100))
+    assert all(-20 < made.score(ss.symbols(v)) < 0 for v in [*ORDINARY, "", "+/_=", "x" * 5000])
+
+
+def test_planted_formats_are_found_and_words_left(llm_spark):
+    rng = random.Random(13)
+    known, bare = mixed(rng, 400), mixed(rng, 60)
+    rows = [(i, f"{prose(i, 30)} token = '{v}' {rng.choice(ORDINARY)}", "en", "a", 1) for i, v in enumerate(known)]
+    rows += [(1000 + i, f"{prose(900 + i, 20)} see {v} there {rng.choice(ORDINARY)}", "en", "a", 1) for i, v in enumerate(bare)]
+    got = {r["doc_id"]: r["spans"] for r in ss.scan_documents(llm_spark.createDataFrame(rows, DOC_SCHEMA).repartition(6)).collect()}
+    added = [s["value"] for spans in got.values() for s in spans if s["kind"] == 3]
+    found = [v for i, v in enumerate(bare) if v in [s["value"] for s in got[1000 + i]]]
+    assert len(found) > 0.8 * len(bare)
+    assert len([v for v in added if v not in bare]) <= 0.02 * len(rows)
+
+
 def test_few_credentials_make_no_automaton():
     assert ss.infer(["a" * 16] * 3) is None and ss.infer([]) is None
 
