@@ -2,10 +2,10 @@
 
 Shapes chosen for scale:
 
-* every per-table feature that needs only the client's own events and two
-  table-wide constants is computed from ONE reduction of the table to
-  ``(client, day)`` cells; the constants are a one-row aggregate of those
-  cells joined as a broadcast (one row is a proven size bound);
+* the four event tables are reduced together to cells per client, item and
+  day, written once; every feature of every table is an aggregate of those
+  cells, with the table's tag among the keys;
+* two constants per table (one row each) join as a broadcast;
 * popularity never re-joins raw events: events are first reduced to
   ``(client, item, n)`` pairs (map-side combined), item totals are summed from
   the pairs, and the client mean is ``sum(n * total) / sum(n)``;
@@ -60,18 +60,19 @@ def table_constants(events: DataFrame) -> DataFrame:
                       F.max(F.to_date("timestamp")).alias("_anchor"))
 
 
-def activity(events: DataFrame, prefix: str) -> DataFrame:
-    """A1, A3, A8, A9 in one scan: count, mean gap, week/month change, days to start.
-
-    ``events``: ``(client_id, timestamp)``, already restricted to relevant clients
-    (start date and anchor are taken over exactly these rows).
-    """
-    # one scan: events reduced to (client, day) cells (map-side combined); the
-    # table constants and every per-client feature are read from those cells
-    daily = events.groupBy("client_id", F.to_date("timestamp").alias("_day")).agg(
+def daily(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, client_id, _day, _c, _f, _l)``: events, first and last timestamp per client and day (map-side combined)."""
+    return events.groupBy(*by, "client_id", F.to_date("timestamp").alias("_day")).agg(
         F.count(F.lit(1)).alias("_c"), F.min("timestamp").alias("_f"), F.max("timestamp").alias("_l"))
-    consts = daily.agg(F.min("_f").alias("_start"), F.max("_day").alias("_anchor"))
-    ev = daily.crossJoin(F.broadcast(consts))
+
+
+def _activity(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A1, A3, A8, A9 of day cells, per client (and table): the values of ``ACTIVITY_COLUMNS`` as ``_a0`` ... ``_a5``."""
+    start, anchor = F.min("_f").alias("_start"), F.max("_day").alias("_anchor")
+    if by:      # one row per event table
+        ev = cells.join(F.broadcast(cells.groupBy(*by).agg(start, anchor)), list(by))
+    else:
+        ev = cells.crossJoin(F.broadcast(cells.agg(start, anchor)))
     day = F.col("_day")
     win = calendar_windows(F.col("_anchor"))
 
@@ -79,7 +80,7 @@ def activity(events: DataFrame, prefix: str) -> DataFrame:
         lo, hi = win[name]
         return F.sum(F.when(day.between(lo, hi), F.col("_c")).otherwise(0))
 
-    g = ev.groupBy("client_id").agg(
+    g = ev.groupBy(*by, "client_id").agg(
         F.sum("_c").alias("_n"),
         F.min("_f").alias("_first"),
         F.max("_l").alias("_last"),
@@ -92,16 +93,26 @@ def activity(events: DataFrame, prefix: str) -> DataFrame:
     mean_gap = F.when(F.col("_n") > 1,
                       fractional_days("_first", "_last") / (F.col("_n") - 1)).otherwise(F.lit(0.0))
     return g.select(
-        "client_id",
-        F.col("_n").alias(f"{prefix}_total_interactions"),
-        mean_gap.alias(f"mean_{prefix}_interval_days"),
-        (F.col("_lw") - F.col("_pw")).alias(f"diff_{prefix}_week"),
-        (F.col("_lm") - F.col("_pm")).alias(f"diff_{prefix}_month"),
-        whole_days("_start", "_first").alias(f"{prefix}_days_from_first_to_start"),
-        whole_days("_start", "_last").alias(f"{prefix}_days_from_last_to_start"),
+        *by, "client_id",
+        F.col("_n").alias("_a0"),
+        mean_gap.alias("_a1"),
+        (F.col("_lw") - F.col("_pw")).alias("_a2"),
+        (F.col("_lm") - F.col("_pm")).alias("_a3"),
+        whole_days("_start", "_first").alias("_a4"),
+        whole_days("_start", "_last").alias("_a5"),
     )
 
 
+def activity(events: DataFrame, prefix: str) -> DataFrame:
+    """A1, A3, A8, A9 in one scan: count, mean gap, week/month change, days to start.
+
+    ``events``: ``(client_id, timestamp)``, already restricted to relevant clients
+    (start date and anchor are taken over exactly these rows).
+    """
+    return _activity(daily(events)).withColumnsRenamed(
+        {f"_a{i}": c.format(p=prefix) for i, c in enumerate(ACTIVITY_COLUMNS)})
+
+
 def interaction_count(events: DataFrame, prefix: str) -> DataFrame:
     """A1 alone: events per client."""
     return events.groupBy("client_id").agg(F.count(F.lit(1)).alias(f"{prefix}_total_interactions"))
@@ -133,59 +144,42 @@ def _pairs(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy("client_id", key).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _mean_of_totals(pairs: DataFrame, key: str, out: str) -> DataFrame:
-    """Mean over a client's events of the key's event total (null keys skipped)."""
+def _mean_of_totals(pairs: DataFrame, key: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean over a client's events of the key's event total (null keys skipped), per event table if ``by`` names one."""
     totals = (pairs.where(F.col(key).isNotNull())
-              .groupBy(key).agg(F.sum("_n").alias("_total")))
-    j = pairs.join(totals, key, "left")
-    return j.groupBy("client_id").agg(
+              .groupBy(*by, key).agg(F.sum("_n").alias("_total")))
+    j = pairs.join(totals, [*by, key], "left")
+    return j.groupBy(*by, "client_id").agg(
         (F.sum(F.col("_n") * F.col("_total"))
          / F.sum(F.when(F.col("_total").isNotNull(), F.col("_n")))).alias(out))
 
 
-def item_popularity(events: DataFrame, item: str = "sku", prefix: str = "buy",
-                    pairs: DataFrame | None = None) -> DataFrame:
-    """A4: mean popularity of the client's items, every event counting once.
-    ``pairs``: the ``(client_id, item, _n)`` reduction of ``events`` when already built."""
-    pairs = pairs if pairs is not None else _pairs(events, item)
-    return _mean_of_totals(pairs, item, f"average_pop_{prefix}")
-
+def item_popularity(events: DataFrame, item: str = "sku", prefix: str = "buy") -> DataFrame:
+    """A4: mean popularity of the client's items, every event counting once."""
+    return _mean_of_totals(_pairs(events, item), item, f"average_pop_{prefix}")
 
-def category_cells(pairs: dict[str, DataFrame], products: DataFrame) -> dict[str, DataFrame]:
-    """``(client_id, category, _n, _spent, _priced)`` per event table: events, their price sum and how many have a price.
 
-    All tables meet the products in one left join (unknown sku: null category and price) and are reduced in one
-    aggregate, which is written once: at most clients x categories rows per table."""
-    tagged = [p.select(F.lit(name).alias("_p"), "client_id", "sku", "_n") for name, p in pairs.items()]
-    joined = reduce(lambda a, b: a.unionByName(b), tagged).join(products.select("sku", "category", "price"), "sku", "left")
-    cells = cut_lineage(joined.groupBy("_p", "client_id", "category").agg(
-        F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("price")).alias("_spent"),
-        F.sum(F.when(F.col("price").isNotNull(), F.col("_n"))).alias("_priced")))
-    return {name: cells.where(F.col("_p") == name).drop("_p") for name in pairs}
-
-
-def category_popularity(events: DataFrame, products: DataFrame, prefix: str = "buy",
-                        cells: DataFrame | None = None) -> DataFrame:
-    """A5: as A4 on the category of a left join to products (unknown sku: skipped).
-    ``cells``: the table's :func:`category_cells` when already built."""
-    cells = cells if cells is not None else _pairs(events, "sku") \
-        .join(products.select("sku", "category"), "sku", "left") \
+def category_popularity(events: DataFrame, products: DataFrame, prefix: str = "buy") -> DataFrame:
+    """A5: as A4 on the category of a left join to products (unknown sku: skipped)."""
+    cells = _pairs(events, "sku").join(products.select("sku", "category"), "sku", "left") \
         .groupBy("client_id", "category").agg(F.sum("_n").alias("_n"))
-    return _mean_of_totals(cells.select("client_id", "category", "_n"), "category", f"category_popularity_{prefix}")
+    return _mean_of_totals(cells, "category", f"category_popularity_{prefix}")
 
 
-def price(buys: DataFrame, products: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """A10: sum and mean price of bought items (left join: unknown sku adds nothing)."""
-    if cells is None:
-        cells = _pairs(buys, "sku").join(products.select("sku", "price"), "sku", "left").select(
-            "client_id", (F.col("_n") * F.col("price")).alias("_spent"),
-            F.when(F.col("price").isNotNull(), F.col("_n")).alias("_priced"))
+def _prices(cells: DataFrame) -> DataFrame:
     return cells.groupBy("client_id").agg(
         F.sum("_spent").cast("long").alias("total_spent"),
         (F.sum("_spent") / F.sum("_priced")).alias("average_spent"),
     )
 
 
+def price(buys: DataFrame, products: DataFrame) -> DataFrame:
+    """A10: sum and mean price of bought items (left join: unknown sku adds nothing)."""
+    return _prices(_pairs(buys, "sku").join(products.select("sku", "price"), "sku", "left").select(
+        "client_id", (F.col("_n") * F.col("price")).alias("_spent"),
+        F.when(F.col("price").isNotNull(), F.col("_n")).alias("_priced")))
+
+
 def conversion(adds: DataFrame, buys: DataFrame, key: str, out: str) -> DataFrame:
     """Share of the client's distinct added keys that were also bought.
 
@@ -208,7 +202,7 @@ def merge_features(clients: DataFrame, parts: list[DataFrame], columns: list[str
     """Every client of ``clients`` with each part's columns, missing → 0.
 
     Implemented as one union of the parts plus ``groupBy(client_id)``: each
-    part has at most one row per client, so ``max`` picks that row's value.
+    part has at most one value per client and column, so ``max`` picks it.
     """
     tagged = [clients.select("client_id", F.lit(1).alias("_keep"))]
     tagged += [p.withColumn("_keep", F.lit(0)) for p in parts]
@@ -237,26 +231,51 @@ def relevant_events(inputs: Inputs) -> dict[str, DataFrame]:
     }
 
 
+def event_cells(inputs: Inputs) -> DataFrame:
+    """``(_p, client_id, sku, _day, _c, _f, _l)``: the four event tables of the relevant clients, tagged (a visit's item
+    is its url) and reduced to cells per client, item and day by one scan, one semi join and one aggregate."""
+    ev = relevant_only(reduce(lambda a, b: a.unionByName(b), [
+        t.select(F.lit(p).alias("_p"), "client_id", "timestamp", F.col("url" if p == "visit" else "sku").alias("sku"))
+        for p, t in (("buy", inputs.product_buy), ("add", inputs.add_to_cart), ("visit", inputs.page_visit),
+                     ("remove", inputs.remove_from_cart))]), inputs.relevant_clients)
+    return daily(ev, ("_p", "sku"))
+
+
 def features_all(inputs: Inputs, submit: bool = True) -> DataFrame:
-    """The full 37-column statistics table, one row per relevant client."""
-    ev = relevant_events(inputs)
-    products = inputs.product_properties
-    # every sku-keyed feature (popularity, category popularity, price, both
-    # conversions) reads the same (client, sku, n) reduction of its table: one
-    # scan and one exchange per table, reused by all of them; what needs the
-    # products reads one reduction by category behind a single join
-    pairs = {p: _pairs(ev[p], "sku") for p in ACTION_PREFIXES}
-    cells = category_cells(pairs, products)
-    parts = [activity(ev[p], p) for p in ALL_PREFIXES]
-    for p in ACTION_PREFIXES:
-        parts.append(category_popularity(ev[p], products, p, cells=cells[p]))
-        parts.append(item_popularity(ev[p], "sku", p, pairs=pairs[p]))
-    parts.append(item_popularity(ev["visit"], "url", "visit"))
-    parts.append(stability(ev["visit"]))
-    parts.append(price(ev["buy"], products, cells=cells["buy"]))
-    # distinct (client, key) sets: the pair tables hold exactly those keys
-    parts.append(conversion(pairs["add"], pairs["buy"], "sku", "bought"))
-    parts.append(conversion(cells["add"], cells["buy"], "category", "bought_cat"))
+    """The full 37-column statistics table, one row per relevant client.
+
+    The reduced events (:func:`event_cells`) are written once. Every feature is an aggregate of those cells, for all
+    tables at the same time; what needs the products reads a second reduction, by category, behind a single join."""
+    by = ("_p",)
+    cells = cut_lineage(event_cells(inputs))
+    days = cells.groupBy(*by, "client_id", "_day").agg(F.sum("_c").alias("_c"), F.min("_f").alias("_f"), F.max("_l").alias("_l"))
+    pairs = cells.groupBy(*by, "client_id", "sku").agg(F.sum("_c").alias("_n"))
+    bought = F.col("_p").isin(*ACTION_PREFIXES)
+    spent = F.col("_n") * F.col("price")
+    sorts = cut_lineage(pairs.where(bought).join(inputs.product_properties.select("sku", "category", "price"), "sku", "left")
+                        .groupBy(*by, "client_id", "category").agg(
+                            F.sum("_n").alias("_n"), F.sum(spent).alias("_spent"),
+                            F.sum(F.when(F.col("price").isNotNull(), F.col("_n"))).alias("_priced")))
+
+    def of(p: str, column: str, name: str) -> F.Column:
+        return F.when(F.col("_p") == p, F.col(column)).alias(name)
+
+    def both(rows: DataFrame, key: str, out: str) -> DataFrame:
+        return conversion(rows.where("_p = 'add'"), rows.where("_p = 'buy'"), key, out)
+
+    visits = days.where("_p = 'visit'").withColumn("timestamp", F.col("_day").cast("timestamp_ntz"))
+    parts = [
+        _activity(days, by).select("client_id", *[of(p, f"_a{i}", c.format(p=p)) for p in ALL_PREFIXES
+                                                  for i, c in enumerate(ACTIVITY_COLUMNS)]),
+        _mean_of_totals(sorts.select(*by, "client_id", "category", "_n"), "category", "_m", by).select(
+            "client_id", *[of(p, "_m", f"category_popularity_{p}") for p in ACTION_PREFIXES]),
+        _mean_of_totals(pairs, "sku", "_m", by).select("client_id", *[of(p, "_m", f"average_pop_{p}") for p in ALL_PREFIXES
+                                                                      if f"average_pop_{p}" in feature_columns()]),
+        stability(visits),
+        _prices(sorts.where("_p = 'buy'")),
+        both(pairs, "sku", "bought"),
+        both(sorts, "category", "bought_cat"),
+    ]
     out = merge_features(inputs.relevant_clients, parts, feature_columns())
     return out if submit else drop_all_zero(out)
 
