@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoplens.session import scratch_dir
+
 from . import (bpe, collocations, crf_langid, license_scan, multi_index, nbsvm, packing, quality_rules, secret_scan,
                simhash, spelling, substring_dedup, warc)
 from .common import fold
@@ -43,7 +45,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived with its payload stored once, then read back from the archive."""
-    path = warc.write(table(spark, sf_dir, "pages"), warc.scratch(spark, "warc"), "page_id", "url", "html")
+    path = warc.write(table(spark, sf_dir, "pages"), scratch_dir(spark, "warc"), "page_id", "url", "html")
     return warc.index(spark, path).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest",
                                           "record_type", "refers_to")
 

@@ -16,18 +16,15 @@ Rows: a null payload is empty, a null id sorts before all others and gets no
 ``refers_to`` of its own; rows that repeat an id with an equal payload make one
 ``response`` each if the id is the largest. Null or odd URLs are percent-coded
 by the header only in CR and LF. Extra columns are ignored. Empty tables make
-an empty archive.
+an empty archive; very long payloads are kept and read whole. Input columns may
+have any names: only the three that are named are read.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.session import ensure_checkpoint_dir
-
 #: Alphabet of RFC 4648 base32, line end, version line and field names of WARC 1.1.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
@@ -116,14 +113,20 @@ def _number(field: str) -> Column:
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """One row per record, from the header blocks and the checked payloads: id, URI, size and digest of the full
-    payload, type, and the record a revisit refers to. Payload facts are taken once per stored payload."""
+    payload, type, and the record a revisit refers to. Payload facts are taken once per stored payload; a header whose
+    digest or length is not its payload's fails the job."""
     facts = payloads(spark, path).select("address", F.length("payload").cast("long").alias("payload_bytes"),
                                          base32_sha1(F.col("payload")).alias("payload_digest"))
     heads = spark.read.parquet(f"{path}/headers").select(
         "address", _number("WARC-Record-ID").alias("record_id"), _field("WARC-Target-URI").alias("uri"),
-        _field("WARC-Type").alias("record_type"), _number("WARC-Refers-To").alias("refers_to"))
-    return heads.join(facts, "address").select("record_id", "uri", "payload_bytes", "payload_digest", "record_type",
-                                               "refers_to")
+        _field("WARC-Type").alias("record_type"), _number("WARC-Refers-To").alias("refers_to"),
+        _field("WARC-Payload-Digest").alias("digest"), _field("Content-Length").alias("length"))
+    joined = heads.join(facts, "address")
+    body = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))
+    true = (F.col("digest") == F.concat(F.lit("sha1:"), "payload_digest")) & (F.col("length") == body.cast("string"))
+    checked = F.when(F.coalesce(true, F.lit(False)), F.col("payload_bytes")).otherwise(F.raise_error(F.concat(
+        F.lit("header is not its payload's: "), F.coalesce(F.col("record_id").cast("string"), F.lit("null")))).cast("long"))
+    return joined.select("record_id", "uri", checked.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -135,8 +138,3 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("record_id", "header", "payload",
                          F.concat(F.col("header").cast("binary"), body, F.lit(CRLF * 2).cast("binary"))
                          .alias("record"))
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which driver and executors share."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"

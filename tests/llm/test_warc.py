@@ -68,6 +68,26 @@ def test_damage_is_noticed(spark, tmp_path):
         warc.index(spark, f"{path}/d").collect()
 
 
+@pytest.mark.parametrize("field, other", [("Content-Length: 4", "Content-Length: 5"), ("sha1:", "sha1:A")])
+def test_a_header_of_another_payload_is_noticed(spark, tmp_path, field, other):
+    from pyspark.sql import functions as F
+    path = warc.write(pages(spark, ROWS[:2]), str(tmp_path / "h"), "page_id", "url", "html")
+    spark.read.parquet(f"{path}/payloads").write.parquet(f"{path}/d/payloads")
+    spark.read.parquet(f"{path}/headers").withColumn("header", F.replace("header", F.lit(field), F.lit(other))) \
+        .write.parquet(f"{path}/d/headers")
+    with pytest.raises(Exception, match="not its payload"):
+        warc.index(spark, f"{path}/d").collect()
+
+
+def test_columns_that_clash(spark, tmp_path):
+    names = ["address", "header", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri", "largest_id"]
+    docs = pages(spark, ROWS)
+    for n in names:
+        docs = docs.selectExpr("*", f"'z' as {n}")
+    path = warc.write(docs, str(tmp_path / "x"), "page_id", "url", "html")
+    assert sorted((tuple(r) for r in warc.index(spark, path).drop("uri").collect()), key=str) == expected(ROWS, 0)
+
+
 def test_empty_table(spark, tmp_path):
     path = warc.write(pages(spark, []), str(tmp_path / "e"), "page_id", "url", "html")
     assert warc.index(spark, path).count() == 0
