@@ -20,7 +20,9 @@ hash; all vectors are indexed and all are queries.
 Rows: null, zero, empty or non-finite vectors, and vectors with null
 components, link with nothing; vectors of different lengths do not link. A
 null id takes part but names a component only if it has no other. Repeated
-rows are copies and link with each other. Empty tables give empty results.
+rows are copies and link with each other; very long vectors are compared whole;
+of equal ids the component takes one. Empty tables give empty results. Input
+columns may have any names: only the two that are named are read.
 """
 
 from __future__ import annotations
@@ -44,10 +46,10 @@ CELL = 512
 MOST_WORDS = 1024
 
 
-def unit(data: list[bytes], size: int) -> np.ndarray:
-    """Unit rows in double precision from packed float64 vectors (a single component gets a zero beside it, so that
-    there are two halves)."""
-    x = np.frombuffer(b"".join(data), np.float64).reshape(-1, size)
+def unit(data: list[bytes], size: int, kind: str = "f8") -> np.ndarray:
+    """Unit rows in double precision from packed vectors of numpy's ``kind`` (a single component gets a zero beside it,
+    so that there are two halves)."""
+    x = np.frombuffer(b"".join(data), kind).reshape(-1, size).astype(np.float64)
     if size == 1:
         x = np.concatenate([x, np.zeros_like(x)], axis=1)
     x = x / np.abs(x).max(axis=1, keepdims=True)            # no overflow of squares
@@ -146,9 +148,9 @@ def classes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
         .withColumn("node", F.monotonically_increasing_id())
 
 
-def links(reps: DataFrame, size: int, least: float, recall: float, sample: int) -> DataFrame:
+def links(reps: DataFrame, size: int, least: float, recall: float, sample: int, kind: str = "f8") -> DataFrame:
     """Verified links of the classes of one vector length: rows ``(u, v, n)``, a forest link if ``v`` is set, else
-    ``n`` more vectors linked to ``u``."""
+    ``n`` more vectors linked to ``u``. Vectors travel as numbers of ``kind``, which must hold them exactly."""
     total = reps.count()
     some = reps.orderBy(F.xxhash64("v"), "node").limit(sample).select("v").toPandas()["v"]
     grid = fit(unit([np.asarray(x, np.float64).tobytes() for x in some], size), total, least, recall)
@@ -158,8 +160,8 @@ def links(reps: DataFrame, size: int, least: float, recall: float, sample: int)
     def index(batches):
         g = shared.value
         for pdf in batches:
-            data = [np.asarray(x, np.float64).tobytes() for x in pdf["v"]]
-            walk = g.walk(unit(data, size), g.visits).astype(np.int32)
+            data = [np.asarray(x, kind).tobytes() for x in pdf["v"]]
+            walk = g.walk(unit(data, size, kind), g.visits).astype(np.int32)
             rows = {"node": pdf["node"], "weight": pdf["weight"], "vec": data, "home": walk[:, 0]}
             member = pd.DataFrame(rows)
             member["cell"], member["member"] = member["home"], True
@@ -190,7 +192,7 @@ def links(reps: DataFrame, size: int, least: float, recall: float, sample: int)
         empty = pd.DataFrame({"u": np.zeros(0, np.int64), "v": pd.array([], dtype="Int64"), "n": np.zeros(0, np.int64)})
         if not len(them) or not len(us):
             return empty
-        a, b = unit(list(us["vec"]), size), unit(list(them["vec"]), size)
+        a, b = unit(list(us["vec"]), size, kind), unit(list(them["vec"]), size, kind)
         na, nb = us["node"].to_numpy(), them["node"].to_numpy()
         wa, wb = us["weight"].to_numpy(), them["weight"].to_numpy()
         home = us["home"].to_numpy()
@@ -224,10 +226,11 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     """One row per vector: its id, the number of other vectors linked, its component (smallest id) and whether it is
     the one to keep."""
     reps = cut_lineage(classes(vectors, key, vector))
+    single = vectors.schema[vector].dataType.simpleString() == "array<float>"       # floats travel as they came
     found = None
     for row in reps.select(F.size("v").alias("size")).distinct().orderBy("size").collect():
         same = reps.where(F.size("v") == row["size"])
-        part = links(same, row["size"], least, recall, sample)
+        part = links(same, row["size"], least, recall, sample, "f4" if single else "f8")
         found = part if found is None else found.unionByName(part)
     rows = vectors.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
     if found is None:

@@ -15,7 +15,9 @@ whole text; there is no other shuffle.
 Rows: a null text is empty and scored like one. Null labels are not learned
 from; a document with several labels counts by their mean. If a class has no
 labelled rows, every score is the share of the class that has (0.5 if there
-is none). Output columns replace input columns of the same name.
+is none). Very long texts are read block by block, whole; repeated rows get the
+same score; rows of equal hash are sampled by id; an empty table stays empty.
+Output columns replace input columns of the same name.
 """
 
 from __future__ import annotations

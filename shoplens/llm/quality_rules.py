@@ -10,6 +10,8 @@ turns the rules into one ordered conditional expression.
 
 Rows: a null text has no words (all counts 0). Null labels are left out, and
 a document with several labels counts by their mean. Repeated rows count each.
+Very long texts are counted whole. Of equally good tests the first by feature
+and edge is taken.
 Empty tables give no rules (everything but the base rule's failures is kept).
 Output columns replace input columns of the same name.
 """
