@@ -16,7 +16,7 @@ is left out.
 
 Rows: a null text has no words, like an empty one (fingerprint zero, linked
 like any other); a null id takes part but never names a component unless all
-of its component are null; repeated rows are one class. Empty tables give
+of its component are null; repeated rows are one class; very long texts are read whole. Empty tables give
 empty results. Output columns replace input columns of the same name.
 """
 
