@@ -101,8 +101,10 @@ def quantile_grid(df: DataFrame, n_quantiles: int = N_QUANTILES, ranges: int = 2
     ``m = min(n_quantiles, n)`` evenly spaced quantiles of each position, as
     linearly interpolated exact order statistics. Equal values are counted
     together first; the distinct values are ranked inside about ``ranges``
-    value ranges of each position (their edges only decide how evenly the
-    work is dealt), with the counts of the lower ranges added. A row with
+    value ranges of each position, with the counts of the lower ranges added.
+    The edges decide how evenly the work is dealt; they are approximate and
+    differ from one evaluation to the next, so they are written once and every
+    reader takes the same ones. A row with
     global ranks ``[a, b]`` then yields the quantiles whose lower or upper
     neighbour it is, by integer arithmetic. Collected: 2 x width x m rows.
     """
@@ -110,8 +112,8 @@ def quantile_grid(df: DataFrame, n_quantiles: int = N_QUANTILES, ranges: int = 2
         "_pos", (F.col("_x").cast("double") + F.lit(0.0)).alias("_x")).where(F.col("_x").isNotNull())
     counted = cut_lineage(cells.groupBy("_pos", "_x").agg(F.count(F.lit(1)).alias("_n")))
     probs = [i / ranges for i in range(1, ranges)]
-    cuts = counted.groupBy("_pos").agg(F.percentile_approx("_x", probs, 1000).alias("_cuts"),
-                                       F.sum("_n").alias("_rows"))
+    cuts = cut_lineage(counted.groupBy("_pos").agg(F.percentile_approx("_x", probs, 1000).alias("_cuts"),
+                                                   F.sum("_n").alias("_rows")))
     dealt = counted.join(F.broadcast(cuts), "_pos") \
         .withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
     sizes = dealt.groupBy("_pos", "_range").agg(F.sum("_n").alias("_size"))

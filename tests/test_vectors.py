@@ -92,3 +92,17 @@ def test_outer_merge_refuses_duplicates_and_mixed_widths(spark):
 def test_outer_merge_with_an_empty_table(spark):
     a, empty = _table(spark, [(1, [1, 2])]), _table(spark, [(2, [0, 0])])
     assert _as_dict(vx.outer_merge([a, vx.sanitize(empty)])) == {1: [1.0, 2.0]}
+
+
+def test_quantile_grid_takes_the_same_edges_everywhere(spark, monkeypatch):
+    """Approximate percentiles differ between evaluations where partial results meet in another order; here always."""
+    real = vx.F.percentile_approx
+
+    def moving(x, probs, accuracy):
+        by = vx.F.expr("cast(java_method('java.lang.Math', 'random') as double)")
+        return vx.F.transform(real(x, probs, accuracy), lambda c: c + by)
+
+    monkeypatch.setattr(vx.F, "percentile_approx", moving)
+    x = np.random.default_rng(4).normal(size=(3000, 2))
+    grid = vx.quantile_grid(_table(spark, list(enumerate(x.tolist()))), 100)
+    assert np.allclose(grid, np.quantile(x, np.linspace(0, 1, 100), axis=0).T, atol=1e-12)
