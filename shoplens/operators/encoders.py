@@ -99,21 +99,22 @@ def sign_of(token: Column, dim: Column, seed: int = 42) -> Column:
 def neighbour_counts(long: DataFrame, item: str, window: int = 5) -> DataFrame:
     """``(token, near, n)``: how often two items stand at most ``window`` places apart in a client's sequence.
 
-    Each event goes to the places that it is near to, and the pairs are counted with partial aggregation."""
+    Each event goes to the places that it is near to, and the pairs are counted with partial aggregation. Both sides are
+    shuffled: sequences lie in few bytes of parquet, by which Spark would hold all of them in the driver for a broadcast."""
     here = long.select("client_id", F.col("pos").alias("_p"), F.col(item).alias("token"))
     steps = F.array(*[F.lit(d) for d in range(-window, window + 1) if d])
     near = long.select("client_id", "pos", F.col(item).alias("near"), F.explode(steps).alias("_d")) \
         .select("client_id", (F.col("pos") + F.col("_d")).alias("_p"), "near")
-    return here.join(near, ["client_id", "_p"]).groupBy("token", "near").agg(F.count(F.lit(1)).alias("n"))
+    return here.join(near.hint("merge"), ["client_id", "_p"]).groupBy("token", "near").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _summed(rows: DataFrame, key: str, vector: Column) -> DataFrame:
-    """``(key, _s)``: elementwise sums of arrays of one width, by partial aggregation."""
+    """``(key, _s, _n)``: elementwise sums of arrays of one width and of the counts ``n``, by partial aggregation."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    return rows.select(key, array_to_vector(vector).alias("_v")).groupBy(key).agg(
-        vector_to_array(Summarizer.sum(F.col("_v"))).alias("_s"))
+    return rows.select(key, "n", array_to_vector(vector).alias("_v")).groupBy(key).agg(
+        vector_to_array(Summarizer.sum(F.col("_v"))).alias("_s"), F.sum("n").alias("_n"))
 
 
 def item_vectors(long: DataFrame, item: str, k: int = 64, window: int = 5, seed: int = 42) -> DataFrame:
@@ -142,8 +143,7 @@ def item2vec(long: DataFrame, item: str, k: int = 64, max_length: int = 256, win
     zeros = F.array_repeat(F.lit(0.0), k)
     rows = held.join(item_vectors(recent, item, k, window, seed), "token", "left")
     sums = _summed(rows, "client_id", F.transform(F.coalesce("vector", zeros), lambda x: x * F.col("n")))
-    total = held.groupBy("client_id").agg(F.sum("n").alias("_n"))
-    return total.join(sums, "client_id").select("client_id", F.transform("_s", lambda x: x / F.col("_n")).alias("embedding"))
+    return sums.where(F.col("client_id").isNotNull()).select("client_id", F.transform("_s", lambda x: x / F.col("_n")).alias("embedding"))
 
 
 def tokens(text_col: str = "text") -> Column:

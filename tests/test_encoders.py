@@ -60,3 +60,18 @@ def test_left_truncation(spark):
 def test_client_without_neighbours_gets_zeros(spark):
     got = en.item2vec(_long(spark, [(1, 0, "only", 0)]), "a", 8).first()
     assert got.embedding == [0.0] * 8
+
+
+def test_sequences_are_not_broadcast_by_their_file_size(spark):
+    """A sequence table of few bytes may have many rows; neighbours meet by a shuffle."""
+    from shoplens.session import cut_lineage
+    events = cut_lineage(spark.range(2000).selectExpr("id % 100 as client_id", "id div 100 as pos", "id % 7 as item"))
+    counts = en.neighbour_counts(events, "item", 2)
+    assert "BroadcastHashJoin" not in counts._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    rows = {(r.client_id, r.pos): r.item for r in events.collect()}
+    for (c, p), item in rows.items():
+        for d in (-2, -1, 1, 2):
+            if (c, p + d) in rows:
+                want[item, rows[c, p + d]] = want.get((item, rows[c, p + d]), 0) + 1
+    assert {(r.token, r.near): r.n for r in counts.collect()} == want
