@@ -164,3 +164,30 @@ def test_random_slice_long_equals_array_slice(spark):
     for r in sq.random_slice_long(long, 4, 9).orderBy("client_id", "pos").collect():
         got.setdefault(r.client_id, []).append(r.v)
     assert got == want
+
+
+def test_half_step_of_clients_with_many_cells_and_across_batches(spark, monkeypatch):
+    """Clients below and above the bound, a null client and cells that batches cut apart give the plain solution."""
+    from shoplens.operators import factors
+    monkeypatch.setattr(factors, "MANY_CELLS", 30)
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=(50, 4))
+    cells = [(c, int(i), float(rng.choice([-1, 0, 1, 2]))) for c, n in ((1, 5), (2, 29), (3, 50), (None, 7), (5, 30))
+             for i in rng.choice(50, n, replace=False)]
+    items = spark.createDataFrame([(i, y[i].tolist()) for i in range(50)], "sku long, embedding array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        step = factors.half_step(spark.createDataFrame(cells, "client_id long, sku long, weight double"), items, "sku", reg=0.1)
+        plan = step._jdf.queryExecution().optimizedPlan().toString()
+        got = {r.client_id: np.array(r.embedding) for r in step.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "RepartitionByExpression" in plan                             # cells travel, not a matrix for each of them
+    assert got.keys() == {1, 2, 3, None, 5}
+    for u in got:
+        a, b = y.T @ y, np.zeros(4)
+        for c, i, w in cells:
+            if c == u:
+                a += abs(w) * np.outer(y[i], y[i]) + (0.1 * np.eye(4) if w > 0 else 0)
+                b += (1 + abs(w)) * y[i] * (w > 0)
+        assert np.allclose(got[u], np.linalg.solve(a, b))
