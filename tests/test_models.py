@@ -191,3 +191,15 @@ def test_half_step_of_clients_with_many_cells_and_across_batches(spark, monkeypa
                 a += abs(w) * np.outer(y[i], y[i]) + (0.1 * np.eye(4) if w > 0 else 0)
                 b += (1 + abs(w)) * y[i] * (w > 0)
         assert np.allclose(got[u], np.linalg.solve(a, b))
+
+
+def test_solver_drops_its_shuffle_files_in_every_iteration(spark, monkeypatch):
+    """ALS removes shuffle files only where it checkpoints; between checkpoints they add up."""
+    from pyspark.ml.recommendation import ALS
+
+    from shoplens.operators import factors
+    seen, real = [], ALS.fit
+    monkeypatch.setattr(ALS, "fit", lambda self, data: seen.append(self.getCheckpointInterval()) or real(self, data))
+    cells = spark.createDataFrame([(c, i, 1.0) for c in range(6) for i in range(4) if (c + i) % 3], "client_id long, sku long, weight double")
+    assert factors.als(cells, "sku", rank=2, max_iter=2).count() == 6
+    assert seen == [1]
