@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
+from ..session import cut_lineage
 from .ordering import global_ranks, group_ranks, positions
 
 
@@ -85,8 +86,8 @@ def recommend(history: DataFrame, k: int = 10, filter_seen: bool = True, item: s
     if filter_seen:
         cand = cand.join(seen, ["client_id", "item_id"], "left_anti")
     w = Window.partitionBy("client_id").orderBy(F.col("_r").asc())
-    top = (cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-           .drop("_r"))
+    top = cut_lineage(cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+                      .drop("_r"))                          # read by the top-up (three times) and by the result
 
     # top-up: the j-th popular item that is neither seen nor chosen
     n_top = top.groupBy("client_id").agg(F.count(F.lit(1)).alias("_n"))

@@ -15,6 +15,7 @@ def ranking(recs: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
     ``recs``: ``(user_id, item_id, rank)``; ``labels``: ``(user_id, item_id)``.
     Users are those with both recommendations and a label (inner, J10).
     """
+    recs = cut_lineage(recs)                                 # read for the users and for the hits
     users = recs.select("user_id").distinct()
     lab = labels.select("user_id", F.col("item_id").alias("_t")).join(users, "user_id", "left_semi")
     hits = recs.where(F.col("rank") <= k).select("user_id", F.col("item_id").alias("_t"), "rank")

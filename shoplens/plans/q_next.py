@@ -8,6 +8,7 @@ from ..functions.draws import draw_sql
 from ..operators import next_item as nx
 from ..operators import rank_metrics as rm
 from ..operators import sequences as sq
+from ..session import cut_lineage
 from ..sources.inputs import load_fixture
 from .q_seq import CART_SEQ_CTES, VISIT_CTES, VISIT_MIN
 from .registry import register
@@ -142,11 +143,11 @@ def sample_clients(spark, sf_dir):
     return nx.sample_rows(load_fixture(spark, sf_dir).relevant_clients, 10)
 
 
-def _field_history(spark, sf_dir, field):
+def _field_history(cart, field):
     """Cart events of each client before its last one, with one field as the item, and the last one's value."""
-    v = sq.cart(load_fixture(spark, sf_dir)).where(F.col(field).isNotNull())
+    v = cart.where(F.col(field).isNotNull()).select("client_id", "pos", field)
     n = v.groupBy("client_id").agg(F.max("pos").alias("_last"))
-    j = v.join(n, "client_id")
+    j = cut_lineage(v.join(n, "client_id"))                 # read by each count and by the labels
     hist = j.where(F.col("pos") < F.col("_last")).select("client_id", "pos", F.col(field).alias("item"))
     labels = j.where(F.col("pos") == F.col("_last")).select(
         F.col("client_id").alias("user_id"), F.col(field).alias("item_id"))
@@ -167,21 +168,21 @@ def _field_ctes(field: str) -> list[tuple[str, str]]:
 _RECS = f"SELECT user_id, item_id, {r6('prediction')} AS prediction, rank FROM recs"
 
 
-def _field_recs(spark, sf_dir, field):
-    hist, labels = _field_history(spark, sf_dir, field)
+def _field_recs(cart, field):
+    hist, labels = _field_history(cart, field)
     return nx.recommend(hist.withColumn("item", F.col("item").cast("long")), K, filter_seen=False), labels
 
 
 @register("next_category_topk", with_bindings(*_field_ctes("category"), body=_RECS))
 def next_category_topk(spark, sf_dir):
     """K7 on the cart: top-10 next categories per client."""
-    return _field_recs(spark, sf_dir, "category")[0]
+    return _field_recs(sq.cart(load_fixture(spark, sf_dir)), "category")[0]
 
 
 @register("next_event_topk", with_bindings(*_field_ctes("event"), body=_RECS))
 def next_event_topk(spark, sf_dir):
     """K7 on the cart: next event kinds per client, best first; one row per client and back."""
-    return nx.rows_to_recs(nx.recs_to_rows(_field_recs(spark, sf_dir, "event")[0]))
+    return nx.rows_to_recs(nx.recs_to_rows(_field_recs(sq.cart(load_fixture(spark, sf_dir)), "event")[0]))
 
 
 _METRICS = f"""SELECT CAST(count(*) AS BIGINT) AS users,
@@ -197,9 +198,9 @@ _METRICS = f"""SELECT CAST(count(*) AS BIGINT) AS users,
           + ") UNION ALL SELECT 'event' AS field, * FROM (" + with_bindings(*_field_ctes("event"), body=_METRICS) + ")")
 def metrics_next_sku(spark, sf_dir):
     """Hit rates, MRR and NDCG of the next category and the next event, one row per field."""
-    out = None
+    out, cart = None, sq.cart(load_fixture(spark, sf_dir))
     for field in ("category", "event"):
-        recs, labels = _field_recs(spark, sf_dir, field)
+        recs, labels = _field_recs(cart, field)
         row = rm.ranking(recs, labels.withColumn("item_id", F.col("item_id").cast("long")), K) \
             .select(F.lit(field).alias("field"), "*")
         out = row if out is None else out.unionByName(row)
@@ -209,5 +210,5 @@ def metrics_next_sku(spark, sf_dir):
 @register("metrics_rows", with_bindings(*_field_ctes("category"), body=_METRICS))
 def metrics_rows(spark, sf_dir):
     """G1-G4 on one row per client: the next category's place in the array of recommended ones."""
-    recs, labels = _field_recs(spark, sf_dir, "category")
+    recs, labels = _field_recs(sq.cart(load_fixture(spark, sf_dir)), "category")
     return rm.ranking_rows(nx.recs_to_rows(recs), labels.withColumn("item_id", F.col("item_id").cast("long")), K)

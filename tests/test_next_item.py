@@ -69,3 +69,13 @@ def test_ranking_metrics(spark):
     assert math.isclose(r.hit_rate_1, 1 / 3) and math.isclose(r.hit_rate_2, 2 / 3)
     assert math.isclose(r.mrr_2, (0.5 + 1.0) / 3)
     assert math.isclose(r.ndcg_2, (1 / math.log2(3) + 1.0) / 3)
+
+
+def test_recommendations_are_made_once(spark):
+    h = spark.createDataFrame(_history(), "client_id long, pos long, item long")
+    recs = ni.recommend(h, 5, False)
+    plan = recs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number") == 0                     # the picks are written: the result and the top-up read them
+    labels = spark.createDataFrame([(0, 1)], "user_id long, item_id long")
+    plan = rm.ranking(recs, labels, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan                               # users and hits read one table
