@@ -40,14 +40,15 @@ def hour_bucket(time: Column) -> Column:
 
 def positions(df: DataFrame, key: str, order: list, pos: str = "pos",
               rev: str | None = None, length: str | None = None,
-              bucket: Column | None = None, materialize: bool = True) -> DataFrame:
+              bucket: Column | None = None, materialize: bool = True, size: str | None = None) -> DataFrame:
     """Add the 0-based position of each row inside ``key`` by ``order``.
 
     ``order`` must be a total order within a key for a deterministic result
     (rows equal on every order column must be equal on every output column).
     ``bucket`` must be monotone in ``order`` (default: the hour of the first
     order column). Optional ``rev``: position from the end; ``length``: rows
-    of the key.
+    of the key. With ``size`` (a column of numbers above 0) a row stands for
+    that many places and its position is the first of them.
 
     The input is read once: rank and bucket size come from two windows over
     the same ``(key, bucket)`` exchange (the count branch reuses it). With
@@ -59,9 +60,13 @@ def positions(df: DataFrame, key: str, order: list, pos: str = "pos",
     if bucket is None:
         bucket = hour_bucket(order_cols[0])
     wb = Window.partitionBy(key, "_bkt")
-    ranked = (df.withColumn("_bkt", bucket)
-              .withColumn("_rn", F.row_number().over(wb.orderBy(*order_cols)) - 1)
-              .withColumn("_cnt", F.count(F.lit(1)).over(wb)))
+    inside = wb.orderBy(*order_cols)
+    if size is None:
+        rank, count = F.row_number().over(inside) - 1, F.count(F.lit(1)).over(wb)
+    else:
+        before = F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+        rank, count = F.coalesce(before, F.lit(0)), F.sum(size).over(wb)
+    ranked = df.withColumn("_bkt", bucket).withColumn("_rn", rank).withColumn("_cnt", count)
     wk = Window.partitionBy(key).orderBy("_bkt")
     counts = ranked.where(F.col("_rn") == 0).select(
         key, "_bkt",

@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoplens import session
+from shoplens.operators import sequences as sq
 from shoplens.operators.client_text import stamp_length
+from shoplens.operators.ordering import positions
+from shoplens.sources.inputs import SCHEMAS, Inputs
 
 
 @pytest.mark.parametrize("stamps, printed", [
@@ -35,3 +38,25 @@ def test_tables_belong_to_the_application(spark):
     local = path.removeprefix("file:")
     assert df.count() == 5 and os.listdir(local)
     assert df.schema.simpleString() == "struct<id:bigint,s:string>"
+
+
+def test_rows_that_stand_for_several_places(spark):
+    rows = [(1, 0, 3), (1, 1, 2), (1, 2, 1), (2, 5, 4), (2, 6, 1)]
+    df = spark.createDataFrame(rows, "k long, t long, n long")
+    for bucket in ("0", "t", "t div 2"):
+        got = positions(df, "k", ["t"], rev="r", length="l", bucket=F.expr(bucket), size="n").orderBy("k", "t").collect()
+        assert [(r["pos"], r["l"]) for r in got] == [(0, 6), (3, 6), (5, 6), (0, 5), (4, 5)]
+
+
+def test_sku_texts_sort_skus_not_codes(spark, monkeypatch):
+    at = "timestamp_ntz'2024-01-0{} 00:00:00'".format
+    tables = {name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}
+    tables["product_properties"] = spark.sql(                # sku 2 comes twice, sku 3 has no codes, one has no sku
+        "SELECT * FROM VALUES (1L, 0, 0, '[5 6 7]'), (2L, 0, 0, '[8 9]'), (2L, 0, 0, '[8 9]'), (3L, 0, 0, '[]'), (NULL, 0, 0, '[1]') t(sku, category, price, name)")
+    tables["product_buy"] = spark.sql(
+        f"SELECT * FROM VALUES (1L, {at(2)}, 1L), (1L, {at(1)}, 2L), (1L, {at(3)}, 3L), (1L, {at(4)}, 2L), (2L, {at(1)}, 1L) t(client_id, timestamp, sku)")
+    sorted_rows = []
+    monkeypatch.setattr(sq, "positions", lambda df, *a, **k: sorted_rows.append(df.count()) or positions(df, *a, **k))
+    got = sq.sku_text(Inputs(**tables)).orderBy("client_id", "pos").collect()
+    assert [tuple(r) for r in got] == [(1, i, c + 3) for i, c in enumerate([8, 8, 9, 9, 5, 6, 7])] + [(2, i, c + 3) for i, c in enumerate([5, 6, 7])]
+    assert sorted_rows == [3]
