@@ -203,3 +203,35 @@ def test_solver_drops_its_shuffle_files_in_every_iteration(spark, monkeypatch):
     cells = spark.createDataFrame([(c, i, 1.0) for c in range(6) for i in range(4) if (c + i) % 3], "client_id long, sku long, weight double")
     assert factors.als(cells, "sku", rank=2, max_iter=2).count() == 6
     assert seen == [1]
+
+
+@pytest.mark.parametrize("few", [256, 0])
+@pytest.mark.parametrize("n_items", [5, 20])
+def test_few_items_are_sent_instead_of_the_clients(spark, monkeypatch, few, n_items):
+    """Spark's solver ships each client's factors to nearly every item block; with few items only item sums travel."""
+    from pyspark.ml.recommendation import ALS
+
+    from shoplens.operators import factors
+    fits, real = [], ALS.fit
+    monkeypatch.setattr(ALS, "fit", lambda self, data: fits.append(1) or real(self, data))
+    monkeypatch.setattr(factors, "MANY_CLIENTS", 40)
+    monkeypatch.setattr(factors, "FEW_ITEMS", few)
+    monkeypatch.setattr(factors, "SOLVED_AT_ONCE", 7)
+    rng = np.random.default_rng(n_items)
+    rows = [(u, 100 + int(i), float(rng.choice([-1.5, 0.5, 3.0]))) for u in range(60) for i in rng.choice(n_items, 4, replace=False)]
+    rows += [(None, 101, 1.0), (61, None, 1.0)] + [(60, 100, -2.0)] * (few > 0)     # no client; no item; nothing preferred
+    cells = spark.createDataFrame(rows, "client_id long, sku long, weight double")
+    users, items = factors.fit_als(cells, "sku", rank=8, max_iter=6, reg=0.1)
+    y = {r.sku: np.array(r.embedding) for r in items.collect()}
+    got = {r.client_id: np.array(r.embedding) for r in users.collect()}
+    assert len(fits) == (0 if few else 1)
+    assert users.schema["embedding"].dataType.simpleString() == "array<float>" and items.columns == ["sku", "embedding"]
+    assert sorted(got) == list(range(61 if few else 60)) and sorted(y) == sorted({i for u, i, _ in rows if u is not None and i is not None})
+    g, loss = sum(np.outer(v, v) for v in y.values()), 0.0
+    for u in got:
+        own = [(y[i], w) for c, i, w in rows if c == u]
+        a = g + sum(abs(w) * np.outer(v, v) for v, w in own) + 0.1 * sum(w > 0 for _, w in own) * np.eye(8)
+        b = sum((1 + abs(w)) * v * (w > 0) for v, w in own)
+        assert np.abs(got[u] - (np.linalg.solve(a, b) if b.any() else 0)).max() < 1e-3
+        loss += sum((1 + abs(w)) * ((w > 0) - got[u] @ v) ** 2 for v, w in own)
+    assert loss < 0.5 * sum(1 + abs(w) for _, _, w in rows)
