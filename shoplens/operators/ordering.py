@@ -2,8 +2,9 @@
 
 ``row_number() OVER (PARTITION BY client ORDER BY ts)`` sends all events of
 one client to one task; if one client holds a third of the data, that task
-does a third of the work. ``positions`` splits each key into calendar
-buckets (by default the hour of the first order column):
+does a third of the work. ``positions`` ranks keys of at most ``MANY_ROWS``
+rows that way, in partitions whose number rises with the rows, and splits the
+others into calendar buckets (by default the hour of the first order column):
 
 * rows are ranked inside ``(key, bucket)`` — a hot client is spread over as
   many tasks as it has active hours;
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 _NULL_BUCKET = -(2 ** 62)
+#: Keys with more rows are ranked by buckets.
+MANY_ROWS = 10_000
+#: Rows that a task sorts.
+ROWS_A_TASK = 250_000
 #: Groups whose first ranks are broadcast.
 FEW_GROUPS = 100_000
 
@@ -40,8 +45,9 @@ def hour_bucket(time: Column) -> Column:
 
 def positions(df: DataFrame, key: str, order: list, pos: str = "pos",
               rev: str | None = None, length: str | None = None,
-              bucket: Column | None = None, materialize: bool = True, size: str | None = None) -> DataFrame:
-    """Add the 0-based position of each row inside ``key`` by ``order``.
+              bucket: Column | None = None, materialize: bool = True, size: str | None = None,
+              many: int | None = None) -> DataFrame:
+    """Add the 0-based position of each row inside ``key`` by ``order`` (rows without a key are left out).
 
     ``order`` must be a total order within a key for a deterministic result
     (rows equal on every order column must be equal on every output column).
@@ -50,22 +56,58 @@ def positions(df: DataFrame, key: str, order: list, pos: str = "pos",
     of the key. With ``size`` (a column of numbers above 0) a row stands for
     that many places and its position is the first of them.
 
-    The input is read once: rank and bucket size come from two windows over
-    the same ``(key, bucket)`` exchange (the count branch reuses it). With
-    ``materialize`` the result is checkpointed to the shared checkpoint
-    folder, so consumers that use the positions several times neither
-    recompute nor re-plan them.
+    The input is written to the shared checkpoint folder once; keys of at
+    most ``many`` rows (default ``MANY_ROWS``) are ranked in one window each,
+    the others by :func:`_bucket_positions`. The result is written too, so
+    consumers that use the positions several times neither recompute nor
+    re-plan them. Without ``materialize`` nothing is written, and all keys
+    are ranked by buckets.
     """
     order_cols = _cols(order)
     if bucket is None:
         bucket = hour_bucket(order_cols[0])
-    wb = Window.partitionBy(key, "_bkt")
-    inside = wb.orderBy(*order_cols)
+    if not materialize:
+        return _bucket_positions(df, key, order_cols, bucket, size, pos, rev, length)
+    many = MANY_ROWS if many is None else many
+    rows = cut_lineage(df.where(F.col(key).isNotNull() & bucket.isNotNull()))
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // ROWS_A_TASK))
+    heavy = cut_lineage(sizes.where(F.col("_n") > many).select(key)) if (most or 0) > many else None
+    w = Window.partitionBy(key)
+    short = (rows if heavy is None else rows.join(heavy, key, "left_anti").select(*rows.columns)).repartition(parts, key)
+    rank, count = _places(w, w.orderBy(*order_cols), size)
+    out = short.withColumn("_at", rank).withColumn("_len", count)
+    out = _named(out, F.col("_at"), pos, rev, length).drop("_at", "_len")
+    if heavy is not None:
+        dealt = rows.join(heavy, key, "left_semi").select(*rows.columns)
+        out = out.unionByName(_bucket_positions(dealt, key, order_cols, bucket, size, pos, rev, length))
+    return cut_lineage(out)
+
+
+def _places(w, inside, size: str | None) -> tuple[Column, Column]:
+    """Places before a row in the ordered window, and places of the whole window."""
     if size is None:
-        rank, count = F.row_number().over(inside) - 1, F.count(F.lit(1)).over(wb)
-    else:
-        before = F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-        rank, count = F.coalesce(before, F.lit(0)), F.sum(size).over(wb)
+        return F.row_number().over(inside) - 1, F.count(F.lit(1)).over(w)
+    before = F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    return F.coalesce(before, F.lit(0)), F.sum(size).over(w)
+
+
+def _named(df: DataFrame, at: Column, pos: str, rev: str | None, length: str | None) -> DataFrame:
+    out = df.withColumn(pos, at.cast("long"))
+    if rev:
+        out = out.withColumn(rev, (F.col("_len") - 1 - F.col(pos)).cast("long"))
+    if length:
+        out = out.withColumn(length, F.col("_len").cast("long"))
+    return out
+
+
+def _bucket_positions(df: DataFrame, key: str, order_cols: list[Column], bucket: Column, size: str | None, pos: str,
+                      rev: str | None, length: str | None) -> DataFrame:
+    """:func:`positions` by buckets, however many rows a key has: rank and bucket size come from two windows over one
+    ``(key, bucket)`` exchange; what lies before a bucket from a window over a key's buckets."""
+    wb = Window.partitionBy(key, "_bkt")
+    rank, count = _places(wb, wb.orderBy(*order_cols), size)
     ranked = df.withColumn("_bkt", bucket).withColumn("_rn", rank).withColumn("_cnt", count)
     wk = Window.partitionBy(key).orderBy("_bkt")
     counts = ranked.where(F.col("_rn") == 0).select(
@@ -73,14 +115,8 @@ def positions(df: DataFrame, key: str, order: list, pos: str = "pos",
         F.coalesce(F.sum("_cnt").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_cnt").over(Window.partitionBy(key)).alias("_len"),
     )
-    out = ranked.join(counts, [key, "_bkt"], "inner")
-    out = out.withColumn(pos, (F.col("_before") + F.col("_rn")).cast("long"))
-    if rev:
-        out = out.withColumn(rev, (F.col("_len") - 1 - F.col(pos)).cast("long"))
-    if length:
-        out = out.withColumn(length, F.col("_len").cast("long"))
-    out = out.drop("_bkt", "_rn", "_cnt", "_before", "_len")
-    return cut_lineage(out) if materialize else out
+    out = _named(ranked.join(counts, [key, "_bkt"], "inner"), F.col("_before") + F.col("_rn"), pos, rev, length)
+    return out.drop("_bkt", "_rn", "_cnt", "_before", "_len")
 
 
 def newest(df: DataFrame, key: str, order: list, n: int, pos: str = "pos", rev: str | None = None) -> DataFrame:

@@ -39,28 +39,34 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 EVENT_DAY_ORDER = ["timestamp", "event_type"]
 
 
-def event_days(inputs: Inputs, relevant: bool = True) -> DataFrame:
-    """``(client_id, timestamp, event_type, day)``; event codes add..search = 1..5 (+2), day = calendar days since the
-    first date of all events (+3)."""
+def _tagged(inputs: Inputs, relevant: bool) -> DataFrame:
+    """``(client_id, timestamp, event_type)`` of the five event tables; event codes add..search = 1..5 (+2)."""
     tagged = [inputs.add_to_cart, inputs.remove_from_cart, inputs.product_buy,
               inputs.page_visit, inputs.search_query]
-    data = _union([t.select("client_id", "timestamp", F.lit(code).alias("event_type"))
+    data = _union([t.select("client_id", "timestamp", F.lit(code + 2).cast("long").alias("event_type"))
                    for code, t in enumerate(tagged, start=1)])
-    if relevant:
-        data = relevant_only(data, inputs.relevant_clients)
+    return relevant_only(data, inputs.relevant_clients) if relevant else data
+
+
+def _with_day(data: DataFrame) -> DataFrame:
+    """Add ``day``: calendar days since the first date of all events (+3)."""
     first = data.agg(F.min(F.to_date("timestamp")).alias("_d0"))
-    return data.crossJoin(F.broadcast(first)).select(
-        "client_id", "timestamp",
-        (F.col("event_type") + 2).cast("long").alias("event_type"),
-        (F.datediff(F.to_date("timestamp"), F.col("_d0")) + 3).cast("long").alias("day"))
+    return data.crossJoin(F.broadcast(first)).withColumn(
+        "day", (F.datediff(F.to_date("timestamp"), F.col("_d0")) + 3).cast("long")).drop("_d0")
+
+
+def event_days(inputs: Inputs, relevant: bool = True) -> DataFrame:
+    """``(client_id, timestamp, event_type, day)`` of all events."""
+    return _with_day(_tagged(inputs, relevant))
 
 
 def event_day(inputs: Inputs, relevant: bool = True, last: int | None = None) -> DataFrame:
     """Q1: ``(client_id, pos, event_type, day)`` of :func:`event_days`. With ``last`` only each client's newest events, by
-    a window limit."""
-    data = event_days(inputs, relevant)
-    return (positions(data, "client_id", EVENT_DAY_ORDER) if last is None
-            else newest(data, "client_id", EVENT_DAY_ORDER, last)).drop("timestamp")
+    a window limit. Without it the events are written before the first date of all is taken."""
+    if last is None:
+        data = _with_day(cut_lineage(_tagged(inputs, relevant)))
+        return positions(data, "client_id", EVENT_DAY_ORDER).drop("timestamp")
+    return newest(event_days(inputs, relevant), "client_id", EVENT_DAY_ORDER, last).drop("timestamp")
 
 
 # ---- Q2/Q3: multi-feature sequences --------------------------------------------------
@@ -69,7 +75,8 @@ FULL_COLUMNS = ("event_type", "category", "price", "sku", "url", "day", "week",
 
 
 def full_events(inputs: Inputs, max_count: int = 5000, relevant: bool = True) -> DataFrame:
-    """Q2 + Q3 in event form: every event with capped sku/url codes and time features."""
+    """Q2 + Q3 in event form: every event with capped sku/url codes and time features. The events are written once, since
+    the vocabularies, the first dates and the result read them."""
     def cart(t: DataFrame, code: int) -> DataFrame:
         return t.select("client_id", "timestamp", (F.col("category") + 1).alias("category"),
                         (F.col("sku") + 1).alias("sku"), (F.col("price") + 1).alias("price"),
@@ -86,7 +93,7 @@ def full_events(inputs: Inputs, max_count: int = 5000, relevant: bool = True) ->
     data = data.select("client_id", "timestamp", "event_type",
                        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                          for c in ("category", "sku", "price", "url")])
-    data = apply_capped_many(data, ["url", "sku"], max_count)
+    data = apply_capped_many(cut_lineage(data), ["url", "sku"], max_count)
     mins = data.agg(F.min(F.to_date("timestamp")).alias("_d0"),
                     F.min(F.weekofyear("timestamp")).alias("_w0"),
                     F.min(F.month("timestamp")).alias("_m0"))
@@ -152,7 +159,7 @@ def cart_events(inputs: Inputs, drop_short: bool = True, relevant: bool = False)
                                              F.lit(code).cast("long").alias("event"))
                    for n, code in (("product_buy", 3), ("add_to_cart", 1), ("remove_from_cart", 2))])
     if drop_short:
-        data = min_events_clients(data, 2)
+        data = min_events_clients(cut_lineage(data), 2)         # read for the counts and for the events
     return relevant_only(data, inputs.relevant_clients) if relevant else data
 
 
