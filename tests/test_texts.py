@@ -60,3 +60,37 @@ def test_sku_texts_sort_skus_not_codes(spark, monkeypatch):
     got = sq.sku_text(Inputs(**tables)).orderBy("client_id", "pos").collect()
     assert [tuple(r) for r in got] == [(1, i, c + 3) for i, c in enumerate([8, 8, 9, 9, 5, 6, 7])] + [(2, i, c + 3) for i, c in enumerate([5, 6, 7])]
     assert sorted_rows == [3]
+
+
+@pytest.mark.parametrize("size", [None, "n"])
+def test_positions_read_their_input_once_and_agree_for_long_histories(spark, size):
+    rows = [(k, t * 1800, t % 3 + 1) for k, n in ((1, 40), (2, 3), (3, 1)) for t in range(n)] + [(None, 5, 1), (2, None, 1)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "k long, t long, n int").mapInArrow(counted, "k long, t long, n int") \
+        .withColumn("t", F.timestamp_seconds("t"))
+    made = [[tuple(r) for r in positions(df, "k", ["t"], rev="r", length="l", size=size, many=many).orderBy("k", "t").collect()]
+            for many in (None, 2, 0)]
+    assert read.value == 3 * len(rows)
+    assert made[0] == made[1] == made[2] and len(made[0]) == len(rows) - 1
+    plain = [tuple(r) for r in positions(df, "k", ["t"], rev="r", length="l", size=size, materialize=False).orderBy("k", "t").collect()]
+    assert plain == made[0]
+
+
+def test_texts_are_joined_in_partitions_that_rise_with_the_events(spark, sf_dir, monkeypatch):
+    from shoplens.operators import client_text as ct
+    from shoplens.sources.inputs import load_fixture
+    inputs = load_fixture(spark, sf_dir)
+    want = sorted(map(tuple, ct.interactions(inputs, 8).collect()))
+    assert sorted(map(tuple, ct.interactions(inputs, 8, many=20).collect())) == want         # limited before they meet
+    monkeypatch.setattr(ct, "EVENTS_A_TASK", 100)
+    wide = ct.interactions(inputs, 8)
+    n = ct.latest_events(inputs).count()
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-n // 100)}), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, wide.collect())) == want
