@@ -75,3 +75,22 @@ def test_sequences_are_not_broadcast_by_their_file_size(spark):
             if (c, p + d) in rows:
                 want[item, rows[c, p + d]] = want.get((item, rows[c, p + d]), 0) + 1
     assert {(r.token, r.near): r.n for r in counts.collect()} == want
+
+
+def test_word_bags_are_the_bags_of_the_word_counts(spark):
+    """Words were drawn for every client that has them; now once in a worker."""
+    from shoplens.operators import encoders as en
+    docs = spark.createDataFrame([(1, "To be or  not to be"), (1, "be"), (2, ""), (3, None), (4, "\u00e9t\u00e9 x x"), (None, "x y")],
+                                 "client_id long, text string")
+    for n in (None, 3):
+        got = en.text_entries(docs, n)
+        want = en.bag_entries(en.text_counts(docs, n))
+        assert got.dtypes == want.dtypes
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        assert "md5" not in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_event_day_bags_look_their_draws_up(spark, sf_dir):
+    from shoplens.plans.registry import entries
+    plan = entries()["enc_bag_entries"].build(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "_known" in plan
