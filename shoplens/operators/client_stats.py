@@ -248,8 +248,8 @@ def features_all(inputs: Inputs, submit: bool = True) -> DataFrame:
     tables at the same time; what needs the products reads a second reduction, by category, behind a single join."""
     by = ("_p",)
     cells = cut_lineage(event_cells(inputs))
-    days = cells.groupBy(*by, "client_id", "_day").agg(F.sum("_c").alias("_c"), F.min("_f").alias("_f"), F.max("_l").alias("_l"))
-    pairs = cells.groupBy(*by, "client_id", "sku").agg(F.sum("_c").alias("_n"))
+    days = cut_lineage(cells.groupBy(*by, "client_id", "_day").agg(F.sum("_c").alias("_c"), F.min("_f").alias("_f"), F.max("_l").alias("_l")))
+    pairs = cut_lineage(cells.groupBy(*by, "client_id", "sku").agg(F.sum("_c").alias("_n")))
     bought = F.col("_p").isin(*ACTION_PREFIXES)
     spent = F.col("_n") * F.col("price")
     sorts = cut_lineage(pairs.where(bought).join(inputs.product_properties.select("sku", "category", "price"), "sku", "left")

@@ -66,3 +66,14 @@ def test_a_long_tail_of_equal_counts_is_ranked_in_many_tasks(spark):
 def test_search_tables_take_widths_once_per_client(spark, sf_dir):
     plan = _plan(entries()["text_searches"].build(spark, sf_dir))
     assert "array_max" not in plan and "max(" in plan
+
+
+def test_reduced_cells_are_aggregated_once(spark, sf_dir):
+    """Day and item cells were aggregated again from all cells by each feature that reads them."""
+    from shoplens.operators.client_stats import features_all
+    from shoplens.session import tables
+    before = len(tables(spark))
+    plan = _plan(features_all(load_fixture(spark, sf_dir)))
+    cells, *later = tables(spark)[before:]
+    assert cells not in plan and cells.rsplit("/", 1)[1] not in plan
+    assert len(later) == 3
