@@ -74,6 +74,24 @@ def test_pairs_and_triples_close_gaps_that_nothing_else_does():
     assert sum(t for t, _ in patterns) <= 1.005 * bound(counts, 1024) + 1
 
 
+def test_exact_fills_are_not_passed_over():
+    # the closing piece may be of any size: 300 of 400, and 100 of 412
+    assert packing.plan({624: 2, 260: 2, 250: 2, 140: 2}) == [(2, [624, 260, 140]), (1, [250, 250])]
+    assert packing.plan({612: 1, 204: 1, 108: 1, 100: 1, 300: 1}) == [(1, [612, 204, 108, 100]), (1, [300])]
+    # and no sequence has to have a piece of over half the size
+    assert packing.plan({400: 1, 330: 1, 294: 1, 350: 1}) == [(1, [400, 330, 294]), (1, [350])]
+    rng = random.Random(3)
+    counts = {x: rng.randrange(1, 50) for x in rng.sample(range(100, 900), 300)}
+    left = dict(counts)
+    for times, parts in packing.plan(counts):
+        if len(parts) > 1 and sum(parts) == 1024 and parts[0] > 512:
+            for x in parts:
+                left[x] -= times
+    rest = np.array([x for x, n in left.items() if n])
+    for x in rest[rest > 512].tolist():                      # no pair of what is left would have filled its gap
+        assert not any(left[a] and left.get(1024 - x - a, 0) > (2 * a == 1024 - x) for a in rest.tolist())
+
+
 def check(rows, docs, size, tokenizer):
     whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     want = []
