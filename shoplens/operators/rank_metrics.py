@@ -13,13 +13,14 @@ def ranking(recs: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
     """Hit rate @1 and @k, MRR@k, NDCG@k with one target per user.
 
     ``recs``: ``(user_id, item_id, rank)``; ``labels``: ``(user_id, item_id)``.
-    Users are those with both recommendations and a label (inner, J10).
+    Users are those with both recommendations and a label (inner, J10). Both sides of the joins are shuffled: the written
+    recommendations are few bytes of parquet, by which Spark would hold all of them in the driver for a broadcast.
     """
     recs = cut_lineage(recs)                                 # read for the users and for the hits
-    users = recs.select("user_id").distinct()
+    users = recs.select("user_id").distinct().hint("merge")
     lab = labels.select("user_id", F.col("item_id").alias("_t")).join(users, "user_id", "left_semi")
     hits = recs.where(F.col("rank") <= k).select("user_id", F.col("item_id").alias("_t"), "rank")
-    j = lab.join(hits, ["user_id", "_t"], "left")
+    j = lab.join(hits.hint("merge"), ["user_id", "_t"], "left")
     r = F.col("rank")
     return j.agg(
         F.count(F.lit(1)).alias("users"),

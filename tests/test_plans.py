@@ -40,6 +40,17 @@ def test_last_n_views_limit_before_the_shuffle_and_write_nothing(spark, sf_dir):
     assert plan.index("WindowGroupLimit") < len(plan)
 
 
+def test_recommendations_are_not_broadcast_to_be_ranked(spark):
+    """A user's recommendations are few bytes of parquet but many rows: the driver must not hold them all."""
+    from shoplens.operators.rank_metrics import ranking
+    recs = spark.range(400).selectExpr("id div 4 AS user_id", "id % 4 AS item_id", "id % 4 + 1 AS rank")
+    labels = spark.range(100).selectExpr("id AS user_id", "id % 5 AS item_id")
+    out = ranking(recs, labels, 4)
+    assert "BroadcastHashJoin" not in _plan(out) and "SortMergeJoin" in _plan(out)
+    row = out.first()
+    assert (row["users"], row["hit_rate_1"], row["hit_rate_4"]) == (100, 0.2, 0.8)
+
+
 def test_draws_are_the_same_number_in_both_engines(spark, duck):
     from shoplens.functions.draws import draw, draw_sql
     got = [r[0] for r in spark.range(50).select(draw("id", 7)).collect()]
