@@ -129,13 +129,15 @@ def sku_text(inputs: Inputs) -> DataFrame:
     """Q4: ``(client_id, pos, text)`` — name codes (+3) of each client's distinct skus,
     skus in order of first event, codes flattened (A16).
 
-    What is sorted and written is a sku with its codes; a code's position is its sku's first one plus its place."""
+    What is sorted and written is a sku with its codes; a code's position is its sku's first one plus its place. Codes come
+    by a shuffle of both sides: products are few bytes of parquet, by which Spark would hold the codes of all of them in
+    the driver for a broadcast."""
     ev = _union([inputs.enriched(n).select("client_id", "timestamp", "sku")
                  for n in ("product_buy", "add_to_cart", "remove_from_cart")])
     first = ev.groupBy("client_id", "sku").agg(F.min("timestamp").alias("timestamp"))  # W5 as an aggregate
     codes = inputs.product_properties.select("sku", F.posexplode(codes_to_array("name")).alias("_i", "_tok")) \
         .groupBy("sku").agg(F.array_sort(F.collect_list(F.struct("_i", "_tok"))).alias("_codes"))
-    named = first.join(codes, "sku", "inner").withColumn("_size", F.size("_codes"))
+    named = first.join(codes.hint("merge"), "sku", "inner").withColumn("_size", F.size("_codes"))
     ranked = positions(named, "client_id", ["timestamp", "sku"], size="_size")
     return ranked.select("client_id", F.col("pos").alias("_p"), F.posexplode("_codes").alias("_at", "_code")).select(
         "client_id", (F.col("_p") + F.col("_at")).alias("pos"), (F.col("_code")["_tok"] + 3).cast("long").alias("text"))

@@ -40,6 +40,15 @@ def test_last_n_views_limit_before_the_shuffle_and_write_nothing(spark, sf_dir):
     assert plan.index("WindowGroupLimit") < len(plan)
 
 
+def test_sku_codes_are_not_broadcast(spark, sf_dir, monkeypatch):
+    """Products are few bytes of parquet, the codes of all of them are not: the driver must not hold them."""
+    plans = []
+    monkeypatch.setattr(sq, "positions", lambda df, *a, **k: plans.append(_plan(df)) or df.withColumn("pos", df["sku"]))
+    sq.sku_text(load_fixture(spark, sf_dir))
+    join = next(line for line in plans[0].splitlines() if "Join" in line)         # the last join comes first
+    assert "SortMergeJoin [sku" in join
+
+
 def test_recommendations_are_not_broadcast_to_be_ranked(spark):
     """A user's recommendations are few bytes of parquet but many rows: the driver must not hold them all."""
     from shoplens.operators.rank_metrics import ranking
