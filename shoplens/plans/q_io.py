@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import client_text as ct
 from ..operators import vocab
-from ..session import scratch_dir
+from ..session import drop_tables, scratch_dir, tables
 from ..sources import sinks
 from ..sources.inputs import SCHEMAS, load_fixture, load_inputs, relevant_only
 from .q_text import INTERACTIONS_SQL
@@ -43,11 +43,13 @@ def inputs_loaded(spark, sf_dir):
 
 @register("texts_stored", f"WITH tx AS ({INTERACTIONS_SQL}) SELECT client_id, length(text) AS chars, TRUE AS same FROM tx")
 def texts_stored(spark, sf_dir):
-    """The clients' interaction texts as JSON lines and as parquet, read back from both and compared."""
-    base = scratch_dir(spark, "texts")
+    """The clients' interaction texts as JSON lines and as parquet, read back from both and compared. Both are
+    compressed, and the events go once the texts are written."""
+    base, before = scratch_dir(spark, "texts"), set(tables(spark))
     texts = ct.interactions(load_fixture(spark, sf_dir), 64)
-    columnar = sinks.read_texts(spark, sinks.write_texts(texts, f"{base}/texts"))
-    lines = sinks.read_texts(spark, sinks.write_texts(columnar, f"{base}/texts.jsonl", fmt="json"))
+    columnar = sinks.read_texts(spark, sinks.write_texts(texts, f"{base}/texts", compression="zstd"))
+    drop_tables(spark, [t for t in tables(spark) if t not in before and t != base])
+    lines = sinks.read_texts(spark, sinks.write_texts(columnar, f"{base}/texts.jsonl", fmt="json", compression="gzip"))
     return columnar.join(lines.withColumnRenamed("text", "line"), "client_id", "full").select(
         "client_id", F.length("text").cast("long").alias("chars"), F.col("text").eqNullSafe(F.col("line")).alias("same"))
 
