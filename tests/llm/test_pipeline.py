@@ -96,6 +96,15 @@ def test_stages_keep_an_empty_table(llm_spark, folder, no_docs):
         assert stage(llm_spark, no_docs, folder).count() == 0
 
 
+def test_last_stage_fills_gaps_by_pairs(llm_spark, tmp_path):
+    """700 + 200 + 124 tokens make one sequence: a pair closes the gap, whatever the size of its pieces."""
+    want = {1: 700, 2: 200, 3: 124, 4: 300}
+    docs = llm_spark.createDataFrame([(i, "x " * (n - 2), "en", "a", 1) for i, n in want.items()], DOC_SCHEMA)
+    rows = {r["doc_id"]: r for r in corpus_pipeline.packed(llm_spark, docs, str(tmp_path)).collect()}
+    assert {i: r["length"] for i, r in rows.items()} == want
+    assert len({rows[i]["sequence_id"] for i in (1, 2, 3)}) == 1 and rows[4]["sequence_id"] != rows[1]["sequence_id"]
+
+
 def test_run_equals_the_stages(llm_spark, folder):
     rows = corpus_pipeline.run(llm_spark, folder).collect()
     assert rows and sum(r["length"] for r in rows) > 1000
