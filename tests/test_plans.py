@@ -49,6 +49,15 @@ def test_sku_codes_are_not_broadcast(spark, sf_dir, monkeypatch):
     assert "SortMergeJoin [sku" in join
 
 
+def test_product_names_are_not_broadcast(spark, sf_dir):
+    """Nor the texts of all products' names, when the events become sentences."""
+    from shoplens.operators import client_text as ct
+    inputs = load_fixture(spark, sf_dir)
+    events = inputs.page_visit.selectExpr("client_id", "0 AS kind", "url AS sku", "url", "'' AS query", "timestamp")
+    plan = _plan(ct.sentences(events, inputs.product_properties))
+    assert "SortMergeJoin [sku" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_recommendations_are_not_broadcast_to_be_ranked(spark):
     """A user's recommendations are few bytes of parquet but many rows: the driver must not hold them all."""
     from shoplens.operators.rank_metrics import ranking
